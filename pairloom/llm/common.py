@@ -109,3 +109,17 @@ def filesystem(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), os.path.normpath("/" + uri[5:].lstrip("/"))
     return fs.FileSystem.from_uri(uri)
+
+
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in a batch to Python, that batches of long texts stay small; a lower setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def pylist(batch, name: str) -> list[bytes]:
+    """A text or binary column as bytes; null is empty."""
+    import pyarrow as pa
+
+    return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]

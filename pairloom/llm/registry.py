@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pairloom.llm import mixing
+from pairloom.llm import mixing, quality, warc
 
 
 def queries() -> dict:
-    return {"op7_mixing": mixing.op7_mixing}
+    return {"op1_quality": quality.op1_quality, "op4_warc": warc.op4_warc, "op7_mixing": mixing.op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
