@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pairloom.llm import mixing, quality, simhash, warc
+from pairloom.llm import mixing, quality, repeats, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op2_simhash": simhash.op2_simhash, "op4_warc": warc.op4_warc, "op7_mixing": mixing.op7_mixing}
+    return {"op1_quality": quality.op1_quality, "op2_simhash": simhash.op2_simhash, "op4_warc": warc.op4_warc, "op5_suffix": repeats.op5_suffix, "op6_substring": repeats.op6_substring, "op7_mixing": mixing.op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
