@@ -1,20 +1,21 @@
 """Repeated passages: which windows of a fixed length occur elsewhere, found over all texts without comparing pairs.
 
 Every window of `target` symbols has an anchor, the k-gram in it with the least hash, so equal windows have equal anchors at
-equal places. A document gives an item for each of its anchors: the windows that hold the anchor begin `hi` to `lo` symbols
+equal places. A document gives an item for each of its anchors: the windows with this anchor begin `hi` to `lo` symbols
 before it; together they make the item's context. Items with equal contexts share all their windows and are settled by counting.
 Items whose anchor has several contexts are left (mostly those at the ends of passages); these are settled on their contexts alone:
 
 * substring dedup extends windows level by level: of windows repeated at one length alone, those of twice that length
   are counted, up to the target, until no candidates survive;
-* suffix-array dedup sorts the suffixes of the contexts of an anchor's shard. Anchors with more contexts than a task should
-  hold are extended by levels instead, which needs no group in one place.
+* suffix-array dedup narrows the contexts by the same levels to those that share nearly a whole window, and sorts the suffixes
+  of these, by shards of anchors. An anchor with more contexts than a task should hold goes on by levels, which need no group in one place.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pairloom.llm import text as T
 from pairloom.llm.suffix import repeated_starts
 
 #: Fixed values of the two contracts: bytes and words of a window. Grams are as long as windows stay distinctive and texts are not.
-BYTES, BYTE_GRAM = 400, 32
-WORDS, WORD_GRAM = 50, 8
+BYTES, BYTE_GRAM = 400, 160
+WORDS, WORD_GRAM = 50, 16
 #: Places of one text whose windows are taken at a time.
 PIECE = 1 << 20
 #: A shard of suffixes has about so many bytes; an anchor with over SHARD_MOST contexts is not sorted in one shard.
-SHARD_BYTES, SHARD_MOST = 1 << 20, 512
+SHARD_BYTES, SHARD_MOST = 1 << 19, 512
 ITEM = "d long, x long, p long, h long, c long"
 SPAN = "d long, x long, start long, stop long"
 
@@ -44,11 +45,11 @@ def unpack(p):
     return p >> 20, (p >> 10) & 1023, p & 1023
 
 
-def anchors(sym: np.ndarray, first: np.ndarray, skip: np.ndarray, size: np.ndarray, heads: np.ndarray, target: int, gram: int):
+def anchors(sym: np.ndarray, first: np.ndarray, skip: np.ndarray, heads: np.ndarray, target: int, gram: int):
     """Items of the pieces laid end to end in sym: piece, p, gram hash, context hash.
 
-    first: bounds of the pieces in sym; skip: place of a piece's first symbol in its text; size: symbols of that text;
-    heads: (from, to) of the starts of windows, in the text, that belong to the piece.
+    first: bounds of the pieces in sym; skip: place of a piece's first symbol in its text; heads: (from, to) of the starts of
+    windows, in the text, that belong to the piece. Each window belongs to one item.
     """
     n = len(sym)
     if n < target:
@@ -56,19 +57,22 @@ def anchors(sym: np.ndarray, first: np.ndarray, skip: np.ndarray, size: np.ndarr
     sums = T.prefix(sym)
     j = np.arange(n - gram + 1)
     h = T.between(sums, j, j + gram)
-    low = argmin = T.argmins(h, target - gram + 1)
-    edge = np.zeros(n + 1, dtype=np.int64)
+    low = T.argmins(h, target - gram + 1)
+    edge = np.zeros(n + 1, dtype=np.int32)
     a, b = first[:-1] + heads[:, 0] - skip, first[:-1] + heads[:, 1] - skip
     some = b > a
     np.add.at(edge, a[some], 1)
     np.add.at(edge, b[some], -1)
-    low = argmin[np.cumsum(edge)[: len(argmin)] > 0]
-    at = low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low
+    window = np.flatnonzero(np.cumsum(edge)[: len(low)] > 0)
+    low = low[window]
+    if not len(low):
+        return [low] * 4
+    new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    at, begin, end = low[new], window[new], window[np.concatenate((new[1:], [len(low)])) - 1]
     piece = np.searchsorted(first, at, side="right") - 1
-    pos = at - first[piece] + skip[piece]
-    lo, hi = np.maximum(0, pos + target - size[piece]), np.minimum(target - gram, pos)
-    c = T.mix(T.between(T.prefix(T.mix(sym ^ np.uint64(0xA5A5A5A5))), at - hi, at - lo + target) + ((lo << 10) | hi).astype(np.uint64))
-    return piece, pack(pos, lo, hi), h[at], c
+    lo, hi = at - end, at - begin
+    c = T.mix(T.between(T.prefix(T.mix(sym ^ np.uint64(0xA5A5A5A5))), begin, end + target) + ((lo << 10) | hi).astype(np.uint64))
+    return piece, pack(at - first[piece] + skip[piece], lo, hi), h[at], c
 
 
 def pieces(sizes: list[int], target: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -87,7 +91,7 @@ def items_of(docs: DataFrame, unit: str, target: int, gram: int) -> DataFrame:
             d, x = batch.column("d").to_numpy(), batch.column("x").to_numpy()
             texts = C.pylist(batch, "text")
             keep = [i for i, t in enumerate(texts) if len(t) >= (target if unit == "bytes" else 2 * target - 1)]
-            for a, b in T.chunks([texts[i] for i in keep]):
+            for a, b in T.chunks([texts[i] for i in keep], 1 << 19):
                 ids = keep[a:b]
                 if unit == "bytes":
                     parts = [np.frombuffer(texts[i], dtype=np.uint8) for i in ids]
@@ -102,11 +106,9 @@ def items_of(docs: DataFrame, unit: str, target: int, gram: int) -> DataFrame:
                 sym = np.concatenate([parts[i][s:e] for i, s, e, _, _ in cut]).astype(np.uint64) + np.uint64(1)
                 q = np.array(cut, dtype=np.int64)
                 first = np.concatenate(([0], np.cumsum(q[:, 2] - q[:, 1])))
-                piece, p, h, c = anchors(sym, first, q[:, 1], np.array(sizes, dtype=np.int64)[q[:, 0]], q[:, 3:5], target, gram)
+                piece, p, h, c = anchors(sym, first, q[:, 1], q[:, 3:5], target, gram)
                 own = np.array(ids)[q[piece, 0]]
-                new = np.ones(len(p), dtype=bool)  # neighbouring pieces of a text can meet in an anchor
-                new[1:] = (own[1:] != own[:-1]) | (p[1:] != p[:-1])
-                yield pa.RecordBatch.from_pydict({"d": d[own[new]], "x": x[own[new]], "p": p[new], "h": h[new].view(np.int64), "c": c[new].view(np.int64)})
+                yield pa.RecordBatch.from_pydict({"d": d[own], "x": x[own], "p": p, "h": h.view(np.int64), "c": c.view(np.int64)})
 
     return docs.select("d", "x", "text").mapInArrow(run, ITEM)
 
@@ -161,10 +163,11 @@ def contexts_of(docs: DataFrame, left: DataFrame, unit: str, target: int) -> Dat
 
 
 def lengths(gram: int, target: int) -> list[int]:
-    """The lengths of the levels above the gram: doubled each time, up to the target."""
+    """The lengths of the levels above the gram: doubled each time, but closing at most three quarters of the gap to the target, so that
+    an item is cut into a few parts at a level and not into all its windows at once."""
     out = [gram]
     while out[-1] < target:
-        out.append(min(2 * out[-1], target))
+        out.append(min(2 * out[-1], target - (target - out[-1]) // 4))
     return out[1:]
 
 
@@ -179,53 +182,46 @@ def extend(items: DataFrame, unit: str, target: int, gram: int, length: int) ->
     edge = whole * np.arange(parts + 1) // parts
 
     def run(batches):
+        step = 1 if unit == "bytes" else 8
         for batch in batches:
-            out = {k: [] for k in ("d", "x", "p", "h", "c", "ctx")}
-            step = 1 if unit == "bytes" else 8
-            for d, x, p, ctx in zip(*(batch.column(k).to_pylist() for k in ("d", "x", "p", "ctx"))):
-                pos, lo, hi = unpack(p)
-                sym = (np.frombuffer(ctx, dtype=np.uint8).astype(np.uint64) if unit == "bytes" else np.frombuffer(ctx, dtype=np.uint64)) + np.uint64(1)
-                own = np.flatnonzero((edge[:-1] <= hi) & (edge[1:] > lo))
-                low, high = edge[own], edge[own + 1] - 1
-                a, b = np.maximum(lo, low), np.minimum(hi, high)  # windows that begin b to a symbols before pos
-                sums, more = T.prefix(sym), T.prefix(T.mix(sym ^ np.uint64(0xA5A5A5A5)))
-                h = T.mix(T.between(sums, hi - low, hi - high + target) + low.astype(np.uint64))
-                c = T.mix(T.between(more, hi - b, hi - a + target) + ((a << 10) | b).astype(np.uint64))
-                out["d"] += [d] * len(own)
-                out["x"] += [x] * len(own)
-                out["p"] += pack(np.full(len(own), pos), a, b).tolist()
-                out["h"] += h.view(np.int64).tolist()
-                out["c"] += c.view(np.int64).tolist()
-                out["ctx"] += [ctx[step * (hi - v) : step * (hi - u + target)] for u, v in zip(a.tolist(), b.tolist())]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.binary() if k == "ctx" else pa.int64()) for k in out]))
+            d, x, p = (batch.column(k).to_numpy() for k in ("d", "x", "p"))
+            raw = batch.column("ctx").to_pylist()
+            line = b"".join(raw)
+            sym = (np.frombuffer(line, dtype=np.uint8).astype(np.uint64) if unit == "bytes" else np.frombuffer(line, dtype=np.uint64)) + np.uint64(1)
+            off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))[:-1] // step
+            pos, lo, hi = unpack(p)
+            i, k = np.nonzero((edge[:-1] <= hi[:, None]) & (edge[1:] > lo[:, None]))
+            low, high, top = edge[k], edge[k + 1] - 1, (off + hi)[i]
+            a, b = np.maximum(lo[i], low), np.minimum(hi[i], high)  # windows that begin b to a symbols before pos
+            h = T.mix(T.between(T.prefix(sym), top - low, top - high + target) + low.astype(np.uint64))
+            c = T.mix(T.between(T.prefix(T.mix(sym ^ np.uint64(0xA5A5A5A5))), top - b, top - a + target) + ((a << 10) | b).astype(np.uint64))
+            ctx = [line[u:v] for u, v in zip((step * (top - b)).tolist(), (step * (top - a + target)).tolist())]
+            yield pa.RecordBatch.from_pydict({"d": d[i], "x": x[i], "p": pack(pos[i], a, b), "h": h.view(np.int64), "c": c.view(np.int64), "ctx": pa.array(ctx, pa.binary())})
 
     return items.select("d", "x", "p", "ctx").mapInArrow(run, ITEM + ", ctx binary")
 
 
-def by_levels(items: DataFrame, rule: str, unit: str, target: int, gram: int) -> list[DataFrame]:
-    """Spans of the windows that are repeated, extending by levels until no candidates survive."""
+def by_levels(items: DataFrame, rule: str, unit: str, target: int, gram: int, steps: list[int]) -> tuple[list[DataFrame], DataFrame | None]:
+    """Spans of the windows that are repeated, extending by levels until no candidates survive; and the candidates after the last step."""
     found = []
-    for length in lengths(gram, target):
-        items = C.stored(extend(items, unit, target, gram, length), f"level-{length}")
-        spans, items = settle(items, rule, last=length == target)
+    for length in steps:
+        if items.isEmpty():
+            return found, None
+        spans, items = settle(C.stored(extend(items, unit, target, gram, length), f"level-{length}"), rule, last=length == target)
         found.append(spans)
-        if items is None or items.isEmpty():
-            break
-    return found
+    return found, items
 
 
 def by_suffixes(items: DataFrame, target: int, shard_bytes: int) -> DataFrame:
     """Spans of repeated windows in the contexts (bytes), sorting the suffixes of each shard of anchors."""
     total = items.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = items.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "d", "x", "p", "ctx").repartition(max(1, min(C.partitions(items.sparkSession), shards)), "shard").sortWithinPartitions("shard", "d", "x", "p")
+    dealt = items.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "d", "x", (F.shiftright("p", 20) - F.col("p").bitwiseAND(1023)).alias("a"), "ctx").repartition(max(1, min(C.partitions(items.sparkSession), shards)), "shard").sortWithinPartitions("shard", "d", "x", "a")
 
     def solve(rows):
         """Contexts of one text that overlap are one stretch, that no place meets itself."""
         flat, places, at = [], [], None
-        for d, x, p, ctx in rows:
-            pos, _, hi = unpack(p)
-            a = pos - hi
+        for d, x, a, ctx in rows:
             if at == (d, x) and a <= end:
                 if a + len(ctx) > end:
                     flat[-1] += ctx[end - a :]
@@ -248,7 +244,7 @@ def by_suffixes(items: DataFrame, target: int, shard_bytes: int) -> DataFrame:
         shard, rows = None, []
         for batch in batches:
             out = []
-            for s, *row in zip(*(batch.column(k).to_pylist() for k in ("shard", "d", "x", "p", "ctx"))):
+            for s, *row in zip(*(batch.column(k).to_pylist() for k in ("shard", "d", "x", "a", "ctx"))):
                 if s != shard:
                     out += solve(rows) if rows else []
                     shard, rows = s, []
@@ -275,18 +271,18 @@ def spans_of(docs: DataFrame, method: str, target: int | None = None, gram: int
         raise ValueError("gram < target < 1024 is needed")
     C.arrow_rows(docs.sparkSession)
     spans, left = settle(C.stored(items_of(docs, unit, target, gram), "items"), rule)
-    found = [spans.select("d", "x", "start", (F.col("stop") + target).alias("stop"))]
-    context = C.stored(contexts_of(docs, left, unit, target), "contexts")
-    many = context
+    found, context = [spans], C.stored(contexts_of(docs, left, unit, target), "contexts")
+    steps, sorted_ = lengths(gram, target), []
     if method == "suffix":
-        found.append(by_suffixes(context.where(F.col("n") <= shard_most), target, shard_bytes))
-        many = context.where(F.col("n") > shard_most)
-    if not many.isEmpty():
-        found += [s.select("d", "x", "start", (F.col("stop") + target).alias("stop")) for s in by_levels(many, rule, unit, target, gram)]
-    out = found[0]
-    for s in found[1:]:
-        out = out.unionByName(s)
-    return out
+        first = [n for n in steps if n <= target - target // 16]
+        more, context = by_levels(context, rule, unit, target, gram, first)
+        found += more
+        if context is not None:
+            sorted_ = [by_suffixes(context.where(F.col("n") <= shard_most), target, shard_bytes)]
+            context, steps = context.where(F.col("n") > shard_most), steps[len(first) :]
+    if context is not None:
+        found += by_levels(context, rule, unit, target, gram, steps)[0]
+    return reduce(DataFrame.unionByName, [s.select("d", "x", "start", (F.col("stop") + target).alias("stop")) for s in found] + sorted_)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pairloom.llm import repeats as R
@@ -75,23 +76,20 @@ def test_words_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=repr) == brute_words(rows, 12)
 
 
-def test_pieces_of_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(R, "PIECE", 64)
-    from pairloom.llm import text as T
+def test_pieces_of_long_texts():
+    """A text in small pieces has the windows of a whole one, each in one item, under the same anchors."""
+    t = np.frombuffer(" ".join(random.Random(3).choices("abcdefgh", k=400)).encode(), dtype=np.uint8).astype(np.uint64)
 
-    t = (" ".join(random.Random(3).choices("abcdefgh", k=400))).encode()
-    import numpy as np
-
-    def items(piece):
-        monkeypatch.setattr(R, "PIECE", piece)
+    def windows(piece):
+        R.PIECE, old = piece, R.PIECE
         q = np.array(list(R.pieces([len(t)], 40)))
-        sym = np.concatenate([np.frombuffer(t, dtype=np.uint8)[s:e] for _, s, e, _, _ in q.tolist()]).astype(np.uint64)
+        R.PIECE = old
         first = np.concatenate(([0], np.cumsum(q[:, 2] - q[:, 1])))
-        _, p, h, c = R.anchors(sym, first, q[:, 1], np.array([len(t)] * len(q)), q[:, 3:5], 40, 8)
-        return sorted(set(zip(p.tolist(), h.tolist(), c.tolist())))
+        _, p, h, _ = R.anchors(np.concatenate([t[s:e] for _, s, e, _, _ in q.tolist()]), first, q[:, 1], q[:, 3:5], 40, 8)
+        pos, lo, hi = R.unpack(p)
+        return sorted((int(a) - w, int(a), int(g)) for a, l, u, g in zip(pos, lo, hi, h) for w in range(l, u + 1))
 
-    assert items(64) == items(1 << 20)
-    assert T.CHUNK_BYTES
+    assert windows(64) == windows(1 << 20) and [w for w, _, _ in windows(64)] == list(range(len(t) - 39))
 
 
 def test_empty(spark):
