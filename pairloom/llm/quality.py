@@ -16,7 +16,8 @@ BUCKETS_LOG2 = 15
 TRUSTED = 20_000
 #: Documents whose n-grams are on average less likely than this in the target, against the raw corpus (natural log), are rejected.
 THRESHOLD = -0.12
-SMOOTHING = 0.5
+#: Added to the trusted count of a bucket and to the count that the corpus would give as many n-grams; rare n-grams then say little.
+SMOOTHING = 5.0
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
@@ -78,8 +79,24 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np
     both[0, rows["bucket"]], both[1, rows["bucket"]] = rows["good"], rows["every"]
     if not both[0].sum():
         return np.zeros(both.shape[1])  # nothing to trust: no document is less likely than another
-    p = (both + SMOOTHING) / (both.sum(1, keepdims=True) + SMOOTHING * both.shape[1])
-    return np.log(p[0]) - np.log(p[1])
+    expected = both[1] * (both[0].sum() / both[1].sum())
+    return np.log(both[0] + SMOOTHING) - np.log(expected + SMOOTHING)
+
+
+def verdicts(texts: list[bytes], table: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """The base measures, score, base_failed and kept of each text; nothing for no texts."""
+    parts = []
+    for a, b in T.chunks(texts):
+        w = T.Words(texts[a:b])
+        m = base(texts[a:b], w)
+        bucket, doc = features(w)
+        m["score"] = np.bincount(doc, weights=table[bucket], minlength=b - a) / np.maximum(1, np.bincount(doc, minlength=b - a))
+        parts.append(m)
+    if not parts:
+        return {}
+    out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    failed = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+    return out | {"base_failed": failed, "kept": ~failed & (out["score"] >= threshold)}
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
@@ -93,22 +110,24 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
 
     def judge(batches):
         for batch in batches:
-            texts, parts = C.pylist(batch, "text"), []
-            for a, b in T.chunks(texts):
-                w = T.Words(texts[a:b])
-                m = base(texts[a:b], w)
-                bucket, doc = features(w)
-                grams = np.bincount(doc, minlength=b - a)
-                m["score"] = np.bincount(doc, weights=table.value[bucket], minlength=b - a) / np.maximum(1, grams)
-                parts.append(m)
-            if parts:
-                out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                failed = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
-                out |= {"base_failed": failed, "kept": ~failed & (out["score"] >= threshold)}
+            if out := verdicts(C.pylist(batch, "text"), table.value, threshold):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: v if v.dtype in (bool, np.float64) else v.astype(np.int64) for k, v in out.items()})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean")
 
 
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns, whatever these are called."""
+    C.arrow_rows(docs.sparkSession)
+    table = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, trusted))
+
+    def run(batches):
+        for batch in batches:
+            if out := verdicts(C.pylist(batch, "text"), table.value, threshold):
+                yield batch.filter(pa.array(out["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
