@@ -67,7 +67,7 @@ def id_shards(df: DataFrame, key: str, weight: Column, target: int, blocks: int
     if span is None or span["a"] is None:
         return [], F.lit(0)
     low, width = span["a"], max(1, -(-(span["b"] - span["a"] + 1) // blocks))
-    block = F.expr(f"CAST(({key} - {low}L) DIV {width}L AS INT)")
+    block = F.expr(f"CAST((CAST({key} AS DECIMAL(38, 0)) - ({low})) DIV {width} AS INT)")
     sums = df.where(F.col(key).isNotNull()).groupBy(block.alias("block")).agg(F.sum(weight).alias("w")).orderBy("block").collect()
     bounds, run = [], 0
     for r in sums:

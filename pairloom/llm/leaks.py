@@ -156,16 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, seed: int =
     spark = docs.sparkSession
     C.arrow_rows(spark)
     schema = "doc_id long, item_id long, distance int, item_words int, stop int"
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    texts, out, last = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.createDataFrame([], schema), None
-    numbered = bench.select("item_id", "text", F.xxhash64("text").alias("x"))
-    while True:
-        more = numbered if last is None else numbered.where((F.coalesce("item_id", F.lit(C.NO_ID)) > last[0]) | ((F.coalesce("item_id", F.lit(C.NO_ID)) == last[0]) & (F.col("x") > last[1])))
-        rows = more.select(F.coalesce("item_id", F.lit(C.NO_ID)).alias("k"), "x", "item_id", "text").dropDuplicates(["k", "x"]).orderBy("k", "x").limit(block).collect()
-        if not rows:
-            return out
-        last = (rows[-1]["k"], rows[-1]["x"])
-        items = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"].encode()) for r in rows], seed))
+    texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    for items in item_blocks(benchmark, block, seed):
 
         def run(batches, items=items):
             own = items.value
@@ -177,9 +169,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, seed: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "distance", "item_words", "stop"])
 
         found = texts.mapInArrow(run, schema)
-        out = found if len(rows) < block and last is not None and out.isEmpty() else C.stored(out.unionByName(found), "leaks")
-        if len(rows) < block:
-            return out
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def item_blocks(benchmark: DataFrame, block: int, seed: int):
+    """Broadcast Items of at most `block` items each, in ascending order of item_id and text."""
+    spark, last = benchmark.sparkSession, None
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce(F.col("item_id").cast("long"), F.lit(C.NO_ID)).alias("k"), F.xxhash64("text").alias("x"))
+    while True:
+        more = rows if last is None else rows.where((F.col("k") > last[0]) | ((F.col("k") == last[0]) & (F.col("x") > last[1])))
+        got = more.dropDuplicates(["k", "x"]).orderBy("k", "x").limit(block).collect()
+        if got:
+            yield spark.sparkContext.broadcast(Items([(r["item_id"], r["text"].encode()) for r in got], seed))
+        if len(got) < block:
+            return
+        last = (got[-1]["k"], got[-1]["x"])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, seed: int = 11) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    C.arrow_rows(docs.sparkSession)
+    out = docs
+    for items in item_blocks(benchmark, block, seed):
+
+        def run(batches, items=items):
+            for batch in batches:
+                texts = C.pylist(batch, "text")
+                bad = {a + hit[0] for a, b in T.chunks(texts) for hit in search(texts[a:b], items.value)}
+                yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

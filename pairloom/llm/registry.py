@@ -6,7 +6,9 @@ from pairloom.llm import hmm, leaks, mixing, quality, repeats, simhash, sstable,
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op2_simhash": simhash.op2_simhash, "op3_tokens": sstable.op3_tokens, "op4_warc": warc.op4_warc, "op5_suffix": repeats.op5_suffix, "op6_substring": repeats.op6_substring, "op7_mixing": mixing.op7_mixing, "op8_leaks": leaks.op8_leaks, "op9_toxicity": toxicity.op9_toxicity, "op10_hmm": hmm.op10_hmm}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run, "op1_quality": quality.op1_quality, "op2_simhash": simhash.op2_simhash, "op3_tokens": sstable.op3_tokens, "op4_warc": warc.op4_warc, "op5_suffix": repeats.op5_suffix, "op6_substring": repeats.op6_substring, "op7_mixing": mixing.op7_mixing, "op8_leaks": leaks.op8_leaks, "op9_toxicity": toxicity.op9_toxicity, "op10_hmm": hmm.op10_hmm}
 
 
 def oracle_sql() -> dict[str, str]:

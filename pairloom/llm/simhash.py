@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import common as C
+from pairloom.llm import text as T
 from pairloom.llm.graph import components
 
 SHINGLE, RADIUS = 3, 2
@@ -165,5 +166,103 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif(F.col("low"), F.lit(C.NO_ID)).alias("component_id"))
 
 
+#: Words of a shingle and least similarity of near-duplicate texts; fingerprints of 64 bits each that are compared together; bands of
+#: minima that a shard is keyed by, and minima in a band. Texts of similarity 0.8 share a band with probability 0.999.
+LONG_SHINGLE, SIMILAR, PRINTS, BANDS, ROWS = 5, 0.8, 8, 10, 3
+
+
+def wide_radius(similarity: float, bits: int) -> int:
+    """Bits that differ between SimHashes of texts with this Jaccard similarity: the angle's share, and a standard deviation more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def sketch(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: PRINTS fingerprints of 64 bits, and keys of BANDS bands of the least hashes of its shingles."""
+    w = T.Words([t.lower() for t in texts])
+    size = np.diff(w.first)
+    many = np.maximum(np.minimum(size, 1), size - shingle + 1)
+    doc = np.repeat(np.arange(len(texts)), many)
+    first = np.concatenate(([0], np.cumsum(many)))
+    at = np.arange(len(doc)) - first[doc] + w.first[doc]
+    h = T.between(T.prefix(w.hash), at, np.minimum(at + shingle, w.first[doc + 1])) if len(doc) else np.zeros(0, dtype=np.uint64)
+    prints, bands = np.zeros((len(texts), PRINTS), dtype=np.uint64), np.zeros((len(texts), BANDS), dtype=np.uint64)
+    some = np.flatnonzero(many)
+    if len(some):
+        cut = first[some]
+        for k in range(PRINTS):
+            bits = np.unpackbits(T.mix(h + np.uint64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+            prints[some, k] = np.packbits(2 * ones > many[some][:, None], axis=1).view(">u8").ravel()
+        for k in range(BANDS * ROWS):
+            low = np.minimum.reduceat(T.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 77) & (1 << 64) - 1)), cut)
+            bands[some, k // ROWS] = T.mix(bands[some, k // ROWS] * np.uint64(3) + low + np.uint64(k // ROWS))
+    return prints, bands
+
+
+def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = TREE_MOST) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last, then by hash of the text).
+
+    Texts are near-duplicates whose word shingles have about the similarity or more: their 512 bits of SimHash are within `wide_radius`. Shards
+    are keyed by bands of least shingle hashes; each has BK-trees of at most about `tree_most` fingerprints, and the members of a larger one
+    are held against its least besides, so that no task gets a large group. Equal sketches are one node. Texts without words are one group.
+    All columns of docs stay. Links between different texts of a larger shard can be missed where only a third text joins them.
+    """
+    spark, radius = docs.sparkSession, wide_radius(similarity, 64 * PRINTS)
+    C.arrow_rows(spark)
+    fields = [f"f{k}" for k in range(PRINTS)]
+
+    def run(batches):
+        for batch in batches:
+            texts = C.pylist(batch, "text")
+            for a, b in T.chunks(texts, 1 << 19):
+                prints, bands = sketch(texts[a:b], shingle)
+                yield pa.RecordBatch.from_pydict({"d": batch.column("d").slice(a, b - a), "x": batch.column("x").slice(a, b - a)} | {f: prints[:, k].copy().view(np.int64) for k, f in enumerate(fields)} | {"bands": pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))})
+
+    rows = C.text_keys(docs).select("d", "x", "text").mapInArrow(run, "d long, x long, " + ", ".join(f"{f} long" for f in fields) + ", bands array<long>")
+    rows = C.stored(rows.withColumn("node", F.xxhash64(*fields, "bands")), "sketches")
+    nodes = C.stored(rows.groupBy("node").agg(F.min(F.struct("d", "x")).alias("low"), *[F.first(f).alias(f) for f in fields], F.first("bands").alias("bands")), "nodes")
+    keyed = nodes.select("node", *fields, F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    shards = C.stored(keyed.join(sizes, ["band", "key"]), "bands")
+
+    def search(batches):
+        at, values, names, out = None, [], {}, []
+
+        def flush():
+            out.extend((names[a], names[b]) for a, b in tree_links(values, radius))
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("band", "key", "part", "node", *fields)]
+            for band, key, part, node, *f in zip(*cols):
+                if at != (band, key, part):
+                    flush()
+                    at, values, names = (band, key, part), [], {}
+                value = 0
+                for v in f:
+                    value = value << 64 | v & ((1 << 64) - 1)
+                if value in names:
+                    out.append((node, names[value]))
+                else:
+                    names[value] = node
+                    values.append(value)
+        flush()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tree_most)).alias("part")
+    trees = shards.select("band", "key", part, "node", *fields).repartition(C.partitions(spark), "band", "key", "part").sortWithinPartitions("band", "key", "part", "node").mapInArrow(search, "a long, b long")
+    least = nodes.select(F.col("node").alias("least"), *[F.col(f).alias(f"{f}_") for f in fields])
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_"))) for f in fields), F.lit(0))
+    stars = shards.where((F.col("n") > tree_most) & (F.col("node") != F.col("least"))).select("node", "least", *fields).distinct().join(least, "least").where(apart <= radius).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    roots = components(trees.unionByName(stars))
+    named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
+    kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.d").alias("_kept_d"), F.col("low.x").alias("_kept_x")), "kept")
+    own = docs.withColumns({"_own_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), "_own_x": F.xxhash64("text")})
+    out = own.join(kept, (F.col("_own_d") == F.col("_kept_d")) & (F.col("_own_x") == F.col("_kept_x")))
+    if rows.count() > rows.select("d", "x").distinct().count():  # repeated rows
+        out = out.dropDuplicates(["_own_d", "_own_x"])
+    return out.select(*docs.columns)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.documents(spark, sf_dir))

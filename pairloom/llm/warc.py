@@ -9,6 +9,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +92,9 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = LEAST_BY
     facts = C.stored(rows.select("d", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("size")), "payloads")
     tops = facts.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.max("d").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
     refs = facts.join(tops, "sha").select("d", "sha", "top").distinct()
-    bounds, shard = C.id_shards(facts, "d", F.col("size") + 600, shard_bytes)
+    bounds, shard = C.id_shards(facts.withColumn("page_id", F.nullif("d", F.lit(NO_PAGE))), "page_id", F.col("size") + 600, shard_bytes)
     mixed = refs.select("d", F.lit("").alias("url"), F.col("sha").alias("html"), "top", F.lit(0).alias("kind")).unionByName(rows.withColumn("top", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
-    placed = mixed.withColumn("shard", shard).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "d", "kind", "url", "html")
+    placed = mixed.withColumn("page_id", F.nullif("d", F.lit(NO_PAGE))).withColumn("shard", shard).drop("page_id").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "d", "kind", "url", "html")
 
     def put(batches):
         fs, base = C.filesystem(root)
@@ -151,7 +152,7 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = LEAST_BY
     manifest = written.mapInArrow(commit, "path string, records long, bytes long, first long, last long")
     manifest.write.parquet(f"{root}/manifest")
     fs, base = C.filesystem(root)
-    if fs.get_file_info(f"{base}/_temporary").is_file is False and str(fs.get_file_info(f"{base}/_temporary").type) != "FileType.NotFound":
+    if fs.get_file_info(f"{base}/_temporary").type == FileType.Directory:  # what attempts that did not count have left
         fs.delete_dir(f"{base}/_temporary")
     return spark.read.schema(manifest.schema).parquet(f"{root}/manifest")
 
