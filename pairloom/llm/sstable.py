@@ -9,11 +9,11 @@ index has, for each block, its first key, place, length, and the ids before it i
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.llm import common as C
+from pairloom.llm import text as T
 
 MAGIC = b"PLSST001"
 FOOTER = struct.Struct("<QQQQQQBB8s")
@@ -34,7 +35,7 @@ BITS_PER_KEY, HASHES = 10, 7
 #: Fixed value: the id that ends each document.
 END = 0
 #: Pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 3_000_000
 
 
 def varint(n: int) -> bytes:
@@ -169,41 +170,137 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The library's byte-level pattern never joins a word to what is before the space or line end in front of it, unless white
-    space stands together; so the pieces of a text without that are encoded on their own and remembered. Other texts go whole.
+    space stands together, nor a letter or digit to a full stop or comma that ends its word; so the pieces of a text are encoded on
+    their own and remembered, by 64-bit hash of piece and what is before it. Texts with other white space than single spaces and
+    line ends between words go whole.
     """
 
+    #: What is before a piece: a space, a line end or the text's start, or its word.
+    SPACE, LINE, WORD = range(3)
+
     def __init__(self, path: str, width: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.type = Tokenizer.from_file(path), f"<u{width}"
+        self.tok, self.type, self.width = Tokenizer.from_file(path), f"<u{width}", width
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
         self.line = self.raw(["\n"])[0]
+        self.word = np.zeros(256, dtype=bool)
+        self.word[[c for c in range(128) if chr(c).isalnum()]] = True
+        self.latin = np.zeros(256, dtype=bool)  # second bytes of the letters from U+00C0 to U+00FF
+        self.latin[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.entry = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.new_hash, self.new_entry = self.hash, self.entry
+        self.off, self.size, self.alone = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.flat, self.used = np.zeros(1 << 16, dtype=self.type), 0
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.type) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def pieces(self, names: list[str], before: str) -> list[np.ndarray]:
+        """Ids of `before` + each name (no white space in it): many are encoded as the lines of one text, and parted at its line ends."""
+        out = []
+        for k in range(0, len(names), 4096):
+            (ids,) = self.raw(["\n".join([before + x for x in names[k : k + 4096]])])
+            end = np.concatenate((np.flatnonzero(ids == self.line[0]), [len(ids)])).tolist()
+            start = [0] + [x + 1 for x in end[:-1]]
+            out += [ids[a:b] for a, b in zip(start, end)]
+        return out
+
+    def learn(self, keys: np.ndarray, names: list[str], kinds: np.ndarray) -> np.ndarray:
+        """Remembers new pieces; returns their entries. One with white space in it can't be encoded alone."""
+        ids: list = [np.zeros(0, dtype=self.type)] * len(names)
+        alone = np.array([p.split() == [p] for p in names], dtype=bool)
+        for kind, before in ((self.SPACE, " "), (self.LINE, ""), (self.WORD, "")):
+            own = np.flatnonzero((kinds == kind) & alone).tolist()
+            for i, x in zip(own, self.pieces([names[i] for i in own], before)):
+                ids[i] = np.concatenate((self.line, x)) if kind == self.LINE else x
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        total = int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(total, len(self.flat)), dtype=self.type)))
+        self.flat[self.used : self.used + total] = np.concatenate(ids) if ids else []
+        entry = np.arange(len(self.off), len(self.off) + len(names))
+        self.off, self.size, self.alone = np.concatenate((self.off, self.used + np.cumsum(size) - size)), np.concatenate((self.size, size)), np.concatenate((self.alone, alone))
+        self.used += total
+        h, e = np.concatenate((self.new_hash, keys)), np.concatenate((self.new_entry, entry))
+        if len(h) > max(1 << 16, len(self.hash) // 4):
+            h, e = np.concatenate((self.hash, h)), np.concatenate((self.entry, e))
+            o = np.argsort(h)
+            self.hash, self.entry, self.new_hash, self.new_entry = h[o], e[o], h[:0], e[:0]
+        else:
+            o = np.argsort(h)
+            self.new_hash, self.new_entry = h[o], e[o]
+        return entry
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of sorted keys, -1 for unknown ones."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        for h, e in ((self.hash, self.entry), (self.new_hash, self.new_entry)):
+            if len(h):
+                at = np.minimum(np.searchsorted(h, keys), len(h) - 1)
+                hit = h[at] == keys
+                out[hit] = e[at[hit]]
+        return out
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not t or self.odd.search(t)]
-        for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
-            out[i] = ids
-        split = {i: ("\n" + t).replace("\n", " \n").split(" ")[1:] for i, t in enumerate(texts) if out[i] is None}
-        new = set().union(*split.values()) - self.known.keys() if split else set()
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, set().union(*split.values())
-        names = list(new)
-        self.known.update(zip(names, self.raw([p if p[0] == "\n" else " " + p for p in names])))
-        get, skip = self.known.__getitem__, len(self.line)
-        for i, p in split.items():
-            out[i] = b"".join(map(get, p))[skip:]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return [x for a, b in T.chunks(texts, 2 << 20) for x in self.some(texts[a:b])]
+
+    def some(self, texts: list[bytes]) -> list[bytes]:
+        w, n = T.Words(texts), len(texts)
+        buf, first, last = w.buf, w.offset[:-1], w.offset[1:] - 1
+        before = np.where(w.start > first[w.doc], buf[np.maximum(w.start, 1) - 1], 10) if len(w) else np.zeros(0, dtype=np.uint8)
+        gap = w.start - np.concatenate(([0], w.end[:-1]))[: len(w)] - 1
+        lead = w.start == first[w.doc]
+        opens = np.concatenate(([True], w.doc[1:] != w.doc[:-1]))[: len(w)]
+        wrong = np.where(opens, ~lead, (gap != 0) | ((before != 32) & (before != 10)))
+        odd = np.bincount(w.doc[wrong], minlength=n) > 0
+        some = np.diff(w.first) > 0
+        odd |= np.where(some, w.end[np.maximum(w.first[1:], 1) - 1] != last if len(w) else False, last > first)
+        prev, prev2 = buf[np.maximum(w.end, 2) - 2] if len(w) else before, buf[np.maximum(w.end, 3) - 3] if len(w) else before
+        end_mark = buf[w.end - 1] if len(w) else before
+        long = w.end - w.start
+        mark = ((end_mark == 44) | (end_mark == 46)) & (((long >= 2) & self.word[prev]) | ((long >= 3) & (prev2 == 0xC3) & self.latin[prev]))
+        part = np.repeat(np.arange(len(w)), 1 + mark)
+        tail = np.concatenate(([False], part[1:] == part[:-1]))[: len(part)]
+        s, e, doc = np.where(tail, w.end[part] - 1, w.start[part]), np.where(mark[part] & ~tail, w.end[part] - 1, w.end[part]), w.doc[part]
+        kind = np.where(tail, self.WORD, np.where(before[part] == 32, self.SPACE, self.LINE))
+        key = T.mix(T.between(T.prefix(buf.astype(np.uint64) + np.uint64(1)), s, e) + kind.astype(np.uint64))
+        unique, at, back = np.unique(key, return_index=True, return_inverse=True)
+        entry = self.find(unique)
+        new = np.flatnonzero(entry < 0)
+        if len(self.off) + len(new) > CACHE and len(self.off):
+            self.clear()
+            entry[:], new = -1, np.arange(len(unique))
+        if len(new):
+            where = at[new]
+            names = [w.raw[a:b].decode(errors="replace") for a, b in zip(s[where].tolist(), e[where].tolist())]
+            entry[new] = self.learn(unique[new], names, kind[where])
+        entry = entry[back]
+        odd |= np.bincount(doc[~self.alone[entry]], minlength=n) > 0
+        size = self.size[entry]
+        total = int(size.sum())
+        ids = self.flat[np.repeat(self.off[entry] - (np.cumsum(size) - size), size) + np.arange(total)]
+        stop = np.cumsum(np.bincount(doc, weights=size, minlength=n).astype(np.int64))
+        raw, skip = ids.tobytes(), len(self.line)
+        out = [raw[self.width * (a + skip) : self.width * b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        whole = np.flatnonzero(odd).tolist()
+        for i, x in zip(whole, self.raw([texts[i].decode() for i in whole])):
+            out[i] = x.tobytes()
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, width: int) -> Encoder:
+    """One for each worker process, that what it remembers serves all its tasks."""
+    return Encoder(path, width)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -227,7 +324,7 @@ def write(docs: DataFrame, root: str | None = None, tokenizer: str = "byte_bpe_5
     def put(batches):
         fs, base = C.filesystem(root)
         fs.create_dir(base, recursive=True)
-        encoder, done, at, last, count, out = Encoder(tokenizer_path(tokenizer), width), [], None, None, 0, None
+        own, done, at, last, count, out = encoder(tokenizer_path(tokenizer), width), [], None, None, 0, None
 
         def close():
             if out:
@@ -236,7 +333,7 @@ def write(docs: DataFrame, root: str | None = None, tokenizer: str = "byte_bpe_5
 
         for batch in batches:
             shards, d = batch.column("shard").to_pylist(), batch.column("d").to_pylist()
-            for sh, doc, ids in zip(shards, d, encoder.encode(batch.column("text").to_pylist())):
+            for sh, doc, ids in zip(shards, d, own.encode(C.pylist(batch, "text"))):
                 if sh != at:
                     close()
                     name = f"shard-{sh:06d}-{uuid.uuid4().hex}.sst"

@@ -14,10 +14,21 @@ def encoder():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet="ab '.1é\n\t   <|>Z", max_size=40))
-def test_pieces_have_the_ids_of_the_whole_text(encoder, text):
-    whole = np.frombuffer(encoder.encode([text])[0], dtype="<u2").tolist()
-    assert whole == encoder.tok.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(alphabet="ab '.,1é\u00d7\n\t\u3000\u00a0   <|>Z\x01\x1c!", max_size=30), max_size=5))
+def test_pieces_have_the_ids_of_the_whole_text(encoder, texts):
+    got = [np.frombuffer(x, dtype="<u2").tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert got == [encoder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_real_texts_and_a_small_memory(encoder, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    want = [encoder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (3_000_000, 300):
+        monkeypatch.setattr(S, "CACHE", most)
+        for k in range(0, len(texts), 50):
+            assert [np.frombuffer(x, dtype="<u2").tolist() for x in encoder.encode([t.encode() for t in texts[k : k + 50]])] == want[k : k + 50]
 
 
 def expected(rows, encoder):
