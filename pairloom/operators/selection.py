@@ -100,3 +100,16 @@ def thin(df: DataFrame, count: int, at: str, seed: int, name: str) -> DataFrame:
     near = F.least(F.coalesce(F.col(at) - F.lag(at).over(w), F.lit(float("inf"))), F.coalesce(F.lead(at).over(w) - F.col(at), F.lit(float("inf"))))
     return df.withColumn("_near", near).orderBy(F.desc("_near"), F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(name)), 256)).limit(count).drop("_near")
 
+
+
+def channel_proposals(scores: DataFrame, branches: tuple = ("density", "shape"), threshold: float = 0.05) -> DataFrame:
+    """Peaks of each channel (scale and branch) among windows whose paired p, sqrt(p1 p2), is within the threshold.
+
+    scores: window_id, scale, window_bp, chrom, w_start, w_end, center and rep{1,2}_{branch}_p. Best paired p first, then the larger of the
+    smaller anomalies, then coordinates; a peak keeps off others of its channel that are less than half a window away.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("branch"), F.sqrt(F.col(f"rep1_{b}_p") * F.col(f"rep2_{b}_p")).alias("pair_p"), (-F.log10(F.greatest(f"rep1_{b}_p", f"rep2_{b}_p"))).alias("min_anomaly")) for b in branches]))
+    rows = scores.select("window_id", "scale", "window_bp", "chrom", "w_start", "w_end", "center", each.alias("z")).select("*", "z.*").drop("z").where(F.col("pair_p") <= threshold + 1e-12)
+    order = [F.col("pair_p"), F.desc("min_anomaly"), F.col("chrom"), F.col("w_start"), F.col("w_end")]
+    r = ranked(rows, order, ["scale", "branch"]).withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}).drop("percentile")
+    return greedy(r, ["scale", "branch", "chrom"], "rank", "center", "radius").where("is_peak").drop("is_peak", "owner", "radius")

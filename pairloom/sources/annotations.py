@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +17,21 @@ ENCODINGS = ("UTF-8", "GB18030")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header; a byte order mark is dropped. Text that is not UTF-8 is read as GB18030."""
+    """A CSV with header; a byte order mark is dropped. Text that is not UTF-8 is decoded as GB18030, which Spark's reader does not know."""
     raw = spark.read.format("binaryFile").load(path)
-    bad = raw.where(F.col("length") > 0).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
-    return spark.read.option("header", True).option("encoding", ENCODINGS[bad]).csv(path)
+    if raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty():
+        return spark.read.option("header", True).csv(path)
+
+    def lines(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                own = content.decode(ENCODINGS[1]).splitlines()
+                yield pa.RecordBatch.from_pydict({"n": list(range(len(own))), "line": own}, schema=pa.schema([("n", pa.int32()), ("line", pa.string())]))
+
+    text = raw.select("content").mapInArrow(lines, "n int, line string")
+    names = next(csv.reader([text.where("n = 0").first()["line"]]))
+    schema = ", ".join(f"`{name}` string" for name in names)
+    return text.where("n > 0").select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
