@@ -112,7 +112,13 @@ def filesystem(uri: str):
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in a batch to Python, that batches of long texts stay small; a lower setting is kept."""
+    """At most so many rows in a batch to Python, that batches of long texts stay small; a lower setting is kept.
+
+    Python workers get this library's folder on their path, wherever the driver was started.
+    """
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
