@@ -13,8 +13,9 @@ from pairloom.llm.leaks import normal
 
 #: Training rows of each label that make the index (a hash-ordered sample of the labelled rows); terms that it may have.
 EXAMPLES, TERMS = 4_000, 2_048
-#: A term needs so strong an association with the label (G squared; 20 is a chance of 1 in 100,000) and so many examples.
-LEAST_G2, LEAST_DF = 20.0, 4
+#: A term needs so strong an association with the label (G squared; 20 is a chance of 1 in 100,000), so many examples, so large a share of
+#: one label's examples, and so many times the other's share; common words differ by the length of texts alone.
+LEAST_G2, LEAST_DF, LEAST_SHARE, LEAST_RATIO = 20.0, 4, 0.02, 3.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Votes that the prior counts as.
 PRIOR_VOTES = 0.5
@@ -100,7 +101,9 @@ def examples(docs: DataFrame, labels: DataFrame, most: int, divisor: int) -> tup
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "toxic": batch.column("toxic").slice(a, b - a), "terms": [h[i:j].view(np.int64).tolist() for i, j in zip(cut, cut[1:])], "tf": [n[i:j].tolist() for i, j in zip(cut, cut[1:])]}, schema=pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int64())), ("tf", pa.list_(pa.int64()))]))
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, terms array<long>, tf array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    own = own.groupBy(F.xxhash64("text").alias("x"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))  # copies say nothing more
+    own = own.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, terms array<long>, tf array<long>")
     return C.stored(own, "examples"), counts.get(1, 0), sum(v for k, v in counts.items() if k != 1)
 
 
@@ -115,7 +118,9 @@ def vocabulary_of(sample: DataFrame, terms: int = TERMS) -> tuple[np.ndarray, np
     a, b = F.col("a"), F.col("b")
     have = a + b
     g2 = 2 * (part(a, have * (n1 / n)) + part(b, have * (n0 / n)) + part(n1 - a, (n - have) * (n1 / n)) + part(n0 - b, (n - have) * (n0 / n)))
-    top = df.where(have >= LEAST_DF).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "h").limit(terms).toPandas()
+    one, other = (a + 0.5) / (n1 + 1.0), (b + 0.5) / (n0 + 1.0)
+    strong = (F.greatest(one, other) >= LEAST_SHARE) & (F.greatest(one / other, other / one) >= LEAST_RATIO)
+    top = df.where((have >= LEAST_DF) & strong).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "h").limit(terms).toPandas()
     h = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     o = np.argsort(h)
     return h[o], np.log((n + 1) / (top["a"] + top["b"] + 1).to_numpy(dtype=float))[o] + 1
@@ -138,9 +143,8 @@ def score(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, divisor: int
     place = {h: i for i, h in enumerate(vocabulary.view(np.int64).tolist())}
     vectors = [(np.array(sorted(place[z["h"]] for z in r["own"])), np.array([z["n"] for z in sorted(r["own"], key=lambda z: place[z["h"]])])) for r in rows]
     flags = np.array([float(r["toxic"] == 1) for r in rows])
-    share = float(flags.mean()) if len(flags) and 0 < flags.mean() < 1 else 0.5
-    sampled = min(toxic, most) / max(1, min(toxic, most) + min(other, most))
-    shared = spark.sparkContext.broadcast((vocabulary, Index(vectors, flags, np.array([r["doc_id"] for r in rows], dtype=np.int64), idf), sampled or share))
+    sampled = sample.where("toxic = 1").count() / max(1, sample.count())
+    shared = spark.sparkContext.broadcast((vocabulary, Index(vectors, flags, np.array([r["doc_id"] for r in rows], dtype=np.int64), idf), sampled))
 
     def run(batches):
         vocabulary, index, sampled = shared.value
