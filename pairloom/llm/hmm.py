@@ -60,6 +60,23 @@ def count_types(docs: DataFrame) -> DataFrame:
     return C.stored(docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "types")
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent types, descending, at most `most`: all above a count at which a histogram of
+    logarithms (a few thousand rows) says that so many are left. Only these come to the driver, as Arrow."""
+    step = F.floor(F.log2("c") * 64).cast("int")
+    left, low = most, None
+    for r in sorted(counts.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        if r["count"] > left:
+            break
+        left, low = left - r["count"], r["b"]
+    if low is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    top = counts.where(step >= low).select("h", "c").toArrow()
+    h, c = top["h"].to_numpy().astype(np.int64), top["c"].to_numpy().astype(np.int64)
+    o = np.lexsort((h, -c))
+    return h[o].view(np.uint64), c[o]
+
+
 def encode(rows: DataFrame, top_h: np.ndarray, top_c: np.ndarray, classes: int, ends: int) -> DataFrame:
     """Per row: rid, n (tokens), ids (classes of its tokens, 16 bits each), known, base_log, other_log over the tokens whose counts are at hand, and the hashes of the rest."""
     o = np.argsort(top_h)
@@ -230,8 +247,7 @@ def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rounds:
     ends = rows.where("NOT held_out").count()
     all_ = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (all_["n"] or 0) + ends, all_["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(types).toPandas()
-    top_h, top_c = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
+    top_h, top_c = frequent(counts, types)
     class_counts = np.zeros(classes)
     class_counts[: len(top_c[: classes - 2])] = top_c[: classes - 2]
     class_counts[classes - 2], class_counts[classes - 1] = ends, n - ends - class_counts.sum()
