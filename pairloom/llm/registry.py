@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op5_suffix": repeats.OP5_SQL, "op6_substring": repeats.OP6_SQL, "op7_mixing": mixing.OP7_SQL}

@@ -345,3 +345,28 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(C.documents(spark, sf_dir)).select("doc_id", F.col("size").alias("n_words"), "n_removed", "kept_sha256")
+
+
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+b AS (SELECT rid, unnest(range(1, length(hx) // 2 + 1)) AS i, unnest(list_transform(range(1, length(hx) // 2 + 1), lambda i: substr(hx, 2 * i - 1, 2))) AS byte FROM d),
+w AS (SELECT rid, unnest(range(1, length(hx) // 2 - 398)) AS i, unnest(list_transform(range(1, length(hx) // 2 - 398), lambda i: md5_number(substr(hx, 2 * i - 1, 800)))) AS k FROM d WHERE length(hx) >= 800),
+s AS (SELECT rid, i, i AS hit FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+c AS (SELECT b.rid, b.i, b.byte, max(s.hit) OVER (PARTITION BY b.rid ORDER BY b.i ROWS UNBOUNDED PRECEDING) AS hit FROM b LEFT JOIN s ON s.rid = b.rid AND s.i = b.i),
+r AS (SELECT *, coalesce(i - hit < 400, false) AS gone FROM c),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS opens FROM r),
+a AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY rid)
+SELECT d.doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (rid)
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT rid, doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5_number(array_to_string(w[i:i + 49], ' ')))) AS k FROM d WHERE len(w) >= 50),
+s AS (SELECT rid, i, i AS hit FROM k JOIN (SELECT k, min(coalesce(doc_id, 9223372036854775807)) AS low FROM k GROUP BY k HAVING count(*) > 1) USING (k) WHERE low < coalesce(doc_id, 9223372036854775807)),
+c AS (SELECT b.rid, b.i, b.word, max(s.hit) OVER (PARTITION BY b.rid ORDER BY b.i ROWS UNBOUNDED PRECEDING) AS hit FROM b LEFT JOIN s ON s.rid = b.rid AND s.i = b.i),
+r AS (SELECT *, coalesce(i - hit < 50, false) AS gone FROM c),
+a AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(encode(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
+"""
