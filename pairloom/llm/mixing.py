@@ -47,34 +47,30 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, seed: int = 20260920, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies: floor(rate) copies and one more with the fraction's probability.
+    """(row, size, source_size, target, copies): row is a row of docs, whatever its columns are called; copies are floor(rate) and one more
+    with the fraction's probability, for rate = target / source size.
 
-    rate = target / source size. Null texts have size 0, null sources are a source of their own, rows of one identifier
-    draw alike, an empty table gives an empty one, a source without words has target 0 and no copies.
+    Null texts have size 0, null sources are a source of their own, rows of one identifier draw alike, an empty table gives an empty
+    one, a source without words has target 0 and no copies.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = C.stored(source_targets(sizes, weights, share, most), "targets").withColumnsRenamed({"source": "_src", "source_size": "_source_size", "target": "_target"})
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = C.stored(source_targets(sizes, weights, share, most), "targets").withColumnRenamed("source", "name")
     if targets.count() <= C.BROADCAST_ROWS:
         targets = F.broadcast(targets)
-    rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_source_size").cast("double")), F.lit(0.0))
-    return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_src")))
-        .drop("_src")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (F.floor("_rate") + (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
-        .drop("_rate")
-    )
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    more = (draw(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return sized.join(targets, F.col("source").eqNullSafe(F.col("name"))).withColumn("rate", rate).select("row", "size", "source_size", "target", (F.floor("rate") + more).cast("long").alias("copies"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it had."""
-    return mix(docs, **options).where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return mix(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(C.documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return m.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP7_SQL = r"""

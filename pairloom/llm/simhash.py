@@ -256,12 +256,12 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
     stars = shards.where((F.col("n") > tree_most) & (F.col("node") != F.col("least"))).select("node", "least", *fields).distinct().join(least, "least").where(apart <= radius).select(F.col("node").alias("a"), F.col("least").alias("b"))
     roots = components(trees.unionByName(stars))
     named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
-    kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.d").alias("_kept_d"), F.col("low.x").alias("_kept_x")), "kept")
-    own = docs.withColumns({"_own_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), "_own_x": F.xxhash64("text")})
-    out = own.join(kept, (F.col("_own_d") == F.col("_kept_d")) & (F.col("_own_x") == F.col("_kept_x")))
+    kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.d", "low.x"), "kept")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("d"), F.xxhash64("text").alias("x"))
+    out = own.join(kept, ["d", "x"])
     if rows.count() > rows.select("d", "x").distinct().count():  # repeated rows
-        out = out.dropDuplicates(["_own_d", "_own_x"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["d", "x"])
+    return out.select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

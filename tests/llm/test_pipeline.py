@@ -31,7 +31,7 @@ def test_near_copies_go_and_clean_documents_stay(spark):
             rows.append((5000 + 10 * d + k, " ".join(half), "x"))
             low.append(5000 + 10 * d + k)
     rows += [(9000, None, "x"), (9001, " ", "x"), rows[0], (None, "only one of these", "x"), (None, "only one of these", "y"), (None, "another text without a number", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, node string, d int, low int, row int").repartition(3)
     for most in (2, 256):
         got = simhash.representatives(df, tree_most=most)
         assert got.columns == df.columns

@@ -45,14 +45,14 @@ def test_oracles(spark):
 
 def test_mixing_edges(spark):
     rows = [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)] + [(None, None, None), (5, "x y", None), (400, "", "z"), (401, "w " * 9000, "c")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
-    m = mixing.mix(df).toPandas()
-    assert len(m) == len(rows) and (m["_copies"] <= 2).all()
-    t = m.drop_duplicates("source")
-    assert (t["_target"] <= 2 * t["_source_size"] + 1e-6).all()
-    assert abs(t["_target"].sum() - 1.5 * m["_size"].sum()) < 1e-6 * m["_size"].sum()
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, size int, row int, target int")
+    m = mixing.mix(df).drop("row").toPandas()
+    assert len(m) == len(rows) and (m["copies"] <= 2).all()
+    t = mixing.mix(df).select("row.source", "source_size", "target").distinct().toPandas()
+    assert (t["target"] <= 2 * t["source_size"] + 1e-6).all()
+    assert abs(t["target"].sum() - 1.5 * m["size"].sum()) < 1e-6 * m["size"].sum()
     out = mixing.emit(df)
-    assert out.columns == df.columns and out.count() == m["_copies"].sum()
-    assert mixing.mix(df).select("doc_id", "_copies").exceptAll(mixing.mix(df.repartition(7)).select("doc_id", "_copies")).count() == 0
+    assert out.columns == df.columns and out.count() == m["copies"].sum()
+    assert mixing.mix(df).select("row.doc_id", "copies").exceptAll(mixing.mix(df.repartition(7)).select("row.doc_id", "copies")).count() == 0
     assert mixing.emit(df.limit(0)).count() == 0
-    assert mixing.mix(df.where("source = 'z'")).agg(F.sum("_copies")).first()[0] == 0
+    assert mixing.mix(df.where("source = 'z'")).agg(F.sum("copies")).first()[0] == 0
