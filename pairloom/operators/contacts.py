@@ -29,8 +29,8 @@ def rebin(pixels: DataFrame, origin: Column, source_bp: int, target_bp: int, bin
     return inside.unionByName(mirrored).groupBy(*keys).agg(F.sum("cnt").alias("value"))
 
 
-def window_cells(pixels: DataFrame, sizes: DataFrame, scales=SCALES) -> DataFrame:
-    """Upper-triangle cells of every window that holds a pixel: (scale, chrom, w_start, replicate, i, j, d, value).
+def window_cells(pixels: DataFrame, sizes: DataFrame, scales=SCALES, keep: tuple = ()) -> DataFrame:
+    """Upper-triangle cells of every window that holds a pixel: (scale, chrom, w_start, replicate, i, j, d, value) and the kept columns.
 
     Starts of the windows around a pixel follow from its bins, so no join with windows is needed: a pixel is exploded to
     at most window / step rows and meets its chromosome's size by a small join.
@@ -38,9 +38,9 @@ def window_cells(pixels: DataFrame, sizes: DataFrame, scales=SCALES) -> DataFram
     s = F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.lit(w).cast("long").alias("window_bp"), F.lit(st).cast("long").alias("step_bp")) for n, w, st in scales])).alias("s")
     first = F.greatest(F.lit(0).cast("long"), F.expr(f"CAST(ceil(((bin2 + 1) * {BIN} - window_bp) / step_bp) AS BIGINT) * step_bp"))
     last = F.least(F.expr(f"((bin1 * {BIN}) div step_bp) * step_bp"), F.expr("((size_bp - window_bp) div step_bp) * step_bp"))
-    each = pixels.join(sizes, "chrom").select("replicate", "chrom", "bin1", "bin2", "cnt", "size_bp", s).select("*", "s.*").where("size_bp >= window_bp").withColumns({"a": first, "b": last}).where("a <= b")
-    out = each.select("scale", "chrom", "replicate", "bin1", "bin2", "cnt", "window_bp", F.explode(F.sequence("a", "b", "step_bp")).alias("w_start"))
-    return out.select("scale", "chrom", "w_start", "window_bp", "replicate", F.expr(f"CAST(bin1 - w_start div {BIN} AS INT)").alias("i"), F.expr(f"CAST(bin2 - w_start div {BIN} AS INT)").alias("j"), F.expr("CAST(bin2 - bin1 AS INT)").alias("d"), F.col("cnt").alias("value"))
+    each = pixels.join(sizes, "chrom").select("replicate", "chrom", "bin1", "bin2", "cnt", "size_bp", *keep, s).select("*", "s.*").where("size_bp >= window_bp").withColumns({"a": first, "b": last}).where("a <= b")
+    out = each.select("scale", "chrom", "replicate", "bin1", "bin2", "cnt", "window_bp", *keep, F.explode(F.sequence("a", "b", "step_bp")).alias("w_start"))
+    return out.select("scale", "chrom", "w_start", "window_bp", "replicate", F.expr(f"CAST(bin1 - w_start div {BIN} AS INT)").alias("i"), F.expr(f"CAST(bin2 - w_start div {BIN} AS INT)").alias("j"), F.expr("CAST(bin2 - bin1 AS INT)").alias("d"), F.col("cnt").alias("value"), *keep)
 
 
 def expected(pixels: DataFrame, sizes: DataFrame, keys: list[str], most: int) -> DataFrame:

@@ -28,6 +28,13 @@ def tail_p(query: DataFrame, calibration: DataFrame, value: str, keys: list[str]
     return both.withColumn("p", (1 + F.sum("_cal").over(up)) / (n + 1)).where("_cal = 0").drop("_cal")
 
 
+def tail_p_within(df: DataFrame, value: str, calibrates: Column, keys: list[str] = ()) -> DataFrame:
+    """df with p as tail_p gives it, where the rows for which `calibrates` holds are the calibration: one pass over df itself."""
+    cal = F.coalesce(calibrates.cast("int"), F.lit(0))
+    up = W.partitionBy(*keys).orderBy(F.desc(value)).rangeBetween(W.unboundedPreceding, 0)
+    return df.withColumn("_cal", cal).withColumn("p", (1 + F.sum("_cal").over(up)) / (F.sum("_cal").over(W.partitionBy(*keys)) + 1)).drop("_cal")
+
+
 def pearson(a: str, b: str) -> Column:
     """Null for fewer than two pairs or a constant side (the built-in raises there)."""
     sd = F.stddev_pop(a) * F.stddev_pop(b)

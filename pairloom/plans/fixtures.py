@@ -58,17 +58,25 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with the genome-wide O/E. The expectation has N rows for each replicate and chromosome."""
-    return cells(spark, sf_dir).join(expected(spark, sf_dir), ["replicate", "chrom", "d"]).withColumn("oe", K.genome_oe(F.col("value"), F.col("expected")))
+    """Cells with the genome-wide O/E. Pixels meet their expectation (N rows for each replicate and chromosome) before windows multiply them."""
+    px = pixels(spark, sf_dir).withColumn("d", F.expr("CAST(bin2 - bin1 AS INT)")).join(expected(spark, sf_dir), ["replicate", "chrom", "d"])
+    px = px.withColumn("oe", K.genome_oe(F.col("cnt"), F.col("expected"))).drop("d")
+    return K.window_cells(px, sizes(spark, sf_dir), (K.SCALES[1],), ("expected", "oe")).withColumn("n", F.lit(N))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every medium window with density and shape of both replicates: masked mean O/E, and masked mean squared distance of O/E from 1."""
-    m, masked = K.mask_size(F.lit(N), GAP), F.col("d") > GAP
-    own = oe(spark, sf_dir).where(masked).groupBy("chrom", "w_start", "replicate").agg((F.sum("oe") / m).alias("density"), ((F.sum(F.pow(F.col("oe") - 1, F.lit(2.0))) + m - F.count("*")) / m).alias("shape"))
-    wide = own.groupBy("chrom", "w_start").pivot("replicate", ["rep1", "rep2"]).agg(F.first("density").alias("density"), F.first("shape").alias("shape"))
+    """Every medium window with density and shape of both replicates: masked mean O/E, and masked mean squared distance of O/E from 1.
+
+    One aggregation by window has the sums of both replicates; windows without cells get what zeros give.
+    """
+    m, own = K.mask_size(F.lit(N), GAP), {}
+    for r in ("rep1", "rep2"):
+        v = F.when(F.col("replicate") == r, F.col("oe"))
+        own[f"{r}_density"] = F.coalesce(F.sum(v), F.lit(0.0)) / m
+        own[f"{r}_shape"] = (F.coalesce(F.sum(F.pow(v - 1, F.lit(2.0))), F.lit(0.0)) + m - F.count(v)) / m
+    wide = oe(spark, sf_dir).where(F.col("d") > GAP).groupBy("chrom", "w_start").agg(*[c.alias(k) for k, c in own.items()])
     all_ = medium(spark, sf_dir).join(wide, ["chrom", "w_start"], "left")
-    return all_.select("chrom", "w_start", "w_end", "center", *[F.coalesce(f"{r}_{b}", F.lit(0.0 if b == "density" else 1.0)).alias(f"{r}_{b}") for r in ("rep1", "rep2") for b in ("density", "shape")])
+    return all_.select("chrom", "w_start", "w_end", "center", *[F.coalesce(c, F.lit(0.0 if c.endswith("density") else 1.0)).alias(c) for c in own])
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:

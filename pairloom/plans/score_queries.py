@@ -68,9 +68,8 @@ def window_scores(s, d):
 
 SCORED = WIDE + ", s AS (SELECT chrom, w_start, known, round((greatest(rep1_density, rep1_shape) + greatest(rep2_density, rep2_shape)) / 2, 9) AS score, abs(greatest(rep1_density, rep1_shape) - greatest(rep2_density, rep2_shape)) AS difference, least(greatest(rep1_density, rep1_shape), greatest(rep2_density, rep2_shape)) AS least FROM v), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chrom, w_start) AS rank, count(*) OVER () AS n FROM s)"
 add("sc05_window_scores", window_scores, SCORED + " SELECT chrom, w_start, known, round(score, 6) AS score, round(difference, 6) AS difference, round(least, 6) AS least, rank, round(1 - (rank - 1) / n, 6) AS percentile FROM t")
-cal = lambda df: df.where("split = 'cal'")
 r9 = lambda df: df.withColumn("value", F.round("value", 9))
-tails = lambda s, d: stats.tail_p(r9(long_scores(s, d)), cal(r9(long_scores(s, d))), "value", ["branch"])
+tails = lambda s, d: stats.tail_p_within(r9(long_scores(s, d)), "value", F.col("split") == "cal", ["branch"])
 TAIL = LONG + ", k AS (SELECT chrom, w_start, known, split, branch, round(value, 9) AS value FROM l), p AS (SELECT k.*, (1 + (SELECT count(*) FROM k c WHERE c.split = 'cal' AND c.branch = k.branch AND c.value >= k.value)) / ((SELECT count(*) FROM k c WHERE c.split = 'cal' AND c.branch = k.branch) + 1.0::DOUBLE) AS p FROM k)"
 add("sc06_tail_probability", lambda s, d: tails(s, d).select("chrom", "w_start", "branch", "p"), TAIL + " SELECT chrom, w_start, branch, round(p, 6) AS p FROM p")
 
