@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
 
+MOST_POINTS = 10_000
+
 
 def scaler(df: DataFrame, vector: str) -> DataFrame:
     """(k, mean, std) of each coordinate, population std, 1 for a constant one."""
@@ -109,8 +111,10 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 
 def hdbscan(x: np.ndarray, least_size: int = 5, least_samples: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Labels (-1 is noise) and membership: mutual reachability, minimum spanning tree, condensed tree, excess of mass
-    (Campello, Moulavi and Sander 2013). Points are candidate regions, some hundreds, on the driver."""
+    (Campello, Moulavi and Sander 2013). Points are candidate regions, some hundreds, on the driver; over MOST_POINTS is an error."""
     n = len(x)
+    if n > MOST_POINTS:
+        raise ValueError(f"{n} points; distances of at most {MOST_POINTS} fit on the driver")
     if n < max(2, least_size):
         return np.full(n, -1), np.zeros(n)
     d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
@@ -190,3 +194,16 @@ def hdbscan(x: np.ndarray, least_size: int = 5, least_samples: int = 5) -> tuple
             labels[p], member[p] = k, lam / top
         k += 1
     return labels, member
+
+
+def encode(df: DataFrame, vector: str, width: int, encoder=None) -> DataFrame:
+    """df with encoded: what an encoder makes of batches of vectors (rows of a matrix). The default pools neighbouring values by mean to
+    len / width numbers; a trained network fits in its place."""
+    pool = encoder or (lambda x: x.reshape(len(x), -1, width).mean(2))
+
+    def run(batches):
+        for pdf in batches:
+            x = np.stack(pdf[vector].to_numpy()).astype(float) if len(pdf) else np.zeros((0, width))
+            yield pdf.assign(encoded=list(pool(x)))
+
+    return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", encoded array<double>")
