@@ -70,7 +70,7 @@ def emit(docs: DataFrame, **options) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(C.documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return m.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return m.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP7_SQL = r"""
@@ -86,5 +86,5 @@ t AS (SELECT source, source_size, CASE WHEN stops THEN cap ELSE
 r AS (SELECT doc_id, size, source_size, target, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0), 0) AS rate,
              CAST(('0x' || substr(md5('20260920|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r
+SELECT doc_id, size, source_size, round(target, 6) AS target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r
 """
