@@ -82,7 +82,7 @@ def calibrated(s, d):
 
 
 CAL = TAIL + ", w AS (SELECT chrom, w_start, known, " + ", ".join(f"max(p) FILTER (branch = '{b}') AS {b}" for b in BRANCHES) + " FROM p GROUP BY 1, 2, 3), c AS (SELECT *, (-log10(rep1_density) - log10(rep2_density)) / 2 AS density_score, (-log10(rep1_shape) - log10(rep2_shape)) / 2 AS shape_score FROM w)"
-add("sc07_calibrated_scores", lambda s, d: calibrated(s, d).select("chrom", "w_start", "density_score", "shape_score", "or_score"), CAL + " SELECT chrom, w_start, round(density_score, 6) AS density_score, round(shape_score, 6) AS shape_score, round(greatest(density_score, shape_score), 6) AS or_score FROM c")
+add("sc07_calibrated_scores", lambda s, d: calibrated(s, d).select("chrom", "w_start", "density_score", "shape_score", "or_score"), CAL + " SELECT chrom, w_start, round(density_score, 6) + 0.0::DOUBLE AS density_score, round(shape_score, 6) + 0.0::DOUBLE AS shape_score, round(greatest(density_score, shape_score), 6) + 0.0::DOUBLE AS or_score FROM c")
 FLOOR = "(SELECT 1.0::DOUBLE / (count(*) + 1) FROM fx_marked WHERE split = 'cal')"
 
 
@@ -93,8 +93,8 @@ def floored(s, d):
     return p.withColumn("equalized", F.greatest(a("density"), a("shape")))
 
 
-add("sc08_common_floor", lambda s, d: floored(s, d).select("chrom", "w_start", "floor", "equalized"), CAL + f", e AS (SELECT *, {FLOOR} AS floor FROM c) SELECT chrom, w_start, round(floor, 6) AS floor, round(greatest((-log10(greatest(rep1_density, floor)) - log10(greatest(rep2_density, floor))) / 2, (-log10(greatest(rep1_shape, floor)) - log10(greatest(rep2_shape, floor))) / 2), 6) AS equalized FROM e")
-add("sc09_paired_p", lambda s, d: calibrated(s, d).select("chrom", "w_start", F.sqrt(F.col("rep1_density") * F.col("rep2_density")).alias("pair_p"), (-F.log10(F.greatest("rep1_density", "rep2_density"))).alias("min_anomaly")), CAL + " SELECT chrom, w_start, round(sqrt(rep1_density * rep2_density), 6) AS pair_p, round(-log10(greatest(rep1_density, rep2_density)), 6) AS min_anomaly FROM c")
+add("sc08_common_floor", lambda s, d: floored(s, d).select("chrom", "w_start", "floor", "equalized"), CAL + f", e AS (SELECT *, {FLOOR} AS floor FROM c) SELECT chrom, w_start, round(floor, 6) AS floor, round(greatest((-log10(greatest(rep1_density, floor)) - log10(greatest(rep2_density, floor))) / 2, (-log10(greatest(rep1_shape, floor)) - log10(greatest(rep2_shape, floor))) / 2), 6) + 0.0::DOUBLE AS equalized FROM e")
+add("sc09_paired_p", lambda s, d: calibrated(s, d).select("chrom", "w_start", F.sqrt(F.col("rep1_density") * F.col("rep2_density")).alias("pair_p"), (-F.log10(F.greatest("rep1_density", "rep2_density"))).alias("min_anomaly")), CAL + " SELECT chrom, w_start, round(sqrt(rep1_density * rep2_density), 6) AS pair_p, round(-log10(greatest(rep1_density, rep2_density)), 6) + 0.0::DOUBLE AS min_anomaly FROM c")
 add("sc10_background_clip", lambda s, d: X.oe(s, d).where("d > 2").join(X.marked(s, d).where("split = 'train'").select("chrom", "w_start"), ["chrom", "w_start"]).groupBy("replicate").agg(F.expr("percentile(oe, 0.995)").alias("clip")), "SELECT replicate, round(quantile_cont(oe, 0.995), 6) AS clip FROM fx_oe JOIN (SELECT chrom, w_start FROM fx_marked WHERE split = 'train') USING (chrom, w_start) WHERE d > 2 GROUP BY 1")
 add("sc11_reconstruction_error", lambda s, d: X.oe(s, d).where("d > 2").join(X.oe(s, d).where("d > 2").groupBy("chrom", "replicate", "d").agg(F.avg("oe").alias("model")), ["chrom", "replicate", "d"]).groupBy("chrom", "w_start", "replicate").agg((F.sum(F.pow(F.col("oe") - F.col("model"), F.lit(2.0))) / 1891).alias("error")), ", m AS (SELECT chrom, replicate, d, avg(oe) AS m FROM fx_oe WHERE d > 2 GROUP BY 1, 2, 3) SELECT chrom, w_start, replicate, round(sum((oe - m) * (oe - m)) / 1891, 6) AS error FROM fx_oe JOIN m USING (chrom, replicate, d) GROUP BY 1, 2, 3")
 # proposals of channels: peaks among windows under the tail threshold
