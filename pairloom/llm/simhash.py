@@ -169,6 +169,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Words of a shingle and least similarity of near-duplicate texts; fingerprints of 64 bits each that are compared together; bands of
 #: minima that a shard is keyed by, and minima in a band. Texts of similarity 0.8 share a band with probability 0.999.
 LONG_SHINGLE, SIMILAR, PRINTS, BANDS, ROWS = 5, 0.8, 8, 10, 3
+#: Nodes of a shard that are a part; the results are the same at any value.
+CELL_MOST = 1024
 
 
 def wide_radius(similarity: float, bits: int) -> int:
@@ -177,19 +179,29 @@ def wide_radius(similarity: float, bits: int) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
-def sketch(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: PRINTS fingerprints of 64 bits, and keys of BANDS bands of the least hashes of its shingles."""
+def shingle_sets(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the shingles of all texts, ascending in each; cut[i]:cut[i + 1] are text i's."""
     w = T.Words([t.lower() for t in texts])
     size = np.diff(w.first)
     many = np.maximum(np.minimum(size, 1), size - shingle + 1)
     doc = np.repeat(np.arange(len(texts)), many)
-    first = np.concatenate(([0], np.cumsum(many)))
-    at = np.arange(len(doc)) - first[doc] + w.first[doc]
+    at = np.arange(len(doc)) - np.concatenate(([0], np.cumsum(many)))[doc] + w.first[doc]
     h = T.between(T.prefix(w.hash), at, np.minimum(at + shingle, w.first[doc + 1])) if len(doc) else np.zeros(0, dtype=np.uint64)
-    prints, bands = np.zeros((len(texts), PRINTS), dtype=np.uint64), np.zeros((len(texts), BANDS), dtype=np.uint64)
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[: len(h)]
+    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
+
+
+def sketch(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's set of shingles: a hash, the size, PRINTS fingerprints of 64 bits, and keys of BANDS bands of least hashes."""
+    h, first = shingle_sets(texts, shingle)
+    many = np.diff(first)
+    prints, bands, node = np.zeros((len(texts), PRINTS), dtype=np.uint64), np.zeros((len(texts), BANDS), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
     some = np.flatnonzero(many)
     if len(some):
         cut = first[some]
+        node[some] = T.mix(np.add.reduceat(T.mix(h), cut, dtype=np.uint64) + many[some].astype(np.uint64))
         for k in range(PRINTS):
             bits = np.unpackbits(T.mix(h + np.uint64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
@@ -197,16 +209,66 @@ def sketch(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray,
         for k in range(BANDS * ROWS):
             low = np.minimum.reduceat(T.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 77) & (1 << 64) - 1)), cut)
             bands[some, k // ROWS] = T.mix(bands[some, k // ROWS] * np.uint64(3) + low + np.uint64(k // ROWS))
-    return prints, bands
+    return node, many, prints, bands
+
+
+def cell_pairs(node: np.ndarray, root: np.ndarray, part: np.ndarray, size: np.ndarray, prints: np.ndarray, similarity: float, radius: int):
+    """Pairs (a, b) of nodes of different roots that may be similar, of all pairs of one part or of all pairs across two."""
+    across = part[0] != part[-1]
+    for i in range(0, len(node), 64):
+        k = slice(i, i + 64)
+        apart = np.zeros((len(node[k]), len(node)), dtype=np.uint16)
+        for f in range(PRINTS):
+            apart += np.bitwise_count(prints[k, f][:, None] ^ prints[None, :, f])
+        low, high = np.minimum(size[k][:, None], size[None]), np.maximum(size[k][:, None], size[None])
+        good = ((apart <= radius)) & (low + 1e-9 >= similarity * high) & (root[k][:, None] != root[None]) & (node[k][:, None] < node[None])
+        if across:
+            good &= part[k][:, None] != part[None]
+        x, y = np.nonzero(good)
+        yield node[k][x], node[y]
+
 
+def candidates(shards: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
+    """Pairs (a, b) of nodes of a shard (band, key) that differ in root and may be similar: every pair of a shard is compared, whatever its size.
 
-def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = TREE_MOST) -> DataFrame:
+    A shard of over `most` nodes is cut into parts, and each part meets itself and every other in a cell of its own, so that no task gets a large group.
+    """
+    spark, fields = shards.sparkSession, [f"f{k}" for k in range(PRINTS)]
+
+    def search(batches):
+        at, held = None, []
+
+        def flush():
+            if held:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) for a, b in cell_pairs(*cols[:4], np.stack(cols[4:], axis=1), similarity, radius) if len(a))
+
+        for batch in batches:
+            cell = np.stack([batch.column(c).to_numpy() for c in ("band", "key", "one", "two")], axis=1)
+            cols = [batch.column(c).to_numpy() for c in ("node", "root", "part", "size")] + [batch.column(f).to_numpy().view(np.uint64) for f in fields]
+            cut = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(cell)]):
+                if i < j:
+                    if tuple(cell[i]) != at:
+                        yield from flush()
+                        at, held = tuple(cell[i]), []
+                    held.append([c[i:j] for c in cols])
+        yield from flush()
+
+    parts = F.ceil(F.col("n") / most)
+    own = shards.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cells = cells.select(F.col("band").cast("long").alias("band"), "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node", "root", F.col("size").cast("long").alias("size"), *fields)
+    return cells.repartition(C.partitions(spark), "band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two", "part", "node").mapInArrow(search, "a long, b long").distinct()
+
+
+def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = CELL_MOST) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last, then by hash of the text).
 
-    Texts are near-duplicates whose word shingles have about the similarity or more: their 512 bits of SimHash are within `wide_radius`. Shards
-    are keyed by bands of least shingle hashes; each has BK-trees of at most about `tree_most` fingerprints, and the members of a larger one
-    are held against its least besides, so that no task gets a large group. Equal sketches are one node. Texts without words are one group.
-    All columns of docs stay. Links between different texts of a larger shard can be missed where only a third text joins them.
+    Texts are near-duplicates whose sets of word shingles have about the similarity or more: they share a band of least shingle hashes and
+    their 512 bits of SimHash are within `wide_radius`. First the members of
+    a shard are held against its least, then all pairs of a shard that are not joined yet, in cells of at most about 2 * `tree_most` nodes.
+    Equal sets are one node. Texts without words are one group. All columns of docs stay.
     """
     spark, radius = docs.sparkSession, wide_radius(similarity, 64 * PRINTS)
     C.arrow_rows(spark)
@@ -216,45 +278,26 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
         for batch in batches:
             texts = C.pylist(batch, "text")
             for a, b in T.chunks(texts, 1 << 19):
-                prints, bands = sketch(texts[a:b], shingle)
-                yield pa.RecordBatch.from_pydict({"d": batch.column("d").slice(a, b - a), "x": batch.column("x").slice(a, b - a)} | {f: prints[:, k].copy().view(np.int64) for k, f in enumerate(fields)} | {"bands": pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))})
-
-    rows = C.text_keys(docs).select("d", "x", "text").mapInArrow(run, "d long, x long, " + ", ".join(f"{f} long" for f in fields) + ", bands array<long>")
-    rows = C.stored(rows.withColumn("node", F.xxhash64(*fields, "bands")), "sketches")
-    nodes = C.stored(rows.groupBy("node").agg(F.min(F.struct("d", "x")).alias("low"), *[F.first(f).alias(f) for f in fields], F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", *fields, F.posexplode("bands").alias("band", "key"))
+                node, size, prints, bands = sketch(texts[a:b], shingle)
+                yield pa.RecordBatch.from_pydict({"d": batch.column("d").slice(a, b - a), "x": batch.column("x").slice(a, b - a), "node": node.view(np.int64), "size": size.astype(np.int32)} | {f: prints[:, k].copy().view(np.int64) for k, f in enumerate(fields)} | {"bands": pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))})
+
+    keys = C.text_keys(docs).select("d", "x", "text")
+    rows = keys.mapInArrow(run, "d long, x long, node long, size int, " + ", ".join(f"{f} long" for f in fields) + ", bands array<long>")
+    rows = C.stored(rows, "sketches")
+    nodes = C.stored(rows.groupBy("node").agg(F.min(F.struct("d", "x")).alias("low"), *[F.first(f).alias(f) for f in ("size", *fields, "bands")]), "nodes")
+    keyed = nodes.select("node", "size", *fields, F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     shards = C.stored(keyed.join(sizes, ["band", "key"]), "bands")
-
-    def search(batches):
-        at, values, names, out = None, [], {}, []
-
-        def flush():
-            out.extend((names[a], names[b]) for a, b in tree_links(values, radius))
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("band", "key", "part", "node", *fields)]
-            for band, key, part, node, *f in zip(*cols):
-                if at != (band, key, part):
-                    flush()
-                    at, values, names = (band, key, part), [], {}
-                value = 0
-                for v in f:
-                    value = value << 64 | v & ((1 << 64) - 1)
-                if value in names:
-                    out.append((node, names[value]))
-                else:
-                    names[value] = node
-                    values.append(value)
-        flush()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tree_most)).alias("part")
-    trees = shards.select("band", "key", part, "node", *fields).repartition(C.partitions(spark), "band", "key", "part").sortWithinPartitions("band", "key", "part", "node").mapInArrow(search, "a long, b long")
-    least = nodes.select(F.col("node").alias("least"), *[F.col(f).alias(f"{f}_") for f in fields])
+    least = nodes.select(F.col("node").alias("least"), F.col("size").alias("size_"), *[F.col(f).alias(f"{f}_") for f in fields])
     apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_"))) for f in fields), F.lit(0))
-    stars = shards.where((F.col("n") > tree_most) & (F.col("node") != F.col("least"))).select("node", "least", *fields).distinct().join(least, "least").where(apart <= radius).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    roots = components(trees.unionByName(stars))
+    near = (apart <= radius) & (F.least("size", "size_") + 1e-9 >= similarity * F.greatest("size", "size_"))
+    stars = shards.where(F.col("node") != F.col("least")).select("node", "size", "least", *fields).distinct().join(least, "least").where(near)
+    links = C.stored(stars.groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b"), "stars")
+
+    known = shards.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key")
+    pairs = C.stored(candidates(known.join(open_, ["band", "key"]), similarity, radius, tree_most), "pairs")
+    roots = components(links.unionByName(pairs))
     named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.d", "low.x"), "kept")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("d"), F.xxhash64("text").alias("x"))
