@@ -169,14 +169,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Words of a shingle and least similarity of near-duplicate texts; fingerprints of 64 bits each that are compared together; bands of
 #: minima that a shard is keyed by, and minima in a band. Texts of similarity 0.8 share a band with probability 0.999.
 LONG_SHINGLE, SIMILAR, PRINTS, BANDS, ROWS = 5, 0.8, 8, 10, 3
-#: Nodes of a shard that are a part; the results are the same at any value.
-CELL_MOST = 1024
+#: Nodes of a shard that are a part (its results are the same at any value), and the set size from which SimHash's angle holds; smaller sets are all verified.
+CELL_MOST, SMALL = 1024, 16
 
 
 def wide_radius(similarity: float, bits: int) -> int:
-    """Bits that differ between SimHashes of texts with this Jaccard similarity: the angle's share, and a standard deviation more."""
+    """Bits that differ between SimHashes of texts with this Jaccard similarity: the angle's share, and three standard deviations more."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
 
 
 def shingle_sets(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +212,22 @@ def sketch(texts: list[bytes], shingle: int = LONG_SHINGLE) -> tuple[np.ndarray,
     return node, many, prints, bands
 
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets (node, hashes) have the Jaccard similarity or more."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("p"), batch.column("q")):
+                a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both + 1e-9 >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    one, two = (sets.select(F.col("node").alias(n), F.col("hashes").alias(v)) for n, v in (("a", "p"), ("b", "q")))
+    return C.stored(pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long"), "similar")
+
+
 def cell_pairs(node: np.ndarray, root: np.ndarray, part: np.ndarray, size: np.ndarray, prints: np.ndarray, similarity: float, radius: int):
     """Pairs (a, b) of nodes of different roots that may be similar, of all pairs of one part or of all pairs across two."""
     across = part[0] != part[-1]
@@ -221,7 +237,7 @@ def cell_pairs(node: np.ndarray, root: np.ndarray, part: np.ndarray, size: np.nd
         for f in range(PRINTS):
             apart += np.bitwise_count(prints[k, f][:, None] ^ prints[None, :, f])
         low, high = np.minimum(size[k][:, None], size[None]), np.maximum(size[k][:, None], size[None])
-        good = ((apart <= radius)) & (low + 1e-9 >= similarity * high) & (root[k][:, None] != root[None]) & (node[k][:, None] < node[None])
+        good = ((apart <= radius) | (low < SMALL)) & (low + 1e-9 >= similarity * high) & (root[k][:, None] != root[None]) & (node[k][:, None] < node[None])
         if across:
             good &= part[k][:, None] != part[None]
         x, y = np.nonzero(good)
@@ -265,8 +281,8 @@ def candidates(shards: DataFrame, similarity: float, radius: int, most: int) ->
 def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = CELL_MOST) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last, then by hash of the text).
 
-    Texts are near-duplicates whose sets of word shingles have about the similarity or more: they share a band of least shingle hashes and
-    their 512 bits of SimHash are within `wide_radius`. First the members of
+    Texts are near-duplicates if their sets of word shingles (of 64-bit hashes) have the Jaccard similarity or more; every link is held against
+    the sets. Candidates share a band of least shingle hashes and their 512 bits of SimHash are within `wide_radius`. First the members of
     a shard are held against its least, then all pairs of a shard that are not joined yet, in cells of at most about 2 * `tree_most` nodes.
     Equal sets are one node. Texts without words are one group. All columns of docs stay.
     """
@@ -281,6 +297,13 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
                 node, size, prints, bands = sketch(texts[a:b], shingle)
                 yield pa.RecordBatch.from_pydict({"d": batch.column("d").slice(a, b - a), "x": batch.column("x").slice(a, b - a), "node": node.view(np.int64), "size": size.astype(np.int32)} | {f: prints[:, k].copy().view(np.int64) for k, f in enumerate(fields)} | {"bands": pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))})
 
+    def sets_of(batches):
+        for batch in batches:
+            texts = C.pylist(batch, "text")
+            for a, b in T.chunks(texts, 1 << 19):
+                h, cut = shingle_sets(texts[a:b], shingle)
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(a, b - a), "hashes": pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+
     keys = C.text_keys(docs).select("d", "x", "text")
     rows = keys.mapInArrow(run, "d long, x long, node long, size int, " + ", ".join(f"{f} long" for f in fields) + ", bands array<long>")
     rows = C.stored(rows, "sketches")
@@ -288,16 +311,19 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
     keyed = nodes.select("node", "size", *fields, F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     shards = C.stored(keyed.join(sizes, ["band", "key"]), "bands")
+    member = shards.select("node").distinct().join(nodes.select("node", "low.d", "low.x"), "node")
+    sets = C.stored(keys.join(member, ["d", "x"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(sets_of, "node long, hashes binary"), "sets")
+
     least = nodes.select(F.col("node").alias("least"), F.col("size").alias("size_"), *[F.col(f).alias(f"{f}_") for f in fields])
     apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_"))) for f in fields), F.lit(0))
-    near = (apart <= radius) & (F.least("size", "size_") + 1e-9 >= similarity * F.greatest("size", "size_"))
+    near = ((apart <= radius) | (F.least("size", "size_") < SMALL)) & (F.least("size", "size_") + 1e-9 >= similarity * F.greatest("size", "size_"))
     stars = shards.where(F.col("node") != F.col("least")).select("node", "size", "least", *fields).distinct().join(least, "least").where(near)
-    links = C.stored(stars.groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b"), "stars")
+    links = similar(stars.groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b"), sets, similarity)
 
     known = shards.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key")
     pairs = C.stored(candidates(known.join(open_, ["band", "key"]), similarity, radius, tree_most), "pairs")
-    roots = components(links.unionByName(pairs))
+    roots = components(links.unionByName(similar(pairs, sets, similarity)))
     named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.d", "low.x"), "kept")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("d"), F.xxhash64("text").alias("x"))

@@ -59,3 +59,15 @@ def test_pairs_of_a_large_shard_are_found_across_its_parts(spark):
         rows += [(d, " ".join(own)), (1000 + d, " ".join(grown(rnd, own, 40)))]
     assert survivors(rows) == list(range(20))
     assert got(spark, rows, tree_most=4) == list(range(20))
+
+
+def test_links_are_exact_near_the_threshold(spark):
+    rnd = random.Random(7)
+    rows = []
+    for d in range(200):
+        words = [f"w{d}x{i}" for i in range(300)]
+        rows += [(d, " ".join(words)), (1000 + d, " ".join(changed(rnd, words, 0.70 + d / 1000)))]
+    rows += [(3000, "a b c d e f g h"), (3001, "a b c d e f g h i"), (3002, " ".join(["r s t u v w x y z"] * 50)), (3003, "r s t u v w x y z r s t u v")]
+    want = survivors(rows)
+    assert 250 < len(want) < 400
+    assert got(spark, rows) == want
