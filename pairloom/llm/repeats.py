@@ -2,13 +2,14 @@
 
 Every window of `target` symbols has an anchor, the k-gram in it with the least hash, so equal windows have equal anchors at
 equal places. A document gives an item for each of its anchors: the windows with this anchor begin `hi` to `lo` symbols
-before it; together they make the item's context. Items with equal contexts share all their windows and are settled by counting.
-Items whose anchor has several contexts are left (mostly those at the ends of passages); these are settled on their contexts alone:
+before it; together they make the item's context. Equal contexts (by a 128-bit hash) are one from there on, with their number; windows of
+a context that occurs twice are repeated by that number. Contexts that occur once, at an anchor that has others, are left:
 
+* suffix-array dedup sorts their suffixes, by shards of anchors, by induced sorting. Before that, contexts are trimmed to what they
+  have in common with any other of their anchor, and the gram, which these share, is written in two symbols. The contexts of an anchor
+  with more than a task should hold are keyed anew by parts of their range, whose windows share more than the gram;
 * substring dedup extends windows level by level: of windows repeated at one length alone, those of twice that length
-  are counted, up to the target, until no candidates survive;
-* suffix-array dedup narrows the contexts by the same levels to those that share nearly a whole window, and sorts the suffixes
-  of these, by shards of anchors. An anchor with more contexts than a task should hold goes on by levels, which need no group in one place.
+  are counted, up to the target, until no candidates survive.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ BYTES, BYTE_GRAM = 400, 160
 WORDS, WORD_GRAM = 50, 16
 #: Places of one text whose windows are taken at a time.
 PIECE = 1 << 20
-#: A shard of suffixes has about so many bytes; an anchor with over SHARD_MOST contexts is not sorted in one shard.
-SHARD_BYTES, SHARD_MOST = 1 << 19, 512
-ITEM = "d long, x long, p long, h long, c long"
+#: A shard of contexts has about so many bytes; an anchor with over SHARD_MOST contexts is divided (results are the same at any value).
+SHARD_BYTES, SHARD_MOST = 1 << 21, 2048
+#: Symbols that write which gram it is, after the 256 of bytes: two digits in base DIGIT.
+DIGIT = 128
+ITEM = "d long, x long, p long, h long, c binary"
 SPAN = "d long, x long, start long, stop long"
 
 
@@ -46,14 +50,14 @@ def unpack(p):
 
 
 def anchors(sym: np.ndarray, first: np.ndarray, skip: np.ndarray, heads: np.ndarray, target: int, gram: int):
-    """Items of the pieces laid end to end in sym: piece, p, gram hash, context hash.
+    """Items of the pieces laid end to end in sym: piece, p, gram hash, and where the context lies in sym (from, to).
 
     first: bounds of the pieces in sym; skip: place of a piece's first symbol in its text; heads: (from, to) of the starts of
     windows, in the text, that belong to the piece. Each window belongs to one item.
     """
     n = len(sym)
     if n < target:
-        return [np.zeros(0, dtype=np.int64)] * 4
+        return [np.zeros(0, dtype=np.int64)] * 5
     sums = T.prefix(sym)
     j = np.arange(n - gram + 1)
     h = T.between(sums, j, j + gram)
@@ -66,13 +70,18 @@ def anchors(sym: np.ndarray, first: np.ndarray, skip: np.ndarray, heads: np.ndar
     window = np.flatnonzero(np.cumsum(edge)[: len(low)] > 0)
     low = low[window]
     if not len(low):
-        return [low] * 4
+        return [low] * 5
     new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
     at, begin, end = low[new], window[new], window[np.concatenate((new[1:], [len(low)])) - 1]
     piece = np.searchsorted(first, at, side="right") - 1
     lo, hi = at - end, at - begin
-    c = T.mix(T.between(T.prefix(T.mix(sym ^ np.uint64(0xA5A5A5A5))), begin, end + target) + ((lo << 10) | hi).astype(np.uint64))
-    return piece, pack(at - first[piece] + skip[piece], lo, hi), h[at], c
+    return piece, pack(at - first[piece] + skip[piece], lo, hi), h[at], begin, end + target
+
+
+def digests(line: bytes, a: np.ndarray, b: np.ndarray, seed: np.ndarray) -> list[bytes]:
+    """128-bit hashes of line[a:b], for many ranges."""
+    h = xxhash.xxh3_128_digest
+    return [h(line[i:j], k) for i, j, k in zip(a.tolist(), b.tolist(), seed.tolist())]
 
 
 def pieces(sizes: list[int], target: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -103,12 +112,14 @@ def items_of(docs: DataFrame, unit: str, target: int, gram: int) -> DataFrame:
                 cut = list(pieces(sizes, target))
                 if not cut:
                     continue
-                sym = np.concatenate([parts[i][s:e] for i, s, e, _, _ in cut]).astype(np.uint64) + np.uint64(1)
+                sym = np.concatenate([parts[i][s:e] for i, s, e, _, _ in cut])
+                line, size = sym.tobytes(), sym.itemsize
                 q = np.array(cut, dtype=np.int64)
                 first = np.concatenate(([0], np.cumsum(q[:, 2] - q[:, 1])))
-                piece, p, h, c = anchors(sym, first, q[:, 1], q[:, 3:5], target, gram)
+                piece, p, h, begin, end = anchors(sym.astype(np.uint64) + np.uint64(1), first, q[:, 1], q[:, 3:5], target, gram)
                 own = np.array(ids)[q[piece, 0]]
-                yield pa.RecordBatch.from_pydict({"d": d[own], "x": x[own], "p": p, "h": h.view(np.int64), "c": c.view(np.int64)})
+                c = digests(line, size * begin, size * end, p & ((1 << 20) - 1))
+                yield pa.RecordBatch.from_pydict({"d": d[own], "x": x[own], "p": p, "h": h.view(np.int64), "c": pa.array(c, pa.binary())})
 
     return docs.select("d", "x", "text").mapInArrow(run, ITEM)
 
@@ -124,7 +135,8 @@ def settle(items: DataFrame, rule: str, last: bool = False) -> tuple[DataFrame,
     groups = items.groupBy("h", "c").agg(F.count("*").alias("k"), F.min("d" if rule == "smaller" else tag).alias("m"))
     if not last:
         open_ = (F.count("*") > 1) & (F.min("k") == 1) if rule == "any" else F.min("m") < F.max("m")
-        several = groups.groupBy("h").agg(F.count("*").alias("n"), open_.alias("open")).where("open").drop("open")
+        groups = C.stored(groups, "contexts-counted")  # so that Spark may divide an anchor with many contexts in the join
+        several = C.stored(groups.groupBy("h").agg(F.count("*").alias("n"), open_.alias("open")).where("open").drop("open"), "anchors")
         groups = groups.join(several, "h", "left")
     groups = groups.where("k > 1" if last else "k > 1 OR n IS NOT NULL")
     met = C.stored(items.join(groups, ["h", "c"]), "met")
@@ -163,11 +175,10 @@ def contexts_of(docs: DataFrame, left: DataFrame, unit: str, target: int) -> Dat
 
 
 def lengths(gram: int, target: int) -> list[int]:
-    """The lengths of the levels above the gram: doubled each time, but closing at most three quarters of the gap to the target, so that
-    an item is cut into a few parts at a level and not into all its windows at once."""
+    """The lengths of the levels above the gram, each twice the one before, and the target."""
     out = [gram]
     while out[-1] < target:
-        out.append(min(2 * out[-1], target - (target - out[-1]) // 4))
+        out.append(min(2 * out[-1], target))
     return out[1:]
 
 
@@ -194,57 +205,120 @@ def extend(items: DataFrame, unit: str, target: int, gram: int, length: int) ->
             low, high, top = edge[k], edge[k + 1] - 1, (off + hi)[i]
             a, b = np.maximum(lo[i], low), np.minimum(hi[i], high)  # windows that begin b to a symbols before pos
             h = T.mix(T.between(T.prefix(sym), top - low, top - high + target) + low.astype(np.uint64))
-            c = T.mix(T.between(T.prefix(T.mix(sym ^ np.uint64(0xA5A5A5A5))), top - b, top - a + target) + ((a << 10) | b).astype(np.uint64))
-            ctx = [line[u:v] for u, v in zip((step * (top - b)).tolist(), (step * (top - a + target)).tolist())]
-            yield pa.RecordBatch.from_pydict({"d": d[i], "x": x[i], "p": pack(pos[i], a, b), "h": h.view(np.int64), "c": c.view(np.int64), "ctx": pa.array(ctx, pa.binary())})
+            u, v = step * (top - b), step * (top - a + target)
+            c, ctx = digests(line, u, v, (a << 10) | b), [line[m:n] for m, n in zip(u.tolist(), v.tolist())]
+            yield pa.RecordBatch.from_pydict({"d": d[i], "x": x[i], "p": pack(pos[i], a, b), "h": h.view(np.int64), "c": pa.array(c, pa.binary()), "ctx": pa.array(ctx, pa.binary())})
 
     return items.select("d", "x", "p", "ctx").mapInArrow(run, ITEM + ", ctx binary")
 
 
-def by_levels(items: DataFrame, rule: str, unit: str, target: int, gram: int, steps: list[int]) -> tuple[list[DataFrame], DataFrame | None]:
-    """Spans of the windows that are repeated, extending by levels until no candidates survive; and the candidates after the last step."""
+def by_levels(items: DataFrame, target: int, gram: int) -> list[DataFrame]:
+    """Starts of the windows (words) that occur in a smaller document, extending by levels until no candidates survive."""
     found = []
-    for length in steps:
+    for length in lengths(gram, target):
         if items.isEmpty():
-            return found, None
-        spans, items = settle(C.stored(extend(items, unit, target, gram, length), f"level-{length}"), rule, last=length == target)
+            break
+        spans, items = settle(C.stored(extend(items, "words", target, gram, length), f"level-{length}"), "smaller", last=length == target)
         found.append(spans)
-    return found, items
+    return found
+
 
+def by_suffixes(items: DataFrame, target: int, gram: int, shard_bytes: int, shard_most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Starts of the windows that whole contexts share, and spans of the windows (bytes) that sorting suffixes shows as repeated.
 
-def by_suffixes(items: DataFrame, target: int, shard_bytes: int) -> DataFrame:
+    Anchors with over `shard_most` contexts are divided: windows of a part of the range share a core that is longer than the gram, so that core
+    is their anchor from there on; its length closes most of the gap to the target each time, until no anchor is too large.
+    """
+    whole, sorts, length = [], [], gram
+    while True:
+        sorts.append(sort_shards(items.where(F.col("n") <= shard_most), target, gram, shard_bytes))
+        items = items.where(F.col("n") > shard_most)
+        if length == target or items.isEmpty():
+            return whole, reduce(DataFrame.unionByName, sorts)
+        length = min(2 * length, target - (target - length) // 4)
+        spans, items = settle(C.stored(extend(items, "bytes", target, gram, length), f"core-{length}"), "any", last=length == target)
+        whole.append(spans)
+        if items is None:
+            return whole, reduce(DataFrame.unionByName, sorts)
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common at their beginning."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def shared_heads(parts: list[bytes]) -> list[int]:
+    """For each string, the most bytes at its beginning that another one has too: its neighbours in order have them."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        n = common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def trimmed(rows: list[tuple], target: int, gram: int) -> list[tuple]:
+    """Stretches (d, x, start of the gram, bytes before it, number of the gram, bytes after it, lo, hi) of the contexts (h, d, x, p, ctx) of a shard.
+
+    Of a context only those bytes stay, around the gram, that another context of its anchor has in the same place; a context that has less
+    than a window in common with the others has no repeated window.
+    """
+    groups: dict[bytes, list] = {}
+    for _, d, x, p, ctx in rows:
+        pos, lo, hi = unpack(p)
+        groups.setdefault(ctx[hi : hi + gram], []).append((d, x, pos, lo, hi, ctx))
+    out = []
+    for k, own in enumerate(groups.values()):
+        if len(own) == 1:
+            continue
+        left = shared_heads([c[:hi][::-1] for *_, hi, c in own])
+        right = shared_heads([c[hi + gram :] for *_, hi, c in own])
+        for (d, x, pos, lo, hi, c), a, b in zip(own, left, right):
+            low, high = max(lo, target - gram - b), min(hi, a)
+            if low <= high:
+                out.append((d, x, pos, c[hi - high : hi], k, c[hi + gram : hi + target - low], low, high))
+    return out
+
+
+def sort_shards(items: DataFrame, target: int, gram: int, shard_bytes: int) -> DataFrame:
     """Spans of repeated windows in the contexts (bytes), sorting the suffixes of each shard of anchors."""
     total = items.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = items.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "d", "x", (F.shiftright("p", 20) - F.col("p").bitwiseAND(1023)).alias("a"), "ctx").repartition(max(1, min(C.partitions(items.sparkSession), shards)), "shard").sortWithinPartitions("shard", "d", "x", "a")
+    dealt = items.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "d", "x", "p", "ctx")
+    dealt = dealt.repartition(max(1, min(C.partitions(items.sparkSession), shards)), "shard").sortWithinPartitions("shard", "h", "d", "x", "p")
 
     def solve(rows):
-        """Contexts of one text that overlap are one stretch, that no place meets itself."""
-        flat, places, at = [], [], None
-        for d, x, a, ctx in rows:
-            if at == (d, x) and a <= end:
-                if a + len(ctx) > end:
-                    flat[-1] += ctx[end - a :]
-                    end = a + len(ctx)
-                continue
-            flat.append(bytearray(ctx))
-            places.append((d, x, a))
-            at, end = (d, x), a + len(ctx)
-        size = np.array([len(f) for f in flat])
-        t = np.frombuffer(b"\0".join(bytes(f) for f in flat), dtype=np.uint8).astype(np.int64) + 1
-        first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+        parts = trimmed(rows, target, gram)
+        if not parts:
+            return
+        size = np.array([len(a) + 2 + len(b) for _, _, _, a, _, b, _, _ in parts])
+        first = np.cumsum(size + 1) - size - 1
+        t = np.frombuffer(b"\0".join(a + b"\0\0" + b for _, _, _, a, _, b, _, _ in parts), dtype=np.uint8).astype(np.int64) + 1
+        at, k = first + np.array([len(p[3]) for p in parts]), np.array([p[4] for p in parts])
+        digits = 1
+        while DIGIT**digits <= k.max():
+            digits += 1
+        if digits > 2:  # more grams than two digits tell apart
+            t = np.insert(t, np.repeat(at, digits - 2), 0)
+            at = at + (digits - 2) * np.arange(len(at))
+            first = first + (digits - 2) * np.arange(len(at))
+            size = size + digits - 2
+        digits = max(2, digits)
+        for i in range(digits):
+            t[at + i] = 257 + k // DIGIT**i % DIGIT
         t[(first + size)[:-1]] = 0  # ends of stretches
-        hit = repeated_starts(t, target)
-        for (d, x, a), f, n in zip(places, first.tolist(), size.tolist()):
-            k = np.flatnonzero(hit[f : max(f, f + n - target + 1)])
-            for s, e in zip(*T.runs(k, k + target)):
-                yield d, x, a + int(s), a + int(e)
+        hit = repeated_starts(t, target - gram + digits)
+        for (d, x, pos, a, _, _, low, high), f in zip(parts, first.tolist()):
+            n = np.flatnonzero(hit[f : f + high - low + 1]) + pos - len(a)
+            for s, e in zip(*T.runs(n, n + target)):
+                yield d, x, int(s), int(e)
 
     def run(batches):
         shard, rows = None, []
         for batch in batches:
             out = []
-            for s, *row in zip(*(batch.column(k).to_pylist() for k in ("shard", "d", "x", "a", "ctx"))):
+            for s, *row in zip(*(batch.column(k).to_pylist() for k in ("shard", "h", "d", "x", "p", "ctx"))):
                 if s != shard:
                     out += solve(rows) if rows else []
                     shard, rows = s, []
@@ -271,18 +345,10 @@ def spans_of(docs: DataFrame, method: str, target: int | None = None, gram: int
         raise ValueError("gram < target < 1024 is needed")
     C.arrow_rows(docs.sparkSession)
     spans, left = settle(C.stored(items_of(docs, unit, target, gram), "items"), rule)
-    found, context = [spans], C.stored(contexts_of(docs, left, unit, target), "contexts")
-    steps, sorted_ = lengths(gram, target), []
-    if method == "suffix":
-        first = [n for n in steps if n <= target - target // 16]
-        more, context = by_levels(context, rule, unit, target, gram, first)
-        found += more
-        if context is not None:
-            sorted_ = [by_suffixes(context.where(F.col("n") <= shard_most), target, shard_bytes)]
-            context, steps = context.where(F.col("n") > shard_most), steps[len(first) :]
-    if context is not None:
-        found += by_levels(context, rule, unit, target, gram, steps)[0]
-    return reduce(DataFrame.unionByName, [s.select("d", "x", "start", (F.col("stop") + target).alias("stop")) for s in found] + sorted_)
+    context = C.stored(contexts_of(docs, left, unit, target), "contexts")
+    more, sorted_ = by_suffixes(context, target, gram, shard_bytes, shard_most) if method == "suffix" else (by_levels(context, target, gram), None)
+    starts = [s.select("d", "x", "start", (F.col("stop") + target).alias("stop")) for s in [spans, *more]]
+    return reduce(DataFrame.unionByName, starts + ([sorted_] if sorted_ is not None else []))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -21,12 +21,16 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _sort(t, int(t.max()) + 1)[1:]
 
 
+def _narrow(t: np.ndarray, sigma: int) -> np.ndarray:
+    """Symbols in two bytes where they fit: sorting these is linear (radix)."""
+    return t.astype(np.uint16) if sigma <= 1 << 16 else t
+
+
 def _classes(t: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the next one (the last, the sentinel, is)."""
-    step = np.sign(t[:-1] - t[1:])
-    at = np.where(step != 0, np.arange(len(step)), len(step))
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return np.concatenate((step[np.minimum(following, len(step) - 1)] < 0, [True]))
+    differ = np.flatnonzero(t[:-1] != t[1:])
+    less = t[differ] < t[differ + 1]
+    return np.concatenate((np.repeat(less, np.diff(np.concatenate(([-1], differ)))), np.ones(len(t) - 1 - differ[-1], dtype=bool)))
 
 
 def _sort(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -65,7 +69,7 @@ def _induce(t: np.ndarray, small: np.ndarray, order: np.ndarray, sigma: int) ->
     """All suffixes, from LMS suffixes in the given order."""
     if sigma > WIDE:
         return _induce_wide(t, small, order, sigma)
-    n, size = len(t), np.bincount(t, minlength=sigma)
+    n, size, t = len(t), np.bincount(t, minlength=sigma), _narrow(t, sigma)
     tail = np.cumsum(size)
     head = tail - size
     sa = np.full(n, -1, dtype=np.int64)
@@ -73,12 +77,13 @@ def _induce(t: np.ndarray, small: np.ndarray, order: np.ndarray, sigma: int) ->
     cut = np.searchsorted(t[seed], np.arange(sigma + 1))
 
     def place(before: np.ndarray, at: np.ndarray, way: int) -> None:
+        """Puts places at the free ends of their symbols' buckets, in order."""
         if not len(before):
             return
         c = t[before]
-        if way > 0 and len(before) == 1:
-            sa[at[c[0]]] = before[0]
-            at[c[0]] += 1
+        if len(before) == 1:
+            sa[at[c[0]] - (way < 0)] = before[0]
+            at[c[0]] += way
             return
         o = np.argsort(c, kind="stable")
         c, before, k = c[o], before[o], np.bincount(c, minlength=sigma)
@@ -109,28 +114,30 @@ def _induce(t: np.ndarray, small: np.ndarray, order: np.ndarray, sigma: int) ->
 
 
 def _induce_wide(t: np.ndarray, small: np.ndarray, order: np.ndarray, sigma: int) -> np.ndarray:
-    size = np.bincount(t, minlength=sigma)
-    ends = np.cumsum(size)
-    low, high, text, kind = (ends - size).tolist(), ends.tolist(), t.tolist(), small.tolist()
-    n = len(text)
-    sa = [-1] * n
-    for p in reversed(order.tolist()):
-        c = text[p]
-        high[c] -= 1
-        sa[high[c]] = p
-    for k in range(n):
-        p = sa[k] - 1
-        if p >= 0 and not kind[p]:
-            c = text[p]
-            sa[low[c]] = p
-            low[c] += 1
-    high = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        p = sa[k] - 1
-        if p >= 0 and kind[p]:
-            c = text[p]
-            high[c] -= 1
-            sa[high[c]] = p
+    """The same entry by entry, for alphabets with few entries a bucket. Free entries are 0, whose place before is that of the sentinel, which is never placed."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=sigma))
+    starts = np.concatenate(([0], ends[:-1]))
+    sa = np.zeros(n, dtype=np.int64)
+    k = np.bincount(t[order], minlength=sigma)
+    seed = order[np.argsort(t[order], kind="stable")]
+    sa[np.arange(len(seed)) + np.repeat(ends - np.cumsum(k), k)] = seed  # at the ends of their buckets
+    sa, low = sa.tolist(), starts.tolist()
+    larger = np.where(small, -1, t).tolist()
+    for p in sa:  # the list grows ahead of the reader
+        c = larger[p - 1]
+        if c >= 0:
+            at = low[c]
+            sa[at] = p - 1
+            low[c] = at + 1
+    smaller = np.where(small, t, -1)
+    smaller[-1] = -1
+    smaller, high = smaller.tolist(), ends.tolist()
+    for p in reversed(sa):
+        c = smaller[p - 1]
+        if c >= 0:
+            at = high[c] = high[c] - 1
+            sa[at] = p - 1
     sa[0] = n - 1
     return np.array(sa, dtype=np.int64)
 
@@ -150,16 +157,17 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     inner = np.flatnonzero((where > 0) & (before > 0))
     own[inner] = t[inner - 1] != t[before[inner] - 1]
     lcp = np.zeros(n, dtype=np.int64)
-    left, step = np.flatnonzero(own & (before >= 0)), 32
-    line, ahead = np.concatenate((np.asarray(t, dtype=np.int64), np.full(step, -1))), np.arange(step)
+    left, step = np.flatnonzero(own & (before >= 0)), 16
+    line = _narrow(np.concatenate((np.asarray(t, dtype=np.int64), np.zeros(step, dtype=np.int64))), int(t.max()) + 1)
+    line = np.lib.stride_tricks.sliding_window_view(line, step)
     while len(left):
         new = []
         for k in range(0, len(left), 1 << 15):
             part = left[k : k + (1 << 15)]
             a, b = part + lcp[part], before[part] + lcp[part]
-            differ = line[a[:, None] + ahead] != line[b[:, None] + ahead]
-            differ |= (np.maximum(a, b)[:, None] + ahead) >= n
+            differ = line[a] != line[b]
             first = np.where(differ.any(1), differ.argmax(1), step)
+            first = np.minimum(first, n - np.maximum(a, b))
             lcp[part] += first
             new.append(part[first == step])
         left = np.concatenate(new)

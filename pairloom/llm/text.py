@@ -38,6 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Random numbers for the bytes in the first PLACES places of a word; those of later places are made as they are needed.
+PLACES = 64
+_TABLE = mix(U(BASE) ^ np.arange(PLACES << 8, dtype=U))
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Sums S with S[j] - S[i] = the hash of values[i:j] times BASE**i."""
     out = np.zeros(len(values) + 1, dtype=U)
@@ -62,6 +67,21 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[start:end] for ascending ranges that don't overlap: sums of a random number for each place in the word and byte
+    (tabulation hashing, which unlike polynomials modulo 2**64 has no input that it fails on)."""
+    size = end - start
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    byte = buf[np.repeat(start, size) + at]
+    value = _TABLE[(np.minimum(at, PLACES - 1) << 8) | byte]
+    far = np.flatnonzero(at >= PLACES)
+    value[far] = mix(U(BASE) ^ ((at[far] << 8) | byte[far]).astype(U))
+    sums = np.zeros(len(value) + 1, dtype=U)
+    np.cumsum(value, out=sums[1:], dtype=U)
+    stop = np.cumsum(size)
+    return mix(sums[stop] - sums[stop - size] + size.astype(U))
+
+
 class Words:
     """The words of some texts: start, end (byte offsets in buf), doc (index of the text), hash; first[i]:first[i+1] are text i's."""
 
@@ -81,7 +101,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = between(prefix(self.buf.astype(U) + U(1)), self.start, self.end)
+            self._hash = word_hashes(self.buf, self.start, self.end)
         return self._hash
 
     def __len__(self) -> int:

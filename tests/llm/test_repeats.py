@@ -59,7 +59,7 @@ def corpus(seed, n=50):
     return rows
 
 
-@pytest.mark.parametrize("most", [2, 1000])
+@pytest.mark.parametrize("most", [1, 2, 1000])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bytes_equal_brute_force(spark, seed, most):
     rows = corpus(seed)
@@ -85,7 +85,7 @@ def test_pieces_of_long_texts():
         q = np.array(list(R.pieces([len(t)], 40)))
         R.PIECE = old
         first = np.concatenate(([0], np.cumsum(q[:, 2] - q[:, 1])))
-        _, p, h, _ = R.anchors(np.concatenate([t[s:e] for _, s, e, _, _ in q.tolist()]), first, q[:, 1], q[:, 3:5], 40, 8)
+        _, p, h, _, _ = R.anchors(np.concatenate([t[s:e] for _, s, e, _, _ in q.tolist()]), first, q[:, 1], q[:, 3:5], 40, 8)
         pos, lo, hi = R.unpack(p)
         return sorted((int(a) - w, int(a), int(g)) for a, l, u, g in zip(pos, lo, hi, h) for w in range(l, u + 1))
 
@@ -95,3 +95,57 @@ def test_pieces_of_long_texts():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert R.dedup_bytes(df).count() == 0 and R.dedup_words(df).count() == 0
+
+
+def plain_bytes(rows, target=400):
+    """n_removed by row, with windows cut at the contract's size."""
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(hashlib.md5(t[i : i + target]).digest() for t in texts for i in range(len(t) - target + 1))
+    out = []
+    for (d, _), t in zip(rows, texts):
+        gone = np.zeros(len(t) + 1, dtype=np.int64)
+        for i in range(len(t) - target + 1):
+            if seen[hashlib.md5(t[i : i + target]).digest()] > 1:
+                gone[i] += 1
+                gone[i + target] -= 1
+        out.append((d, int((np.cumsum(gone)[:-1] > 0).sum())))
+    return sorted(out)
+
+
+def test_default_sizes_with_near_copies(spark):
+    """Near copies, whose anchors have many contexts, and passages shorter and longer than a window between other text."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    base, passages = [word() for _ in range(200)], [" ".join(word() for _ in range(n)) for n in (60, 75, 90)]
+    rows = [(i, " ".join(w if rnd.random() > 0.03 else word() for w in base)) for i in range(60)]
+    rows += [(100 + i, " ".join([*(word() for _ in range(rnd.randrange(90))), rnd.choice(passages), *(word() for _ in range(rnd.randrange(90)))])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = plain_bytes(rows)
+    assert sum(n > 0 for _, n in want) > 40
+    for most in (10, R.SHARD_MOST):
+        got = R.dedup_bytes(df, shard_most=most).select("doc_id", "n_removed").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_single_contexts_come_from_sorted_suffixes(spark, monkeypatch):
+    """Without the sorted suffixes only contexts that occur twice as a whole are found."""
+    rows = corpus(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = R.C.text_keys(df)
+    monkeypatch.setattr(R, "by_levels", None)
+    spans = {tuple(r) for r in R.spans_of(keyed, "suffix", target=40, gram=8).collect()}
+    R.C.arrow_rows(spark)
+    whole, left = R.settle(R.C.stored(R.items_of(keyed, "bytes", 40, 8), "items"), "any")
+    equal = {(r["d"], r["x"], r["start"], r["stop"] + 40) for r in whole.collect()}
+    own, sorted_ = R.by_suffixes(R.C.stored(R.contexts_of(keyed, left, "bytes", 40), "contexts"), 40, 8, 1 << 20, 1000)
+    assert not own and spans == equal | {tuple(r) for r in sorted_.collect()} and not spans <= equal
+
+
+def test_words_of_one_polynomial_hash():
+    """Words on which polynomials modulo 2**64 fail, and words that differ late."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = [a, b, a[:-1] + "c", "x" * 64 + "yz", "x" * 64 + "zy", "yz", "zy"]
+    assert len(set(R.T.Words([" ".join(words).encode()]).hash.tolist())) == len(words)
