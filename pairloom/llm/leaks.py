@@ -1,7 +1,9 @@
 """Benchmark decontamination: CGK embeddings and bit-sampling LSH over item-sized windows, then exact edit distances.
 
-The random walk of Chakraborty, Goldenberg and Koucky (2016) copies symbols of a string and moves on or not by a random function of step
-and symbol; strings within edit distance k get embeddings within Hamming distance O(k**2), so positions sampled from them agree often.
+The random walk of Chakraborty, Goldenberg and Koucky (2016) copies symbols (here words) of a string and moves on or not by a random function of
+step and symbol; strings that differ by few edits get embeddings that agree at most steps, until the walks part. A key is what a walk has at
+some sampled steps. Walks start at every word of a text and at every word of an item: after an edit the walks meet again at a later start, so
+short walks from all starts reach what one long walk, which parts at the first of many edits, does not.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from pairloom.llm import text as T
 
 #: A document holds an item if a stretch of its words is within this part of the item's words in edits.
 RATE = 0.2
-#: Symbols sampled from an embedding for a key; keys for each window. At 70 % of positions apart, two strings share a key with probability 0.97.
-SAMPLED, REPEATS = 2, 40
+#: Keys of each start, every one by a walk of its own: (least words of an item, steps of a walk, sampled steps). A walk ends within the item.
+REPEATS, CLASSES = 6, ((10, 8, 4), (3, 3, 2), (2, 2, 2), (1, 1, 1))
 #: Items that are searched for at a time; all workers hold them.
 BLOCK = 20_000
-SEED_WORDS = 3
+#: Matches of keys that are looked at together.
+SLICE = 1 << 18
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -31,8 +34,8 @@ def normal(text: bytes) -> bytes:
 
 
 def edits(words: int) -> int:
-    """The most edits that count as a leak of an item: then some three words in turn are whole."""
-    return max(0, min(int(RATE * words), (words - SEED_WORDS) // (SEED_WORDS + 1)))
+    """The most edits that count as a leak of an item."""
+    return int(RATE * words)
 
 
 def closest(item: list[int], line: list[int]) -> tuple[int, int]:
@@ -60,87 +63,108 @@ def closest(item: list[int], line: list[int]) -> tuple[int, int]:
     return best, at
 
 
-def keys(windows: np.ndarray, size: np.ndarray, seed: int, repeats: int = REPEATS, sampled: int = SAMPLED) -> np.ndarray:
-    """LSH keys (one row a window): hashes of the symbols at sampled steps of the walk over each window (padded with 0 to one width).
+def embedded(line: np.ndarray, steps: int, sampled: int, seed: int, repeat: int) -> np.ndarray:
+    """The LSH key of each place of the line (hashes of words): a hash of the words that the walk from there has at the sampled steps.
 
-    size: the number of words of the item whose windows these are; it sets the steps (3 for each word) and the sampled ones.
+    A walk moves on at a step or stays, by a random bit for the step and the word's last byte. Past the end of the line it reads zeros.
     """
-    n, wide = windows.shape
-    rng = np.random.default_rng(seed)
-    salt = rng.integers(1, 1 << 63, (repeats, -(-3 * wide // 64) + 1), dtype=np.uint64)
-    share = np.sort(rng.random((repeats, sampled)), axis=1)
-    lane = np.arange(n)[:, None]
-    padded = np.concatenate((windows, np.zeros((n, 1), dtype=np.uint64)), axis=1)
-    at = np.zeros((n, repeats), dtype=np.int64)
-    step = (share[None] * 3 * size[:, None, None]).astype(np.int64)
-    out = np.zeros((n, repeats), dtype=np.uint64)
-    for j in range(int(step.max()) + 1 if n else 0):
-        sym = padded[lane, at]
-        for s in range(sampled):
-            hit = step[:, :, s] == j
-            if hit.any():
-                out[hit] = T.mix(out[hit] * np.uint64(3) + sym[hit] + np.uint64(j))
-        bit = (T.mix(sym + salt[None, :, j // 64]) >> np.uint64(j % 64)) & np.uint64(1)
-        at = np.minimum(at + bit.astype(np.int64), wide)
-    return out
+    rng = np.random.default_rng([seed, steps, repeat])
+    bits = rng.integers(0, 2, (steps, 256), dtype=np.uint8)
+    # the first step sees the start; of the others the sample is random
+    at = np.sort(np.concatenate(([0], 1 + rng.permutation(steps - 1)[: sampled - 1])))
+    padded = np.concatenate((line, np.zeros(steps, dtype=np.uint64)))
+    low = (padded & np.uint64(255)).astype(np.uint8)
+    here, out = np.arange(len(line)), np.full(len(line), steps * 64 + repeat, dtype=np.uint64)
+    for j in range(int(at[-1]) + 1):
+        if j in at:
+            out *= np.uint64(T.BASE)
+            out += padded[here]
+        here += bits[j][low[here]]
+    return T.mix(out)
+
+
+class Filter:
+    """Which of many 64-bit keys may be among the given ones: all that are, and few others."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(26, max(10, int(16 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, dtype=bool)
+        self.some[(keys >> self.shift).astype(np.int64)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.some[(keys >> self.shift).astype(np.int64)]
 
 
 class Items:
-    """The items of a block and what is looked up: seeds (hashes of three words) to items and places, and the items' keys."""
+    """The items of a block: their words, and for each class and repeat the keys of all their starts, in order, with item and place."""
 
     def __init__(self, rows: list[tuple[int, bytes]], seed: int):
         w = T.Words([normal(t) for _, t in rows])
         words = [w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:])]
-        own = [k for k, x in enumerate(words) if len(x) >= SEED_WORDS]
+        own = [k for k, x in enumerate(words) if len(x)]
         self.ids, self.words, self.seed = [rows[k][0] for k in own], [words[k] for k in own], seed
         self.size = np.array([len(x) for x in self.words], dtype=np.int64)
         self.most = np.array([edits(n) for n in self.size.tolist()], dtype=np.int64)
-        self.wide = int(self.size.max()) if len(own) else 1
-        at = [(int(h), k, i) for k, x in enumerate(self.words) for i, h in enumerate(seeds(x))]
-        at.sort()
-        self.hash = np.array([h for h, _, _ in at], dtype=np.uint64)
-        self.item = np.array([k for _, k, _ in at], dtype=np.int64)
-        self.place = np.array([i for _, _, i in at], dtype=np.int64)
-        flat = np.zeros((len(own), self.wide), dtype=np.uint64)
-        for k, x in enumerate(self.words):
-            flat[k, : len(x)] = x
-        self.keys = keys(flat, self.size, seed)
-
-
-def seeds(h: np.ndarray) -> np.ndarray:
-    j = np.arange(max(0, len(h) - SEED_WORDS + 1))
-    return T.between(T.prefix(h), j, j + SEED_WORDS) if len(j) else h[:0]
+        line = np.concatenate(self.words) if own else np.zeros(0, dtype=np.uint64)
+        item = np.repeat(np.arange(len(own)), self.size)
+        place = np.arange(len(line)) - (np.cumsum(self.size) - self.size)[item] if own else item
+        least = np.array([next(c[0] for c in CLASSES if c[0] <= n) for n in self.size.tolist()], dtype=np.int64)
+        self.tables = []
+        for few, steps, sampled in CLASSES:
+            at = np.flatnonzero((least[item] == few) & (self.size[item] - place >= steps)) if own else item
+            for r in range(REPEATS if len(at) else 0):
+                k = embedded(line, steps, sampled, seed, r)[at]
+                o = np.argsort(k, kind="stable")
+                self.tables.append((steps, sampled, r, Filter(k), k[o], item[at][o], place[at][o]))
+        self.has = Filter(T.mix(line ^ T.mix(item.astype(np.uint64))))
+
+
+def candidates(line: np.ndarray, items: Items):
+    """(place, item) arrays, sorted and distinct, of starts of an item in the line as its matching keys have them; in slices, so one can come again."""
+    for steps, sampled, r, some, keys, item, place in items.tables:
+        k = embedded(line, steps, sampled, items.seed, r)
+        at = np.flatnonzero(some(k))
+        a, b = np.searchsorted(keys, k[at], side="left"), np.searchsorted(keys, k[at], side="right")
+        at, a, many = at[b > a], a[b > a], (b - a)[b > a]
+        total = np.cumsum(many)
+        cut = [0, *(np.flatnonzero(np.diff(total // SLICE)) + 1).tolist(), len(at)]
+        for i, j in zip(cut, cut[1:]):
+            if i < j:
+                m = many[i:j]
+                e = np.repeat(a[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield np.repeat(at[i:j], m) - place[e], item[e], np.repeat(at[i:j], m)
 
 
 def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
-    """(text, item, edit distance, words from where the stretch ends) of each leak of an item in a text."""
+    """(text, item, edit distance, words from where the stretch ends) of each leak of an item in a text: the least distance, the first such end."""
     w = T.Words([normal(t) for t in texts])
-    if len(w) < SEED_WORDS or not len(items.hash):
+    if not len(w) or not len(items.size):
         return []
-    j = np.flatnonzero(w.doc[SEED_WORDS - 1 :] == w.doc[: len(w) - SEED_WORDS + 1])
-    h = T.between(T.prefix(w.hash), j, j + SEED_WORDS)
-    a, b = np.searchsorted(items.hash, h, side="left"), np.searchsorted(items.hash, h, side="right")
-    hit = np.flatnonzero(b > a)
-    if not len(hit):
+    line, found, cells = w.hash, {}, []
+    for start, item, at in candidates(line, items):
+        # starts of an item that are near each other are looked at as one stretch
+        wide = items.size[item] // 4 + 1
+        cells.append(np.unique(np.stack((w.doc[at], item, (start - w.first[w.doc[at]]) // wide)), axis=1))
+    if not cells:
         return []
-    k = np.repeat(a[hit], (b - a)[hit]) + np.arange((b - a)[hit].sum()) - np.repeat(np.cumsum((b - a)[hit]) - (b - a)[hit], (b - a)[hit])
-    pos = np.repeat(j[hit], (b - a)[hit])
-    doc, item = w.doc[pos], items.item[k]
-    start = np.maximum(pos - items.place[k], w.first[doc])
-    cand = np.unique(np.stack((doc, item, start)), axis=1)
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    for c in range(0, cand.shape[1], 256):
-        doc, item, start = cand[:, c : c + 256]
-        size = items.size[item]
-        col = start[:, None] + np.arange(int(size.max()))
-        inside = (np.arange(int(size.max())) < size[:, None]) & (col < w.first[doc + 1][:, None])
-        windows = np.zeros((len(doc), items.wide), dtype=np.uint64)
-        windows[:, : col.shape[1]] = np.where(inside, w.hash[np.minimum(col, len(w) - 1)], np.uint64(0))
-        for i in np.flatnonzero((keys(windows, size, items.seed) == items.keys[item]).any(1)).tolist():
-            d, k, s, most = int(doc[i]), int(item[i]), int(start[i]), int(items.most[item[i]])
-            lo, hi = max(int(w.first[d]), s - most), min(int(w.first[d + 1]), s + int(size[i]) + most)
-            best, at = closest(items.words[k].tolist(), w.hash[lo:hi].tolist())
-            if best <= most:
+    cells = np.unique(np.concatenate(cells, axis=1), axis=1)
+    for c in range(0, cells.shape[1], 4096):
+        doc, item, cell = cells[:, c : c + 4096]
+        size, most = items.size[item], items.most[item]
+        wide = size // 4 + 1
+        low = np.maximum(w.first[doc], w.first[doc] + cell * wide - most)
+        high = np.minimum(w.first[doc + 1], w.first[doc] + (cell + 1) * wide + size + most)
+        # within the distance all words but so many of the item are in the stretch
+        ahead = np.arange(int((high - low).max()))
+        col = np.minimum(low[:, None] + ahead, len(line) - 1)
+        there = items.has(T.mix(line[col] ^ T.mix(item.astype(np.uint64))[:, None])) & (ahead < (high - low)[:, None])
+        for i in np.flatnonzero(there.sum(1) >= size - most).tolist():
+            d, k, lo = int(doc[i]), int(item[i]), int(low[i])
+            if found.get((d, k), (1, 0))[0] == 0:
+                continue
+            best, at = closest(items.words[k].tolist(), line[lo : int(high[i])].tolist())
+            if best <= most[i]:
                 found[d, k] = min(found.get((d, k), (1 << 60, 0)), (best, lo + at - int(w.first[d])))
     return [(d, k, *v) for (d, k), v in found.items()]
 
@@ -148,10 +172,11 @@ def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """(doc_id, item_id, distance, item_words, stop): a row for each document row and item that it holds, whole texts searched.
 
-    Words are compared in lower case without punctuation. Windows start where three words in turn equal some of the item's (within RATE there
-    are such, so no leak is lost), have the item's size, and are candidates if they share an LSH key with it; the edit distance to the best
-    stretch around the window decides. Items are searched for in blocks of a bounded number. Null texts hold nothing; items of fewer than
-    three words are not searched for. An empty table or benchmark gives no rows. Repeated rows give repeated rows.
+    Words are compared in lower case without punctuation. Windows of the item's size that share an LSH key with it, from any start, are candidates;
+    the edit distance to the best stretch around the window decides: at most RATE of the item's words, so items of one to four words are found
+    whole only. Of stretches with equal distances the first counts. Items are searched for in blocks of a bounded number. Null texts
+    hold nothing, items without words are not searched for. An empty table or benchmark gives no rows. Repeated rows give repeated rows;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     C.arrow_rows(spark)
@@ -188,7 +213,7 @@ def item_blocks(benchmark: DataFrame, block: int, seed: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
+    """The rows of docs that hold no item, with all their columns, whatever their names. Repeated rows stay as often as they are; null texts stay."""
     C.arrow_rows(docs.sparkSession)
     out = docs
     for items in item_blocks(benchmark, block, seed):
