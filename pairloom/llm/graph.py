@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = tuple(mark)
         both = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that Spark may divide a node with many links in the join
+        least = C.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         large = C.stored(large, "large-star")
         down = large.groupBy("b").agg(F.min("a").alias("m"))

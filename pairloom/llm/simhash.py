@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,8 +18,9 @@ from pairloom.llm.graph import components
 SHINGLE, RADIUS = 3, 2
 #: Fixed value of the fingerprint: the seed of XXH64.
 SEED = 42
-#: A tree holds at most so many fingerprints; larger shards are linked over common neighbours (exact, any size).
-TREE_MOST = 256
+#: A tree holds at most so many fingerprints; larger shards are divided by more of their bits (results are the same at any value). Shards that agree
+#: in all but FREE_BITS bits are not divided: they hold 256 fingerprints at most.
+TREE_MOST, FREE_BITS = 256, 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -45,14 +47,14 @@ class BKTree:
         self.value: list[int] = []
         self.edges: list[dict[int, int]] = []
 
-    def near(self, x: int, radius: int) -> list[int]:
-        """Places of all fingerprints within the radius; only edges whose key the triangle inequality allows are followed."""
+    def near(self, x: int, radius: int) -> list[tuple[int, int]]:
+        """(distance, place) of all fingerprints within the radius; only edges whose key the triangle inequality allows are followed."""
         found, todo = [], [0] if self.value else []
         while todo:
             k = todo.pop()
             d = (self.value[k] ^ x).bit_count()
             if d <= radius:
-                found.append(k)
+                found.append((d, k))
             todo += [child for key, child in self.edges[k].items() if d - radius <= key <= d + radius]
         return found
 
@@ -68,30 +70,42 @@ class BKTree:
         return new
 
 
-def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning star for each component of the values (distinct) under distances up to the radius."""
-    tree, up = BKTree(), []
+class Classes:
+    """Classes of places 0, 1, ... that are joined (union-find)."""
+
+    def __init__(self):
+        self.up: list[int] = []
 
-    def root(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
         return k
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart before."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
+def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """A spanning star for each component of the values (distinct) under distances up to the radius."""
+    tree, parts = BKTree(), Classes()
     for x in values:
         near = tree.near(x, radius)
-        new = tree.add(x)
-        up.append(new)
-        for k in near:
-            up[root(new)] = root(k)
-    return [(x, values[r]) for k, x in enumerate(values) if (r := root(k)) != k]
+        parts.up.append(tree.add(x))
+        for _, k in near:
+            parts.join(len(parts.up) - 1, k)
+    return [(x, values[r]) for k, x in enumerate(values) if (r := parts.root(k)) != k]
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of pairs of radius + 2 blocks of bits: values within the radius agree in one of these pairs at least."""
-    edge = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
-    block = [((1 << b) - (1 << a)) for a, b in zip(edge, edge[1:])]
-    return [x | y for x, y in combinations(block, 2)]
+def block_masks(radius: int, used: int = 0) -> list[int]:
+    """Masks that keep the bits of `used` and two of radius + 2 blocks of the others: values within the radius that agree in `used` agree in one of these."""
+    free = [b for b in range(64) if not used >> b & 1]
+    edge = [round(i * len(free) / (radius + 2)) for i in range(radius + 3)]
+    block = [sum(1 << b for b in free[i:j]) for i, j in zip(edge, edge[1:])]
+    return [used | x | y for x, y in combinations(block, 2)]
 
 
 def signed(x: int) -> int:
@@ -101,40 +115,40 @@ def signed(x: int) -> int:
 def links(prints: DataFrame, radius: int = RADIUS, tree_most: int = TREE_MOST) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join exactly those connected by distances up to `radius` (0 to 2).
 
-    Every fingerprint goes to a shard for each pair of blocks; a shard has a BK-tree of its own, which its members search.
+    Every fingerprint goes to a shard for each pair of blocks of bits; a shard has a BK-tree of its own, which its members search.
     So the trees are not broadcast whole - they grow with the corpus - but laid out where the searches that can meet them go.
-    Members of shards of over `tree_most` are linked over the 65 values within distance 1 of each: two fingerprints within
-    distance 2 share such a value, none has more than 65 fingerprints, so no task gets a large group.
+    A shard of over `tree_most` is divided the same way by its bits that are still free, which is as exact, until every tree is small.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
     spark = prints.sparkSession
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in block_masks(radius)])).alias("pair", "part"))
-    sizes = keyed.groupBy("pair", "part").agg(F.count("*").alias("n")).where("n > 1")
-    shards = C.stored(keyed.join(sizes, ["pair", "part"]), "shards")
 
     def search(batches):
         key, values, out = None, [], []
         for batch in batches:
-            for pair, part, fp in zip(*(batch.column(c).to_pylist() for c in ("pair", "part", "fp"))):
-                if key != (pair, part):
+            for path, part, fp in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "fp"))):
+                if key != (path, part):
                     out += tree_links(values, radius)
-                    key, values = (pair, part), []
+                    key, values = (path, part), []
                 values.append(fp & ((1 << 64) - 1))
         out += tree_links(values, radius)
         yield pa.RecordBatch.from_pydict({"a": pa.array([signed(a) for a, _ in out], pa.int64()), "b": pa.array([signed(b) for _, b in out], pa.int64())})
 
-    trees = shards.where(F.col("n") <= tree_most).select("pair", "part", "fp").repartition(C.partitions(spark), "pair", "part").sortWithinPartitions("pair", "part", "fp").mapInArrow(search, "a long, b long").distinct()
-    big = shards.where(F.col("n") > tree_most).select("fp").distinct()
-    if radius == 0 or big.isEmpty():
-        return trees
-    flips = [F.lit(signed(1 << k)) for k in range(64)]
-    if radius == 1:
-        near = big.select("fp", F.explode(F.array(*[F.struct(F.least(F.col("fp"), F.col("fp").bitwiseXOR(b)).alias("v"), F.lit(k).alias("k")) for k, b in enumerate(flips)])).alias("key"))
-    else:
-        near = big.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(b) for b in flips])).alias("key"))
-    stars = near.groupBy("key").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b").where("a <> b")
-    return trees.unionByName(stars.distinct())
+    found, left, paths = [], prints.select("fp", F.lit(0).cast("long").alias("path")), {0: 0}
+    while True:
+        pairs = [(path, m) for path, used in paths.items() for m in block_masks(radius, used)]  # at most 6 ** 4
+        masks = spark.createDataFrame([(old, new, signed(m)) for new, (old, m) in enumerate(pairs)], "path long, new long, mask long")
+        keyed = left.join(F.broadcast(masks), "path").select(F.col("new").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+        sizes = C.stored(keyed.groupBy("path", "part").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
+        shards = C.stored(keyed.join(sizes, ["path", "part"]), "shards")
+        paths = {new: m for new, (_, m) in enumerate(pairs)}
+        last = 64 - min(m.bit_count() for m in paths.values()) <= FREE_BITS
+        small = shards if last else shards.where(F.col("n") <= tree_most)
+        small = small.select("path", "part", "fp").repartition(C.partitions(spark), "path", "part").sortWithinPartitions("path", "part", "fp")
+        found.append(small.mapInArrow(search, "a long, b long"))
+        left = shards.where(F.col("n") > tree_most).select("path", "fp")
+        if last or left.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -228,63 +242,70 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return C.stored(pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long"), "similar")
 
 
-def cell_pairs(node: np.ndarray, root: np.ndarray, part: np.ndarray, size: np.ndarray, prints: np.ndarray, similarity: float, radius: int):
-    """Pairs (a, b) of nodes of different roots that may be similar, of all pairs of one part or of all pairs across two."""
-    across = part[0] != part[-1]
-    for i in range(0, len(node), 64):
-        k = slice(i, i + 64)
-        apart = np.zeros((len(node[k]), len(node)), dtype=np.uint16)
-        for f in range(PRINTS):
-            apart += np.bitwise_count(prints[k, f][:, None] ^ prints[None, :, f])
-        low, high = np.minimum(size[k][:, None], size[None]), np.maximum(size[k][:, None], size[None])
-        good = ((apart <= radius) | (low < SMALL)) & (low + 1e-9 >= similarity * high) & (root[k][:, None] != root[None]) & (node[k][:, None] < node[None])
-        if across:
-            good &= part[k][:, None] != part[None]
-        x, y = np.nonzero(good)
-        yield node[k][x], node[y]
+def cell_links(members: list[tuple], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join all members of a cell, (part, node, root, fingerprint, hashes), that similar texts connect; those of one root are joined already.
 
-
-def candidates(shards: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes of a shard (band, key) that differ in root and may be similar: every pair of a shard is compared, whatever its size.
-
-    A shard of over `most` nodes is cut into parts, and each part meets itself and every other in a cell of its own, so that no task gets a large group.
+    Each member searches the BK-tree of those before it, and its candidates are held against its set, nearest first, unless joined by then.
+    If the cell is of two parts, only pairs across them count.
+    """
+    tree, parts, out = BKTree(), Classes(), []
+    first: dict[int, int] = {}
+    across = members[0][0] != members[-1][0]
+    for i, (part, node, root, print_, own) in enumerate(members):
+        parts.up.append(i)
+        parts.join(i, first.setdefault(root, i))
+        for _, k in sorted(tree.near(print_, radius if len(own) >= SMALL / similarity else 64 * PRINTS)):
+            other = members[k][4]
+            if across and members[k][0] == part or min(len(own), len(other)) + 1e-9 < similarity * max(len(own), len(other)) or parts.root(k) == parts.root(i):
+                continue
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both + 1e-9 >= similarity * (len(own) + len(other) - both):
+                parts.join(i, k)
+                out.append((node, members[k][1]))
+        tree.add(print_)
+    return out
+
+
+def links_in_shards(shards: DataFrame, sets: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
+    """Links (a, b) that join the nodes of each shard (band, key) as far as similar sets connect them; every pair of a shard is covered, whatever its size.
+
+    A shard of over `most` nodes is cut into parts, and each part meets itself and every other in a cell of its own, so that no task gets a large
+    group. Sets go to the cells with their nodes, so no pair is written: a cell gives fewer links than it has nodes.
     """
     spark, fields = shards.sparkSession, [f"f{k}" for k in range(PRINTS)]
 
     def search(batches):
         at, held = None, []
-
-        def flush():
-            if held:
-                cols = [np.concatenate(c) for c in zip(*held)]
-                yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) for a, b in cell_pairs(*cols[:4], np.stack(cols[4:], axis=1), similarity, radius) if len(a))
-
         for batch in batches:
-            cell = np.stack([batch.column(c).to_numpy() for c in ("band", "key", "one", "two")], axis=1)
-            cols = [batch.column(c).to_numpy() for c in ("node", "root", "part", "size")] + [batch.column(f).to_numpy().view(np.uint64) for f in fields]
-            cut = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(cell)]):
-                if i < j:
-                    if tuple(cell[i]) != at:
-                        yield from flush()
-                        at, held = tuple(cell[i]), []
-                    held.append([c[i:j] for c in cols])
-        yield from flush()
+            cell = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "one", "two")))
+            prints = np.stack([batch.column(f).to_numpy() for f in fields], axis=1)
+            out = []
+            for i, (c, part, node, root) in enumerate(zip(cell, *(batch.column(c).to_pylist() for c in ("part", "node", "root")))):
+                if c != at:
+                    out += cell_links(held, similarity, radius) if len(held) > 1 else []
+                    at, held = c, []
+                held.append((part, node, root, int.from_bytes(prints[i].tobytes(), "big"), np.frombuffer(batch.column("hashes")[i].as_py(), dtype=np.uint64)))
+            yield links_batch(out)
+        yield links_batch(cell_links(held, similarity, radius) if len(held) > 1 else [])
 
     parts = F.ceil(F.col("n") / most)
     own = shards.withColumn("part", F.pmod(F.xxhash64("node"), parts))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cells = cells.select(F.col("band").cast("long").alias("band"), "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node", "root", F.col("size").cast("long").alias("size"), *fields)
+    cells = cells.select("band", "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node", "root", *fields).join(sets, "node")
     return cells.repartition(C.partitions(spark), "band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two", "part", "node").mapInArrow(search, "a long, b long").distinct()
 
 
+def links_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = CELL_MOST) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last, then by hash of the text).
 
     Texts are near-duplicates if their sets of word shingles (of 64-bit hashes) have the Jaccard similarity or more; every link is held against
     the sets. Candidates share a band of least shingle hashes and their 512 bits of SimHash are within `wide_radius`. First the members of
-    a shard are held against its least, then all pairs of a shard that are not joined yet, in cells of at most about 2 * `tree_most` nodes.
-    Equal sets are one node. Texts without words are one group. All columns of docs stay.
+    a shard are held against its least; then the shards whose members are not joined by that are searched by BK-trees, in cells of at most about
+    2 * `tree_most` nodes. Equal sets are one node. Texts without words are one group. All columns of docs stay.
     """
     spark, radius = docs.sparkSession, wide_radius(similarity, 64 * PRINTS)
     C.arrow_rows(spark)
@@ -321,9 +342,9 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
     links = similar(stars.groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b"), sets, similarity)
 
     known = shards.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key")
-    pairs = C.stored(candidates(known.join(open_, ["band", "key"]), similarity, radius, tree_most), "pairs")
-    roots = components(links.unionByName(similar(pairs, sets, similarity)))
+    open_ = C.stored(known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key"), "open")
+    more = C.stored(links_in_shards(known.join(open_, ["band", "key"]), sets, similarity, radius, tree_most), "more-links")
+    roots = components(links.unionByName(more))
     named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.d", "low.x"), "kept")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("d"), F.xxhash64("text").alias("x"))

@@ -79,3 +79,19 @@ def test_large_shards_and_trees_agree(spark, most):
         if len(part) > 1:
             want[min(part)] = part
     assert groups == want
+
+
+def test_masks_divide_until_few_bits_are_free():
+    """Values within the radius share a mask at every level, so dividing a shard loses no link."""
+    rnd = random.Random(8)
+    for radius in (0, 1, 2):
+        used = 0
+        while used.bit_count() < 64 - S.FREE_BITS:
+            masks = S.block_masks(radius, used)
+            for _ in range(200):
+                x = rnd.getrandbits(64)
+                y = x
+                for b in rnd.sample([b for b in range(64) if not used >> b & 1], radius):
+                    y ^= 1 << b
+                assert any(x & m == y & m for m in masks) and all(m & used == used for m in masks)
+            used = rnd.choice(masks)
