@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +19,47 @@ NO_ID = (1 << 63) - 1
 BROADCAST_ROWS = 100_000
 
 
+_local: dict[str, str] = {}
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors share, which spark.checkpoint.dir names.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster, whose machines would not share one, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        found = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pairloom-"))
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def written() -> int:
+    """A mark for `clean`."""
+    return len(_written)
+
+
+def last_written() -> str:
+    return _written[-1]
+
+
+def clean(spark: SparkSession, since: int = 0, but: str = "") -> None:
+    """Deletes what was written to the shared folder after the mark, except under the path `but`. Results that are not written elsewhere are lost by that."""
+    for path in _written[since:]:
+        if path != but:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written[since:] = [but] if but in _written[since:] else []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,41 +87,49 @@ def crc_mod(id_col: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def id_shards(df: DataFrame, key: str, weight: Column, target: int, blocks: int = 1 << 14) -> tuple[list[int], Column]:
-    """Ascending ranges of an integer key, each of about `target` weight, the same for any partitioning of the rows.
-
-    The key's span is cut into at most `blocks` equal blocks; their weights (so many rows at most) are summed up on the
-    driver. Returns the lower bounds of shards 1.. and a column with the shard of a row. Null keys join the last shard.
-    """
-    span = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-    if span is None or span["a"] is None:
-        return [], F.lit(0)
-    low, width = span["a"], max(1, -(-(span["b"] - span["a"] + 1) // blocks))
-    block = F.expr(f"CAST((CAST({key} AS DECIMAL(38, 0)) - ({low})) DIV {width} AS INT)")
-    sums = df.where(F.col(key).isNotNull()).groupBy(block.alias("block")).agg(F.sum(weight).alias("w")).orderBy("block").collect()
-    bounds, run = [], 0
-    for r in sums:
-        if run and run + r["w"] > target:
-            bounds.append(low + r["block"] * width)
-            run = 0
-        run += r["w"] or 0
-    return bounds, shard_of(F.col(key), bounds)
-
-
-def shard_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below the key, by a balanced tree of comparisons; nulls are in the last shard."""
+#: The most shards of a table (the driver holds PIVOTS of their bounds each), and pivots of a shard. Beyond it shards are larger.
+SHARDS, PIVOTS = 50_000, 16
 
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key < F.lit(bounds[m]), tree(a, m)).otherwise(tree(m + 1, b))
 
-    return tree(0, len(bounds)).cast("int")
+def id_shards(rows: DataFrame, weight: Column, target: int) -> tuple[int, Column]:
+    """How many ascending ranges of the keys (d, x), longs, of about `target` weight each, and a column with the range of a row.
 
-
-def shard_of_value(value: int, bounds: list[int]) -> int:
-    return bisect_left(bounds, value + 1)
+    The ranges are the same for any partitioning of the rows. Pivots are rows chosen by a hash of the key, in proportion to their weight; every so many
+    of them a range begins. As x is a hash of the row's content, ranges part rows of equal or no identifier too; only wholly equal rows stay together.
+    """
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    shards = min(SHARDS, -(-total // target))
+    if shards <= 1:
+        return 1, F.lit(0)
+    each = total / (shards * PIVOTS)
+    draw = (F.xxhash64("d", "x", F.lit("pivot")).bitwiseAND((1 << 53) - 1) + 1).cast("double") / float(1 << 53)
+    chosen = rows.select("d", "x", weight.cast("double").alias("w")).where(draw * each <= F.col("w")).groupBy("d", "x").agg(F.sum(F.greatest("w", F.lit(each))).alias("w"))
+    pivots = chosen.toPandas().sort_values(["d", "x"])
+    run, bounds = 0.0, []
+    for d, x, w in zip(pivots["d"].tolist(), pivots["x"].tolist(), pivots["w"].tolist()):
+        if run and run + w > PIVOTS * each:
+            bounds.append((d, x))
+            run = 0.0
+        run += w
+    low, high = (np.array([b[k] for b in bounds], dtype=np.int64) for k in (0, 1))
+    shared = rows.sparkSession.sparkContext.broadcast((low, high))  # at most SHARDS bounds
+
+    @F.pandas_udf("int")
+    def shard_of(d: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(bounds_below(*shared.value, d.to_numpy(), x.to_numpy()))
+
+    return len(bounds) + 1, shard_of("d", "x")
+
+
+def bounds_below(low: np.ndarray, high: np.ndarray, d: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many of the ascending bounds (low, high) are at or below each (d, x), by binary search."""
+    out, end = np.searchsorted(low, d, side="left"), np.searchsorted(low, d, side="right")
+    tie = np.flatnonzero(end > out)
+    for v in np.unique(d[tie]).tolist():  # identifiers that are bounds
+        own = tie[d[tie] == v]
+        a, b = out[own[0]], end[own[0]]
+        out[own] = a + np.searchsorted(high[a:b], x[own], side="right")
+    return out.astype(np.int32)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -111,8 +149,8 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in a batch to Python, that batches of long texts stay small; a lower setting is kept.
+def arrow_rows(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """At most so many rows, and about so many bytes, in a batch to Python, that batches of long texts stay small; lower settings are kept.
 
     Python workers get this library's folder on their path, wherever the driver was started.
     """
@@ -122,6 +160,9 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > 1 << 30:  # its default is no bound
+        spark.conf.set(key, size)
 
 
 def pylist(batch, name: str) -> list[bytes]:

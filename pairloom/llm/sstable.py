@@ -172,7 +172,7 @@ class Encoder:
     The library's byte-level pattern never joins a word to what is before the space or line end in front of it, unless white
     space stands together, nor a letter or digit to a full stop or comma that ends its word; so the pieces of a text are encoded on
     their own and remembered, by 64-bit hash of piece and what is before it. Texts with other white space than single spaces and
-    line ends between words go whole.
+    line ends between words, and those that hold one of the tokenizer's added tokens, go whole.
     """
 
     #: What is before a piece: a space, a line end or the text's start, or its word.
@@ -185,7 +185,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.type, self.width = Tokenizer.from_file(path), f"<u{width}", width
-        self.tok.encode_special_tokens = True
+        #: Texts that hold an added token, such as an end mark, go whole.
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.line = self.raw(["\n"])[0]
         self.word = np.zeros(256, dtype=bool)
         self.word[[c for c in range(128) if chr(c).isalnum()]] = True
@@ -270,7 +271,7 @@ class Encoder:
         tail = np.concatenate(([False], part[1:] == part[:-1]))[: len(part)]
         s, e, doc = np.where(tail, w.end[part] - 1, w.start[part]), np.where(mark[part] & ~tail, w.end[part] - 1, w.end[part]), w.doc[part]
         kind = np.where(tail, self.WORD, np.where(before[part] == 32, self.SPACE, self.LINE))
-        key = T.mix(T.between(T.prefix(buf.astype(np.uint64) + np.uint64(1)), s, e) + kind.astype(np.uint64))
+        key = T.mix(T.word_hashes(buf, s, e) + kind.astype(np.uint64))
         unique, at, back = np.unique(key, return_index=True, return_inverse=True)
         entry = self.find(unique)
         new = np.flatnonzero(entry < 0)
@@ -283,6 +284,8 @@ class Encoder:
             entry[new] = self.learn(unique[new], names, kind[where])
         entry = entry[back]
         odd |= np.bincount(doc[~self.alone[entry]], minlength=n) > 0
+        if any(a in w.raw for a in self.added):
+            odd |= np.array([any(a in t for a in self.added) for t in texts])
         size = self.size[entry]
         total = int(size.sum())
         ids = self.flat[np.repeat(self.off[entry] - (np.cumsum(size) - size), size) + np.arange(total)]
@@ -311,15 +314,15 @@ def write(docs: DataFrame, root: str | None = None, tokenizer: str = "byte_bpe_5
     """Encodes every text of (doc_id, text), ends it with the id `end`, and writes shards in ascending order of doc_id (nulls last,
     equal identifiers by hash of the text). Returns the manifest: shard, path, entries, ids, start (ids in the shards before).
 
-    Shards are ranges of doc_id of about `shard_bytes` of text each. Tasks write under names of their own; the manifest, committed by
+    Shards are ranges of about `shard_bytes` of text each; rows of one identifier, or of none, can be in several. Tasks write under names of their own; the manifest, committed by
     Spark, names those of the attempts that counted. Null is an empty text: its only id is `end`. An empty table has an empty manifest.
     """
     spark = docs.sparkSession
     C.arrow_rows(spark)
     root = (root or C.scratch(spark, "tokens")).rstrip("/")
     rows = C.text_keys(docs)
-    bounds, shard = C.id_shards(rows, "doc_id", F.octet_length("text").cast("long") + 8, shard_bytes)
-    placed = rows.withColumn("shard", shard).drop("doc_id").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "d", "x")
+    shards, shard = C.id_shards(rows, F.octet_length("text").cast("long") + 8, shard_bytes)
+    placed = rows.withColumn("shard", shard).drop("doc_id").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "d", "x")
 
     def put(batches):
         fs, base = C.filesystem(root)

@@ -7,6 +7,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileType
@@ -54,21 +55,24 @@ def record(page: int | None, url: str, payload: bytes, sha: str, refers_to: int
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def members(raw) -> bytes:
-    """The gzip members of a file, one by one."""
-    z, out = zlib.decompressobj(31), []
+def members(raw, path: str = "") -> Iterator[bytes]:
+    """The gzip members of a file, one by one. A member that is cut off or damaged raises ValueError."""
+    z, out, left, started = zlib.decompressobj(31), [], b"", False
     while True:
-        data = z.unused_data or raw.read(1 << 20)
-        if z.eof:
-            yield b"".join(out)
-            z, out = zlib.decompressobj(31), []
+        data = left or raw.read(1 << 20)
         if not data:
+            if started:
+                raise ValueError(f"{path}: the last record is cut off")
             return
-        out.append(z.decompress(data))
-        if z.eof and not z.unused_data and not (more := raw.read(1 << 20)) == b"":
+        started = True
+        try:
+            out.append(z.decompress(data))
+        except zlib.error as e:
+            raise ValueError(f"{path}: a record is damaged") from e
+        left = b""
+        if z.eof:
             yield b"".join(out)
-            z, out = zlib.decompressobj(31), []
-            out.append(z.decompress(more))
+            left, z, out, started = z.unused_data, zlib.decompressobj(31), [], False
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -81,20 +85,23 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = LEAST_BY
     """Writes a record per row of (page_id, url, html) and returns the manifest: path, records, bytes, first, last.
 
     Of rows with equal payloads of at least `least_bytes` that with the largest page_id is a response, others revisit it
-    (null is the smallest page_id; of repeated rows the first written is the response). Ranges of page_id are cut by exact
-    payload sizes, so files do not depend on the cluster. Tasks write under temporary names; the manifest, committed by
+    (null is the smallest page_id; of repeated rows the first written is the response). Ranges of page_id and payload are cut by
+    payload sizes, and do not depend on the cluster. Tasks write under temporary names; the manifest, committed by
     Spark, names those of the attempts that counted, and only they are renamed. Null html is an empty payload.
     """
     spark = pages.sparkSession
     C.arrow_rows(spark, 200)
     root = (root or C.scratch(spark, "warc")).rstrip("/")
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("d"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    facts = C.stored(rows.select("d", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("size")), "payloads")
-    tops = facts.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.max("d").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refs = facts.join(tops, "sha").select("d", "sha", "top").distinct()
-    bounds, shard = C.id_shards(facts.withColumn("page_id", F.nullif("d", F.lit(NO_PAGE))), "page_id", F.col("size") + 600, shard_bytes)
-    mixed = refs.select("d", F.lit("").alias("url"), F.col("sha").alias("html"), "top", F.lit(0).alias("kind")).unionByName(rows.withColumn("top", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
-    placed = mixed.withColumn("page_id", F.nullif("d", F.lit(NO_PAGE))).withColumn("shard", shard).drop("page_id").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "d", "kind", "url", "html")
+    sha = F.unhex(F.sha1("html"))
+    facts = C.stored(rows.select("d", sha.alias("sha"), F.xxhash64(sha).alias("x"), F.octet_length("html").cast("long").alias("size")), "payloads")
+    # written, so that Spark may divide a payload that many pages have in the join
+    tops = C.stored(facts.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.max("d").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "tops")
+    refs = facts.join(tops, "sha").select("d", "x", "sha", "top").distinct()
+    shards, shard = C.id_shards(facts, F.col("size") + 600, shard_bytes)
+    own = rows.select("d", F.xxhash64(sha).alias("x"), "url", "html", F.lit(None).cast("long").alias("top"), F.lit(1).alias("kind"))
+    mixed = refs.select("d", "x", F.lit("").alias("url"), F.col("sha").alias("html"), "top", F.lit(0).alias("kind")).unionByName(own)
+    placed = mixed.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "d", "x", "kind", "url", "html")
 
     def put(batches):
         fs, base = C.filesystem(root)
@@ -160,16 +167,17 @@ def write(pages: DataFrame, root: str | None = None, least_bytes: int = LEAST_BY
 def read(manifest: DataFrame) -> DataFrame:
     """Per record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null for a revisit).
 
-    Block and payload digests are checked; a record that does not match raises an error.
+    Block and payload digests are checked, and the number of records against the manifest (where it has one); what does not match, or is cut off, raises an error.
     """
 
     def get(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 fs, name = C.filesystem(path)
-                rows, size = [], 0
+                rows, size, count = [], 0, 0
                 with fs.open_input_stream(name, compression=None) as raw:
-                    for member in members(raw):
+                    for member in members(raw, path):
+                        count += 1
                         f, block = parse(member)
                         kind = f["WARC-Type"]
                         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
@@ -181,9 +189,11 @@ def read(manifest: DataFrame) -> DataFrame:
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
                             rows, size = [], 0
+                if records is not None and count != records:
+                    raise ValueError(f"{path}: the manifest has {records} records, the file {count}")
                 yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    spread = manifest.select("path").repartition(max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism)))
+    spread = manifest.select("path", F.col("records") if "records" in manifest.columns else F.lit(None).cast("long").alias("records")).repartition(max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism)))
     return spread.mapInArrow(get, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 import oracle
@@ -38,6 +39,32 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_cut_and_damaged_files_are_errors(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i}</p>" * 50) for i in range(9)]
+    m = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    path = m.first()["path"].removeprefix("file://")
+    raw = open(path, "rb").read()
+    ends = [k for k in range(len(raw)) if raw[k : k + 3] == b"\x1f\x8b\x08"]
+    last = ends[-1]
+    for name, data in {"cut": raw[:-5], "cut early": raw[: last + 3], "a record short": raw[:last], "damaged": raw[:40] + bytes([raw[40] ^ 255]) + raw[41:]}.items():
+        (tmp_path / "x.warc.gz").write_bytes(data)
+        bad = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", 9)], "path string, records long")
+        with pytest.raises(Exception, match="cut off|damaged|manifest|digests"):
+            warc.read(bad).collect()
+            raise AssertionError(name)
+    assert warc.read(m.select("path")).count() == 9
+
+
+def test_hot_payload_and_null_pages(spark):
+    """A payload that most pages have, and many pages without identifier, in small shards."""
+    rows = [(i, "u", "same" * 30) for i in range(800)] + [(None, "u", f"n{i}" * 30) for i in range(700)] + [(1 << 61, "u", "same" * 30), (None, "u", "same" * 30)]
+    m = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_bytes=40_000)
+    assert m.count() > 10 and m.agg(F.max("records")).first()[0] < 300
+    got = warc.read(m).toPandas()
+    assert len(got) == len(rows) and (got["record_type"] == "revisit").sum() == 801
+    assert set(got[got["record_type"] == "revisit"]["refers_to"]) == {float(1 << 61)}
+
+
 def test_oracles(spark):
     oracle.compare(spark, SF, warc.op4_warc, warc.OP4_SQL)
     oracle.compare(spark, SF, mixing.op7_mixing, mixing.OP7_SQL)
