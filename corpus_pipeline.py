@@ -41,5 +41,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
+        mark = common.written()
         docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.clean(spark, mark, but=common.last_written())  # what the stage wrote on its way
     return docs
