@@ -22,8 +22,8 @@ RATE = 0.2
 REPEATS, CLASSES = 6, ((10, 8, 4), (3, 3, 2), (2, 2, 2), (1, 1, 1))
 #: Items that are searched for at a time; all workers hold them.
 BLOCK = 20_000
-#: Matches of keys that are looked at together.
-SLICE = 1 << 18
+#: Matches that make a stretch a candidate; matches that are looked at together.
+LEAST, SLICE = 3, 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -120,8 +120,14 @@ class Items:
         self.has = Filter(T.mix(line ^ T.mix(item.astype(np.uint64))))
 
 
-def candidates(line: np.ndarray, items: Items):
-    """(place, item) arrays, sorted and distinct, of starts of an item in the line as its matching keys have them; in slices, so one can come again."""
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def matches(line: np.ndarray, items: Items):
+    """(place of the text's word, item, place of the item's word, repeat) of matching keys, in slices."""
     for steps, sampled, r, some, keys, item, place in items.tables:
         k = embedded(line, steps, sampled, items.seed, r)
         at = np.flatnonzero(some(k))
@@ -133,7 +139,34 @@ def candidates(line: np.ndarray, items: Items):
             if i < j:
                 m = many[i:j]
                 e = np.repeat(a[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                yield np.repeat(at[i:j], m) - place[e], item[e], np.repeat(at[i:j], m)
+                yield np.repeat(at[i:j], m), item[e], place[e], np.full(len(e), r)
+
+
+def candidates(w: T.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, from, to) of the stretches that may hold an item: tiles of where it may start, which overlap by half, and its length and edits after.
+
+    A tile counts if LEAST starts of the item, or walks from them, match in it (one for items of the short classes): a leak has many, as each
+    run of words between two edits gives its own, and chance has few.
+    """
+    found = []
+    for at, item, place, r in matches(w.hash, items):
+        half = items.size[item] // 4 + 1
+        doc = w.doc[at]
+        tile = (at - place - w.first[doc] + items.size[item]) // half  # of half the width
+        own = (doc * len(items.size) + item) << 32
+        found.append(distinct(np.concatenate([(own | t) << 10 | ((place * REPEATS + r) & 1023) for t in (tile, tile + 1)])))
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 4
+    every = distinct(np.concatenate(found)) >> 10
+    new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    key, many = every[new], np.diff(np.concatenate((new, [len(every)])))
+    item = (key >> 32) % len(items.size)
+    key = key[many >= np.where(items.size[item] >= CLASSES[0][0], LEAST, 1)]
+    doc, item, tile = (key >> 32) // len(items.size), (key >> 32) % len(items.size), key & 0xFFFFFFFF
+    size, most = items.size[item], items.most[item]
+    half = size // 4 + 1
+    low = w.first[doc] + (tile - 1) * half - size
+    return doc, item, np.maximum(w.first[doc], low - most), np.minimum(w.first[doc + 1], low + 2 * half + size + most)
 
 
 def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
@@ -141,30 +174,20 @@ def search(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
     w = T.Words([normal(t) for t in texts])
     if not len(w) or not len(items.size):
         return []
-    line, found, cells = w.hash, {}, []
-    for start, item, at in candidates(line, items):
-        # starts of an item that are near each other are looked at as one stretch
-        wide = items.size[item] // 4 + 1
-        cells.append(np.unique(np.stack((w.doc[at], item, (start - w.first[w.doc[at]]) // wide)), axis=1))
-    if not cells:
-        return []
-    cells = np.unique(np.concatenate(cells, axis=1), axis=1)
-    for c in range(0, cells.shape[1], 4096):
-        doc, item, cell = cells[:, c : c + 4096]
-        size, most = items.size[item], items.most[item]
-        wide = size // 4 + 1
-        low = np.maximum(w.first[doc], w.first[doc] + cell * wide - most)
-        high = np.minimum(w.first[doc + 1], w.first[doc] + (cell + 1) * wide + size + most)
+    line, found = w.hash, {}
+    every = candidates(w, items)
+    for c in range(0, len(every[0]), 4096):
+        doc, item, low, high = (x[c : c + 4096] for x in every)
         # within the distance all words but so many of the item are in the stretch
         ahead = np.arange(int((high - low).max()))
         col = np.minimum(low[:, None] + ahead, len(line) - 1)
         there = items.has(T.mix(line[col] ^ T.mix(item.astype(np.uint64))[:, None])) & (ahead < (high - low)[:, None])
-        for i in np.flatnonzero(there.sum(1) >= size - most).tolist():
+        for i in np.flatnonzero(there.sum(1) >= items.size[item] - items.most[item]).tolist():
             d, k, lo = int(doc[i]), int(item[i]), int(low[i])
             if found.get((d, k), (1, 0))[0] == 0:
                 continue
             best, at = closest(items.words[k].tolist(), line[lo : int(high[i])].tolist())
-            if best <= most[i]:
+            if best <= items.most[k]:
                 found[d, k] = min(found.get((d, k), (1 << 60, 0)), (best, lo + at - int(w.first[d])))
     return [(d, k, *v) for (d, k), v in found.items()]
 
