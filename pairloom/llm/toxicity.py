@@ -6,8 +6,12 @@ multiplied by how much more often one label's examples have it, shrunk by how su
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ SURE = 5.0
 NEIGHBOURS, BLOCK, STEP = 15, 64, 8
 #: Calibration rows that the prior counts as.
 PRIOR_ROWS = 1.0
+EXAMPLE = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int64())), ("tf", pa.list_(pa.int64()))])
 
 
 class Index:
@@ -38,11 +43,11 @@ class Index:
         o = np.lexsort((doc, term))
         term, self.doc, self.weight = term[o], doc[o].astype(np.int32), weight[o]
         cell = term * max(1, self.blocks) + self.doc // BLOCK
-        self.start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[: len(cell)]
+        self.start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[: len(cell)].astype(np.int32)
         self.block = (self.doc[self.start] // BLOCK).astype(np.int32)
         self.high = np.maximum.reduceat(self.weight, self.start) if len(cell) else weight
-        self.stop = np.concatenate((self.start[1:], [len(cell)]))
-        self.first = np.searchsorted(term[self.start], np.arange(len(idf) + 1))
+        self.stop = np.concatenate((self.start[1:], [len(cell)])).astype(np.int32)
+        self.first = np.searchsorted(term[self.start], np.arange(len(idf) + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest positive cosines (to 12 places; of equal ones those first in the index) and the cosines.
@@ -73,7 +78,7 @@ class Index:
 
 def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the ranges a[i]:b[i], and the i of each."""
-    n = b - a
+    n = b.astype(np.int64) - a
     of = np.repeat(np.arange(len(n)), n)
     return np.arange(len(of)) + (a - np.cumsum(n) + n)[of], of
 
@@ -134,7 +139,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int, divisor: int) -> tup
             for a, b in T.chunks(texts):
                 h, doc, n = term_counts(T.Words([normal(t) for t in texts[a:b]]))
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "x": batch.column("x").slice(a, b - a), "toxic": batch.column("toxic").slice(a, b - a), "terms": [h[i:j].view(np.int64).tolist() for i, j in zip(cut, cut[1:])], "tf": [n[i:j].tolist() for i, j in zip(cut, cut[1:])]}, schema=pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int64())), ("tf", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "x": batch.column("x").slice(a, b - a), "toxic": batch.column("toxic").slice(a, b - a), "terms": [h[i:j].view(np.int64).tolist() for i, j in zip(cut, cut[1:])], "tf": [n[i:j].tolist() for i, j in zip(cut, cut[1:])]}, schema=EXAMPLE)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     own = own.groupBy(F.xxhash64("text").alias("x"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))  # copies say nothing more
@@ -154,11 +159,24 @@ def weights_of(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, toxic: np.ndar
 
 
 def fitted(sample: DataFrame, prior: float):
-    """(vocabulary, Index, toxic share of its examples, calibration knots) of the examples, or None if one label has none."""
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "x").toArrow()
+    """`fit` of the examples, in one task, as their number is bounded; the driver gets the compressed model only."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches), schema=EXAMPLE)
+        data = zlib.compress(pickle.dumps(fit(rows, prior), protocol=5), 1)
+        for i in range(0, len(data), 4 << 20):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int64()), "data": pa.array([data[i : i + (4 << 20)]], pa.binary())})
+
+    ordered = sample.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "x")
+    parts = sorted(C.stored(ordered.mapInArrow(run, "part long, data binary"), "toxicity-model").collect())
+    return pickle.loads(zlib.decompress(b"".join(d for _, d in parts))) if parts else None
+
+
+def fit(rows: pa.Table, prior: float):
+    """(vocabulary, Index, toxic share of its examples, calibration knots) of the examples, in their order, or None if one label has none."""
     toxic, ids = rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy()
-    many = np.array([len(t) for t in rows.column("terms")], dtype=np.int64)
-    flat, tf = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "tf"))
+    many = pc.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)
+    flat, tf = (np.concatenate([x.flatten().to_numpy() for x in rows.column(c).chunks] or [np.zeros(0, dtype=np.int64)]) for c in ("terms", "tf"))
     doc = np.repeat(np.arange(len(ids)), many)
     index_of = np.flatnonzero(np.arange(len(ids)) % CALIBRATE != 0)
     if len(set(toxic[index_of].tolist())) < 2:
