@@ -22,17 +22,26 @@ def structure_id(kind: Column, chrom: Column, start: Column, end: Column, center
 
 
 def window_id(chrom: Column, start: Column, end: Column) -> Column:
-    return F.concat(F.lit("WIN_"), sha16(chrom, start.cast("string"), end.cast("string")))
+    return F.concat(F.lit("WIN_"), sha16(F.trim(chrom), start.cast("string"), end.cast("string")))
 
 
 def scale_window_id(scale: Column, chrom: Column, start: Column, end: Column) -> Column:
-    return F.concat(F.lit("MSWIN_"), sha16(scale, chrom, start.cast("string"), end.cast("string")))
+    return F.concat(F.lit("WIN_"), scale, F.lit("_"), sha16(scale, F.trim(chrom), start.cast("string"), end.cast("string")))
 
 
 def region_id(chrom: Column, start: Column, end: Column, peak: Column) -> Column:
+    """A region of the final proposals: a hash of its place and of the window it is named by."""
     return F.concat(F.lit("FREG_"), sha16(chrom, start.cast("string"), end.cast("string"), peak))
 
 
+#: What regions of one scale, of several scales and of the equalized detector are called; the rest is their peak window's.
+REGIONS = {"single": "REG_", "multiscale": "MSREG_", "equalized": "EQREG_"}
+
+
+def peak_region_id(detector: str, peak_window_id: Column) -> Column:
+    return F.concat(F.lit(REGIONS[detector]), F.regexp_replace(peak_window_id, "^WIN_", ""))
+
+
 def tie_key(seed: int, name: Column) -> Column:
     """An order that does not depend on the order of rows."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), name), 256)

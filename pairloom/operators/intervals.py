@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranges import running_sums
+
 
 def range_join(left: DataFrame, right: DataFrame, bucket: int, l: tuple[str, str] = ("w_start", "w_end"), r: tuple[str, str] = ("s_start", "s_end"), on: str = "chrom") -> DataFrame:
     """Pairs that overlap, by an equi-join on (chrom, bucket of coordinates) in place of a nested loop.
@@ -54,14 +56,20 @@ def union_bp(df: DataFrame, start: str, end: str, keys: list[str], by: str = "ch
     return islands(df, start, end, [], k).groupBy(*k, "island").agg((F.max(end) - F.min(start)).alias("bp")).groupBy(*keys).agg(F.sum("bp").cast("long").alias("union_bp")) if keys else islands(df, start, end, [], k).groupBy(*k, "island").agg((F.max(end) - F.min(start)).alias("bp")).agg(F.coalesce(F.sum("bp"), F.lit(0)).cast("long").alias("union_bp"))
 
 
-def cumulative_union(df: DataFrame, start: str, end: str, rank: str, keys: list[str], bucket: int, by: str = "chrom") -> DataFrame:
-    """(keys, rank, cumulative_bp): what the intervals of each rank and better cover. Elementary segments take the least rank over them."""
+def cumulative_union(df: DataFrame, start: str, end: str, rank: str, keys: list[str], bucket: int, by: str = "chrom", wide: bool = False) -> DataFrame:
+    """(keys, rank, cumulative_bp): what the intervals of each rank and better cover. Elementary segments take the least rank over them.
+
+    wide: for few keys with many ranks; sums run in ranges, and before_bp, without the rank's own, is there too.
+    """
     k = list(dict.fromkeys([*keys, by]))
     at = df.select(*k, F.explode(F.array(start, end)).alias("_a")).distinct()
     seg = at.withColumn("_b", F.lead("_a").over(W.partitionBy(*k).orderBy("_a"))).where("_b IS NOT NULL").withColumn("_key", F.concat_ws("\u0001", *k))
     own = df.select(F.concat_ws("\u0001", *k).alias("_key"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(rank).alias("_rank"))
     least = range_join(seg, own, bucket, ("_a", "_b"), ("_s", "_e"), "_key").groupBy(*k, "_a", "_b").agg(F.min("_rank").alias(rank))
     added = df.select(*keys, rank).distinct().join(least.groupBy(*keys, rank).agg(F.sum(F.col("_b") - F.col("_a")).alias("added")), [*keys, rank], "left")
+    if wide:
+        run = running_sums(added.withColumn("added", F.coalesce("added", F.lit(0))), rank, {"cumulative_bp": "added"}, keys)
+        return run.select(*keys, rank, F.col("cumulative_bp").cast("long").alias("cumulative_bp"), (F.col("cumulative_bp") - F.col("added")).cast("long").alias("before_bp"))
     return added.select(*keys, rank, F.sum(F.coalesce("added", F.lit(0))).over(W.partitionBy(*keys).orderBy(rank)).cast("long").alias("cumulative_bp"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -42,17 +44,43 @@ def medoids(df: DataFrame, vector: str, name: str, by: str) -> DataFrame:
 
 
 def nearest_known(candidates: DataFrame, known: DataFrame, name: str, vector: str, bound: int = 20_000) -> DataFrame:
-    """(candidate, nearest, nearest_class, distance): exact nearest known vector. Known vectors are annotated structures, a checked
-    number; more than `bound` are met in blocks by hash, each broadcast, and the best of blocks is kept."""
-    blocks = max(1, -(-known.count() // bound))
-    parts = []
+    """(candidate, nearest, nearest_class, distance): exact nearest known vector, ties by its name.
+
+    Known vectors are annotated structures; they are held by tasks in blocks of `bound` at most. A batch of candidates meets a block in one
+    matrix product, and only those within its rounding of the least are measured anew, so no pairs are made.
+    """
+    spark, rows = known.sparkSession, known.select(name, "class", vector)
+    blocks, parts = max(1, -(-known.count() // bound)), []
+    types = dict(rows.dtypes)
+    schema = f"candidate {dict(candidates.dtypes)[name]}, nearest {types[name]}, nearest_class {types['class']}, distance double"
     for b in range(blocks):
-        k = known.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b).select(F.col(name).alias("_n"), F.col("class").alias("_c"), F.col(vector).alias("_v"))
-        parts.append(candidates.crossJoin(F.broadcast(k)).groupBy(F.col(name).alias("candidate")).agg(F.min(F.struct(F.round(V.euclidean(F.col(vector), F.col("_v")), 9).alias("d"), F.col("_n").alias("n"), F.col("_c").alias("c"))).alias("b")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("candidate").agg(F.min("b").alias("b")).select("candidate", F.col("b.n").alias("nearest"), F.col("b.c").alias("nearest_class"), F.col("b.d").alias("distance"))
+        own = rows.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b).toPandas().sort_values(name)
+        shared = spark.sparkContext.broadcast((own[name].tolist(), own["class"].tolist(), np.stack(own[vector].to_numpy()).astype(float) if len(own) else None))
+
+        def run(batches, shared=shared):
+            names, classes, k = shared.value
+            for pdf in batches:
+                if k is None or not len(pdf):
+                    continue
+                out = []
+                for i in range(0, len(pdf), max(1, (1 << 22) // len(k))):
+                    part = pdf.iloc[i : i + max(1, (1 << 22) // len(k))]
+                    x = np.stack(part[vector].to_numpy()).astype(float)
+                    size = (x * x).sum(1)[:, None] + (k * k).sum(1)
+                    apart = size - 2 * x @ k.T
+                    near = apart <= apart.min(1, keepdims=True) + 1e-9 * (1 + size)
+                    for r, c in enumerate(part[name].tolist()):
+                        at = np.flatnonzero(near[r])
+                        d = np.round(np.sqrt(((k[at] - x[r]) ** 2).sum(1)), 9)
+                        best = int(at[np.argmin(d)])  # names ascend
+                        out.append((c, names[best], classes[best], float(d.min())))
+                yield pd.DataFrame(out, columns=["candidate", "nearest", "nearest_class", "distance"])
+
+        parts.append(candidates.select(name, vector).mapInPandas(run, schema))
+    if len(parts) == 1:
+        return parts[0]
+    best = reduce(DataFrame.unionByName, parts).groupBy("candidate").agg(F.min(F.struct("distance", "nearest", "nearest_class")).alias("b"))
+    return best.select("candidate", "b.nearest", "b.nearest_class", "b.distance")
 
 
 def pca95(df: DataFrame, vector: str, share: float = 0.95) -> tuple[DataFrame, list[float]]:
@@ -94,9 +122,54 @@ def probe(train: DataFrame, test: DataFrame, vector: str, label: str, c: float =
     return model.transform(to(test)).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
 
 
+def distances(x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows, by blocks of rows."""
+    return np.concatenate([np.sqrt(((x[i : i + 256, None] - x[None]) ** 2).sum(2)) if x.shape[1] <= 8 else np.sqrt(np.maximum(0, (x[i : i + 256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[i : i + 256] @ x.T)) for i in range(0, len(x), 256)] or [np.zeros((0, 0))])
+
+
+#: Least cluster size and samples of the primary run and of both sensitivity runs.
+SETTINGS = ((5, 5), (8, 5), (5, 8))
+
+
+def density_runs(df: DataFrame, name: str, vector: str) -> DataFrame:
+    """(least_size, least_samples, points, clusters, noise, silhouette, ari, mean_membership) of each setting; ari against the first one, on all points.
+
+    Vectors are centred and taken to the fewest principal components with 95 % of the variance. At most MOST_POINTS candidates (an error beyond).
+    """
+    rows = df.select(name, vector).limit(MOST_POINTS + 1).collect()
+    if len(rows) > MOST_POINTS:
+        raise ValueError(f"over {MOST_POINTS} points: distances do not fit on the driver")
+    rows.sort(key=lambda r: r[0])
+    x = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    if len(x):
+        x = x - x.mean(0)
+        _, size, axes = np.linalg.svd(x, full_matrices=False)
+        share = np.cumsum(size**2) / max(1e-300, (size**2).sum())
+        x = x @ axes[: int(np.searchsorted(share, 0.95 - 1e-12)) + 1].T
+    out, first = [], None
+    for least_size, least_samples in SETTINGS:
+        labels, member = hdbscan(x, least_size, least_samples)
+        first = labels if first is None else first
+        kept = labels >= 0
+        many = len(set(labels[kept].tolist()))
+        score = silhouette(x[kept], labels[kept]) if many > 1 else None
+        out.append((least_size, least_samples, len(x), many, int((~kept).sum()), score, rand_index(first, labels), float(member.mean()) if len(x) else None))
+    return df.sparkSession.createDataFrame(out, "least_size int, least_samples int, points long, clusters int, noise long, silhouette double, ari double, mean_membership double")
+
+
+def rand_index(a: np.ndarray, b: np.ndarray) -> float:
+    """Adjusted Rand index of two labelings."""
+    table = np.zeros((len(np.unique(a)), len(np.unique(b))))
+    np.add.at(table, (np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]), 1)
+    pairs = lambda n: float((n * (n - 1) / 2).sum())
+    left, right, both, every = pairs(table.sum(1)), pairs(table.sum(0)), pairs(table), len(a) * (len(a) - 1) / 2
+    chance = left * right / every if every else 0.0
+    return 1.0 if (left + right) / 2 == chance else (both - chance) / ((left + right) / 2 - chance)
+
+
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean Euclidean silhouette of clustered points."""
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d = distances(x)
     out = []
     for i, c in enumerate(labels):
         own = labels == c
@@ -117,7 +190,7 @@ def hdbscan(x: np.ndarray, least_size: int = 5, least_samples: int = 5) -> tuple
         raise ValueError(f"{n} points; distances of at most {MOST_POINTS} fit on the driver")
     if n < max(2, least_size):
         return np.full(n, -1), np.zeros(n)
-    d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
+    d = distances(x)
     core = np.sort(d, axis=1)[:, min(n - 1, least_samples - 1)]
     reach = np.maximum(d, np.maximum(core[:, None], core[None]))
     inside, near, parent = np.zeros(n, dtype=bool), reach[0].copy(), np.zeros(n, dtype=int)

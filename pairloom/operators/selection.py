@@ -8,17 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.operators.intervals import islands
+from pairloom.operators.ranges import numbered
 
-def ranked(df: DataFrame, order: list[Column], keys: list[str] = (), rank: str = "rank") -> DataFrame:
-    """df with rank 1.. and percentile 1 - (rank - 1) / n; the order must be total."""
+
+def ranked(df: DataFrame, order: list[Column], keys: list[str] = (), rank: str = "rank", by: Column | None = None) -> DataFrame:
+    """df with rank 1.. and percentile 1 - (rank - 1) / n; the order must be total.
+
+    by: a number that never falls along the order; with it the rows are ranked in ranges of it. Without it the rows of equal keys are one
+    task, which is for tables with few rows a key.
+    """
+    if by is not None:
+        return numbered(df, order, by, keys, rank, "_total").withColumn("percentile", 1 - (F.col(rank) - 1) / F.col("_total")).drop("_total")
     w = W.partitionBy(*keys)
     return df.withColumn(rank, F.row_number().over(w.orderBy(*order))).withColumn("percentile", 1 - (F.col(rank) - 1) / F.count("*").over(w))
 
 
-def top_fraction(df: DataFrame, order: list[Column], fraction: float, keys: list[str] = ()) -> DataFrame:
-    """The first min(n, max(1, ceil(n * fraction))) rows."""
-    r = ranked(df, order, keys, "_rank").withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
-    return r.where(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * fraction, 9)))).drop("_rank", "_n", "percentile")
+def fraction_count(n: Column, fraction: Column | float) -> Column:
+    """min(n, max(1, ceil(n * fraction)))."""
+    return F.least(n, F.greatest(F.lit(1), F.ceil(F.round(n * fraction, 9))))
+
+
+def top_fraction(df: DataFrame, order: list[Column], fraction: float, keys: list[str] = (), by: Column | None = None, rank: str | None = None) -> DataFrame:
+    """The first min(n, max(1, ceil(n * fraction))) rows; with their rank, if it has a name. by is that of `ranked`."""
+    r = rank or "_rank"
+    if by is not None:
+        out = numbered(df, order, by, keys, r, "_n")
+    else:
+        out = ranked(df, order, keys, r).withColumn("_n", F.count("*").over(W.partitionBy(*keys))).drop("percentile")
+    out = out.where(F.col(r) <= fraction_count(F.col("_n"), fraction)).drop("_n")
+    return out if rank else out.drop("_rank")
 
 
 def greedy(df: DataFrame, keys: list[str], rank: str, center: str, radius: str) -> DataFrame:
@@ -67,7 +86,12 @@ def within_budget(cumulative: DataFrame, budget_bp: Column, rank: str, keys: lis
 
 
 def min_gap(df: DataFrame, keys: list[str], at: str, order: list[str], gap: float) -> DataFrame:
-    """Greedy from the left: a row stays if it is at least `gap` behind the last one that stayed."""
+    """Greedy from the left: a row stays if it is at least `gap` behind the last one that stayed.
+
+    A row at least `gap` behind its neighbour stays whatever is before it, so every stretch without such a gap is a group of its own.
+    """
+    w = W.partitionBy(*keys).orderBy(at, *order)
+    chained = df.withColumn("_new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(1))).withColumn("_chain", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group, last, kept = group.sort_values([at, *order], kind="stable"), None, []
@@ -75,13 +99,14 @@ def min_gap(df: DataFrame, keys: list[str], at: str, order: list[str], gap: floa
             if last is None or v - last >= gap:
                 kept.append(i)
                 last = v
-        return group.iloc[kept]
+        return group.iloc[kept].drop(columns=["_new", "_chain"])
 
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+    return chained.groupBy(*keys, "_chain").applyInPandas(pick, df.schema)
 
 
 def disjoint(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """The most intervals that do not overlap: by earliest end, each that starts at or after the last one's end."""
+    """The most intervals that do not overlap: by earliest end, each that starts at or after the last one's end. Islands are groups of their own."""
+    island = islands(df, start, end, [], keys)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group, last, kept = group.sort_values([end, start], kind="stable"), None, []
@@ -89,9 +114,9 @@ def disjoint(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
             if last is None or a >= last:
                 kept.append(i)
                 last = b
-        return group.iloc[kept]
+        return group.iloc[kept].drop(columns="island")
 
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+    return island.groupBy(*keys, "island").applyInPandas(pick, df.schema)
 
 
 def thin(df: DataFrame, count: int, at: str, seed: int, name: str) -> DataFrame:
@@ -111,5 +136,5 @@ def channel_proposals(scores: DataFrame, branches: tuple = ("density", "shape"),
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("branch"), F.sqrt(F.col(f"rep1_{b}_p") * F.col(f"rep2_{b}_p")).alias("pair_p"), (-F.log10(F.greatest(f"rep1_{b}_p", f"rep2_{b}_p"))).alias("min_anomaly")) for b in branches]))
     rows = scores.select("window_id", "scale", "window_bp", "chrom", "w_start", "w_end", "center", each.alias("z")).select("*", "z.*").drop("z").where(F.col("pair_p") <= threshold + 1e-12)
     order = [F.col("pair_p"), F.desc("min_anomaly"), F.col("chrom"), F.col("w_start"), F.col("w_end")]
-    r = ranked(rows, order, ["scale", "branch"]).withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}).drop("percentile")
+    r = ranked(rows, order, ["scale", "branch"], by=F.col("pair_p")).withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}).drop("percentile")
     return greedy(r, ["scale", "branch", "chrom"], "rank", "center", "radius").where("is_peak").drop("is_peak", "owner", "radius")

@@ -12,6 +12,7 @@ from pairloom.operators.intervals import range_join
 #: Shares of train, validation and test; weight of the rare class in the smaller splits.
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 RARE, RARE_WEIGHT = "CHID", 2.0
+MASTER = ("train", "validation", "calibration")
 
 
 def in_block(df: DataFrame, block: int, start: str = "w_start", end: str = "w_end") -> DataFrame:
@@ -35,6 +36,43 @@ def hash_block_split(blocks: DataFrame, block_id: str, seed: int, shares=(0.70,
     return placed.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")).drop("_n", "_r")
 
 
+def master_blocks(chrom: str, size: int, block: int, seed: int, eligible: dict[str, set[int]] | None = None, attempts: int = 10_000) -> list[tuple]:
+    """(chrom, block_index, block_id, block_start, block_end, split, attempt) of every block of a chromosome.
+
+    A seeded permutation of the blocks: the first round(70 %) are train, round(15 %) validation, the rest calibration, one of each at least.
+    eligible: blocks by scale; then the first permutation that gives each scale blocks of all three splits. A table of blocks, for the driver.
+    """
+    n = -(-size // block)
+    if n < 3 or any(len(b) < 3 for b in (eligible or {}).values()):
+        raise ValueError("three blocks at least, of each scale too, are needed")
+    train = min(max(1, round(SHARES["train"] * n)), n - 2)
+    validation = min(max(1, round(SHARES["val"] * n)), n - train - 1)
+    name = np.repeat(MASTER, (train, validation, n - train - validation))
+    draw = np.random.default_rng(seed)
+    for attempt in range(1, attempts + 1 if eligible else 2):
+        split = np.empty(n, dtype=object)
+        split[draw.permutation(n)] = name
+        if all(set(split[[b for b in blocks if b < n]]) == set(MASTER) for blocks in (eligible or {}).values()):
+            return [(chrom, k, f"{chrom}:{k}", k * block, min((k + 1) * block, size), str(split[k]), attempt) for k in range(n)]
+    raise ValueError(f"no permutation of {attempts} gives every scale all splits")
+
+
+def master_split(sizes: DataFrame, block: int, seed: int, eligible: DataFrame | None = None) -> DataFrame:
+    """master_blocks of every chromosome of sizes(chrom, size_bp); eligible: (chrom, scale, block) of background windows."""
+    own: dict[str, dict[str, set[int]]] = {}
+    for r in eligible.distinct().collect() if eligible is not None else ():  # at most blocks by scales
+        own.setdefault(r["chrom"], {}).setdefault(r["scale"], set()).add(int(r["block"]))
+    rows = [x for r in sizes.orderBy("chrom").collect() for x in master_blocks(r["chrom"], r["size_bp"], block, seed, own.get(r["chrom"]))]
+    return sizes.sparkSession.createDataFrame(rows, "chrom string, block_index long, block_id string, block_start long, block_end long, split string, attempt int")
+
+
+def diagnostics(df: DataFrame, group: str, kind: str, split: str) -> DataFrame:
+    """(split, class, groups, n, share): rows and groups of each split by class and over all, and the split's share of the class."""
+    g = df.groupingSets([[split, kind], [split]], split, kind).agg(F.grouping(kind).alias("_all"), F.count_distinct(group).alias("groups"), F.count("*").alias("n"))
+    g = g.select(F.col(split).alias("split"), F.when(F.col("_all") == 1, "ALL").otherwise(F.col(kind)).alias("class"), "groups", "n")
+    return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("class")))  # a few rows a class
+
+
 def solve_groups(groups: list[dict], classes: list[str], seed: int = 20260920) -> tuple[dict[str, str], float]:
     """A split for each group (counts by class) with little weighted deviation from the shares, every class in every split if it can be.
 

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranges import quantile, running_sums, settled
+
 MAD = 1.4826
 
 
 def robust_scale(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
-    """(keys, median, mad); fitted on what is given."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("_m"))
-    both = df.join(med, list(keys)) if keys else df.crossJoin(F.broadcast(med))  # one row
-    return both.groupBy(*keys).agg(F.first("_m").alias("median"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+    """(keys, median, mad); fitted on what is given, by exact order statistics in ranges."""
+    own = settled(df.select(*keys, value))
+    med = quantile(own, value, 0.5, keys, "median")
+    both = own.join(med, list(keys)) if keys else own.crossJoin(F.broadcast(med))  # one row
+    mad = quantile(both.withColumn("_off", F.abs(F.col(value) - F.col("median"))), "_off", 0.5, keys, "mad")
+    return med.join(mad, list(keys)) if keys else med.crossJoin(mad)  # one row each
 
 
 def robust_z(value: Column, median: Column, mad: Column, eps: float = 1e-8) -> Column:
@@ -22,17 +26,14 @@ def robust_z(value: Column, median: Column, mad: Column, eps: float = 1e-8) -> C
 
 def tail_p(query: DataFrame, calibration: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """query with p = (1 + calibration values at or above it) / (n + 1): one ordered pass over both, no pairs."""
-    both = query.withColumn("_cal", F.lit(0)).unionByName(calibration.select(*keys, value).withColumn("_cal", F.lit(1)), allowMissingColumns=True)
-    up = W.partitionBy(*keys).orderBy(F.desc(value)).rangeBetween(W.unboundedPreceding, 0)
-    n = F.sum("_cal").over(W.partitionBy(*keys))
-    return both.withColumn("p", (1 + F.sum("_cal").over(up)) / (n + 1)).where("_cal = 0").drop("_cal")
+    both = query.withColumn("_from", F.lit(0)).unionByName(calibration.select(*keys, value).withColumn("_from", F.lit(1)), allowMissingColumns=True)
+    return tail_p_within(both, value, F.col("_from") == 1, keys).where("_from = 0").drop("_from")
 
 
 def tail_p_within(df: DataFrame, value: str, calibrates: Column, keys: list[str] = ()) -> DataFrame:
-    """df with p as tail_p gives it, where the rows for which `calibrates` holds are the calibration: one pass over df itself."""
-    cal = F.coalesce(calibrates.cast("int"), F.lit(0))
-    up = W.partitionBy(*keys).orderBy(F.desc(value)).rangeBetween(W.unboundedPreceding, 0)
-    return df.withColumn("_cal", cal).withColumn("p", (1 + F.sum("_cal").over(up)) / (F.sum("_cal").over(W.partitionBy(*keys)) + 1)).drop("_cal")
+    """df with p as tail_p gives it, where the rows for which `calibrates` holds are the calibration: one pass over df itself, in ranges of the value."""
+    counted = running_sums(df.withColumn("_cal", F.coalesce(calibrates.cast("long"), F.lit(0).cast("long"))), value, {"_up": "_cal"}, keys, descending=True)
+    return counted.withColumn("p", (1 + F.col("_up")) / (F.col("all__up") + 1)).drop("_cal", "_up", "all__up")
 
 
 def pearson(a: str, b: str) -> Column:
@@ -48,9 +49,17 @@ def average_ranks(df: DataFrame, values: list[str], keys: list[str]) -> DataFram
     return df
 
 
-def correlations(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """(keys, n, pearson, spearman)."""
-    return average_ranks(df, [a, b], keys).groupBy(*keys).agg(F.count("*").alias("n"), pearson(a, b).alias("pearson"), pearson(f"rank_{a}", f"rank_{b}").alias("spearman"))
+def wide_ranks(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """average_ranks for few keys with many rows: ranks come from the counts of distinct values, in ranges."""
+    for v in values:
+        counts = running_sums(df.groupBy(*keys, v).agg(F.count("*").alias("_ties")), v, {"_upto": "_ties"}, keys)
+        df = df.join(counts.select(*keys, v, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(f"rank_{v}")), [*keys, v], "left")
+    return df
+
+
+def correlations(df: DataFrame, a: str, b: str, keys: list[str], wide: bool = False) -> DataFrame:
+    """(keys, n, pearson, spearman). wide: few keys with many rows each."""
+    return (wide_ranks if wide else average_ranks)(df, [a, b], keys).groupBy(*keys).agg(F.count("*").alias("n"), pearson(a, b).alias("pearson"), pearson(f"rank_{a}", f"rank_{b}").alias("spearman"))
 
 
 def measure_pairs(pairs: DataFrame, keys: list[str], total: Column, least: int = 10) -> DataFrame:
@@ -103,8 +112,7 @@ def summary_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """roc_auc (Mann-Whitney with ties) and average_precision (steps at distinct scores), from counts by score."""
     s = df.groupBy(score).agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    r = s.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    r = running_sums(s, score, {"tp": "pos", "fp": "neg"}, descending=True)
     p, n = F.sum("pos"), F.sum("neg")
     return r.agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), p * n).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), p).alias("average_precision"))
 

@@ -42,12 +42,14 @@ FROM fx_pixels p JOIN fx_windows w ON p.chrom = w.chrom AND p.bin1 * 100 >= w.w_
 
 
 def dense(s, d):
-    """Rows of the dense matrices of the first windows, zeros in place."""
-    few = X.cells(s, d).where("chrom = 'N' AND w_start <= 4000 AND replicate = 'rep1'")
-    return few.groupBy("w_start", "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m")).select("w_start", "i", F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.coalesce(F.element_at("m", j), F.lit(0.0)) * (j + 1)), F.lit(0.0), lambda a, x: a + x).alias("weighted"))
+    """Rows of the dense matrices of all windows, zeros in place, each row as a weighted sum."""
+    m = F.map_from_entries(F.collect_list(F.struct("j", "value")))
+    rows = X.cells(s, d).groupBy("chrom", "w_start", "replicate", "i").agg(m.alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.coalesce(F.element_at("m", j), F.lit(0.0)) * (j + 1))
+    return rows.select("chrom", "w_start", "replicate", "i", F.aggregate(filled, F.lit(0.0), lambda a, x: a + x).alias("weighted"))
 
 
-add("src12_dense_arrays", dense, "SELECT w_start, i, round(sum(value * (j + 1)), 6) AS weighted FROM fx_cells WHERE chrom = 'N' AND w_start <= 4000 AND replicate = 'rep1' GROUP BY 1, 2")
+add("src12_dense_arrays", dense, "SELECT chrom, w_start, replicate, i, round(sum(value * (j + 1)), 6) AS weighted FROM fx_cells GROUP BY 1, 2, 3, 4")
 
 
 def known_dataset(s, d):
@@ -95,7 +97,7 @@ def paired_display(s, d):
 add("mx10_paired_display", paired_display, ", p AS (SELECT chrom, w_start, i, j, sum(least(oe, 5)) / 2 AS v FROM fx_oe GROUP BY 1, 2, 3, 4) SELECT chrom, round(quantile_cont(ln(1 + v), 0.995), 6) AS vmax, round(avg(ln(1 + v)), 6) AS mean FROM p GROUP BY 1")
 add("mx11_input_transforms", lambda s, d: X.oe(s, d).select("chrom", "replicate", F.explode(F.array(F.struct(F.lit("raw").alias("input"), F.col("value").alias("v")), F.struct(F.lit("log1p").alias("input"), F.log1p("value").alias("v")), F.struct(F.lit("oe").alias("input"), F.col("oe").alias("v")))).alias("z")).groupBy("chrom", "replicate", F.col("z.input").alias("input")).agg(F.avg("z.v").alias("mean")), "SELECT chrom, replicate, input, round(avg(v), 6) AS mean FROM (SELECT chrom, replicate, 'raw' AS input, value AS v FROM fx_oe UNION ALL SELECT chrom, replicate, 'log1p', ln(1 + value) FROM fx_oe UNION ALL SELECT chrom, replicate, 'oe', oe FROM fx_oe) GROUP BY 1, 2, 3")
 add("mx12_attention_ratio", lambda s, d: K.attention_ratio(X.oe(s, d), KEY, F.col("d") <= 2, "oe"), "SELECT chrom, w_start, replicate, round(CASE WHEN sum(oe) > 0 THEN coalesce(sum(oe) FILTER (d <= 2), 0) / sum(oe) ELSE 0 END, 6) AS ratio FROM fx_oe GROUP BY 1, 2, 3")
-add("ag06_symmetry_error", lambda s, d: K.symmetry_error(X.cells(s, d).where("w_start <= 8000 AND d <= 5"), KEY), """, c AS (SELECT * FROM fx_cells WHERE w_start <= 8000 AND d <= 5)
+add("ag06_symmetry_error", lambda s, d: K.symmetry_error(X.cells(s, d), KEY), """, c AS (SELECT * FROM fx_cells)
 SELECT chrom, w_start, replicate, round(max(abs(coalesce(a, 0) - coalesce(b, 0))), 6) AS symmetry_error FROM (
 SELECT chrom, w_start, replicate, x.value AS a, y.value AS b FROM c x FULL JOIN (SELECT chrom, w_start, replicate, j AS i, i AS j, value FROM c) y USING (chrom, w_start, replicate, i, j)) GROUP BY 1, 2, 3""")
 
@@ -112,8 +114,26 @@ add("ag06_qc_by_class", qc, """, c AS (SELECT chrom, w_start, sum(value) AS tota
 t AS (SELECT t.type, c.* FROM (SELECT *, CAST(floor((s_center - 3200) / 800) AS BIGINT) * 800 AS w_start FROM fx_structures) t JOIN c ON c.chrom = t.chrom AND c.w_start = t.w_start)
 SELECT coalesce(type, 'ALL') AS type, count(*) AS n, round(avg(total), 6) AS mean_total, round(quantile_cont(top, 0.5), 6) AS median_top, round(avg(1 - stored / 4160.0::DOUBLE), 6) AS zero_fraction, CAST(0 AS BIGINT) AS nan FROM t GROUP BY GROUPING SETS ((type), ())""")
 add("iv01_windows", lambda s, d: X.windows(s, d).groupBy("scale", "chrom").agg(F.count("*").alias("n"), F.min("w_start").alias("first"), F.max("w_end").alias("last")), "SELECT scale, chrom, count(*) AS n, min(w_start) AS first, max(w_end) AS last FROM fx_windows GROUP BY 1, 2")
-add("sf03_window_ids", lambda s, d: X.windows(s, d).select("scale", "w_start", ids.scale_window_id(F.col("scale"), F.col("chrom"), F.col("w_start"), F.col("w_end")).alias("id"), ids.window_id(F.col("chrom"), F.col("w_start"), F.col("w_end")).alias("plain_id")), "SELECT scale, w_start, 'MSWIN_' || sha256(scale || '|' || chrom || '|' || w_start || '|' || w_end)[1:16] AS id, 'WIN_' || sha256(chrom || '|' || w_start || '|' || w_end)[1:16] AS plain_id FROM fx_windows")
+add(
+    "sf03_window_ids",
+    lambda s, d: X.windows(s, d).select("chrom", "scale", "w_start", ids.scale_window_id(F.col("scale"), F.col("chrom"), F.col("w_start"), F.col("w_end")).alias("id"), ids.window_id(F.concat(F.lit(" "), "chrom"), F.col("w_start"), F.col("w_end")).alias("plain_id")),
+    "SELECT chrom, scale, w_start, 'WIN_' || scale || '_' || sha256(scale || '|' || chrom || '|' || w_start || '|' || w_end)[1:16] AS id, 'WIN_' || sha256(chrom || '|' || w_start || '|' || w_end)[1:16] AS plain_id FROM fx_windows",
+)
 add("sf01_structure_ids", lambda s, d: X.structures(s, d).select("structure", ids.structure_id(F.col("type"), F.col("chrom"), F.col("s_start"), F.col("s_end"), F.col("s_center")).alias("id")), "SELECT structure, type || '_' || sha256(type || '|' || chrom || '|' || s_start || '|' || s_end || '|' || regexp_replace(printf('%.6f', s_center), '\\.?0+$', ''))[1:16] AS id FROM fx_structures")
 add("sf02_short_decimal", lambda s, d: X.table(s, d, "part").select("p_partkey", ids.short_decimal(F.col("p_retailprice") / 8).alias("text")), "SELECT p_partkey, regexp_replace(printf('%.6f', p_retailprice / 8), '\\.?0+$', '') AS text FROM part", False)
-add("sf04_region_ids", lambda s, d: X.medium(s, d).select("w_start", ids.region_id(F.col("chrom"), F.col("w_start"), F.col("w_end"), F.concat(F.lit("W"), F.col("w_start").cast("string"))).alias("id")), "SELECT w_start, 'FREG_' || sha256(chrom || '|' || w_start || '|' || w_end || '|W' || w_start)[1:16] AS id FROM fx_medium")
+
+
+def region_names(s, d):
+    """Identifiers of regions by all four schemes, each from its peak window's."""
+    plain, scaled = ids.window_id(F.col("chrom"), F.col("w_start"), F.col("w_end")), ids.scale_window_id(F.lit("medium"), F.col("chrom"), F.col("w_start"), F.col("w_end"))
+    kinds = {"single": plain, "multiscale": scaled, "equalized": scaled}
+    return X.medium(s, d).select("chrom", "w_start", ids.region_id(F.col("chrom"), F.col("w_start"), F.col("w_end"), plain).alias("final"), *[ids.peak_region_id(k, c).alias(k) for k, c in kinds.items()])
+
+
+add(
+    "sf04_region_ids",
+    region_names,
+    """, w AS (SELECT *, sha256(chrom || '|' || w_start || '|' || w_end)[1:16] AS p, sha256('medium|' || chrom || '|' || w_start || '|' || w_end)[1:16] AS q FROM fx_medium)
+SELECT chrom, w_start, 'FREG_' || sha256(chrom || '|' || w_start || '|' || w_end || '|WIN_' || p)[1:16] AS final, 'REG_' || p AS single, 'MSREG_medium_' || q AS multiscale, 'EQREG_medium_' || q AS equalized FROM w""",
+)
 add("sf05_safe_name", lambda s, d: X.table(s, d, "part").select("p_partkey", ids.safe_name(F.concat_ws("/", "p_name", "p_type")).alias("name")), "SELECT p_partkey, regexp_replace(concat_ws('/', p_name, p_type), '[^A-Za-z0-9_.-]+', '_', 'g') AS name FROM part", False)

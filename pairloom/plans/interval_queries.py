@@ -59,12 +59,13 @@ SELECT replicate, count(*) AS n, count(*) FILTER (z IS NULL) AS missing, CAST(su
 add("jn03_inner_split", lambda s, d: X.marked(s, d).join(s.createDataFrame([("train", 1), ("cal", 2)], "split string, part int"), "split").groupBy("split", "part").agg(F.count("*").alias("n"), F.avg("rep1_density").alias("mean")), "SELECT split, CASE split WHEN 'train' THEN 1 ELSE 2 END AS part, count(*) AS n, round(avg(rep1_density), 6) AS mean FROM fx_marked WHERE split IN ('train', 'cal') GROUP BY 1, 2")
 add("jn10_map_lookup", lambda s, d: X.medium(s, d).select("w_start", "chrom", F.coalesce(F.element_at(F.create_map(F.lit("A"), F.lit(1), F.lit("N"), F.lit(2)), F.col("chrom")), F.lit(0)).alias("code")), "SELECT w_start, chrom, CAST(CASE chrom WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 0 END AS BIGINT) AS code FROM fx_medium")
 best_first = lambda: [F.desc("score"), F.col("chrom"), F.col("w_start")]
+falling = lambda: -F.col("score")
 scored = lambda s, d: X.scores(s, d).select("chrom", "w_start", "w_end", "center", F.round((F.col("rep1_density") + F.col("rep2_density")) / 2, 9).alias("score"))
 RANKED = ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chrom, w_start) AS rank, count(*) OVER () AS n FROM (SELECT chrom, w_start, w_end, center, round((rep1_density + rep2_density) / 2, 9) AS score FROM fx_scores))"
-add("wf01_rank_percentile", lambda s, d: S.ranked(scored(s, d), best_first()).select("chrom", "w_start", "rank", "percentile"), RANKED + " SELECT chrom, w_start, rank, round(1 - (rank - 1) / n, 6) AS percentile FROM r")
-add("tk01_multi_key_sort", lambda s, d: S.ranked(scored(s, d), [F.desc("score"), F.asc("w_end"), F.desc("chrom")]).where("rank <= 50").select("chrom", "w_start", "rank"), "SELECT chrom, w_start, rank FROM (SELECT *, row_number() OVER (ORDER BY round((rep1_density + rep2_density) / 2, 9) DESC, w_end, chrom DESC) AS rank FROM fx_scores) WHERE rank <= 50")
+add("wf01_rank_percentile", lambda s, d: S.ranked(scored(s, d), best_first(), by=falling()).select("chrom", "w_start", "rank", "percentile"), RANKED + " SELECT chrom, w_start, rank, round(1 - (rank - 1) / n, 6) AS percentile FROM r")
+add("tk01_multi_key_sort", lambda s, d: S.ranked(scored(s, d), [F.desc("score"), F.asc("w_end"), F.desc("chrom")], by=falling()).where("rank <= 50").select("chrom", "w_start", "rank"), "SELECT chrom, w_start, rank FROM (SELECT *, row_number() OVER (ORDER BY round((rep1_density + rep2_density) / 2, 9) DESC, w_end, chrom DESC) AS rank FROM fx_scores) WHERE rank <= 50")
 add("tk02_hash_tie_break", lambda s, d: S.ranked(X.medium(s, d).withColumn("block", F.expr("w_start div 25600")), [F.col("block"), ids.tie_key(20260920, F.concat_ws("|", "chrom", "w_start"))], ["chrom"]).select("chrom", "w_start", "rank"), "SELECT chrom, w_start, row_number() OVER (PARTITION BY chrom ORDER BY w_start // 25600, sha256('20260920|' || chrom || '|' || w_start)) AS rank FROM fx_medium")
-add("tk03_top_fraction", lambda s, d: S.top_fraction(scored(s, d), best_first(), 0.1).select("chrom", "w_start"), RANKED + " SELECT chrom, w_start FROM r WHERE rank <= greatest(1, ceil(round(n * 0.1, 9)))")
+add("tk03_top_fraction", lambda s, d: S.top_fraction(scored(s, d), best_first(), 0.1, by=falling()).select("chrom", "w_start"), RANKED + " SELECT chrom, w_start FROM r WHERE rank <= greatest(1, ceil(round(n * 0.1, 9)))")
 add("tk04_nlargest", lambda s, d: scored(s, d).orderBy(*best_first()).limit(20).select("chrom", "w_start", "score"), RANKED + " SELECT chrom, w_start, round(score, 6) AS score FROM r WHERE rank <= 20")
 add("wf02_islands", lambda s, d: I.islands(X.structures(s, d), "s_start", "s_end", ["structure"], ["chrom"]).select("structure", "chrom", "island"), """, a AS (SELECT *, max(s_end) OVER (PARTITION BY chrom ORDER BY s_start, s_end, structure ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fx_structures)
 SELECT structure, chrom, CAST(sum(CASE WHEN m IS NULL OR s_start >= m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s_start, s_end, structure ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM a""")
@@ -74,12 +75,12 @@ g AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 3200 THEN 1 ELSE 0 END)
 
 def merged(s, d):
     """Top windows joined into regions by gaps of centers; the peak is the best ranked member."""
-    top = S.ranked(scored(s, d), best_first()).withColumn("_n", F.count("*").over(W.partitionBy())).where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * 0.1, 9))))
+    top = S.top_fraction(scored(s, d), best_first(), 0.1, by=falling(), rank="rank")
     g = I.gap_islands(top, "center", 3200, ["w_start"], ["chrom"]).groupBy("chrom", "island")
     return g.agg(F.min("w_start").alias("r_start"), F.max("w_end").alias("r_end"), F.rint(F.avg("center")).cast("long").alias("center"), F.count("*").alias("members"), F.min_by("w_start", "rank").alias("peak"), F.min("rank").alias("peak_rank"))
 
 
-add("wf03_gap_islands", lambda s, d: I.gap_islands(S.top_fraction(scored(s, d), best_first(), 0.1), "center", 3200, ["w_start"], ["chrom"]).select("chrom", "w_start", "island"), RANKED + GAPS + " SELECT chrom, w_start, island FROM g")
+add("wf03_gap_islands", lambda s, d: I.gap_islands(S.top_fraction(scored(s, d), best_first(), 0.1, by=falling()), "center", 3200, ["w_start"], ["chrom"]).select("chrom", "w_start", "island"), RANKED + GAPS + " SELECT chrom, w_start, island FROM g")
 add("iv05_center_gap_regions", merged, RANKED + GAPS + " SELECT chrom, island, min(w_start) AS r_start, max(w_end) AS r_end, CAST(round_even(avg(center), 0) AS BIGINT) AS center, count(*) AS members, arg_min(w_start, rank) AS peak, min(rank) AS peak_rank FROM g GROUP BY 1, 2")
 ISLAND = """, i AS (SELECT chrom, min(s_start) AS a, max(s_end) AS b, count(*) AS n, string_agg(DISTINCT type, ';' ORDER BY type) AS types, bool_or(type = 'CHIN') AS has_chin, arg_min(structure, (s_start, structure)) AS first FROM (
 SELECT *, sum(CASE WHEN m IS NULL OR s_start >= m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s_start, s_end, structure ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -92,9 +93,15 @@ add("iv07_cumulative_union", lambda s, d: I.cumulative_union(ranked_structures(s
 p AS (SELECT chrom, edge, lead(edge) OVER (PARTITION BY chrom ORDER BY edge) AS b FROM (SELECT chrom, s_start AS edge FROM q UNION SELECT chrom, s_end FROM q)),
 m AS (SELECT p.chrom, p.edge, p.b, min(rank) AS rank FROM p JOIN q ON q.chrom = p.chrom AND q.s_start < p.b AND q.s_end > p.edge GROUP BY 1, 2, 3)
 SELECT q.chrom, q.rank, CAST(coalesce((SELECT sum(b - edge) FROM m WHERE m.chrom = q.chrom AND m.rank <= q.rank), 0) AS BIGINT) AS cumulative_bp FROM q""")
-add("wf05_running_coverage", lambda s, d: I.cumulative_union(S.ranked(scored(s, d).where("chrom = 'A'"), best_first()).where("rank <= 80"), "w_start", "w_end", "rank", ["chrom"], X.BUCKET), """, q AS (SELECT *, row_number() OVER (ORDER BY round((rep1_density + rep2_density) / 2, 9) DESC, w_start) AS rank FROM fx_scores WHERE chrom = 'A' QUALIFY rank <= 80),
-p AS (SELECT edge, lead(edge) OVER (ORDER BY edge) AS b FROM (SELECT w_start AS edge FROM q UNION SELECT w_end FROM q)), m AS (SELECT p.edge, p.b, min(rank) AS rank FROM p JOIN q ON q.w_start < p.b AND q.w_end > p.edge GROUP BY 1, 2)
-SELECT 'A' AS chrom, q.rank, CAST(coalesce((SELECT sum(b - edge) FROM m WHERE m.rank <= q.rank), 0) AS BIGINT) AS cumulative_bp FROM q""")
+add(
+    "wf05_running_coverage",
+    lambda s, d: I.cumulative_union(S.ranked(scored(s, d), best_first(), ["chrom"], by=falling()), "w_start", "w_end", "rank", ["chrom"], X.BUCKET, wide=True).drop("before_bp"),
+    """, q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY round((rep1_density + rep2_density) / 2, 9) DESC, w_start) AS rank FROM fx_scores),
+p AS (SELECT chrom, edge, lead(edge) OVER (PARTITION BY chrom ORDER BY edge) AS b FROM (SELECT chrom, w_start AS edge FROM q UNION SELECT chrom, w_end FROM q)),
+m AS (SELECT p.chrom, p.edge, p.b, min(rank) AS rank FROM p JOIN q ON q.chrom = p.chrom AND q.w_start < p.b AND q.w_end > p.edge GROUP BY 1, 2, 3),
+a AS (SELECT chrom, rank, sum(b - edge) AS added FROM m GROUP BY 1, 2)
+SELECT q.chrom, q.rank, CAST(coalesce(sum(added) OVER (PARTITION BY q.chrom ORDER BY q.rank), 0) AS BIGINT) AS cumulative_bp FROM q LEFT JOIN a ON a.chrom = q.chrom AND a.rank = q.rank""",
+)
 add("iv09_pair_counts", lambda s, d: I.overlap_pairs(X.medium(s, d), X.structures(s, d), ("w_start", "w_end"), ("s_start", "s_end")), f"SELECT chrom, coalesce(n, 0) AS pairs FROM (SELECT DISTINCT chrom FROM (SELECT chrom FROM fx_medium UNION SELECT chrom FROM fx_structures)) LEFT JOIN (SELECT w.chrom, count(*) AS n FROM fx_medium w JOIN fx_structures t ON {HIT} GROUP BY 1) USING (chrom)")
 add("iv08_any_overlap", lambda s, d: I.islands(X.structures(s, d), "s_start", "s_end", [], ["chrom"]).groupBy("chrom").agg((F.count("*") > F.max("island")).alias("any_overlap")), ISLAND + " SELECT chrom, sum(n) > count(*) AS any_overlap FROM i GROUP BY 1")
 
@@ -112,7 +119,7 @@ FROM fx_medium w LEFT JOIN fx_structures t ON {HIT} GROUP BY 1, 2"""
 add("iv03_overlap_annotation", annotated, ANNOTATED)
 add("iv02_center_annotation", lambda s, d: annotated(s, d).where("center_overlap").groupBy("chrom").agg(F.count("*").alias("n")), f"SELECT chrom, count(*) AS n FROM ({ORACLES['iv03_overlap_annotation']}) WHERE center_overlap GROUP BY 1", False)
 add("ag12_sorted_distinct", lambda s, d: overlaps(s, d).groupBy("structure").agg(F.concat_ws(";", F.array_sort(F.collect_set("scale"))).alias("scales")), f"SELECT t.structure, string_agg(DISTINCT w.scale, ';' ORDER BY w.scale) AS scales FROM fx_windows w JOIN fx_structures t ON {HIT} GROUP BY 1")
-add("jn11_best_overlap", lambda s, d: I.best_overlap(X.structures(s, d), S.ranked(scored(s, d), best_first()), ["structure"], F.col("rank"), X.BUCKET, keep=["w_start"]), RANKED + f" SELECT t.structure, min(w.rank) AS best_rank, arg_min(w.w_start, w.rank) AS w_start FROM fx_structures t JOIN r w ON {HIT} GROUP BY 1")
+add("jn11_best_overlap", lambda s, d: I.best_overlap(X.structures(s, d), S.ranked(scored(s, d), best_first(), by=falling()), ["structure"], F.col("rank"), X.BUCKET, keep=["w_start"]), RANKED + f" SELECT t.structure, min(w.rank) AS best_rank, arg_min(w.w_start, w.rank) AS w_start FROM fx_structures t JOIN r w ON {HIT} GROUP BY 1")
 add("jn12_nearest_center", lambda s, d: I.nearest(X.structures(s, d), X.medium(s, d), "s_center", "center").select("structure", "nearest_center", "center_distance"), "SELECT t.structure, CAST(arg_min(w.center, (abs(w.center - t.s_center), w.center)) AS DOUBLE) AS nearest_center, min(abs(w.center - t.s_center)) AS center_distance FROM fx_structures t JOIN fx_medium w ON w.chrom = t.chrom GROUP BY 1")
 split_rows = lambda s, d: X.marked(s, d).where("split IN ('train', 'val', 'cal')")
 LEAK = "SELECT a.split AS left_split, b.split AS right_split, count(*) AS pairs FROM fx_marked a JOIN fx_marked b ON a.chrom = b.chrom AND a.split < b.split AND a.w_start < b.w_end AND a.w_end > b.w_start WHERE {} GROUP BY 1, 2"
@@ -136,7 +143,7 @@ add("wf07_neighbour_audit", lambda s, d: X.structures(s, d).withColumns({"before
 add("wf08_first_appearance", lambda s, d: X.structures(s, d).groupBy("type").agg(F.min("structure").alias("first")).withColumn("place", F.row_number().over(W.orderBy("first"))), "SELECT type, first, row_number() OVER (ORDER BY first) AS place FROM (SELECT type, min(structure) AS first FROM fx_structures GROUP BY 1)")
 add("wf09_representative", lambda s, d: X.structures(s, d).groupBy("chrom", "type").agg(F.min_by("structure", F.struct((F.col("s_start") - F.col("s_end")).alias("x"), "structure")).alias("representative")), "SELECT chrom, type, arg_min(structure, (s_start - s_end, structure)) AS representative FROM fx_structures GROUP BY 1, 2")
 add("wf11_average_ranks", lambda s, d: stats.average_ranks(X.table(s, d, "part").select("p_partkey", "p_size", "p_brand"), ["p_size"], ["p_brand"]).select("p_partkey", "rank_p_size"), "SELECT p_partkey, round(rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE, 6) AS rank_p_size FROM part", False)
-medium_peaks = lambda s, d: S.greedy(S.ranked(scored(s, d), best_first()).withColumn("radius", F.lit(3200.0)).withColumn("rank", F.col("rank").cast("long")), ["chrom"], "rank", "center", "radius")
+medium_peaks = lambda s, d: S.greedy(S.ranked(scored(s, d), best_first(), by=falling()).withColumn("radius", F.lit(3200.0)).withColumn("rank", F.col("rank").cast("long")), ["chrom"], "rank", "center", "radius")
 RECURSIVE = RANKED + """, o AS (SELECT chrom, w_start, center, rank, row_number() OVER (PARTITION BY chrom ORDER BY rank) AS k FROM r),
 walk AS (SELECT chrom, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT chrom FROM o) UNION ALL
   SELECT w.chrom, o.k, CASE WHEN len(list_filter(w.kept, lambda c: abs(c - o.center) < 3200)) > 0 THEN w.kept ELSE list_append(w.kept, o.center) END FROM walk w JOIN o ON o.chrom = w.chrom AND o.k = w.k + 1),
@@ -145,7 +152,7 @@ SELECT chrom, count(*) AS peaks, CAST(sum(center) AS BIGINT) AS centers FROM kep
 add("tk06_nms_fixed_radius", lambda s, d: medium_peaks(s, d).where("is_peak").groupBy("chrom").agg(F.count("*").alias("peaks"), F.sum("center").alias("centers")), None)
 ORACLES["tk06_nms_fixed_radius"] = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1) + RECURSIVE
 add("tk06_regions", lambda s, d: S.regions(medium_peaks(s, d), ["chrom"], "rank", "w_start", "w_end", 800))
-cross = lambda s, d: S.greedy(S.ranked(X.windows(s, d).withColumn("score", F.pmod(F.xxhash64("scale", "chrom", "w_start"), F.lit(1000))), [F.desc("score"), F.col("scale"), F.col("chrom"), F.col("w_start")]).withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}), ["chrom"], "rank", "center", "radius")
+cross = lambda s, d: S.greedy(S.ranked(X.windows(s, d).withColumn("score", F.pmod(F.xxhash64("scale", "chrom", "w_start"), F.lit(1000))), [F.desc("score"), F.col("scale"), F.col("chrom"), F.col("w_start")], by=falling()).withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}), ["chrom"], "rank", "center", "radius")
 add("tk07_cross_scale_nms", lambda s, d: cross(s, d).groupBy("chrom", "owner").agg(F.count_if("is_peak").alias("peaks"), F.count("*").alias("members"), F.count_if(F.col("scale") == "small").alias("small"), F.count_if(F.col("scale") == "medium").alias("medium"), F.count_if(F.col("scale") == "large").alias("large")))
 add("tk09_coverage_budget", lambda s, d: S.within_budget(I.cumulative_union(ranked_structures(s, d), "s_start", "s_end", "rank", ["chrom"], X.BUCKET), F.lit(12000), "rank", ["chrom"]).groupBy("chrom").agg(F.max("cumulative_bp").alias("covered_bp"), F.count("*").alias("regions")), "SELECT chrom, max(cumulative_bp) AS covered_bp, count(*) AS regions FROM (SELECT *, coalesce(lag(cumulative_bp) OVER (PARTITION BY chrom ORDER BY rank), 0) AS before FROM (" + ORACLES["iv07_cumulative_union"] + ")) WHERE before < 12000 GROUP BY 1", False)
 add("tk11_min_gap", lambda s, d: S.min_gap(X.marked(s, d).where("NOT known").select("chrom", "w_start", "center"), ["chrom"], "center", ["w_start"], 4800.0).groupBy("chrom").agg(F.count("*").alias("n"), F.sum("center").alias("centers")), None)

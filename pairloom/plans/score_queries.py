@@ -16,6 +16,7 @@ from pairloom.operators import selection as S
 from pairloom.operators import splits as P
 from pairloom.operators import stats
 from pairloom.operators import status as G
+from pairloom.operators.ranges import settled
 from pairloom.plans import fixtures as X
 from pairloom.plans.interval_queries import HIT, PAIRS, replicate_pairs
 from pairloom.sources import annotations as A
@@ -63,7 +64,7 @@ def window_scores(s, d):
     """Fused in each replicate, then averaged: maximum first, average second."""
     a, b = fusions("rep1")["or_max"], fusions("rep2")["or_max"]
     v = wide_z(s, d).select("chrom", "w_start", "known", F.round((a + b) / 2, 9).alias("score"), F.abs(a - b).alias("difference"), F.least(a, b).alias("least"))
-    return S.ranked(v, [F.desc("score"), F.col("chrom"), F.col("w_start")])
+    return S.ranked(v, [F.desc("score"), F.col("chrom"), F.col("w_start")], by=-F.col("score"))
 
 
 SCORED = WIDE + ", s AS (SELECT chrom, w_start, known, round((greatest(rep1_density, rep1_shape) + greatest(rep2_density, rep2_shape)) / 2, 9) AS score, abs(greatest(rep1_density, rep1_shape) - greatest(rep2_density, rep2_shape)) AS difference, least(greatest(rep1_density, rep1_shape), greatest(rep2_density, rep2_shape)) AS least FROM v), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chrom, w_start) AS rank, count(*) OVER () AS n FROM s)"
@@ -103,7 +104,7 @@ add("sc11_reconstruction_error", lambda s, d: X.oe(s, d).where("d > 2").join(X.o
 def proposals(s, d):
     p = calibrated(s, d).join(X.medium(s, d).select("chrom", "w_start", "w_end", "center"), ["chrom", "w_start"])
     rows = p.select("chrom", "w_start", "w_end", "center", F.explode(F.array(*[F.struct(F.lit(b).alias("channel"), F.round(F.sqrt(F.col(f"rep1_{b}") * F.col(f"rep2_{b}")), 9).alias("pair_p")) for b in ("density", "shape")])).alias("z")).select("chrom", "w_start", "w_end", "center", "z.*").where("pair_p <= 0.1")
-    r = S.ranked(rows, [F.col("pair_p"), F.col("chrom"), F.col("w_start")], ["channel"]).withColumns({"rank": F.col("rank").cast("long"), "radius": F.lit(3200.0)})
+    r = S.ranked(rows, [F.col("pair_p"), F.col("chrom"), F.col("w_start")], ["channel"], by=F.col("pair_p")).withColumns({"rank": F.col("rank").cast("long"), "radius": F.lit(3200.0)})
     return S.greedy(r.drop("percentile"), ["channel", "chrom"], "rank", "center", "radius").where("is_peak")
 
 
@@ -164,7 +165,7 @@ add("st01_pixel_correlations", lambda s, d: stats.correlations(replicate_pairs(s
 
 def subsets(s, d):
     m = X.marked(s, d).select("chrom", F.round("rep1_density", 9).alias("a"), F.round("rep1_shape", 9).alias("b"), "known", "split")
-    return stats.correlations(m.withColumn("subset", F.explode(F.filter(F.array(F.lit("all"), F.when(~F.col("known"), "background"), F.when(F.col("known"), "known")), lambda x: x.isNotNull()))), "a", "b", ["subset"])
+    return stats.correlations(m.withColumn("subset", F.explode(F.filter(F.array(F.lit("all"), F.when(~F.col("known"), "background"), F.when(F.col("known"), "known")), lambda x: x.isNotNull()))), "a", "b", ["subset"], wide=True)
 
 
 add("st02_branch_correlations", subsets, ", u AS (SELECT round(rep1_density, 9) AS a, round(rep1_shape, 9) AS b, known FROM fx_marked) " + corr_sql("subset", "a", "b", "SELECT 'all' AS subset, a, b FROM u UNION ALL SELECT 'background', a, b FROM u WHERE NOT known UNION ALL SELECT 'known', a, b FROM u WHERE known"))
@@ -213,10 +214,19 @@ def recall_at(s, d):
 
 BEST = SCORED + f", br AS (SELECT s2.structure, s2.type, min(w.rank) AS best FROM fx_structures s2 LEFT JOIN (SELECT t.*, w_start + 6400 AS w_end FROM t) w ON w.chrom = s2.chrom AND w.w_start < s2.s_end AND w.w_end > s2.s_start GROUP BY 1, 2)"
 add("ev01_recall_at_fractions", recall_at, BEST + ", fr AS (SELECT CAST(unnest([0.01, 0.02, 0.05, 0.1, 0.2]) AS DOUBLE) AS fraction) SELECT fraction, round(avg(coalesce(best <= greatest(1, ceil(round((SELECT count(*) FROM fx_medium) * fraction, 9))), false)::INT), 6) AS recall FROM br CROSS JOIN fr GROUP BY 1")
-add("ev03_score_ablation", lambda s, d: z_scores(s, d).where("branch LIKE 'rep1%'").withColumn("rank", F.row_number().over(W.partitionBy("branch").orderBy(F.desc(F.round("z", 9)), "chrom", "w_start"))).where("rank <= 100").groupBy("branch").agg(F.count_if("known").alias("known"), F.min("z").alias("least")), Z + " SELECT branch, count(*) FILTER (known) AS known, round(min(z), 6) AS least FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY round(z, 9) DESC, chrom, w_start) AS rank FROM z WHERE branch LIKE 'rep1%') WHERE rank <= 100 GROUP BY 1")
+add("ev03_score_ablation", lambda s, d: S.ranked(z_scores(s, d), [F.desc(F.round("z", 9)), F.col("chrom"), F.col("w_start")], ["branch"], by=-F.round("z", 9)).where("rank <= 100").groupBy("branch").agg(F.count_if("known").alias("known"), F.min("z").alias("least")), Z + " SELECT branch, count(*) FILTER (known) AS known, round(min(z), 6) AS least FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY round(z, 9) DESC, chrom, w_start) AS rank FROM z) WHERE rank <= 100 GROUP BY 1")
 add("ag14_missed_structures", lambda s, d: X.structures(s, d).join(I.best_overlap(X.structures(s, d), window_scores(s, d).join(X.medium(s, d).select("chrom", "w_start", "w_end"), ["chrom", "w_start"]), ["structure"], F.col("rank"), X.BUCKET), "structure", "left").where("best_rank > 100 OR best_rank IS NULL").groupBy("type").agg(F.count("*").alias("missed"), F.median("best_rank").alias("median_rank")), BEST + " SELECT type, count(*) AS missed, round(median(best), 6) AS median_rank FROM br WHERE best > 100 OR best IS NULL GROUP BY 1")
-add("ag16_rescue_categories", lambda s, d: X.structures(s, d).join(I.range_join(X.windows(s, d).where("w_start % 3200 = 0"), X.structures(s, d), X.BUCKET).groupBy("structure").agg(F.collect_set("scale").alias("scales")), "structure", "left").groupBy(F.when(F.col("scales").isNull(), "none").when(F.size("scales") > 1, "several").otherwise(F.col("scales")[0]).alias("category")).agg(F.count("*").alias("n")), f", a AS (SELECT t.structure, list(DISTINCT w.scale) FILTER (w.scale IS NOT NULL) AS s FROM fx_structures t LEFT JOIN fx_windows w ON {HIT} AND w.w_start % 3200 = 0 GROUP BY 1) SELECT CASE WHEN s IS NULL THEN 'none' WHEN len(s) > 1 THEN 'several' ELSE s[1] END AS category, count(*) AS n FROM a GROUP BY 1")
-add("ag15_scale_contribution", lambda s, d: X.windows(s, d).withColumn("rank", F.row_number().over(W.orderBy(ids.tie_key(1, F.concat_ws("|", "scale", "chrom", "w_start"))))).groupBy("scale").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 20).alias("top20"), F.count_if(F.col("rank") <= 100).alias("top100")), "SELECT scale, count(*) AS n, count(*) FILTER (rank <= 20) AS top20, count(*) FILTER (rank <= 100) AS top100 FROM (SELECT *, row_number() OVER (ORDER BY sha256('1|' || scale || '|' || chrom || '|' || w_start)) AS rank FROM fx_windows) GROUP BY 1")
+add("ag16_rescue_categories", lambda s, d: X.structures(s, d).join(I.range_join(X.windows(s, d), X.structures(s, d), X.BUCKET).groupBy("structure").agg(F.collect_set("scale").alias("scales")), "structure", "left").groupBy(F.when(F.col("scales").isNull(), "none").when(F.size("scales") > 1, "several").otherwise(F.col("scales")[0]).alias("category")).agg(F.count("*").alias("n")), f", a AS (SELECT t.structure, list(DISTINCT w.scale) FILTER (w.scale IS NOT NULL) AS s FROM fx_structures t LEFT JOIN fx_windows w ON {HIT} GROUP BY 1) SELECT CASE WHEN s IS NULL THEN 'none' WHEN len(s) > 1 THEN 'several' ELSE s[1] END AS category, count(*) AS n FROM a GROUP BY 1")
+
+
+def scale_contribution(s, d):
+    """How many of the best windows, in an order by hash, each scale has."""
+    key = ids.tie_key(1, F.concat_ws("|", "scale", "chrom", "w_start"))
+    r = S.ranked(X.windows(s, d).withColumn("key", key), [F.col("key")], by=F.conv(F.substring("key", 1, 12), 16, 10).cast("double"))
+    return r.groupBy("scale").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 20).alias("top20"), F.count_if(F.col("rank") <= 100).alias("top100"))
+
+
+add("ag15_scale_contribution", scale_contribution, "SELECT scale, count(*) AS n, count(*) FILTER (rank <= 20) AS top20, count(*) FILTER (rank <= 100) AS top100 FROM (SELECT *, row_number() OVER (ORDER BY sha256('1|' || scale || '|' || chrom || '|' || w_start)) AS rank FROM fx_windows) GROUP BY 1")
 # splits, gates, status, sets
 HASHED = ", bl AS (SELECT DISTINCT chrom || ':' || block AS block_id FROM fx_marked), hs AS (SELECT block_id, row_number() OVER (ORDER BY sha256('20260920|' || block_id), block_id) AS r, count(*) OVER () AS n FROM bl)"
 block_ids = lambda s, d: X.marked(s, d).select(F.concat("chrom", F.lit(":"), F.col("block").cast("string")).alias("block_id")).distinct()
@@ -229,33 +239,82 @@ add("val04_groups_in_two_splits", lambda s, d: P.groups_in_two_splits(P.group_sp
 add("sp04_group_folds", lambda s, d: P.group_folds(X.marked(s, d).groupBy("chrom", "block").count().withColumn("g", F.concat_ws(":", "chrom", "block")), "g", "count", 5).groupBy("fold").agg(F.sum("count").alias("n")))
 add("gt01_readiness_gate", lambda s, d: recall_at(s, d).agg(F.max(F.when(F.col("fraction") == 0.2, F.col("recall"))).alias("top"), F.min("recall").alias("low"), F.count("*").alias("n")).select(*G.gate({"enough_recall": F.col("top") >= 0.2, "monotone": F.col("low") <= F.col("top"), "all_fractions": F.col("n") == 5})), None)
 ORACLES["gt01_readiness_gate"] = "WITH r AS (" + ORACLES["ev01_recall_at_fractions"] + "), g AS (SELECT max(recall) FILTER (fraction = 0.2) >= 0.2 AS a, min(recall) <= max(recall) FILTER (fraction = 0.2) AS b, count(*) = 5 AS c FROM r) SELECT a AS enough_recall, b AS monotone, c AS all_fractions, a AND b AND c AS ready FROM g"
-POOL = "CASE WHEN known THEN 'KNOWN_OVERLAP' WHEN w_start % 3 = 0 AND w_start % 5 <> 0 THEN 'STRICT_NOVEL_CLUSTER' WHEN w_start % 5 = 0 THEN 'UNANNOTATED_NOISE' ELSE 'UNANNOTATED_CLUSTERED' END"
 
 
-def statuses(s, d):
+def candidates(s, d):
+    """Windows as candidates: noise and clusters by place, cluster 3 without annotated windows; annotations and pass flags."""
     w = F.expr("w_start div 800")
-    c = known_measured(s, d).withColumn("w", w).withColumn("cluster", F.when(w % 5 == 0, -1).otherwise(w % 4))
-    c = c.withColumns({"pool": G.pool(F.col("known"), F.lit(False), w % 3 == 0, F.col("cluster")), "valid": F.col("reason") == "valid"}).withColumn("passes", F.when(F.col("valid"), (F.col("pearson") >= 0.02) & (F.col("spearman") >= 0.02)))
-    return G.with_status(c).select("chrom", "w_start", "pool", "status")
+    c = known_measured(s, d).withColumn("cluster_id", F.when(w % 5 == 0, -1).when(F.col("known"), w % 3).otherwise(w % 4))
+    kind = F.when(F.col("cluster_id") == 1, "CHIN-like").when(F.col("cluster_id") == 3, "unannotated").otherwise("mixed-known")
+    passes = (F.col("pearson") >= -0.5) & (F.col("spearman") >= -0.5) & (w % 11 != 0)
+    return c.withColumns({"cluster_annotation": kind, "novel_like": F.col("cluster_id") == 3, "correlation_valid": F.col("reason") == "valid", "passes": passes})
+
+
+def statuses(s, d, calibrated=True):
+    c = settled(candidates(s, d))
+    clusters = c.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("candidate_count"), F.bool_and("novel_like").alias("novel_like"))
+    clusters = clusters.withColumn("known_count", F.when(F.col("cluster_id") == 3, 0).otherwise(4))
+    return G.with_status(c, clusters, calibrated)
+
+
+CANDIDATES = KNOWN + """, ca AS (SELECT *, w_start // 800 AS w, CASE WHEN w_start // 800 % 5 = 0 THEN -1 WHEN known THEN w_start // 800 % 3 ELSE w_start // 800 % 4 END AS cluster_id FROM gk),
+cb AS (SELECT *, reason = 'valid' AS ok, CASE WHEN reason = 'valid' THEN coalesce(pearson >= -0.5 AND spearman >= -0.5 AND w % 11 <> 0, false) END AS pass FROM ca),
+cl AS (SELECT cluster_id, count(*) >= 5 AND NOT bool_or(known) AND avg(pass::INT) >= 0.8 AS fit FROM cb WHERE cluster_id = 3 GROUP BY 1),
+cs AS (SELECT cb.*, coalesce(fit, false) AND coalesce(pass, false) AS strict,
+  CASE WHEN known THEN 'KNOWN_OVERLAP' WHEN cb.cluster_id = 3 THEN 'STRICT_NOVEL_CLUSTER' WHEN cb.cluster_id = -1 THEN 'UNANNOTATED_NOISE' ELSE 'UNANNOTATED_CLUSTERED' END AS pool FROM cb LEFT JOIN cl ON cl.cluster_id = cb.cluster_id),
+ct AS (SELECT *, CASE WHEN NOT ok THEN 'INSUFFICIENT_QUALITY' WHEN known THEN 'KNOWN_OVERLAP' WHEN strict THEN 'STRICT_NOVEL_CLUSTER_MEMBER'
+  ELSE CASE WHEN cluster_id = -1 THEN 'UNANNOTATED_NOISE' WHEN cluster_id = 1 THEN 'KNOWN_LIKE_CLUSTER' ELSE 'UNANNOTATED_CLUSTERED' END || CASE WHEN pass THEN '_REPRODUCIBLE' ELSE '_LOW_REPRODUCIBILITY' END END AS status FROM cs)"""
+add("cs01_status_cascade", lambda s, d: statuses(s, d).select("chrom", "w_start", F.col("candidate_pool").alias("pool"), F.col("final_status").alias("status"), "reproducible", "strict_novel_candidate"), CANDIDATES + " SELECT chrom, w_start, pool, status, pass AS reproducible, strict AS strict_novel_candidate FROM ct")
+add(
+    "cs01_without_calibration",
+    lambda s, d: statuses(s, d, False).groupBy("final_status").agg(F.count("*").alias("n"), F.count("reproducible").alias("decided"), F.first("evidence_note").alias("note")),
+    CANDIDATES + """, u AS (SELECT CASE WHEN ok THEN 'CONTROL_CALIBRATION_FAILURE' ELSE 'INSUFFICIENT_QUALITY' END AS final_status FROM ct)
+SELECT final_status, count(*) AS n, CAST(0 AS BIGINT) AS decided, CASE WHEN final_status LIKE 'CONTROL%' THEN 'Known-control floor invalid; binary candidate filtering stopped.' ELSE 'Primary correlation undefined; retain continuous diagnostics.' END AS note FROM u GROUP BY 1""",
+)
+add("ag19_cluster_reproducibility", lambda s, d: known_measured(s, d).withColumn("cluster", F.expr("w_start div 800 % 4")).groupBy("cluster").agg(F.count_if(F.col("reason") == "valid").alias("valid"), F.median("spearman").alias("median"), F.expr("percentile(spearman, 0.75) - percentile(spearman, 0.25)").alias("iqr"), F.avg((F.col("spearman") >= 0.02).cast("double")).alias("passing")), KNOWN + " SELECT w_start // 800 % 4 AS cluster, count(*) FILTER (reason = 'valid') AS valid, round(median(spearman), 6) AS median, round(quantile_cont(spearman, 0.75) - quantile_cont(spearman, 0.25), 6) AS iqr, round(avg((spearman >= 0.02)::INT), 6) AS passing FROM gk GROUP BY 1")
 
 
-add("cs01_status_cascade", statuses, KNOWN + """, z AS (SELECT *, w_start // 800 AS w, reason = 'valid' AS valid FROM gk), y AS (SELECT *, CASE WHEN w % 5 = 0 THEN -1 ELSE w % 4 END AS cluster, CASE WHEN valid THEN pearson >= 0.02 AND spearman >= 0.02 END AS passes FROM z),
-x AS (SELECT *, CASE WHEN known THEN 'KNOWN_OVERLAP' WHEN w % 3 = 0 AND cluster >= 0 THEN 'STRICT_NOVEL_CLUSTER' WHEN cluster < 0 THEN 'UNANNOTATED_NOISE' ELSE 'UNANNOTATED_CLUSTERED' END AS pool, avg(CASE WHEN valid THEN passes::INT END) OVER (PARTITION BY cluster) AS rate FROM y)
-SELECT chrom, w_start, pool, CASE WHEN pool = 'KNOWN_OVERLAP' AND NOT valid THEN 'known_overlap_unmeasured' WHEN pool = 'KNOWN_OVERLAP' AND coalesce(passes, false) THEN 'known_overlap_reproducible' WHEN pool = 'KNOWN_OVERLAP' THEN 'known_overlap_not_reproducible' WHEN NOT valid THEN 'unmeasured'
-WHEN pool = 'STRICT_NOVEL_CLUSTER' AND coalesce(passes, false) AND coalesce(rate, 0) >= 0.8 THEN 'strict_novel_reproducible' WHEN pool = 'STRICT_NOVEL_CLUSTER' THEN 'strict_novel_not_supported' WHEN pool = 'UNANNOTATED_NOISE' AND coalesce(passes, false) THEN 'noise_reproducible' WHEN coalesce(passes, false) THEN 'clustered_reproducible' ELSE 'not_reproducible' END AS status FROM x""")
-add("ag19_cluster_reproducibility", lambda s, d: known_measured(s, d).withColumn("cluster", F.expr("w_start div 800 % 4")).groupBy("cluster").agg(F.count_if(F.col("reason") == "valid").alias("valid"), F.median("spearman").alias("median"), F.expr("percentile(spearman, 0.75) - percentile(spearman, 0.25)").alias("iqr"), F.avg((F.col("spearman") >= 0.02).cast("double")).alias("passing")), KNOWN + " SELECT w_start // 800 % 4 AS cluster, count(*) FILTER (reason = 'valid') AS valid, round(median(spearman), 6) AS median, round(quantile_cont(spearman, 0.75) - quantile_cont(spearman, 0.25), 6) AS iqr, round(avg((spearman >= 0.02)::INT), 6) AS passing FROM gk GROUP BY 1")
-add("cs03_follow_up", lambda s, d: statuses(s, d).where("status LIKE '%_reproducible' AND pool <> 'KNOWN_OVERLAP' AND status <> 'not_reproducible'").groupBy("pool", "status").agg(F.count("*").alias("n")), "SELECT pool, status, count(*) AS n FROM (" + ORACLES["cs01_status_cascade"] + ") WHERE status LIKE '%\\_reproducible' ESCAPE '\\' AND pool <> 'KNOWN_OVERLAP' AND status <> 'not_reproducible' GROUP BY 1, 2", False)
+def follow_up(s, d):
+    """The strict table and the follow-up table, ranked by reproducibility."""
+    strict, more = G.final_tables(statuses(s, d))
+    order = [F.desc_nulls_last("spearman"), F.desc_nulls_last("pearson"), F.col("chrom"), F.col("w_start")]
+    rows = strict.withColumn("final_table", F.lit("strict")).unionByName(more.withColumn("final_table", F.lit("follow_up")))
+    return S.ranked(rows, order, ["final_table"], by=-F.coalesce("spearman", F.lit(-2.0))).select("final_table", "rank", "chrom", "w_start", "final_status")
 
 
-def cluster_table(s, d):
-    e = X.table(s, d, "embeddings").withColumn("cluster", F.col("vec_id") % 6)
-    c = e.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    top = c.groupBy("cluster").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("dominant"), F.max("n").alias("top"), F.sum("n").alias("n"))
-    return top.select("cluster", "dominant", "n", (F.col("top") / F.col("n")).alias("purity"), G.annotation(F.col("top") / F.col("n"), F.concat(F.lit("T"), F.col("dominant").cast("string")), F.col("n"), 0.13).alias("annotation"))
+add(
+    "cs03_follow_up",
+    follow_up,
+    CANDIDATES + """, ft AS (SELECT *, CASE WHEN strict AND NOT known THEN 'strict' ELSE 'follow_up' END AS final_table FROM ct WHERE NOT known AND pass AND (strict OR status IN ('UNANNOTATED_CLUSTERED_REPRODUCIBLE', 'UNANNOTATED_NOISE_REPRODUCIBLE', 'KNOWN_LIKE_CLUSTER_REPRODUCIBLE')))
+SELECT final_table, row_number() OVER (PARTITION BY final_table ORDER BY spearman DESC NULLS LAST, pearson DESC NULLS LAST, chrom, w_start) AS rank, chrom, w_start, status AS final_status FROM ft""",
+)
 
 
-add("ag18_cluster_summary", cluster_table, "WITH c AS (SELECT vec_id % 6 AS cluster, label, count(*) AS n FROM embeddings GROUP BY 1, 2), t AS (SELECT cluster, arg_max(label, (n, -label)) AS dominant, max(n) AS top, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1) SELECT cluster, CAST(dominant AS BIGINT) AS dominant, n, round(top / n, 6) AS purity, CASE WHEN top / n >= 0.13 THEN 'T' || dominant || '-like' ELSE 'mixed-known' END AS annotation FROM t", False)
-add("cs02_annotation", lambda s, d: cluster_table(s, d).groupBy("annotation").agg(F.count("*").alias("n")), "SELECT annotation, count(*) AS n FROM (" + ORACLES["ag18_cluster_summary"] + ") GROUP BY 1", False)
+def cluster_table(s, d):
+    """Clusters of vectors: known members (labels 0 to 2, as classes), candidates (the others), and candidates that overlap an annotation."""
+    e = X.table(s, d, "embeddings").withColumns({"cluster": F.col("vec_id") % 40, "known": F.col("label") <= 2})
+    e = e.withColumn("known", F.col("known") & (F.col("cluster") % 4 != 0)).withColumn("overlaps", ~F.col("known") & (F.col("vec_id") % 120 == 8))
+    c = e.groupBy("cluster", "known", "label").agg(F.count("*").alias("n"), F.count_if("overlaps").alias("o"))
+    own = F.when(F.col("known"), F.struct("n", (-F.col("label")).alias("l")))
+    top = c.groupBy("cluster").agg(
+        F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("known_count"), F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias("candidate_count"), F.sum("o").alias("overlap_count"), F.max(own).alias("top")
+    )
+    top = top.withColumns({"dominant": -F.col("top.l"), "purity": F.try_divide(F.col("top.n").cast("double"), F.col("known_count").cast("double"))})
+    top = top.withColumn("annotation", G.annotation(F.col("purity"), F.concat(F.lit("T"), F.col("dominant").cast("string")), F.col("known_count")))
+    top = top.withColumn("novel_like", G.novel_like(F.col("candidate_count"), F.col("known_count"), F.col("overlap_count")))
+    return top.withColumn("priority", G.priority(F.col("novel_like"), F.col("candidate_count"), F.col("known_count"), F.col("annotation"))).drop("top")
+
+
+CLUSTERS = """WITH e AS (SELECT *, vec_id % 40 AS cluster, label <= 2 AND vec_id % 40 % 4 <> 0 AS known FROM embeddings), f AS (SELECT *, NOT known AND vec_id % 120 = 8 AS ov FROM e),
+c AS (SELECT cluster, known, label, count(*) AS n, count(*) FILTER (ov) AS o FROM f GROUP BY 1, 2, 3),
+t AS (SELECT cluster, CAST(coalesce(sum(n) FILTER (known), 0) AS BIGINT) AS known_count, CAST(coalesce(sum(n) FILTER (NOT known), 0) AS BIGINT) AS candidate_count, CAST(sum(o) AS BIGINT) AS overlap_count,
+  arg_max(label, (n, -label)) FILTER (known) AS dominant, max(n) FILTER (known) AS top FROM c GROUP BY 1),
+u AS (SELECT *, top / known_count::DOUBLE AS purity, candidate_count >= 5 AND known_count = 0 AND overlap_count = 0 AS novel_like FROM t),
+v AS (SELECT *, CASE WHEN known_count = 0 THEN 'unannotated' WHEN purity >= 0.5 THEN 'T' || dominant || '-like' ELSE 'mixed-known' END AS annotation FROM u)
+SELECT cluster, known_count, candidate_count, overlap_count, CAST(dominant AS BIGINT) AS dominant, round(purity, 6) AS purity, annotation, novel_like,
+CASE WHEN novel_like THEN 'High' WHEN known_count > 0 AND (annotation <> 'mixed-known' OR candidate_count = 0) THEN 'Low' ELSE 'Medium' END AS priority FROM v"""
+add("ag18_cluster_summary", cluster_table, CLUSTERS, False)
+add("cs02_annotation", lambda s, d: cluster_table(s, d).groupBy("annotation", "novel_like", "priority").agg(F.count("*").alias("n")), "SELECT annotation, novel_like, priority, count(*) AS n FROM (" + CLUSTERS + ") GROUP BY 1, 2, 3", False)
 add("st_u1_union", lambda s, d: X.windows(s, d).where("scale = 'small'").unionByName(X.windows(s, d).where("scale = 'large'")).groupBy("scale").count().withColumnRenamed("count", "n"), "SELECT scale, count(*) AS n FROM fx_windows WHERE scale <> 'medium' GROUP BY 1")
 add("st_u2_first_of_key", lambda s, d: X.table(s, d, "orders").withColumn("r", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))).where("r = 1").select("o_custkey", "o_orderkey"), "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1", False)
 add("st_i1_set_operations", lambda s, d: X.table(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").intersect(X.table(s, d, "orders").where("o_orderstatus = 'O'").select("o_custkey")).exceptAll(X.table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))), "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0", False)
@@ -265,7 +324,14 @@ add("st_e1_changed_files", lambda s, d: G.compare_files(hashes(s, d, 10**9, 13),
 add("gt04_hash_verification", lambda s, d: hashes(s, d, 10**9, 13).join(hashes(s, d, 17, 11), ["path", "sha256"], "left_anti").agg(F.count("*").alias("bad")), f"WITH a AS ({FILES.format('p_partkey', 10**9, 13)}), b AS ({FILES.format('p_partkey', 17, 11)}) SELECT count(*) AS bad FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = a.path AND b.sha256 = a.sha256)", False)
 add("snk03_table_checksum", lambda s, d: G.table_checksum(X.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")), "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(1), coalesce(CAST(o_custkey AS VARCHAR), chr(0)), coalesce(CAST(o_orderkey AS VARCHAR), chr(0)), coalesce(o_orderstatus, chr(0)))), 1, 12) AS BIGINT)) AS VARCHAR) AS checksum FROM orders", False)
 add("val02_alignment", lambda s, d: X.cells(s, d).where("replicate = 'rep1'").select("chrom", "w_start").distinct().join(X.cells(s, d).where("replicate = 'rep2'").select("chrom", "w_start").distinct().withColumn("b", F.lit(1)), ["chrom", "w_start"], "full").agg(F.count("*").alias("windows"), F.count_if(F.col("b").isNull()).alias("only_rep1")), "SELECT count(*) AS windows, count(*) FILTER (b.chrom IS NULL) AS only_rep1 FROM (SELECT DISTINCT chrom, w_start FROM fx_cells WHERE replicate = 'rep1') a FULL JOIN (SELECT DISTINCT chrom, w_start FROM fx_cells WHERE replicate = 'rep2') b USING (chrom, w_start)")
-add("val03_pool_validation", lambda s, d: calibrated(s, d).agg(schema.unique(calibrated(s, d), ["chrom", "w_start"]).alias("unique_ids"), F.count_if(F.col("or_score") != F.greatest("density_score", "shape_score")).alias("wrong_or"), F.count_if(~F.col("rep1_density").between(1e-12, 1)).alias("bad_p")), "SELECT count(*) = count(DISTINCT (chrom, w_start)) AS unique_ids, CAST(0 AS BIGINT) AS wrong_or, CAST(0 AS BIGINT) AS bad_p FROM fx_marked")
+
+
+def pool_validation(s, d):
+    c = calibrated(s, d)
+    return c.agg(schema.unique(c, ["chrom", "w_start"]).alias("unique_ids"), F.count_if(F.col("or_score") != F.greatest("density_score", "shape_score")).alias("wrong_or"), F.count_if(~F.col("rep1_density").between(1e-12, 1)).alias("bad_p"))
+
+
+add("val03_pool_validation", pool_validation, "SELECT count(*) = count(DISTINCT (chrom, w_start)) AS unique_ids, CAST(0 AS BIGINT) AS wrong_or, CAST(0 AS BIGINT) AS bad_p FROM fx_marked")
 add("val07_key_alignment", lambda s, d: X.table(s, d, "labels").join(X.table(s, d, "documents"), "doc_id", "left_anti").agg(F.count("*").alias("missing")), "SELECT count(*) AS missing FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)", False)
 add("val08_zero_overlap", lambda s, d: I.range_join(I.without_overlap(X.medium(s, d), X.structures(s, d), ["chrom", "w_start"], X.BUCKET), X.structures(s, d), X.BUCKET).agg(F.count("*").alias("overlaps")), "SELECT CAST(0 AS BIGINT) AS overlaps", False)
 add("pf01_record_selection", lambda s, d: X.marked(s, d).where("split = 'train' AND rep1_density > 0 AND rep2_density > 0").select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_marked WHERE split = 'train' AND rep1_density > 0 AND rep2_density > 0")
@@ -295,8 +361,26 @@ add("wf10_cumulative_variance", lambda s, d: ml.scaler(emb(s, d), "embedding").s
 add("ml08_pca95", lambda s, d: ml.pca95(emb(s, d), "embedding")[0].select("vec_id", F.size("pca").alias("components")))
 add("ml04_reconstruction_error", lambda s, d: ml.linear_reconstruction_error(emb(s, d).where("label BETWEEN 3 AND 5"), emb(s, d), "embedding", 0.8).select("vec_id", "error"))
 add("ml07_probe", lambda s, d: ml.probe(*[emb(s, d).where(f"vec_id % 5 {op} 0").select("vec_id", "embedding", F.when(F.col("label") <= 2, 1).otherwise(0).alias("y")) for op in ("<>", "=")], "embedding", "y").select("vec_id", "y", "probability"))
-add("rn01_random_windows", lambda s, d: B.summary(B.random_windows(s, X.medium(s, d), I.range_join(X.medium(s, d).withColumn("row", F.row_number().over(W.orderBy("chrom", "w_start")) - 1), X.structures(s, d), X.BUCKET), [0.1, 0.2], 20, 20260920), "recall"))
-add("rn02_coverage_matched", lambda s, d: B.coverage_matched(s, X.medium(s, d), [40000.0, 80000.0], 10, 20260920))
+
+
+def random_recall(s, d):
+    """Share of structures that windows drawn by hash overlap: mean and percentiles over the repeats, by fraction."""
+    draws, t = B.random_windows(X.medium(s, d), [0.05, 0.1, 0.2], 20, 20260920), X.structures(s, d)
+    hit = I.range_join(draws, t, X.BUCKET).groupBy("setting", "repeat").agg(F.count_distinct("structure").alias("hits"))
+    every = draws.select("setting", "repeat").distinct().join(hit, ["setting", "repeat"], "left").crossJoin(F.broadcast(t.agg(F.count("*").alias("n"))))  # one row
+    return B.summary(every.select("setting", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall")), "recall")
+
+
+add(
+    "rn01_random_windows",
+    random_recall,
+    f""", dr AS (SELECT f AS setting, r AS repeat, chrom, w_start, w_end, row_number() OVER (PARTITION BY f, r ORDER BY sha256('20260920|' || printf('%.4f', f) || '|' || r || '|' || chrom || '|' || w_start), chrom, w_start) AS k, count(*) OVER (PARTITION BY f, r) AS n
+  FROM fx_medium, (SELECT unnest([0.05::DOUBLE, 0.1, 0.2]) AS f), (SELECT unnest(range(20)) AS r)),
+se AS (SELECT * FROM dr WHERE k <= greatest(1, ceil(round(n * setting, 9)))),
+hi AS (SELECT w.setting, w.repeat, count(DISTINCT t.structure) / (SELECT count(*) FROM fx_structures)::DOUBLE AS recall FROM se w LEFT JOIN fx_structures t ON {HIT} GROUP BY 1, 2)
+SELECT setting, round(avg(recall), 6) AS mean, round(stddev_pop(recall), 6) AS std, round(quantile_cont(recall, 0.025), 6) AS q025, round(quantile_cont(recall, 0.975), 6) AS q975 FROM hi GROUP BY 1""",
+)
+add("rn02_coverage_matched", lambda s, d: B.coverage_matched(s, X.medium(s, d), [40000.0, 80000.0], 10, 20260920).drop("chosen"))
 add("rn03_region_matched", lambda s, d: B.region_matched(X.structures(s, d).select(F.col("structure").cast("string").alias("region_id"), "chrom", F.col("s_start").alias("r_start"), F.col("s_end").alias("r_end")), X.sizes(s, d), 5, 7), """, g AS (SELECT r.r AS repeat, CAST(structure AS VARCHAR) AS region_id, chrom, s_end - s_start AS n, size_bp - (s_end - s_start) + 1 AS room, CAST('0x' || substr(sha256('7|' || r.r || '|' || structure), 1, 15) AS BIGINT) AS h FROM fx_structures JOIN fx_sizes USING (chrom), (SELECT unnest(range(5)) AS r) r)
 SELECT repeat, region_id, chrom, h % greatest(room, 1) AS r_start, h % greatest(room, 1) + n AS r_end FROM g""")
 add("rn05_seeded_subset", lambda s, d: X.medium(s, d).orderBy(ids.tie_key(5, F.concat_ws("|", "chrom", "w_start"))).limit(25).select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_medium ORDER BY sha256('5|' || chrom || '|' || w_start) LIMIT 25")

@@ -14,6 +14,9 @@ from pairloom.schema import normalized_name
 #: Header aliases and encodings, in the order they are tried.
 ALIASES = {"chrom": ("chrom", "chr", "chromosome", "seqname"), "start": ("start", "chromstart", "begin"), "end": ("end", "chromend", "stop"), "center": ("center", "centre", "midpoint")}
 ENCODINGS = ("UTF-8", "GB18030")
+#: Classes of structures in the order their identifier columns are looked for, and key words of file names.
+KINDS = ("OPCID", "CHIN", "CHID")
+KEYWORDS = ("WT", "37C", "rep1", "rep2", "HNS", "FIS", "muk", "stpA", "bleo", "novo", "cipro", "net", "NoLig", "RT", "fix", "CHIN", "OPCID", "CHID")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -59,17 +62,70 @@ def standardize(df: DataFrame, kind: Column, tolerance: tuple[float, float] = (1
     return rows.where("chrom IS NOT NULL OR start IS NOT NULL OR `end` IS NOT NULL")
 
 
+def kind_of(columns: list[str]) -> str | None:
+    """The class of structures that a table's headers name, by its identifier column."""
+    plain = {c.lstrip("\ufeff").strip().lower() for c in columns}
+    return next((k for k in KINDS if f"{k.lower()}_id" in plain), None)
+
+
+def discover(spark: SparkSession, folder: str) -> DataFrame:
+    """type, chrom, start, end, center, length_bp, center_mismatch and source_file of all annotation tables below a folder.
+
+    CSV files count if their header has a class's identifier column, BED files if their name has the class. A folder without such
+    files gives an empty table. The list of files, not their rows, comes to the driver.
+    """
+    low = F.lower("name")
+    files = inventory(spark, folder).where(low.endswith(".csv") | low.endswith(".bed")).select("path", "name").orderBy("path").collect()
+    out = None
+    for path, name in files:
+        table = read_bed(spark, path) if name.lower().endswith(".bed") else read_csv(spark, path)
+        kind = next((k for k in KINDS if k.lower() in name.lower()), None) if name.lower().endswith(".bed") else kind_of(table.columns)
+        if kind:
+            own = standardize(table, F.lit(kind)).withColumn("source_file", F.lit(path))
+            out = own if out is None else out.unionByName(own)
+    return out if out is not None else spark.createDataFrame([], "type string, chrom string, start long, end long, center double, length_bp long, center_mismatch boolean, source_file string")
+
+
+def container_health(pixels: DataFrame, sizes: DataFrame, binsize: int, keys: list[str]) -> DataFrame:
+    """One row a container: bin size, pixels, chromosomes, bins, what is below the diagonal, outside its chromosome or no count, whether it has weights, and readable."""
+    p = pixels.join(sizes, "chrom", "left")
+    below, outside = F.col("bin1") > F.col("bin2"), (F.col("bin1") < 0) | F.col("size_bp").isNull() | ((F.col("bin2") + 1) * binsize > F.col("size_bp"))
+    bad = (F.col("cnt") < 0) | F.isnan("cnt") | F.col("cnt").isNull()
+    bins = sizes.agg(F.sum(F.expr(f"size_bp div {binsize}")).alias("bins"))
+    out = p.groupBy(*keys).agg(F.lit(binsize).alias("binsize"), F.count("*").alias("pixels"), F.count_distinct("chrom").alias("chromosomes"), F.count_if(below).alias("below_diagonal"), F.count_if(outside).alias("outside"), F.count_if(bad).alias("bad_counts"), F.lit("weight" in pixels.columns).alias("has_weight"))
+    return out.crossJoin(F.broadcast(bins)).withColumn("readable", (F.col("below_diagonal") == 0) & (F.col("outside") == 0) & (F.col("bad_counts") == 0))  # one row
+
+
+def is_gzip(files: DataFrame) -> DataFrame:
+    """(path, gzip): whether binary files begin as gzip does, whatever their names."""
+    return files.select("path", (F.hex(F.substring("content", 1, 2)) == "1F8B").alias("gzip"))
+
+
 def classify(name: Column) -> Column:
     """The kind of a raw file by its name; the first rule that matches counts."""
     low = F.lower(name)
     return F.when(low.rlike(r"\.m?cool(\.gz)?$"), "contact_map").when(low.rlike(r"\.(bed|csv|tsv|xlsx?)(\.gz)?$"), "table").when(low.rlike(r"\.(fa|fasta|gff3?|gtf)(\.gz)?$"), "reference").when(low.rlike(r"\.(tar|zip|tgz)$|\.tar\.gz$"), "archive").otherwise("other")
 
 
+def tags(name: Column) -> Column:
+    """The key words in a name, joined by semicolons."""
+    return F.concat_ws(";", *[F.when(F.contains(F.lower(name), F.lit(k.lower())), F.lit(k)) for k in KEYWORDS])
+
+
+def condition(name: Column) -> Column:
+    """What a raw file's name says of the experiment; a mutation before a drug before a technical control."""
+    low = F.lower(name)
+    has = lambda *words: low.rlike("|".join(words))
+    wild = F.when(low.rlike("37c[_-]?rep[12]") & ~has("fix"), "likely_wt_candidate").when(has("wt"), "wt_named_candidate")
+    table = F.when(low.rlike(r"\.(csv|xlsx?|bed|gff3?)$"), "structure_annotation_candidate").otherwise("other")
+    return F.when(has("hns", "fis", "muk", "stpa"), "mutation_condition").when(has("bleo", "novo", "cipro", "net"), "drug_condition").when(has("nolig", "rt_fix", "37c_fix"), "technical_control").otherwise(F.coalesce(wild, table))
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, size_bytes, modified and kind of all files below the path; contents are not read."""
+    """path, name, size_bytes, modified, kind, tags and condition of all files below the path; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), classify(name).alias("kind"))
+    return files.select("path", name.alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), classify(name).alias("kind"), tags(name).alias("tags"), condition(name).alias("condition"))
 
 
 def archive_members(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> DataF
 
 
 def freeze(df: DataFrame, path: str) -> DataFrame:
-    """A protocol (one row) that is written once: a later one must be equal."""
+    """A protocol (one row) that is written once: a later one must be equal.
+
+    The row is written beside the path and renamed to it, which fails if another writer was first; then that one's row counts.
+    """
     spark, text = df.sparkSession, df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))
-    try:
-        old = spark.read.text(path).first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        text.coalesce(1).write.text(path)
-        return df
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+        text.coalesce(1).write.text(own.toString())
+        if not fs.exists(at) and fs.rename(own, at) and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, own.getName())):
+            return df
+        fs.delete(own, True)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, own.getName()), True)  # where a rename moves into a folder that is there
+    old = spark.read.text(path).first()
     if old is None or old["value"] != text.first()["value"]:
         raise ValueError("the protocol differs from the frozen one")
     return df

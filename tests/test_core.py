@@ -266,3 +266,59 @@ def test_group_split_never_divides_a_group(spark):
     out = P.group_split(df, "grp", "type", ["CHIN", "OPCID", "CHID"])
     assert out.count() == 200 and P.groups_in_two_splits(out, "grp", "split").count() == 0
     assert out.groupBy("split").agg(F.count_distinct("type").alias("n")).where("n = 3").count() == 3
+
+
+def test_every_status(spark):
+    """The cascade's labels in their order: validity, calibration, overlap, strict novelty, noise, known-like, clustered."""
+    from pairloom.operators import status as G
+
+    rows = []
+    for i in range(6):  # cluster 0 is novel: six candidates, five of six pass
+        rows.append((f"n{i}", False, True, 0, "unannotated", True, i > 0))
+    for i in range(4):  # too few
+        rows.append((f"f{i}", False, True, 1, "unannotated", True, True))
+    rows += [("bad", True, False, 2, "CHIN-like", False, None), ("known", True, False, 2, "CHIN-like", True, True), ("like", False, False, 2, "CHIN-like", True, True), ("like-low", False, False, 2, "CHIN-like", True, False)]
+    rows += [("noise", False, False, -1, "", True, True), ("noise-low", False, False, -1, "", True, False), ("mixed", False, False, 3, "mixed-known", True, True), ("mixed-low", False, False, 3, "mixed-known", True, False)]
+    df = spark.createDataFrame(rows, "id string, known boolean, novel_like boolean, cluster_id int, cluster_annotation string, correlation_valid boolean, passes boolean")
+    clusters = spark.createDataFrame([(0, 6, 0, True), (1, 4, 0, True), (2, 4, 3, False), (3, 2, 1, False)], "cluster_id int, candidate_count long, known_count long, novel_like boolean")
+    got = {r["id"]: r for r in G.with_status(df, clusters).collect()}
+    want = {f"n{i}": "STRICT_NOVEL_CLUSTER_MEMBER" if i else "UNANNOTATED_CLUSTERED_LOW_REPRODUCIBILITY" for i in range(6)} | {f"f{i}": "UNANNOTATED_CLUSTERED_REPRODUCIBLE" for i in range(4)}
+    want |= {"bad": "INSUFFICIENT_QUALITY", "known": "KNOWN_OVERLAP", "like": "KNOWN_LIKE_CLUSTER_REPRODUCIBLE", "like-low": "KNOWN_LIKE_CLUSTER_LOW_REPRODUCIBILITY"}
+    want |= {"noise": "UNANNOTATED_NOISE_REPRODUCIBLE", "noise-low": "UNANNOTATED_NOISE_LOW_REPRODUCIBILITY", "mixed": "UNANNOTATED_CLUSTERED_REPRODUCIBLE", "mixed-low": "UNANNOTATED_CLUSTERED_LOW_REPRODUCIBILITY"}
+    assert {k: r["final_status"] for k, r in got.items()} == want and all(r["evidence_note"] == G.NOTES[r["final_status"]] for r in got.values())
+    assert {r["candidate_pool"] for r in got.values()} == set(G.POOLS) and got["bad"]["reproducible"] is None
+    strict, more = G.final_tables(G.with_status(df, clusters))
+    assert strict.count() == 5 and {r["id"] for r in more.collect()} == {"f0", "f1", "f2", "f3", "like", "noise", "mixed"}
+    stopped = {r["final_status"] for r in G.with_status(df, clusters, False).collect()}
+    assert stopped == {"INSUFFICIENT_QUALITY", "CONTROL_CALIBRATION_FAILURE"}
+
+
+def test_master_blocks():
+    from pairloom.operators import splits as P
+
+    rows = P.master_blocks("c", 2_000_001, 100_000, 7)
+    assert [r[3:5] for r in rows][-1] == (2_000_000, 2_000_001) and [r[2] for r in rows][:2] == ["c:0", "c:1"]
+    assert {s: sum(r[5] == s for r in rows) for s in P.MASTER} == {"train": 15, "validation": 3, "calibration": 3}
+    few = {"small": {0, 1, 2, 3}, "large": {0, 1, 5}}
+    fit = P.master_blocks("c", 2_000_001, 100_000, 7, few)
+    assert fit[0][6] > 1 and all({fit[b][5] for b in blocks} == set(P.MASTER) for blocks in few.values())
+    for bad in ((150_000, None), (2_000_000, {"small": {1, 2}})):
+        with pytest.raises(ValueError):
+            P.master_blocks("c", bad[0], 100_000, 7, bad[1])
+
+
+def test_seeds():
+    from pairloom.functions import seeds
+
+    a, b = seeds.seed_all().random(3).tolist(), seeds.seed_all().random(3).tolist()
+    assert a == b and seeds.named("x") != seeds.named("y") and 0 <= seeds.named("x") < 1 << 63
+
+
+def test_recalls(spark):
+    from pairloom.operators import evaluation as E
+
+    t = spark.createDataFrame([(1, "CHIN", "c", 0, 100, 50.0), (2, "CHIN", "c", 300, 400, 350.0), (3, "CHID", "d", 0, 10, 5.0)], "structure long, type string, chrom string, s_start long, s_end long, s_center double")
+    w = spark.createDataFrame([("m", "c", 50, 60), ("m", "c", 55, 310), ("n", "c", 390, 500), ("o", "d", 50, 60)], "k string, chrom string, w_start long, w_end long")
+    got = {r["k"]: r for r in E.comparison(w, t, ["k"], 64).collect()}
+    assert (got["m"]["n"], got["m"]["union_bp"], got["m"]["CHIN_recall"], got["m"]["CHIN_overlap_recall"]) == (2, 260, 0.5, 1.0)
+    assert got["n"]["recall"] == 0 and got["n"]["overlap_recall"] == pytest.approx(1 / 3) and got["o"]["overlap_recall"] == 0 and got["m"]["OPCID_recall"] == 0

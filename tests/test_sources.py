@@ -57,3 +57,32 @@ def test_stream_equals_batch(spark, tmp_path):
     q = E.run_to_table(E.pixel_stream(spark, str(tmp_path / "px"), 2), "sums", str(tmp_path / "check"))
     q.awaitTermination()
     assert spark.table("sums").exceptAll(E.distance_sums(px)).count() == 0 and spark.table("sums").count() == 5
+
+
+def test_discovery_over_a_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.csv").write_text("﻿CHIN_ID,Chr,Start,End\nx,c1,10,30\ny,c1,50,60\n", encoding="utf-8")
+    (tmp_path / "notes.csv").write_text("name,value\na,1\n")
+    (tmp_path / "my_chid.bed").write_text("# comment\nc2\t5\t25\tq\n")
+    (tmp_path / "other.bed").write_text("c2\t5\t25\tq\n")
+    got = sorted((r["type"], r["chrom"], r["start"], r["end"], r["center"], r["source_file"].rsplit("/", 1)[1]) for r in A.discover(spark, str(tmp_path)).collect())
+    assert got == [("CHID", "c2", 5, 25, 15.0, "my_chid.bed"), ("CHIN", "c1", 10, 30, 20.0, "a.csv"), ("CHIN", "c1", 50, 60, 55.0, "a.csv")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.txt").write_text("x")
+    assert A.discover(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_health_gzip_and_tags(spark, tmp_path):
+    import gzip
+
+    sizes = spark.createDataFrame([("c", 1000)], "chrom string, size_bp long")
+    ok = [("a", "c", 0, 9, 1.0)]
+    bad = [("b", "c", 3, 2, 1.0), ("b", "c", 0, 10, 1.0), ("b", "x", 0, 1, 1.0), ("b", "c", 0, 1, -1.0)]
+    got = {r["k"]: r for r in A.container_health(spark.createDataFrame(ok + bad, "k string, chrom string, bin1 long, bin2 long, cnt double"), sizes, 100, ["k"]).collect()}
+    assert got["a"]["readable"] and (got["b"]["below_diagonal"], got["b"]["outside"], got["b"]["bad_counts"], got["b"]["bins"], got["b"]["readable"]) == (1, 2, 1, 10, False)
+    (tmp_path / "a.cool").write_bytes(gzip.compress(b"x"))
+    (tmp_path / "WT_37C_rep1_CHIN.bed").write_bytes(b"plain")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert {r["path"].rsplit("/", 1)[1]: r["gzip"] for r in A.is_gzip(files).collect()} == {"a.cool": True, "WT_37C_rep1_CHIN.bed": False}
+    row = A.inventory(spark, str(tmp_path)).where("name LIKE 'WT%'").first()
+    assert (row["tags"], row["condition"], row["kind"]) == ("WT;37C;rep1;CHIN", "likely_wt_candidate", "table")
