@@ -117,7 +117,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns, whatever these are called."""
+    """The rows of docs that the rules keep, with all their columns, whatever these are called. Null and empty texts go; repeated rows have one fate."""
     C.arrow_rows(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, trusted))
 

@@ -13,7 +13,7 @@ def corpus():
     rnd = random.Random(4)
     words = [[f"{c}{i}" for i in range(30)] for c in "ab"]
     rows = [(i, " ".join(rnd.choice(words[i % 2]).upper() if rnd.random() < 0.2 else rnd.choice(words[i % 2]) for _ in range(rnd.randrange(0, 80)))) for i in range(120)]
-    return rows + [(500, None), (501, ""), (None, "a1 a2"), (7, rows[7][1]), (502, "new words é É")]
+    return rows + [(500, None), (501, ""), (None, "a1 a2"), (7, rows[7][1]), (502, "new words é É"), (503, "a1 B2 " * 3000), (503, "a1 B2 " * 3000)]
 
 
 def test_base_score_and_counts_equal_brute_force(spark):
@@ -59,6 +59,25 @@ def test_forward_and_counts_equal_plain_recursions():
     assert np.allclose(g[0], begin) and np.allclose(g[1], trans) and np.allclose(g[2], emit) and math.isclose(g[3], logs.sum())
 
 
+def test_forward_over_long_texts_is_exact():
+    """Texts of many stretches are scored whole: against a plain scaled recursion."""
+    rng = np.random.default_rng(1)
+    s, k = 4, 9
+    pi, a, b = rng.dirichlet(np.ones(s), 2), rng.dirichlet(np.ones(s), s), rng.dirichlet(np.ones(k), s).T
+    long = rng.integers(0, k, 3 * H.STRETCH + 77).astype(np.uint16)
+    seqs, starts = H.sequences([long.tobytes(), long[:5].tobytes()], None)
+    assert [len(q) for q in seqs] == [len(long), 5]
+    got = {}
+    for which, own in H.batches_of(seqs, starts):
+        got |= dict(zip(np.asarray(which).tolist(), own.forward(pi, a, b)[0].tolist()))
+    for n, q in enumerate((long, long[:5])):
+        alpha, total = pi[starts[n]] * b[q[0]], 0.0
+        for x in q[1:]:
+            total += math.log(alpha.sum())
+            alpha = (alpha / alpha.sum()) @ a * b[x]
+        assert math.isclose(total + math.log(alpha.sum()), got[n], rel_tol=1e-9)
+
+
 def test_training_raises_likelihood_and_beats_unigrams_on_held_out_texts(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     rows = df.selectExpr("doc_id", "false AS held_out", "coalesce(text, '') AS text")
