@@ -152,8 +152,31 @@ SELECT chrom, count(*) AS peaks, CAST(sum(center) AS BIGINT) AS centers FROM kep
 add("tk06_nms_fixed_radius", lambda s, d: medium_peaks(s, d).where("is_peak").groupBy("chrom").agg(F.count("*").alias("peaks"), F.sum("center").alias("centers")), None)
 ORACLES["tk06_nms_fixed_radius"] = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1) + RECURSIVE
 add("tk06_regions", lambda s, d: S.regions(medium_peaks(s, d), ["chrom"], "rank", "w_start", "w_end", 800))
-cross = lambda s, d: S.greedy(S.ranked(X.windows(s, d).withColumn("score", F.pmod(F.xxhash64("scale", "chrom", "w_start"), F.lit(1000))), [F.desc("score"), F.col("scale"), F.col("chrom"), F.col("w_start")], by=falling()).withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}), ["chrom"], "rank", "center", "radius")
+#: From o(chrom, w_start, w_end, center, radius, rank) to kept(chrom, center, radius, rank), the greedy peaks, and ow, all rows with the best peak near them.
+WALK = """, ok AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY rank) AS k FROM o),
+walk AS (SELECT chrom, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(center BIGINT, radius DOUBLE, rank BIGINT)[]) AS kept FROM (SELECT DISTINCT chrom FROM ok) UNION ALL
+  SELECT w.chrom, o.k, CASE WHEN len(list_filter(w.kept, lambda c: abs(c.center - o.center) < greatest(c.radius, o.radius))) > 0 THEN w.kept ELSE list_append(w.kept, {'center': o.center, 'radius': o.radius, 'rank': o.rank}) END
+  FROM walk w JOIN ok o ON o.chrom = w.chrom AND o.k = w.k + 1),
+kept AS MATERIALIZED (SELECT chrom, unnest(kept, recursive := true) FROM (SELECT chrom, arg_max(kept, k) AS kept FROM walk GROUP BY 1)),
+ow AS MATERIALIZED (SELECT ok.*, (SELECT min(p.rank) FROM kept p WHERE p.chrom = ok.chrom AND abs(p.center - ok.center) < greatest(p.radius, ok.radius)) AS owner FROM ok)"""
+RECURSIVE_SQL = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1)
+ORACLES["tk06_regions"] = RECURSIVE_SQL + RANKED + ", o AS (SELECT chrom, w_start, w_end, center, 3200.0::DOUBLE AS radius, rank FROM r)" + WALK + """,
+pt AS (SELECT *, sum(jump) OVER (PARTITION BY chrom, owner ORDER BY w_start ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, coalesce((w_start - lag(w_start) OVER (PARTITION BY chrom, owner ORDER BY w_start) > 800)::INT, 0) AS jump FROM ow)),
+own AS (SELECT chrom, owner, part FROM pt WHERE rank = owner)
+SELECT pt.chrom, pt.owner AS peak_rank, min(w_start) AS r_start, max(w_end) AS r_end, count(*) AS members FROM pt JOIN own ON own.chrom = pt.chrom AND own.owner = pt.owner AND own.part = pt.part GROUP BY 1, 2"""
+
+
+def cross(s, d):
+    """Peaks among the windows of all scales, by a score from a hash; the radius of a pair is half the larger window."""
+    score = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("x"), "scale", "chrom", "w_start"), 256), 1, 3), 16, 10).cast("long")
+    r = S.ranked(X.windows(s, d).withColumn("score", score), [F.desc("score"), F.col("scale"), F.col("chrom"), F.col("w_start")], by=falling())
+    return S.greedy(r.withColumns({"rank": F.col("rank").cast("long"), "radius": F.col("window_bp") / 2}), ["chrom"], "rank", "center", "radius")
+
+
 add("tk07_cross_scale_nms", lambda s, d: cross(s, d).groupBy("chrom", "owner").agg(F.count_if("is_peak").alias("peaks"), F.count("*").alias("members"), F.count_if(F.col("scale") == "small").alias("small"), F.count_if(F.col("scale") == "medium").alias("medium"), F.count_if(F.col("scale") == "large").alias("large")))
+ORACLES["tk07_cross_scale_nms"] = RECURSIVE_SQL + """, sc AS (SELECT *, CAST('0x' || substr(sha256('x|' || scale || '|' || chrom || '|' || w_start), 1, 3) AS BIGINT) AS score FROM fx_windows),
+o AS (SELECT chrom, scale, w_start, w_end, center, window_bp / 2.0::DOUBLE AS radius, row_number() OVER (ORDER BY score DESC, scale, chrom, w_start) AS rank FROM sc)""" + WALK + """
+SELECT chrom, owner, count(*) FILTER (rank = owner) AS peaks, count(*) AS members, count(*) FILTER (scale = 'small') AS small, count(*) FILTER (scale = 'medium') AS medium, count(*) FILTER (scale = 'large') AS large FROM ow GROUP BY 1, 2"""
 add("tk09_coverage_budget", lambda s, d: S.within_budget(I.cumulative_union(ranked_structures(s, d), "s_start", "s_end", "rank", ["chrom"], X.BUCKET), F.lit(12000), "rank", ["chrom"]).groupBy("chrom").agg(F.max("cumulative_bp").alias("covered_bp"), F.count("*").alias("regions")), "SELECT chrom, max(cumulative_bp) AS covered_bp, count(*) AS regions FROM (SELECT *, coalesce(lag(cumulative_bp) OVER (PARTITION BY chrom ORDER BY rank), 0) AS before FROM (" + ORACLES["iv07_cumulative_union"] + ")) WHERE before < 12000 GROUP BY 1", False)
 add("tk11_min_gap", lambda s, d: S.min_gap(X.marked(s, d).where("NOT known").select("chrom", "w_start", "center"), ["chrom"], "center", ["w_start"], 4800.0).groupBy("chrom").agg(F.count("*").alias("n"), F.sum("center").alias("centers")), None)
 ORACLES["tk11_min_gap"] = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1) + """, o AS MATERIALIZED (SELECT chrom, center FROM fx_marked WHERE NOT known),

@@ -237,6 +237,10 @@ grouped_structures = lambda s, d: I.islands(X.structures(s, d), "s_start", "s_en
 add("sp01_group_split", lambda s, d: P.group_split(grouped_structures(s, d), "grp", "type", ["CHIN", "OPCID", "CHID"]).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups")))
 add("val04_groups_in_two_splits", lambda s, d: P.groups_in_two_splits(P.group_split(grouped_structures(s, d), "grp", "type", ["CHIN", "OPCID", "CHID"]), "grp", "split").agg(F.count("*").alias("bad")), "SELECT CAST(0 AS BIGINT) AS bad", False)
 add("sp04_group_folds", lambda s, d: P.group_folds(X.marked(s, d).groupBy("chrom", "block").count().withColumn("g", F.concat_ws(":", "chrom", "block")), "g", "count", 5).groupBy("fold").agg(F.sum("count").alias("n")))
+ORACLES["sp04_group_folds"] = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1) + """, g AS (SELECT chrom || ':' || block AS g, count(*) AS n FROM fx_marked GROUP BY 1), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, g) AS k FROM g),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load UNION ALL
+  SELECT o.k, list_transform(range(1, 6), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN o.n ELSE 0 END) FROM walk JOIN o ON o.k = walk.k + 1)
+SELECT CAST(fold - 1 AS BIGINT) AS fold, n FROM (SELECT unnest(range(1, 6)) AS fold, unnest(load) AS n FROM (SELECT arg_max(load, k) AS load FROM walk)) WHERE n > 0"""
 add("gt01_readiness_gate", lambda s, d: recall_at(s, d).agg(F.max(F.when(F.col("fraction") == 0.2, F.col("recall"))).alias("top"), F.min("recall").alias("low"), F.count("*").alias("n")).select(*G.gate({"enough_recall": F.col("top") >= 0.2, "monotone": F.col("low") <= F.col("top"), "all_fractions": F.col("n") == 5})), None)
 ORACLES["gt01_readiness_gate"] = "WITH r AS (" + ORACLES["ev01_recall_at_fractions"] + "), g AS (SELECT max(recall) FILTER (fraction = 0.2) >= 0.2 AS a, min(recall) <= max(recall) FILTER (fraction = 0.2) AS b, count(*) = 5 AS c FROM r) SELECT a AS enough_recall, b AS monotone, c AS all_fractions, a AND b AND c AS ready FROM g"
 
