@@ -183,13 +183,14 @@ def fit(rows: pa.Table, prior: float):
         return None
     own = np.isin(doc, index_of)
     place = np.cumsum(np.isin(np.arange(len(ids)), index_of)) - 1
+    doc, count = place[doc[own]], tf[own]
     vocabulary, term = np.unique(flat[own].view(np.uint64), return_inverse=True)
-    idf = weights_of(term, place[doc[own]], tf[own], toxic[index_of], len(vocabulary))
-    cut = np.searchsorted(place[doc[own]], np.arange(len(index_of) + 1))
+    idf = weights_of(term, doc, count, toxic[index_of], len(vocabulary))
+    cut = np.searchsorted(doc, np.arange(len(index_of) + 1))
     # examples of one label whose heaviest terms are equal are near each other in the index, so that blocks have tight bounds
     heavy = [int(term[i:j][np.argmax(idf[term[i:j]])]) if i < j else -1 for i, j in zip(cut, cut[1:])]
     order = np.lexsort((index_of, np.array(heavy), toxic[index_of]))
-    index = Index([(term[cut[i] : cut[i + 1]], tf[own][cut[i] : cut[i + 1]]) for i in order.tolist()], toxic[index_of][order].astype(float), ids[index_of][order], idf)
+    index = Index([(term[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]) for i in order.tolist()], toxic[index_of][order].astype(float), ids[index_of][order], idf)
     sampled, first = float(toxic[index_of].mean()), np.concatenate(([0], np.cumsum(many)))
     held, votes = np.flatnonzero(np.arange(len(ids)) % CALIBRATE == 0), []
     for i in held.tolist():
