@@ -218,7 +218,10 @@ def by_levels(items: DataFrame, target: int, gram: int) -> list[DataFrame]:
     for length in lengths(gram, target):
         if items.isEmpty():
             break
-        spans, items = settle(C.stored(extend(items, "words", target, gram, length), f"level-{length}"), "smaller", last=length == target)
+        level = extend(items, "words", target, gram, length)
+        if length == target:
+            level = level.drop("ctx")  # nothing extends them further
+        spans, items = settle(C.stored(level, f"level-{length}"), "smaller", last=length == target)
         found.append(spans)
     return found
 
