@@ -18,12 +18,14 @@ from pairloom.llm import text as T
 
 #: A document holds an item if a stretch of its words is within this part of the item's words in edits.
 RATE = 0.2
-#: Keys of each start, every one by a walk of its own: (least words of an item, steps of a walk, sampled steps). A walk ends within the item.
-REPEATS, CLASSES = 6, ((10, 8, 4), (3, 3, 2), (2, 2, 2), (1, 1, 1))
+#: Keys of each start, every one by a walk of its own: (least words of an item, steps of a walk, sampled steps, matches that make a stretch a
+#: candidate). A walk ends within the item. Items of under 12 words have too few starts of long walks for several matches: two edits leave 10 words
+#: three or more in a row, in which some walk of four steps nearly always stays.
+REPEATS, CLASSES = 6, ((12, 8, 4, 3), (10, 4, 3, 1), (3, 3, 2, 1), (2, 2, 2, 1), (1, 1, 1, 1))
 #: Items that are searched for at a time; all workers hold them.
 BLOCK = 20_000
-#: Matches that make a stretch a candidate; matches that are looked at together.
-LEAST, SLICE = 3, 1 << 20
+#: Matches that are looked at together.
+SLICE = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -109,9 +111,10 @@ class Items:
         line = np.concatenate(self.words) if own else np.zeros(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(own)), self.size)
         place = np.arange(len(line)) - (np.cumsum(self.size) - self.size)[item] if own else item
-        least = np.array([next(c[0] for c in CLASSES if c[0] <= n) for n in self.size.tolist()], dtype=np.int64)
+        kind = [next(c for c in CLASSES if c[0] <= n) for n in self.size.tolist()]
+        least, self.matches = (np.array([c[k] for c in kind], dtype=np.int64) for k in (0, 3))
         self.tables = []
-        for few, steps, sampled in CLASSES:
+        for few, steps, sampled, _ in CLASSES:
             at = np.flatnonzero((least[item] == few) & (self.size[item] - place >= steps)) if own else item
             for r in range(REPEATS if len(at) else 0):
                 k = embedded(line, steps, sampled, seed, r)[at]
@@ -120,10 +123,26 @@ class Items:
         self.has = Filter(T.mix(line ^ T.mix(item.astype(np.uint64))))
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """The distinct values, ascending."""
-    x = np.sort(x)
-    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+def distinct(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct rows of columns of numbers of 0 or more, ascending: sorted as one integer where the columns' widths fit into 63 bits, else column by column."""
+    if not len(cols[0]):
+        return cols
+    bits = [max(1, int(c.max()).bit_length()) for c in cols]
+    if sum(bits) <= 63:
+        x = np.zeros(len(cols[0]), dtype=np.int64)
+        for c, n in zip(cols, bits):
+            x = x << n | c
+        x.sort()
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+        out = []
+        for n in bits[::-1]:
+            out.append(x & ((1 << n) - 1))
+            x = x >> n
+        return out[::-1]
+    o = np.lexsort(cols[::-1])
+    cols = [c[o] for c in cols]
+    new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))
+    return [c[new] for c in cols]
 
 
 def matches(line: np.ndarray, items: Items):
@@ -145,7 +164,7 @@ def matches(line: np.ndarray, items: Items):
 def candidates(w: T.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, from, to) of the stretches that may hold an item: tiles of where it may start, which overlap by half, and its length and edits after.
 
-    A tile counts if LEAST starts of the item, or walks from them, match in it (one for items of the short classes): a leak has many, as each
+    A tile counts if as many starts of the item, or walks from them, match in it as its class asks for: a leak has many, as each
     run of words between two edits gives its own, and chance has few.
     """
     found = []
@@ -153,16 +172,15 @@ def candidates(w: T.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.nda
         half = items.size[item] // 4 + 1
         doc = w.doc[at]
         tile = (at - place - w.first[doc] + items.size[item]) // half  # of half the width
-        own = (doc * len(items.size) + item) << 32
-        found.append(distinct(np.concatenate([(own | t) << 10 | ((place * REPEATS + r) & 1023) for t in (tile, tile + 1)])))
+        both = np.concatenate((tile, tile + 1))
+        found.append(distinct([np.tile(doc, 2), np.tile(item, 2), both, np.tile(place * REPEATS + r, 2)]))
     if not found:
         return (np.zeros(0, dtype=np.int64),) * 4
-    every = distinct(np.concatenate(found)) >> 10
-    new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    key, many = every[new], np.diff(np.concatenate((new, [len(every)])))
-    item = (key >> 32) % len(items.size)
-    key = key[many >= np.where(items.size[item] >= CLASSES[0][0], LEAST, 1)]
-    doc, item, tile = (key >> 32) // len(items.size), (key >> 32) % len(items.size), key & 0xFFFFFFFF
+    doc, item, tile, _ = distinct([np.concatenate(c) for c in zip(*found)])
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (tile[1:] != tile[:-1]))))
+    many = np.diff(np.concatenate((new, [len(doc)])))
+    new = new[many >= items.matches[item[new]]]
+    doc, item, tile = doc[new], item[new], tile[new]
     size, most = items.size[item], items.most[item]
     half = size // 4 + 1
     low = w.first[doc] + (tile - 1) * half - size

@@ -79,6 +79,45 @@ def test_rows_names_ties_and_long_texts(spark):
 def test_equal_windows_have_equal_keys():
     x = np.random.default_rng(1).integers(1, 1 << 60, 30).astype(np.uint64)
     line = np.concatenate((x, x[:5], x))
-    for few, steps, sampled in L.CLASSES:
+    for _, steps, sampled, _ in L.CLASSES:
         k = L.embedded(line, steps, sampled, 3, 1)
         assert (k[: 30 - steps] == k[35 : 65 - steps]).all()
+
+
+def test_recall_by_length():
+    """Of each length on its own, items with the most edits (at random places; and the ones that leave the shortest runs) are found."""
+    rnd = random.Random(5)
+    vocab = [f"v{i}" for i in range(5000)]
+    for n in [*range(5, 21), 24, 25, 30, 40, 50, 60]:
+        items = [[rnd.choice(vocab) for _ in range(n)] for _ in range(120)]
+        own = L.Items([(k, " ".join(x).encode()) for k, x in enumerate(items)], 11)
+        texts = []
+        for k, item in enumerate(items):
+            if k % 3:
+                bad = edited(rnd, item, L.edits(n), vocab)
+            else:
+                e, bad = L.edits(n), list(item)
+                for i in range(e):
+                    bad[(i + 1) * n // (e + 1)] = f"x{i}"
+            texts.append(" ".join(["pad"] * rnd.randrange(30) + bad + ["pad"] * 5).encode())
+        found = {(d, k) for d, k, *_ in L.search(texts, own)}
+        assert sum((k, k) in found for k in range(len(items))) >= 0.95 * len(items), (n, len(found))
+
+
+def test_twenty_thousand_items_and_a_thousand_texts():
+    """No pair is lost however many texts and items meet in one batch."""
+    items = [(k, " ".join(f"a{(k * 31 + i * 977) % 40_009}" for i in range(6 + k % 20)).encode()) for k in range(20_000)]
+    own = L.Items(items, 11)
+    at = [k * 20 for k in range(1000)]
+    found = {(d, k) for d, k, dist, _ in L.search([b"so " + items[k][1] + b" it is" for k in at], own) if dist == 0}
+    assert all((d, k) in found for d, k in enumerate(at))
+
+
+def test_distinct_rows_at_any_width():
+    rng = np.random.default_rng(2)
+    narrow = [rng.integers(0, 5, 1000) for _ in range(3)]
+    want = sorted(set(zip(*(c.tolist() for c in narrow))))
+    wide = [np.where(c > 2, c + (1 << 40), c) for c in narrow]
+    assert list(zip(*(c.tolist() for c in L.distinct(narrow)))) == want
+    assert list(zip(*(c.tolist() for c in L.distinct(wide)))) == sorted(tuple(x + (1 << 40) * (x > 2) for x in r) for r in want)
+    assert len(L.distinct([np.zeros(0, dtype=np.int64)] * 3)[0]) == 0
