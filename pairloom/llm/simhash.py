@@ -183,8 +183,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Words of a shingle and least similarity of near-duplicate texts; fingerprints of 64 bits each that are compared together; bands of
 #: minima that a shard is keyed by, and minima in a band. Texts of similarity 0.8 share a band with probability 0.999.
 LONG_SHINGLE, SIMILAR, PRINTS, BANDS, ROWS = 5, 0.8, 8, 10, 3
-#: Nodes of a shard that are a part (its results are the same at any value), and the set size from which SimHash's angle holds; smaller sets are all verified.
+#: Nodes of a group that are a part (its results are the same at any value), and the set size from which SimHash's angle holds; smaller sets are all verified.
 CELL_MOST, SMALL = 1024, 16
+#: Buckets in which shingles are counted for their order by frequency (any order is right, this one keeps groups small).
+COUNTS = 1 << 20
 
 
 def wide_radius(similarity: float, bits: int) -> int:
@@ -266,18 +268,60 @@ def cell_links(members: list[tuple], similarity: float, radius: int) -> list[tup
     return out
 
 
-def links_in_shards(shards: DataFrame, sets: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
-    """Links (a, b) that join the nodes of each shard (band, key) as far as similar sets connect them; every pair of a shard is covered, whatever its size.
+def prefix_groups(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, n, node) of the groups of sets(node, root, hashes) that share a rare shingle and are not joined yet, stored.
 
-    A shard of over `most` nodes is cut into parts, and each part meets itself and every other in a cell of its own, so that no task gets a large
-    group. Sets go to the cells with their nodes, so no pair is written: a cell gives fewer links than it has nodes.
+    Prefix filter: with the shingles of every set in one order, two sets of the similarity share one of the first
+    size - ceil(similarity * size) + 1. The order is by rising frequency, so that text which very many documents have in common stands last and
+    groups nothing. Groups of one root are joined already, and of groups with the same members one is enough.
     """
-    spark, fields = shards.sparkSession, [f"f{k}" for k in range(PRINTS)]
+    spark = sets.sparkSession
+
+    def count(batches):
+        total = np.zeros(COUNTS, dtype=np.int64)
+        for batch in batches:
+            for own in batch.column("hashes"):
+                np.add.at(total, (np.frombuffer(own.as_buffer(), dtype=np.uint64) % np.uint64(COUNTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    counts = sets.select("hashes").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTS rows
+    often = np.zeros(COUNTS, dtype=np.int64)
+    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def prefixes(batches):
+        often = shared.value
+        for batch in batches:
+            tokens, size = [np.zeros(0, dtype=np.uint64)], []
+            for own in batch.column("hashes"):
+                h = np.frombuffer(own.as_buffer(), dtype=np.uint64)
+                n = often[(h % np.uint64(COUNTS)).astype(np.int64)]
+                first = np.lexsort((h, n))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                tokens.append(h[first[n[first] > 1]])  # a shingle that was counted once is in no other set
+                size.append(len(tokens[-1]))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "root"))], ["token", "node", "root"])
+
+    rows = C.stored(sets.mapInArrow(prefixes, "token long, node long, root long"), "prefixes")
+    sign = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sign{k}") for k in range(2)]
+    groups = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), *sign).where("r < s")
+    once = C.stored(groups.groupBy("n", "sign0", "sign1").agg(F.min("token").alias("token")).select("token", "n"), "groups")
+    return C.stored(rows.join(once, "token").select("token", "n", "node"), "members")
+
+
+def links_in_groups(groups: DataFrame, sets: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
+    """Links (a, b) that join the nodes of each group (token) as far as similar sets connect them; every pair of a group is covered, whatever its size.
+
+    A group of over `most` nodes is cut into parts, and each part meets itself and every other in a cell of its own, so that no task gets a large
+    group. Sets(node, root, fingerprints, hashes) go to the cells with their nodes, so no pair is written: a cell gives fewer links than it has nodes.
+    """
+    spark, fields = groups.sparkSession, [f"f{k}" for k in range(PRINTS)]
 
     def search(batches):
         at, held = None, []
         for batch in batches:
-            cell = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "one", "two")))
+            cell = zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two")))
             prints = np.stack([batch.column(f).to_numpy() for f in fields], axis=1)
             out = []
             for i, (c, part, node, root) in enumerate(zip(cell, *(batch.column(c).to_pylist() for c in ("part", "node", "root")))):
@@ -289,10 +333,10 @@ def links_in_shards(shards: DataFrame, sets: DataFrame, similarity: float, radiu
         yield links_batch(cell_links(held, similarity, radius) if len(held) > 1 else [])
 
     parts = F.ceil(F.col("n") / most)
-    own = shards.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    own = groups.withColumn("part", F.pmod(F.xxhash64("node"), parts))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cells = cells.select("band", "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node", "root", *fields).join(sets, "node")
-    return cells.repartition(C.partitions(spark), "band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two", "part", "node").mapInArrow(search, "a long, b long").distinct()
+    cells = cells.select("token", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node").join(sets, "node")
+    return cells.repartition(C.partitions(spark), "token", "one", "two").sortWithinPartitions("token", "one", "two", "part", "node").mapInArrow(search, "a long, b long").distinct()
 
 
 def links_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -304,8 +348,8 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
 
     Texts are near-duplicates if their sets of word shingles (of 64-bit hashes) have the Jaccard similarity or more; every link is held against
     the sets. Candidates share a band of least shingle hashes and their 512 bits of SimHash are within `wide_radius`. First the members of
-    a shard are held against its least; then the shards whose members are not joined by that are searched by BK-trees, in cells of at most about
-    2 * `tree_most` nodes. Equal sets are one node. Texts without words are one group. All columns of docs stay.
+    a shard are held against its least; then the members of shards that are not joined by that are grouped by the rare shingles they share, and
+    groups are searched by BK-trees, in cells of at most about 2 * `tree_most` nodes. Equal sets are one node. Texts without words are one group. All columns of docs stay.
     """
     spark, radius = docs.sparkSession, wide_radius(similarity, 64 * PRINTS)
     C.arrow_rows(spark)
@@ -342,8 +386,9 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
     links = similar(stars.groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b"), sets, similarity)
 
     known = shards.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = C.stored(known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key"), "open")
-    more = C.stored(links_in_shards(known.join(open_, ["band", "key"]), sets, similarity, radius, tree_most), "more-links")
+    open_ = known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key")
+    left = C.stored(known.join(open_, ["band", "key"]).select("node", "root", *fields).distinct().join(sets, "node"), "open")
+    more = C.stored(links_in_groups(prefix_groups(left, similarity), left, similarity, radius, tree_most), "more-links")
     roots = components(links.unionByName(more))
     named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.d", "low.x"), "kept")

@@ -71,3 +71,29 @@ def test_links_are_exact_near_the_threshold(spark):
     want = survivors(rows)
     assert 250 < len(want) < 400
     assert got(spark, rows) == want
+
+
+def test_template_texts_are_not_compared(spark, monkeypatch):
+    """Texts that share 70 % of their shingles are no near copies: the shared part must not bring them together, the pairs planted among them must be found."""
+    template = [f"t{i}" for i in range(140)]
+    rows = [(d, " ".join(template + [f"o{d}x{i}" for i in range(60)])) for d in range(600)]
+    rows += [(1000 + d, rows[d][1] + " and more") for d in range(0, 600, 50)]
+    seen = []
+    real = S.prefix_groups
+    monkeypatch.setattr(S, "prefix_groups", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert got(spark, rows) == list(range(600))
+    assert sum(1 for _ in seen) == 1 and seen[0].select("node").distinct().count() <= 24
+
+
+def test_prefixes_of_sets():
+    """Every pair at the similarity shares a shingle of both prefixes, whatever the order."""
+    rnd = random.Random(3)
+    import numpy as np
+
+    for _ in range(300):
+        n, more = rnd.randrange(1, 60), rnd.randrange(0, 15)
+        a = rnd.sample(range(100), n)
+        b = a[: n - rnd.randrange(0, min(n, 8))] + list(range(200, 200 + more))
+        if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)):
+            cut = lambda x: set(sorted(x)[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1])
+            assert cut(a) & cut(b)
