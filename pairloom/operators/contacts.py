@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators import masked as M
+
 BIN = 100
 #: Name, window and step of a scale, in base pairs.
 SCALES = (("small", 3200, 400), ("medium", 6400, 800), ("large", 12800, 1600))
@@ -76,25 +78,35 @@ def local_oe(cells: DataFrame, keys: list[str], n: Column, eps: float = 1e-8) ->
 
 
 def density_features(cells: DataFrame, keys: list[str], n: Column, value: str = "value", gap: int = 2) -> DataFrame:
-    """Masked mean, population std, max and total of the upper cells beyond the gap, counting zeros that are not stored.
+    """Masked mean, population std, max, 95th percentile and total of the upper cells beyond the gap, counting zeros that are not stored.
 
-    One shuffle on the keys; sums and squares close over the mask's size, so nothing is made dense.
+    One shuffle on the keys; sums and squares close over the mask's size, the percentile takes its place among the zeros, so nothing is made dense.
     """
     m, v = mask_size(F.first(n), gap), F.when(F.col("d") > gap, F.col(value))
     total, square = F.coalesce(F.sum(v), F.lit(0.0)), F.coalesce(F.sum(v * v), F.lit(0.0))
-    return cells.groupBy(*keys).agg((total / m).alias("density_mean"), F.sqrt(F.greatest(F.lit(0.0), square / m - F.pow(total / m, F.lit(2.0)))).alias("density_std"), F.greatest(F.coalesce(F.max(v), F.lit(0.0)), F.when(F.count(v) < m, 0.0)).alias("density_max"), total.alias("density_total"))
+    top = F.greatest(F.coalesce(F.max(v), F.lit(0.0)), F.when(F.count(v) < m, 0.0))
+    own = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_v"), m.cast("long").alias("_m"), (total / m).alias("density_mean"), F.sqrt(F.greatest(F.lit(0.0), square / m - F.pow(total / m, F.lit(2.0)))).alias("density_std"), top.alias("density_max"), total.alias("density_total"))
+    return own.select(*keys, "density_mean", "density_std", "density_max", M.quantile(F.col("_v"), 0.95, F.col("_m") - F.size("_v")).alias("density_p95"), "density_total")
 
 
 def masked_percentile(cells: DataFrame, keys: list[str], n: Column, q: float, value: str = "value", gap: int = 2) -> DataFrame:
-    """Exact linear percentile over the mask with its zeros (values of 0 or more), from the stored cells alone.
+    """Exact linear percentile over the mask with its zeros, from the stored cells alone."""
+    return M.quantiles(cells, keys, mask_size(n, gap), {"percentile": q}, value, F.col("d") > gap)
 
-    Of m cells in order the first m - k are zeros; the two ranks around q (m - 1) are looked up among the k stored ones.
-    """
-    stored = cells.where((F.col("d") > gap) & (F.col(value) > 0)).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v"), mask_size(F.first(n), gap).alias("m"))
-    h = F.lit(q) * (F.col("m") - 1)
-    get = lambda r: F.coalesce(F.get(F.col("v"), (r - (F.col("m") - F.size("v"))).cast("int")), F.lit(0.0))
-    low, high = get(F.floor(h)), get(F.ceil(h))
-    return stored.select(*keys, (low + (high - low) * (h - F.floor(h))).alias("percentile"))
+
+def mirrored(cells: DataFrame) -> DataFrame:
+    """Both triangles of upper cells, for what is defined over the whole matrix."""
+    return cells.withColumn("_twice", F.explode(F.when(F.col("d") > 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_twice")
+
+
+def intensity_features(cells: DataFrame, keys: list[str], n: Column, value: str = "value") -> DataFrame:
+    """Mean, population std, max, total, median and 95th percentile of the whole matrix with its zeros, from the stored upper cells."""
+    v = F.col(value)
+    own = mirrored(cells).groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_v"), (F.first(n) * F.first(n)).cast("long").alias("_m"), F.sum(v).alias("total"), F.sum(v * v).alias("_s"), F.max(v).alias("_top"))
+    zeros, mean = F.col("_m") - F.size("_v"), F.col("total") / F.col("_m")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("_s") / F.col("_m") - mean * mean))
+    top = F.when(zeros > 0, F.greatest("_top", F.lit(0.0))).otherwise(F.col("_top"))
+    return own.select(*keys, mean.alias("mean"), std.alias("std"), top.alias("max"), "total", M.quantile(F.col("_v"), 0.5, zeros).alias("median"), M.quantile(F.col("_v"), 0.95, zeros).alias("p95"))
 
 
 def zero_axis(cells: DataFrame, keys: list[str], n: Column) -> DataFrame:
@@ -103,24 +115,61 @@ def zero_axis(cells: DataFrame, keys: list[str], n: Column) -> DataFrame:
     return ends.groupBy(*keys).agg((F.first("n") - F.count_distinct("axis")).cast("long").alias("zero_axes"))
 
 
-def robust_shape(cells: DataFrame, keys: list[str], clip: float, value: str = "oe", eps: float = 1e-6, limit: float = 10.0) -> DataFrame:
-    """clip, log1p, (x - median) / (1.4826 MAD + eps), limited; the statistics are over the given (masked) cells."""
-    x = cells.withColumn("x", F.log1p(F.least(F.col(value), F.lit(clip))))
-    med = x.groupBy(*keys).agg(F.median("x").alias("med"))
-    mad = x.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))
+def robust_shape(cells: DataFrame, keys: list[str], n: Column, clip: float, value: str = "oe", gap: int = 2, eps: float = 1e-8, limit: float = 10.0) -> DataFrame:
+    """The upper cells with shape: clip, log1p, (x - median) / (1.4826 MAD + eps), limited; and zero_shape, what the cells have that are not stored.
+
+    Median and MAD are over the cells beyond the gap, zeros among them; a MAD of at most eps scales by 1. Every cell is transformed.
+    """
+    x = cells.withColumn("_x", F.log1p(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(float(clip)))))
+    fit = M.median_and_mad(x, keys, mask_size(n, gap), "_x", F.col("d") > gap)
     scale = F.when(F.col("mad") <= eps, F.lit(1.0)).otherwise(1.4826 * F.col("mad") + eps)
-    return x.join(mad, keys).withColumn("shape", F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col("x") - F.col("med")) / scale))).drop("x", "med", "mad")
+    shape = lambda c: F.greatest(F.lit(-limit), F.least(F.lit(limit), (c - F.col("med")) / scale))
+    return x.join(fit, keys).withColumns({"shape": shape(F.col("_x")), "zero_shape": shape(F.lit(0.0))}).drop("_x", "med", "mad")
 
 
-def percentile_clip(cells: DataFrame, keys: list[str], q: float = 0.995, value: str = "value") -> DataFrame:
-    top = cells.groupBy(*keys).agg(F.expr(f"percentile({value}, {q})").alias("top"))
-    return cells.join(top, keys).withColumn("clipped", F.least(F.col(value), F.col("top"))).drop("top")
+def percentile_clip(cells: DataFrame, keys: list[str], n: Column, q: float = 0.995, value: str = "value") -> DataFrame:
+    """The upper cells with clipped: at most the percentile of the whole matrix, zeros and both triangles; and top, that percentile (zeros stay 0 unless it is below)."""
+    top = M.quantiles(mirrored(cells), keys, (n * n).cast("long"), {"top": q}, value)
+    return cells.join(top, keys).withColumn("clipped", F.least(F.col(value), F.col("top")))
 
 
-def minmax(cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """To [0, 1]; a constant becomes 0."""
-    ends = cells.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return cells.join(ends, keys).withColumn("scaled", F.coalesce(F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))).drop("low", "high")
+def minmax(cells: DataFrame, keys: list[str], n: Column, value: str = "value") -> DataFrame:
+    """The upper cells with scaled, to [0, 1] over the whole matrix, a constant to 0; and zero_scaled, what the cells have that are not stored.
+
+    The least value is 0 unless it is negative or the matrix is full.
+    """
+    ends = mirrored(cells).groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), (F.count("*") < F.first(n) * F.first(n)).alias("_open"))
+    low, high = F.when(F.col("_open"), F.least("_low", F.lit(0.0))).otherwise(F.col("_low")), F.when(F.col("_open"), F.greatest("_high", F.lit(0.0))).otherwise(F.col("_high"))
+    to = lambda c: F.coalesce(F.try_divide(c - low, F.nullif(high - low, F.lit(0.0))), F.lit(0.0))
+    return cells.join(ends, keys).withColumns({"scaled": to(F.col(value)), "zero_scaled": to(F.lit(0.0))}).drop("_low", "_high", "_open")
+
+
+def defined_cells(expect: DataFrame, n: int, gap: int = 2) -> DataFrame:
+    """(chrom, m, m_full, total): the cells of an n by n window at distances with an expectation above 0 in both replicates, beyond the gap and
+    beyond the diagonal, and all cells beyond the gap."""
+    e = F.col("expected")
+    both = expect.groupBy("chrom", "d").agg((F.count_if((e > 0) & (e < float("inf"))) == 2).alias("ok"))
+    cells = F.when(F.col("ok"), n - F.col("d")).otherwise(0)
+    return both.groupBy("chrom").agg(F.sum(F.when(F.col("d") > gap, cells).otherwise(0)).alias("m"), F.sum(F.when(F.col("d") > 0, cells).otherwise(0)).alias("m_full"), F.lit((n - gap - 1) * (n - gap) // 2).alias("total"))
+
+
+def distance_model(cells: DataFrame, per: list[str], windows: DataFrame, n: int, value: str = "oe") -> DataFrame:
+    """(per, d, model): the mean of the value over all cells at a distance in all windows (per, windows), stored or not."""
+    sums = cells.groupBy(*per, "d").agg(F.sum(value).alias("_sum"))
+    return sums.join(windows, per).select(*per, "d", (F.col("_sum") / (F.col("windows") * (n - F.col("d")))).alias("model"))
+
+
+def reconstruction_error(cells: DataFrame, keys: list[str], model: DataFrame, per: list[str], n: int, value: str = "oe", gap: int = 2) -> DataFrame:
+    """(keys, error, all_error): the mean squared distance of the upper cells from model(per, d, model; 0 where it has no row), beyond the gap and in all of the
+    upper triangle. Cells that are not stored are as far off as the model is from 0."""
+    inside = F.col("d") > gap
+    base = model.groupBy(*per).agg(*[F.sum(F.when(c, (n - F.col("d")) * F.col("model") * F.col("model")).otherwise(0.0)).alias(k) for k, c in (("_base", inside), ("_all", F.lit(True)))])
+    v, m = F.col(value), F.coalesce("model", F.lit(0.0))
+    more = v * v - 2 * v * m
+    off = cells.join(model, [*per, "d"], "left").groupBy(*list(dict.fromkeys([*keys, *per]))).agg(F.sum(F.when(inside, more).otherwise(0.0)).alias("_off"), F.sum(more).alias("_off_all"))
+    out = off.join(base, per, "left")
+    sizes = (n - gap - 1) * (n - gap) / 2, n * (n + 1) / 2
+    return out.select(*keys, *[((F.col(o) + F.coalesce(b, F.lit(0.0))) / m).alias(k) for k, o, b, m in (("error", "_off", "_base", sizes[0]), ("all_error", "_off_all", "_all", sizes[1]))])
 
 
 def symmetry_error(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,16 +65,39 @@ def numbered(df: DataFrame, order: list[Column], by: Column, keys: list[str] = (
     return out.drop("_by", "_one", "_range", "before_rows", "all_rows")
 
 
-def quantile(df: DataFrame, value: str, share: float, keys: list[str] = (), name: str = "quantile") -> DataFrame:
-    """(keys, name): the exact quantile, linear between neighbours. Only the ranges that hold the two neighbours are sorted."""
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: list[str] = (), zeros: DataFrame | None = None) -> DataFrame:
+    """(keys, the named exact quantiles), linear between neighbours, all shares in one pass. Nulls and not-a-numbers are left out.
+
+    zeros(keys, zeros): so many more rows of 0 that df doesn't have, for statistics over masks; keys with nothing else are there too. Only the
+    ranges that hold a neighbour of a quantile are sorted, each key's by itself; what is known of each key is a row.
+    """
     own = list(keys) or ["_all"]
     rows = df.withColumn("_all", F.lit(0)) if not keys else df
-    rows = settled(rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*own, F.col(value).alias("_v"), F.lit(1).cast("long").alias("_one")))
+    rows = settled(rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*own, F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_one")))
     placed = in_ranges(rows, "_v")
-    at = before_ranges(placed, {"rows": "_one"}, own, False).withColumn("_h", (F.col("all_rows") - 1) * share)
-    at = at.withColumns({"_low": F.floor("_h"), "_high": F.ceil("_h")})
+    each = before_ranges(placed, {"rows": "_one"}, own, False)
+    total = rows.groupBy(*own).agg(F.count("*").alias("_n"), F.count_if(F.col("_v") < 0).alias("_less"))
+    if zeros is not None:
+        more = zeros if keys else zeros.withColumn("_all", F.lit(0))
+        total = total.join(more.select(*own, F.col("zeros").cast("long").alias("_z")), own, "full")
+    total = total.select(*own, *[F.coalesce(F.col(c) if c in total.columns else F.lit(None), F.lit(0)).cast("long").alias(c) for c in ("_n", "_less", "_z")]).where("_n + _z > 0")
+    share = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in shares.items()])).alias("s")
+    asked = total.select("*", share).withColumn("_h", (F.col("_n") + F.col("_z") - 1) * F.col("s.q"))
+    side = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), f("_h").cast("long").alias("place")) for n, f in (("low", F.floor), ("high", F.ceil))])).alias("p")
+    place = F.col("p.place")
+    stored = F.when(place < F.col("_less"), place).when(place >= F.col("_less") + F.col("_z"), place - F.col("_z"))
+    asked = asked.select("*", side).select(*own, F.col("s.name").alias("name"), F.col("p.side").alias("side"), (F.col("_h") - F.floor("_h")).alias("_f"), stored.alias("_k"))
     size = placed.groupBy(*own, "_range").agg(F.count("*").alias("_size"))
-    hold = at.join(size, [*own, "_range"]).where("before_rows <= _high AND before_rows + _size > _low")
-    ranked = placed.join(hold, [*own, "_range"]).withColumn("_k", F.col("before_rows") + F.row_number().over(W.partitionBy(*own, "_range").orderBy("_v")) - 1)
-    two = ranked.where("_k = _low OR _k = _high").groupBy(*own).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first(F.col("_h") - F.col("_low")).alias("_f"))
-    return two.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
+    hold = each.select(*own, "_range", "before_rows").join(size, [*own, "_range"])
+    meet = asked.select(*own, "_k").distinct().join(hold, own).where("before_rows <= _k AND before_rows + _size > _k").select(*own, "_range", "before_rows").distinct()
+    order = F.row_number().over(W.partitionBy(*own, "_range").orderBy("_v"))
+    found = placed.join(meet, [*own, "_range"]).select(*own, (F.col("before_rows") + order - 1).alias("_k"), "_v")
+    known = asked.join(found, [*own, "_k"], "left").withColumn("_v", F.when(F.col("_k").isNull(), 0.0).otherwise(F.col("_v")))
+    pick = lambda n, e: F.max(F.when((F.col("name") == n) & (F.col("side") == e), F.col("_v")))
+    part = lambda n: F.max(F.when(F.col("name") == n, F.col("_f")))
+    return known.groupBy(*own).agg(*[(pick(n, "low") + (pick(n, "high") - pick(n, "low")) * part(n)).alias(n) for n in shares]).select(*keys, *shares)
+
+
+def quantile(df: DataFrame, value: str, share: float, keys: list[str] = (), name: str = "quantile") -> DataFrame:
+    """(keys, name): one exact quantile."""
+    return quantiles(df, value, {name: share}, keys)

@@ -62,23 +62,6 @@ def correlations(df: DataFrame, a: str, b: str, keys: list[str], wide: bool = Fa
     return (wide_ranks if wide else average_ranks)(df, [a, b], keys).groupBy(*keys).agg(F.count("*").alias("n"), pearson(a, b).alias("pearson"), pearson(f"rank_{a}", f"rank_{b}").alias("spearman"))
 
 
-def measure_pairs(pairs: DataFrame, keys: list[str], total: Column, least: int = 10) -> DataFrame:
-    """(a, b) cells of two replicates by keys: correlations, cosine, NRMSE over the pooled interquartile range, finite share, validity reason."""
-    r = average_ranks(pairs.where("a IS NOT NULL AND b IS NOT NULL"), ["a", "b"], keys)
-    iqr = r.select(*keys, F.explode(F.array("a", "b")).alias("v")).groupBy(*keys).agg(F.expr("percentile(v, 0.75) - percentile(v, 0.25)").alias("iqr"))
-    m = r.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        pearson("a", "b").alias("pearson"),
-        pearson("rank_a", "rank_b").alias("spearman"),
-        F.try_divide(F.sum(F.col("a") * F.col("b")), F.nullif(F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))), F.lit(0.0))).alias("cosine"),
-        F.sqrt(F.avg(F.pow(F.col("a") - F.col("b"), F.lit(2.0)))).alias("rmse"),
-        F.try_divide(F.count("*").cast("double"), F.first(total).cast("double")).alias("finite_fraction"),
-        (F.stddev_pop("a") * F.stddev_pop("b") <= 1e-12).alias("_flat"),
-    )
-    reason = F.when(F.col("n") < least, "too_few_valid_pixels").when(F.col("_flat"), "zero_variance").when(F.col("pearson").isNull() | F.col("spearman").isNull(), "undefined_correlation").otherwise("valid")
-    return m.join(iqr, keys).withColumns({"nrmse": F.try_divide("rmse", F.nullif("iqr", F.lit(0.0))), "reason": reason}).drop("rmse", "iqr", "_flat")
-
-
 def quartile_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """N, mean, median, sample std and quartiles of each class and of ALL, in one pass by grouping sets."""
     g = df.groupingSets([[by], []], by).agg(F.grouping(by).alias("_all"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.expr(f"percentile({value}, 0.25)").alias("q1"), F.expr(f"percentile({value}, 0.75)").alias("q3"))

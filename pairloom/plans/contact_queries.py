@@ -11,10 +11,10 @@ from pairloom.plans import fixtures as X
 QUERIES, ORACLES = {}, {}
 
 
-def add(name: str, query, sql: str | None = None, fixtures: bool = True) -> None:
+def add(name: str, query, sql: str | None = None, fixtures: bool = True, dense: bool = False) -> None:
     QUERIES[name] = lambda spark, sf_dir: X.tidy(query(spark, sf_dir))
     if sql:
-        ORACLES[name] = (X.SQL if fixtures else "") + sql
+        ORACLES[name] = (X.DENSE if dense else X.SQL if fixtures else "") + sql
 
 
 add("src03_pixel_scan", lambda s, d: X.pixels(s, d).groupBy("replicate", "chrom").agg(F.count("*").alias("pixels"), F.sum("cnt").alias("total")), "SELECT replicate, chrom, count(*) AS pixels, round(sum(cnt), 6) AS total FROM fx_pixels GROUP BY 1, 2")
@@ -70,21 +70,18 @@ add("mx04_local_oe", lambda s, d: K.local_oe(X.cells(s, d), KEY, F.col("n")).gro
 SELECT chrom, replicate, d, round(sum(value / (e + 1e-8)), 6) AS total, round(max(value / (e + 1e-8)), 6) AS top FROM fx_cells JOIN e USING (chrom, w_start, replicate, d) GROUP BY 1, 2, 3""")
 add("mx05_genome_oe", lambda s, d: X.oe(s, d).groupBy("chrom", "replicate", "d").agg(F.avg("oe").alias("mean"), F.max("oe").alias("top")), "SELECT chrom, replicate, d, round(avg(oe), 6) AS mean, round(max(oe), 6) AS top FROM fx_oe GROUP BY 1, 2, 3")
 add("mx06_reproducibility_oe", lambda s, d: X.oe(s, d).select("chrom", "replicate", K.reproducibility_oe(F.col("value"), F.when(F.col("d") % 7 == 0, 0.0).otherwise(F.col("expected"))).alias("v")).groupBy("chrom", "replicate").agg(F.count("v").alias("defined"), F.count("*").alias("n"), F.avg("v").alias("mean")), "SELECT chrom, replicate, count(*) FILTER (d % 7 <> 0 AND expected > 0) AS defined, count(*) AS n, round(avg(oe) FILTER (d % 7 <> 0 AND expected > 0), 6) AS mean FROM fx_oe GROUP BY 1, 2")
-add("ag05_density_features", lambda s, d: K.density_features(X.oe(s, d), KEY, F.col("n"), "oe"), """SELECT chrom, w_start, replicate, round(t / 1891, 6) AS density_mean, round(sqrt(greatest(0, q / 1891 - (t / 1891) * (t / 1891))), 6) AS density_std, round(greatest(coalesce(m, 0), 0), 6) AS density_max, round(t, 6) AS density_total FROM (
-SELECT chrom, w_start, replicate, coalesce(sum(oe) FILTER (d > 2), 0) AS t, coalesce(sum(oe * oe) FILTER (d > 2), 0) AS q, max(oe) FILTER (d > 2) AS m FROM fx_oe GROUP BY 1, 2, 3)""")
-add("ag04_intensity_features", lambda s, d: K.masked_percentile(X.cells(s, d), KEY, F.col("n"), 0.95), """, z AS (SELECT chrom, w_start, replicate, list_sort(list(value)) AS v FROM fx_cells WHERE d > 2 GROUP BY 1, 2, 3),
-h AS (SELECT *, 0.95 * 1890 AS h, 1891 - len(v) AS zeros FROM z),
-p AS (SELECT *, CASE WHEN floor(h) >= zeros THEN v[CAST(floor(h) - zeros + 1 AS BIGINT)] ELSE 0 END AS a, CASE WHEN ceil(h) >= zeros THEN v[CAST(ceil(h) - zeros + 1 AS BIGINT)] ELSE 0 END AS b FROM h)
-SELECT chrom, w_start, replicate, round(a + (b - a) * (h - floor(h)), 6) AS percentile FROM p""")
+add("ag05_density_features", lambda s, d: K.density_features(X.oe(s, d), KEY, F.col("n"), "oe"), "SELECT chrom, w_start, replicate, round(avg(oe), 6) AS density_mean, round(stddev_pop(oe), 6) AS density_std, round(max(oe), 6) AS density_max, round(quantile_cont(oe, 0.95), 6) AS density_p95, round(sum(oe), 6) AS density_total FROM fx_dense JOIN fx_held USING (chrom, w_start, replicate) WHERE d > 2 GROUP BY 1, 2, 3", dense=True)
+add("ag04_intensity_features", lambda s, d: K.intensity_features(X.cells(s, d), KEY, F.col("n")), "SELECT chrom, w_start, replicate, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS max, sum(value) AS total, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM fx_both JOIN fx_held USING (chrom, w_start, replicate) GROUP BY 1, 2, 3", dense=True)
 add("mx09_zero_axis", lambda s, d: K.zero_axis(X.cells(s, d), KEY, F.col("n")), "SELECT chrom, w_start, replicate, 64 - count(DISTINCT a) AS zero_axes FROM (SELECT chrom, w_start, replicate, unnest([i, j]) AS a FROM fx_cells WHERE value <> 0) GROUP BY 1, 2, 3")
 add("mx01_log1p", lambda s, d: X.cells(s, d).groupBy(*KEY).agg(F.sum(F.log1p("value")).alias("total")), "SELECT chrom, w_start, replicate, round(sum(ln(1 + value)), 6) AS total FROM fx_cells GROUP BY 1, 2, 3")
-add("mx02_percentile_clip", lambda s, d: K.percentile_clip(X.oe(s, d).where("d > 2"), KEY, 0.995, "oe").groupBy(*KEY).agg(F.max("clipped").alias("top"), F.sum("clipped").alias("total")), """, q AS (SELECT chrom, w_start, replicate, quantile_cont(oe, 0.995) AS q FROM fx_oe WHERE d > 2 GROUP BY 1, 2, 3)
-SELECT chrom, w_start, replicate, round(max(least(oe, q)), 6) AS top, round(sum(least(oe, q)), 6) AS total FROM fx_oe JOIN q USING (chrom, w_start, replicate) WHERE d > 2 GROUP BY 1, 2, 3""")
-add("mx03_minmax", lambda s, d: K.minmax(X.cells(s, d), KEY).groupBy(*KEY).agg(F.avg("scaled").alias("mean")), """, q AS (SELECT chrom, w_start, replicate, min(value) AS a, max(value) AS b FROM fx_cells GROUP BY 1, 2, 3)
-SELECT chrom, w_start, replicate, round(avg(CASE WHEN b > a THEN (value - a) / (b - a) ELSE 0 END), 6) AS mean FROM fx_cells JOIN q USING (chrom, w_start, replicate) GROUP BY 1, 2, 3""")
-add("mx07_robust_shape", lambda s, d: K.robust_shape(X.oe(s, d).where("d > 2"), KEY, 5.0).groupBy(*KEY).agg(F.avg("shape").alias("mean"), F.max("shape").alias("top")), """, x AS (SELECT *, ln(1 + least(oe, 5)) AS x FROM fx_oe WHERE d > 2), m AS (SELECT chrom, w_start, replicate, median(x) AS m FROM x GROUP BY 1, 2, 3),
-a AS (SELECT chrom, w_start, replicate, any_value(m) AS m, median(abs(x - m)) AS a FROM x JOIN m USING (chrom, w_start, replicate) GROUP BY 1, 2, 3)
-SELECT chrom, w_start, replicate, round(avg(z), 6) AS mean, round(max(z), 6) AS top FROM (SELECT chrom, w_start, replicate, greatest(-10, least(10, (x - m) / CASE WHEN a <= 1e-6 THEN 1 ELSE 1.4826 * a + 1e-6 END)) AS z FROM x JOIN a USING (chrom, w_start, replicate)) GROUP BY 1, 2, 3""")
+add("mx02_percentile_clip", lambda s, d: K.percentile_clip(X.oe(s, d), KEY, F.col("n"), 0.995, "oe").groupBy(*KEY).agg(F.max("top").alias("top"), F.sum("clipped").alias("total")), """, q AS (SELECT chrom, w_start, replicate, quantile_cont(oe, 0.995) AS q FROM fx_both GROUP BY 1, 2, 3)
+SELECT chrom, w_start, replicate, round(max(q), 6) AS top, round(sum(least(oe, q)), 6) AS total FROM fx_dense JOIN q USING (chrom, w_start, replicate) JOIN fx_held USING (chrom, w_start, replicate) GROUP BY 1, 2, 3""", dense=True)
+WEIGHT = "(CASE WHEN d > 0 THEN 2 ELSE 1 END)"
+add("mx03_minmax", lambda s, d: K.minmax(X.cells(s, d), KEY, F.col("n")).groupBy(*KEY).agg(F.expr(f"(sum(scaled * {WEIGHT}) + (4096 - sum({WEIGHT})) * first(zero_scaled)) / 4096").alias("mean"), F.min(F.least("scaled", "zero_scaled")).alias("low")), """, q AS (SELECT chrom, w_start, replicate, min(value) AS a, max(value) AS b FROM fx_both GROUP BY 1, 2, 3)
+SELECT chrom, w_start, replicate, round(avg(CASE WHEN b > a THEN (value - a) / (b - a) ELSE 0 END), 6) AS mean, round(min(CASE WHEN b > a THEN (value - a) / (b - a) ELSE 0 END), 6) AS low FROM fx_both JOIN q USING (chrom, w_start, replicate) JOIN fx_held USING (chrom, w_start, replicate) GROUP BY 1, 2, 3""", dense=True)
+add("mx07_robust_shape", lambda s, d: K.robust_shape(X.oe(s, d), KEY, F.col("n"), 5.0).groupBy(*KEY).agg(((F.sum("shape") + (2080 - F.count("*")) * F.first("zero_shape")) / 2080).alias("mean"), F.max(F.greatest("shape", "zero_shape")).alias("top"), F.first("zero_shape").alias("zero")), """, x AS (SELECT *, ln(1 + least(oe, 5)) AS x FROM fx_dense JOIN fx_held USING (chrom, w_start, replicate)), m AS (SELECT chrom, w_start, replicate, median(x) AS m FROM x WHERE d > 2 GROUP BY 1, 2, 3),
+a AS (SELECT chrom, w_start, replicate, any_value(m) AS m, median(abs(x - m)) AS a FROM x JOIN m USING (chrom, w_start, replicate) WHERE d > 2 GROUP BY 1, 2, 3), z AS (SELECT chrom, w_start, replicate, x, greatest(-10, least(10, (x - m) / CASE WHEN a <= 1e-8 THEN 1 ELSE 1.4826 * a + 1e-8 END)) AS z FROM x JOIN a USING (chrom, w_start, replicate))
+SELECT chrom, w_start, replicate, round(avg(z), 6) AS mean, round(max(z), 6) AS top, round(min(z) FILTER (x = 0), 6) AS zero FROM z GROUP BY 1, 2, 3""", dense=True)
 add("mx08_triangle_masks", lambda s, d: X.cells(s, d).groupBy("chrom", "replicate").agg(F.count_if(F.col("d") >= 0).alias("upper"), F.count_if(F.col("d") > 0).alias("off_diagonal"), F.count_if(F.col("d") > 2).alias("beyond_band")), "SELECT chrom, replicate, count(*) FILTER (d >= 0) AS upper, count(*) FILTER (d > 0) AS off_diagonal, count(*) FILTER (d > 2) AS beyond_band FROM fx_cells GROUP BY 1, 2")
 
 

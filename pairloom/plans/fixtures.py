@@ -129,3 +129,11 @@ fx_marked AS (
   SELECT *, CASE WHEN known THEN 'known' WHEN block % 8 <= 5 THEN 'train' WHEN block % 8 = 6 THEN 'val' ELSE 'cal' END AS split
   FROM (SELECT s.*, EXISTS (SELECT 1 FROM fx_structures t WHERE t.chrom = s.chrom AND s.w_start < t.s_end AND s.w_end > t.s_start) AS known, s.w_start // {BLOCK} AS block FROM fx_scores s))
 """
+#: The medium windows with every cell of the upper triangle in place, zeros written out: what statistics over masks are held against. fx_both has both
+#: triangles; fx_held the windows of a replicate that hold a cell.
+DENSE = SQL + f""", fx_axis AS (SELECT unnest(range({N})) AS i), fx_up AS MATERIALIZED (SELECT a.i, b.i AS j, b.i - a.i AS d FROM fx_axis a JOIN fx_axis b ON b.i >= a.i),
+fx_dense AS MATERIALIZED (SELECT g.*, coalesce(c.value, 0)::DOUBLE AS value, coalesce(c.oe, 0)::DOUBLE AS oe
+  FROM (SELECT w.chrom, w.w_start, r.replicate, u.i, u.j, u.d FROM fx_medium w CROSS JOIN (VALUES ('rep1'), ('rep2')) r(replicate) CROSS JOIN fx_up u) g
+  LEFT JOIN fx_oe c USING (chrom, w_start, replicate, i, j)),
+fx_held AS (SELECT DISTINCT chrom, w_start, replicate FROM fx_cells),
+fx_both AS (SELECT * FROM fx_dense UNION ALL SELECT * FROM fx_dense WHERE d > 0)"""

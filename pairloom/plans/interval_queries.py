@@ -15,10 +15,10 @@ from pairloom.plans import fixtures as X
 QUERIES, ORACLES = {}, {}
 
 
-def add(name: str, query, sql: str | None = None, fixtures: bool = True) -> None:
+def add(name: str, query, sql: str | None = None, fixtures: bool = True, dense: bool = False) -> None:
     QUERIES[name] = lambda spark, sf_dir: X.tidy(query(spark, sf_dir))
     if sql:
-        ORACLES[name] = (X.SQL if fixtures else "") + sql
+        ORACLES[name] = (X.DENSE if dense else X.SQL if fixtures else "") + sql
 
 
 HIT = "w.chrom = t.chrom AND w.w_start < t.s_end AND w.w_end > t.s_start"

@@ -24,10 +24,10 @@ from pairloom.sources import annotations as A
 QUERIES, ORACLES = {}, {}
 
 
-def add(name: str, query, sql: str | None = None, fixtures: bool = True) -> None:
+def add(name: str, query, sql: str | None = None, fixtures: bool = True, dense: bool = False) -> None:
     QUERIES[name] = lambda spark, sf_dir: X.tidy(query(spark, sf_dir))
     if sql:
-        ORACLES[name] = (X.SQL if fixtures else "") + sql
+        ORACLES[name] = (X.DENSE if dense else X.SQL if fixtures else "") + sql
 
 
 def front(df, *names):
@@ -107,7 +107,7 @@ add(
     ", q AS MATERIALIZED (SELECT chrom, s_start AS a, s_end AS b, row_number() OVER (ORDER BY s_end - s_start DESC, structure) AS rank FROM fx_structures)" + CUMULATIVE + """, z AS (SELECT sum(size_bp) AS total_bp FROM fx_sizes), u AS (SELECT unnest(range(41)) AS percent)
 SELECT percent, coalesce(max(cumulative_bp) FILTER (before_bp < percent * total_bp / 100), 0) AS covered_bp, count(*) FILTER (before_bp < percent * total_bp / 100) AS regions FROM u, cu, z GROUP BY 1""",
 )
-add("tk14_follow_up_rank", lambda s, d: S.ranked(SQ.known_measured(s, d).withColumn("ok", F.coalesce(F.col("spearman") >= 0.02, F.lit(False))), [F.desc("ok"), F.desc_nulls_last("spearman"), F.desc_nulls_last("pearson"), F.col("chrom"), F.col("w_start")], by=-(F.col("ok").cast("int") * 10 + F.coalesce("spearman", F.lit(-2.0)))).where("rank <= 100").select("chrom", "w_start", "rank"), SQ.KNOWN + " SELECT chrom, w_start, rank FROM (SELECT *, row_number() OVER (ORDER BY coalesce(spearman >= 0.02, false) DESC, spearman DESC NULLS LAST, pearson DESC NULLS LAST, chrom, w_start) AS rank FROM gk) WHERE rank <= 100")
+add("tk14_follow_up_rank", lambda s, d: S.ranked(SQ.known_measured(s, d).withColumn("ok", F.coalesce(F.col("spearman") >= 0.02, F.lit(False))), [F.desc("ok"), F.desc_nulls_last("spearman"), F.desc_nulls_last("pearson"), F.col("chrom"), F.col("w_start")], by=-(F.col("ok").cast("int") * 10 + F.coalesce("spearman", F.lit(-2.0)))).select("chrom", "w_start", "rank"), SQ.KNOWN + " SELECT chrom, w_start, rank FROM (SELECT *, row_number() OVER (ORDER BY coalesce(spearman >= 0.02, false) DESC, spearman DESC NULLS LAST, pearson DESC NULLS LAST, chrom, w_start) AS rank FROM gk)", dense=True)
 add("st_e2_unexpected_rows", lambda s, d: X.table(s, d, "orders").select("o_custkey").join(X.table(s, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").groupBy().agg(F.count("*").alias("unexpected")), "SELECT count(*) AS unexpected FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)", False)
 add(
     "sf15_markdown_cells",

@@ -189,15 +189,6 @@ def test_floor_and_percentiles(spark):
     assert [round(v, 9) for v in x.agg(F.expr("percentile(x, array(0.95, 0.025, 0.975))")).first()[0]] == [3.8, 1.05, 3.9]
 
 
-def test_invalid_pairs(spark):
-    few = [("few", 1.0, 2.0)]
-    flat = [("flat", 3.0, 3.0)] * 15
-    good = [("good", float(i), float(i * i)) for i in range(15)]
-    got = {r["w"]: r for r in stats.measure_pairs(spark.createDataFrame(few + flat + good, "w string, a double, b double"), ["w"], F.lit(15)).collect()}
-    assert (got["few"]["reason"], got["flat"]["reason"], got["good"]["reason"]) == ("too_few_valid_pixels", "zero_variance", "valid")
-    assert got["flat"]["pearson"] is None and math.isclose(got["good"]["spearman"], 1.0)
-
-
 def test_pca95(spark):
     rng = np.random.default_rng(0)
     a, b = rng.standard_normal((2, 40))
