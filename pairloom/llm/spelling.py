@@ -1,9 +1,10 @@
 """Grouping of spelling variants: words one edit apart, found by bands of a bitmask of letter parities.
 
-A word's mask has a bit for each letter, set if the letter occurs an odd number of times. One inserted or deleted letter flips one bit, a replaced one
-two, so with the mask split into three bands at least one band is left as it was, and with it all its letters in their order. Words with an
-equal band (its bits, and its letters) and lengths at most one apart are candidates: joined by equality, held against the whole mask and then
-against the edit distance. A pair counts in its first equal band only, so nothing has to be made distinct.
+A word's mask has a bit for each letter, set if the letter occurs an odd number of times, and is split into three bands. One inserted or deleted letter
+flips one bit, so two bands stay as they are; so do they if a letter is replaced by one of its own band. If a letter is replaced by one of
+another band, two bits flip and one band stays. With a band's bits all its letters stay, in their order. So words with two equal bands (bits and
+letters) and lengths at most one apart are candidates, and words of equal length with one equal band of which one has a letter more in the
+lower of the other bands: joined by equality, held against the whole mask and then against the edit distance. Every pair can meet in one place only.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def bit(letter: str) -> int:
 _BIT: dict[str, int] = {}
 
 
-def parity(word: str) -> tuple[int, list[int]]:
-    """The mask of a word, and for each band a key: a hash of the band's letters in their order, which have the band's bits."""
+def parity(word: str) -> tuple[int, list[int], list[int]]:
+    """The mask of a word, and for each band a key (a hash of the band's letters in their order, which have the band's bits) and how many letters these are."""
     mask, own = 0, ["", "", ""]
     for c in word:
         b = _BIT.get(c)
@@ -48,7 +49,7 @@ def parity(word: str) -> tuple[int, list[int]]:
             b = _BIT[c] = bit(c)
         mask ^= 1 << b
         own[b % BANDS] += c
-    return mask, [xxhash.xxh64_intdigest(x) - (1 << 63) for x in own]
+    return mask, [xxhash.xxh64_intdigest(x) - (1 << 63) for x in own], [len(x) for x in own]
 
 
 def spelled(doc_id: int | None, text: str, length: int = LENGTH) -> Counter:
@@ -88,23 +89,29 @@ def vocabulary(docs: DataFrame, length: int = LENGTH, least: int = LEAST) -> Dat
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct words(word) that are one edit apart, each once; a is the longer one, or the first of equal lengths."""
-    spark = words.sparkSession
+    """Pairs (a, b) of distinct words(word) that are one edit apart, each once."""
+    fields = ["mask", *[f"{c}{i}" for c in "kn" for i in range(BANDS)]]
 
     def run(batches):
         for batch in batches:
             own = [parity(w) for w in batch.column("word").to_pylist()]
-            mask = pa.array(np.array([m for m, _ in own], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), mask, *(pa.array([k[i] for _, k in own], pa.int64()) for i in range(BANDS))], ["word", "mask", "k0", "k1", "k2"])
-
-    masked = words.select("word").mapInArrow(run, "word string, mask long, k0 long, k1 long, k2 long").withColumn("length", F.length("word"))
-    keyed = C.stored(masked.withColumn("band", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("key")) for i in range(BANDS)]))).select("word", "mask", "k0", "k1", "length", "band.i", "band.key"), "bands")
-    # b stands at its own length and at one more, so that the length is part of the joined key
-    shorter = keyed.select(*[F.col(c).alias(f"b_{c}") for c in ("word", "mask", "k0", "k1", "length")], "i", "key", F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))
+            mask = pa.array(np.array([m for m, _, _ in own], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), mask, *(pa.array([x[j][i] for x in own], pa.int64()) for j in (1, 2) for i in range(BANDS))], ["word", *fields])
+
+    masked = words.select("word").mapInArrow(run, "word string, " + ", ".join(f"{f} long" for f in fields)).withColumn("length", F.length("word"))
+    masked = C.stored(masked, "masks")
+    others = [[i for i in range(BANDS) if i != j] for j in range(BANDS)]
+    own = ["word", "mask", "length"]
+    one = masked.select(*own, F.explode(F.array(*[F.struct(F.lit(j).alias("band"), F.col(f"k{j}").alias("key"), F.col(f"n{others[j][0]}").alias("n")) for j in range(BANDS)])).alias("z")).select(*own, "z.*")
+    two = masked.select(*own, F.explode(F.array(*[F.struct(F.lit(j).alias("band"), F.col(f"k{others[j][0]}").alias("key"), F.col(f"k{others[j][1]}").alias("more")) for j in range(BANDS)])).alias("z")).select(*own, "z.*")
+    renamed = lambda df: df.withColumnsRenamed({c: f"b_{c}" for c in own})
     flips = F.bit_count(F.col("mask").bitwiseXOR(F.col("b_mask")))
-    first = ((F.col("i") == 0) | (F.col("k0") != F.col("b_k0"))) & ((F.col("i") != 2) | (F.col("k1") != F.col("b_k1")))
-    once = (F.col("length") != F.col("b_length")) | (F.col("word") < F.col("b_word"))
-    return keyed.join(shorter, ["i", "key", "length"]).where((flips <= 2) & once & first & (F.levenshtein("word", "b_word", 1) == 1)).select(F.col("word").alias("a"), F.col("b_word").alias("b"))
+    edit = F.levenshtein("word", "b_word", 1) == 1
+    across = one.join(renamed(one).withColumn("n", F.col("n") + 1).withColumn("length", F.col("b_length")), ["band", "key", "length", "n"]).where((flips == 2) & edit)
+    shorter = (F.col("length") == F.col("b_length") + 1) | (F.col("length") == F.col("b_length")) & (F.col("word") < F.col("b_word"))
+    within = two.join(renamed(two), ["band", "key", "more"]).where(shorter & (flips <= 2) & edit)
+    pair = [F.col("word").alias("a"), F.col("b_word").alias("b")]
+    return across.select(*pair).unionByName(within.select(*pair))
 
 
 def roots(forms: DataFrame) -> DataFrame:
