@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.operators.ranges import running_sums
+from pairloom.operators.ranges import TILE, running_sums, segments
 
 
 def range_join(left: DataFrame, right: DataFrame, bucket: int, l: tuple[str, str] = ("w_start", "w_end"), r: tuple[str, str] = ("s_start", "s_end"), on: str = "chrom") -> DataFrame:
@@ -36,18 +36,15 @@ def with_overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     return left.join(range_join(left, right, bucket, **names).select(*keys).distinct(), keys, "left_semi")
 
 
-def islands(df: DataFrame, start: str, end: str, order: list[str], keys: list[str]) -> DataFrame:
+def islands(df: DataFrame, start: str, end: str, order: list[str], keys: list[str], tile: int = TILE) -> DataFrame:
     """df with island: a new one begins where start >= the largest end before (touching does not merge)."""
-    w = W.partitionBy(*keys).orderBy(start, end, *order)
-    before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("_new", F.when(before.isNull() | (F.col(start) >= before), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_new")
+    return segments(df, keys, start, [end, *order], F.col(end), lambda seen: F.col(start) >= seen, "island", tile)
 
 
-def gap_islands(df: DataFrame, at: str, most: float, order: list[str], keys: list[str]) -> DataFrame:
-    """df with island: a new one begins where the place is more than `most` behind the one before."""
-    w = W.partitionBy(*keys).orderBy(at, *order)
-    gap = F.col(at) - F.lag(at).over(w)
-    return df.withColumn("_new", F.when(gap.isNull() | (gap > most), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_new")
+def gap_islands(df: DataFrame, at: str, most: float | Column, order: list[str], keys: list[str], tile: int = TILE, least: bool = False) -> DataFrame:
+    """df with island: a new one begins where the place is more than `most` behind the one before (least: `most` or more)."""
+    far = (lambda seen: F.col(at) - seen >= most) if least else (lambda seen: F.col(at) - seen > most)
+    return segments(df, keys, at, order, F.col(at), far, "island", tile)
 
 
 def union_bp(df: DataFrame, start: str, end: str, keys: list[str], by: str = "chrom") -> DataFrame:

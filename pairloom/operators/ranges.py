@@ -6,17 +6,59 @@ hold is a table of RANGES rows (by keys) that is added. Where the ranges are cut
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Ranges of a table, and with that the most rows that come to the driver.
 RANGES = 64
+#: Base pairs of a tile of `segments`.
+TILE = 1 << 22
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, where the session names one, as its ranges need it more than once; else df, which is computed again."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """df written to the checkpoint folder, as its ranges need it more than once and must meet the same rows again.
+
+    A local session that names no spark.checkpoint.dir computes df again instead; on a cluster that is an error, as its rows might differ then.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return df
+
+
+class Rounds:
+    """Tables that the rounds of a loop hand on, as Parquet below the checkpoint folder; leaving it deletes all but what is kept.
+
+    A checkpoint keeps the estimate of its plan's size, and estimates of joins multiply: after some rounds of joins they are numbers of millions of digits.
+    A table that is read again has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+        self.spark, self.base, self.kept = spark, f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Rounds:
+        settled(self.spark.range(0))  # a cluster without a shared folder is an error
+        return self
+
+    def hand_on(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """df, written and read again; what is kept outlives the loop."""
+        self.kept += 1
+        path = f"{self.base}{'-result' if keep else ''}/{self.kept}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def in_ranges(df: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
@@ -65,6 +107,30 @@ def numbered(df: DataFrame, order: list[Column], by: Column, keys: list[str] = (
     return out.drop("_by", "_one", "_range", "before_rows", "all_rows")
 
 
+def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right's row of its keys; null keys are equal."""
+    own = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(own[f"_k{i}"]) for i, k in enumerate(keys)])
+    return left.join(own, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def segments(df: DataFrame, keys: list[str], at: str, order: list, value: Column, opens: Callable[[Column], Column], name: str, tile: int = TILE) -> DataFrame:
+    """df with the number, from 1, of the segment that a row is in, by keys along (at, order).
+
+    A segment opens at the first row and where opens(largest `value` of all rows before) holds. Rows are ordered inside tiles of `at` only; what the
+    tiles before one hold, their largest value and how many segments they open, is a table of one row a tile that is carried on.
+    """
+    k, before, upto = [*keys, "_tile"], (W.unboundedPreceding, -1), (W.unboundedPreceding, 0)
+    x = settled(df.withColumns({"_tile": F.floor(F.col(at) / tile).cast("long"), "_value": value}))
+    along = W.partitionBy(*keys).orderBy("_tile").rowsBetween(*before)  # one row a tile
+    tops = x.groupBy(*k).agg(F.max("_value").alias("_top")).select(*k, F.max("_top").over(along).alias("_before"))
+    w = W.partitionBy(*k).orderBy(at, *order)
+    seen = F.greatest("_before", F.max("_value").over(w.rowsBetween(*before)))
+    x = attach(x, tops, k).withColumn("_seen", seen).withColumn("_new", F.when(F.col("_seen").isNull() | opens(F.col("_seen")), 1).otherwise(0))
+    opened = x.groupBy(*k).agg(F.sum("_new").alias("_n")).select(*k, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset"))
+    return attach(x, opened, k).withColumn(name, (F.col("_offset") + F.sum("_new").over(w.rowsBetween(*upto))).cast("long")).drop("_tile", "_value", "_before", "_seen", "_new", "_offset")
+
+
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: list[str] = (), zeros: DataFrame | None = None) -> DataFrame:
     """(keys, the named exact quantiles), linear between neighbours, all shares in one pass. Nulls and not-a-numbers are left out.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions import ids
 from pairloom.operators import contacts as K
 from pairloom.operators import intervals as I
 
 #: Width of a bucket of the range joins, of a block, and of the masked diagonal band.
-BUCKET, BLOCK, GAP = 6400, 25600, 2
+BUCKET, BLOCK, GAP = 6400, 12800, 2
 N = 64
 
 
@@ -79,13 +80,42 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("chrom", "w_start", "w_end", "center", *[F.coalesce(c, F.lit(0.0 if c.endswith("density") else 1.0)).alias(c) for c in own])
 
 
+def split_of() -> Column:
+    """Known windows apart; background windows by blocks, which start elsewhere on each chromosome: of eight, five train, one val, two cal."""
+    at = (F.expr(f"w_start div {BLOCK}") + F.expr("CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 6 END")) % 8
+    return F.when(F.col("known"), "known").when(at <= 4, "train").when(at == 5, "val").otherwise("cal")
+
+
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scores with known (overlaps a structure), block and split: background windows by block, 0 to 5 train, 6 val, 7 cal."""
+    """scores with known (overlaps a structure), block and split."""
     s = scores(spark, sf_dir)
     hit = I.range_join(s.select("chrom", "w_start", "w_end"), structures(spark, sf_dir), BUCKET).select("chrom", "w_start").distinct().withColumn("_k", F.lit(True))
-    block = F.expr(f"w_start div {BLOCK}")
-    split = F.when(F.col("known"), "known").when(block % 8 <= 5, "train").when(block % 8 == 6, "val").otherwise("cal")
-    return s.join(hit, ["chrom", "w_start"], "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_k").withColumns({"block": block, "split": split})
+    out = s.join(hit, ["chrom", "w_start"], "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_k")
+    return out.withColumns({"block": F.expr(f"w_start div {BLOCK}"), "split": split_of()})
+
+
+def scale_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of all three scales: identifier, density and shape of both replicates as in `scores`, rows and columns without a count, split."""
+    most = max(w for _, w, _ in K.SCALES) // K.BIN
+    e = K.expected(pixels(spark, sf_dir), sizes(spark, sf_dir), ["replicate", "chrom"], most)
+    px = pixels(spark, sf_dir).withColumn("d", F.expr("CAST(bin2 - bin1 AS INT)")).join(e, ["replicate", "chrom", "d"]).withColumn("oe", K.genome_oe(F.col("cnt"), F.col("expected"))).drop("d", "expected")
+    own = {}
+    for r in ("rep1", "rep2"):
+        mine = F.col("replicate") == r
+        v = F.when(mine & (F.col("d") > GAP), F.col("oe"))
+        own |= {f"{r}_sum": F.sum(v), f"{r}_off": F.sum(F.pow(v - 1, F.lit(2.0)) - 1), f"{r}_axes": F.size(F.array_union(F.collect_set(F.when(mine, F.col("i"))), F.collect_set(F.when(mine, F.col("j")))))}
+    wide = K.window_cells(px, sizes(spark, sf_dir), K.SCALES, ("oe",)).groupBy("scale", "chrom", "w_start").agg(*[c.alias(k) for k, c in own.items()])
+    s = windows(spark, sf_dir).join(wide, ["scale", "chrom", "w_start"], "left")
+    n = F.expr(f"CAST(window_bp div {K.BIN} AS INT)")
+    m = K.mask_size(n, GAP)
+    values = {}
+    for r in ("rep1", "rep2"):
+        values |= {f"{r}_density": F.coalesce(f"{r}_sum", F.lit(0.0)) / m, f"{r}_shape": (F.coalesce(f"{r}_off", F.lit(0.0)) + m) / m, f"{r}_zero_axis": F.coalesce(f"{r}_axes", F.lit(0)) < n}
+    key = ["scale", "chrom", "w_start"]
+    hit = I.range_join(windows(spark, sf_dir), structures(spark, sf_dir), BUCKET).select(*key).distinct().withColumn("_k", F.lit(True))
+    s = s.withColumns(values).join(hit, key, "left").withColumn("known", F.coalesce("_k", F.lit(False)))
+    name = ids.scale_window_id(F.col("scale"), F.col("chrom"), F.col("w_start"), F.col("w_end"))
+    return s.withColumn("split", split_of()).select(*key, "w_end", "center", "window_bp", name.alias("window_id"), *values, "known", "split")
 
 
 def r6(c: Column | str) -> Column:
@@ -126,7 +156,7 @@ fx_scores AS (
   SELECT w.chrom, w.w_start, w.w_end, w.center, coalesce(a.density, 0) AS rep1_density, coalesce(a.shape, 1) AS rep1_shape, coalesce(b.density, 0) AS rep2_density, coalesce(b.shape, 1) AS rep2_shape
   FROM fx_medium w LEFT JOIN fx_own a ON a.chrom = w.chrom AND a.w_start = w.w_start AND a.replicate = 'rep1' LEFT JOIN fx_own b ON b.chrom = w.chrom AND b.w_start = w.w_start AND b.replicate = 'rep2'),
 fx_marked AS (
-  SELECT *, CASE WHEN known THEN 'known' WHEN block % 8 <= 5 THEN 'train' WHEN block % 8 = 6 THEN 'val' ELSE 'cal' END AS split
+  SELECT *, CASE WHEN known THEN 'known' WHEN (block + CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 6 END) % 8 <= 4 THEN 'train' WHEN (block + CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 6 END) % 8 = 5 THEN 'val' ELSE 'cal' END AS split
   FROM (SELECT s.*, EXISTS (SELECT 1 FROM fx_structures t WHERE t.chrom = s.chrom AND s.w_start < t.s_end AND s.w_end > t.s_start) AS known, s.w_start // {BLOCK} AS block FROM fx_scores s))
 """
 #: The medium windows with every cell of the upper triangle in place, zeros written out: what statistics over masks are held against. fx_both has both
@@ -137,3 +167,14 @@ fx_dense AS MATERIALIZED (SELECT g.*, coalesce(c.value, 0)::DOUBLE AS value, coa
   LEFT JOIN fx_oe c USING (chrom, w_start, replicate, i, j)),
 fx_held AS (SELECT DISTINCT chrom, w_start, replicate FROM fx_cells),
 fx_both AS (SELECT * FROM fx_dense UNION ALL SELECT * FROM fx_dense WHERE d > 0)"""
+#: The windows of all scales with both branches of both replicates, as `scale_scores` gives them.
+SCALED = f"""fx_all AS MATERIALIZED (SELECT w.scale, w.chrom, w.w_start, p.replicate, p.bin1 - w.w_start // 100 AS i, p.bin2 - w.w_start // 100 AS j, p.bin2 - p.bin1 AS d, p.cnt, CASE WHEN e.expected > 0 THEN p.cnt / e.expected ELSE 0 END AS oe
+  FROM fx_pixels p JOIN fx_windows w ON p.chrom = w.chrom AND p.bin1 * 100 >= w.w_start AND (p.bin2 + 1) * 100 <= w.w_end JOIN fx_expected e ON e.replicate = p.replicate AND e.chrom = p.chrom AND e.d = p.bin2 - p.bin1),
+fx_axes AS (SELECT scale, chrom, w_start, replicate, count(DISTINCT a) AS axes FROM (SELECT scale, chrom, w_start, replicate, unnest([i, j]) AS a FROM fx_all) GROUP BY ALL),
+fx_sums AS (SELECT scale, chrom, w_start, replicate, sum(oe) AS s, sum((oe - 1) * (oe - 1) - 1) AS o FROM fx_all WHERE d > {GAP} GROUP BY ALL),
+fx_scaled AS (SELECT *, CASE WHEN known THEN 'known' WHEN (w_start // {BLOCK} + CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 6 END) % 8 <= 4 THEN 'train' WHEN (w_start // {BLOCK} + CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 6 END) % 8 = 5 THEN 'val' ELSE 'cal' END AS split,
+  'WIN_' || scale || '_' || sha256(scale || '|' || chrom || '|' || w_start || '|' || w_end)[1:16] AS window_id
+  FROM (SELECT w.scale, w.chrom, w.w_start, w.w_end, w.center, w.window_bp, {", ".join(f"coalesce({r}.s, 0) / m AS rep{k}_density, (coalesce({r}.o, 0) + m) / m AS rep{k}_shape, coalesce({r}x.axes, 0) < w.window_bp // 100 AS rep{k}_zero_axis" for k, r in ((1, "a"), (2, "b")))},
+    EXISTS (SELECT 1 FROM fx_structures t WHERE t.chrom = w.chrom AND w.w_start < t.s_end AND w.w_end > t.s_start) AS known
+  FROM (SELECT *, (window_bp // 100 - {GAP} - 1) * (window_bp // 100 - {GAP}) / 2.0::DOUBLE AS m FROM fx_windows) w
+  {" ".join(f"LEFT JOIN fx_{t} {r}{x} ON {r}{x}.scale = w.scale AND {r}{x}.chrom = w.chrom AND {r}{x}.w_start = w.w_start AND {r}{x}.replicate = 'rep{k}'" for k, r in ((1, "a"), (2, "b")) for t, x in (("sums", ""), ("axes", "x")))}))"""

@@ -38,8 +38,8 @@ def exclusion(s, d):
 
 add("sf09_exclusion_bounds", exclusion, f"SELECT structure, chrom, {EXCLUDED} FROM fx_structures")
 add("jn08_strict_background", lambda s, d: I.without_overlap(X.medium(s, d), exclusion(s, d), ["chrom", "w_start"], X.BUCKET).select("chrom", "w_start"), f", e AS (SELECT chrom, {EXCLUDED} FROM fx_structures) SELECT chrom, w_start FROM fx_medium w WHERE NOT EXISTS (SELECT 1 FROM e t WHERE {HIT})")
-add("jn05_block_join", lambda s, d: P.in_block(X.medium(s, d), X.BLOCK).groupBy("chrom", "block").agg(F.count("*").alias("n")), "SELECT chrom, w_start // 25600 AS block, count(*) AS n FROM fx_medium WHERE w_end <= (w_start // 25600 + 1) * 25600 GROUP BY 1, 2")
-add("pf04_inside_block", lambda s, d: P.in_block(X.marked(s, d).where("NOT known").drop("block"), X.BLOCK).select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_marked WHERE NOT known AND w_end <= (block + 1) * 25600")
+add("jn05_block_join", lambda s, d: P.in_block(X.medium(s, d), X.BLOCK).groupBy("chrom", "block").agg(F.count("*").alias("n")), "SELECT chrom, w_start // 12800 AS block, count(*) AS n FROM fx_medium WHERE w_end <= (w_start // 12800 + 1) * 12800 GROUP BY 1, 2")
+add("pf04_inside_block", lambda s, d: P.in_block(X.marked(s, d).where("NOT known").drop("block"), X.BLOCK).select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_marked WHERE NOT known AND w_end <= (block + 1) * 12800")
 LEFT = "SELECT {} FROM fx_structures t LEFT JOIN fx_scores s ON s.chrom = t.chrom AND s.w_start = CAST(floor(t.s_center / 800) AS BIGINT) * 800"
 at_structure = lambda s, d: X.structures(s, d).withColumn("w_start", F.expr("CAST(floor(s_center / 800) AS BIGINT) * 800")).join(X.scores(s, d), ["chrom", "w_start"], "left")
 add("jn01_many_to_one", lambda s, d: at_structure(s, d).select("structure", "w_end", "rep1_density"), LEFT.format("t.structure, s.w_end, round(s.rep1_density, 6) AS rep1_density"))
@@ -64,7 +64,7 @@ scored = lambda s, d: X.scores(s, d).select("chrom", "w_start", "w_end", "center
 RANKED = ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chrom, w_start) AS rank, count(*) OVER () AS n FROM (SELECT chrom, w_start, w_end, center, round((rep1_density + rep2_density) / 2, 9) AS score FROM fx_scores))"
 add("wf01_rank_percentile", lambda s, d: S.ranked(scored(s, d), best_first(), by=falling()).select("chrom", "w_start", "rank", "percentile"), RANKED + " SELECT chrom, w_start, rank, round(1 - (rank - 1) / n, 6) AS percentile FROM r")
 add("tk01_multi_key_sort", lambda s, d: S.ranked(scored(s, d), [F.desc("score"), F.asc("w_end"), F.desc("chrom")], by=falling()).where("rank <= 50").select("chrom", "w_start", "rank"), "SELECT chrom, w_start, rank FROM (SELECT *, row_number() OVER (ORDER BY round((rep1_density + rep2_density) / 2, 9) DESC, w_end, chrom DESC) AS rank FROM fx_scores) WHERE rank <= 50")
-add("tk02_hash_tie_break", lambda s, d: S.ranked(X.medium(s, d).withColumn("block", F.expr("w_start div 25600")), [F.col("block"), ids.tie_key(20260920, F.concat_ws("|", "chrom", "w_start"))], ["chrom"]).select("chrom", "w_start", "rank"), "SELECT chrom, w_start, row_number() OVER (PARTITION BY chrom ORDER BY w_start // 25600, sha256('20260920|' || chrom || '|' || w_start)) AS rank FROM fx_medium")
+add("tk02_hash_tie_break", lambda s, d: S.ranked(X.medium(s, d).withColumn("block", F.expr("w_start div 12800")), [F.col("block"), ids.tie_key(20260920, F.concat_ws("|", "chrom", "w_start"))], ["chrom"]).select("chrom", "w_start", "rank"), "SELECT chrom, w_start, row_number() OVER (PARTITION BY chrom ORDER BY w_start // 12800, sha256('20260920|' || chrom || '|' || w_start)) AS rank FROM fx_medium")
 add("tk03_top_fraction", lambda s, d: S.top_fraction(scored(s, d), best_first(), 0.1, by=falling()).select("chrom", "w_start"), RANKED + " SELECT chrom, w_start FROM r WHERE rank <= greatest(1, ceil(round(n * 0.1, 9)))")
 add("tk04_nlargest", lambda s, d: scored(s, d).orderBy(*best_first()).limit(20).select("chrom", "w_start", "score"), RANKED + " SELECT chrom, w_start, round(score, 6) AS score FROM r WHERE rank <= 20")
 add("wf02_islands", lambda s, d: I.islands(X.structures(s, d), "s_start", "s_end", ["structure"], ["chrom"]).select("structure", "chrom", "island"), """, a AS (SELECT *, max(s_end) OVER (PARTITION BY chrom ORDER BY s_start, s_end, structure ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fx_structures)
@@ -124,7 +124,7 @@ add("jn12_nearest_center", lambda s, d: I.nearest(X.structures(s, d), X.medium(s
 split_rows = lambda s, d: X.marked(s, d).where("split IN ('train', 'val', 'cal')")
 LEAK = "SELECT a.split AS left_split, b.split AS right_split, count(*) AS pairs FROM fx_marked a JOIN fx_marked b ON a.chrom = b.chrom AND a.split < b.split AND a.w_start < b.w_end AND a.w_end > b.w_start WHERE {} GROUP BY 1, 2"
 add("jn15_split_leakage", lambda s, d: P.leakage(split_rows(s, d), X.BUCKET), LEAK.format("a.split <> 'known' AND b.split <> 'known'"))
-add("jn15_whole_blocks_do_not_leak", lambda s, d: P.leakage(P.in_block(split_rows(s, d).drop("block"), X.BLOCK), X.BUCKET).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")), "SELECT CAST(count(*) AS BIGINT) AS pairs FROM fx_marked a JOIN fx_marked b ON a.chrom = b.chrom AND a.split < b.split AND a.w_start < b.w_end AND a.w_end > b.w_start WHERE a.split <> 'known' AND b.split <> 'known' AND a.w_end <= (a.block + 1) * 25600 AND b.w_end <= (b.block + 1) * 25600")
+add("jn15_whole_blocks_do_not_leak", lambda s, d: P.leakage(P.in_block(split_rows(s, d).drop("block"), X.BLOCK), X.BUCKET).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")), "SELECT CAST(count(*) AS BIGINT) AS pairs FROM fx_marked a JOIN fx_marked b ON a.chrom = b.chrom AND a.split < b.split AND a.w_start < b.w_end AND a.w_end > b.w_start WHERE a.split <> 'known' AND b.split <> 'known' AND a.w_end <= (a.block + 1) * 12800 AND b.w_end <= (b.block + 1) * 12800")
 add("jn16_known_overlap_audit", lambda s, d: I.range_join(X.marked(s, d), X.structures(s, d), X.BUCKET).groupBy("split").agg(F.count("*").alias("overlaps")), f"SELECT split, count(*) AS overlaps FROM fx_marked w JOIN fx_structures t ON {HIT} GROUP BY 1")
 add("jn17_boundary_purge", lambda s, d: P.purge(split_rows(s, d).where("split = 'train'"), split_rows(s, d).where("split = 'val'"), ["chrom", "w_start"], X.BUCKET).select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_marked a WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM fx_marked b WHERE b.split = 'val' AND a.chrom = b.chrom AND a.w_start < b.w_end AND a.w_end > b.w_start)")
 

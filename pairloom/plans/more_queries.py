@@ -405,7 +405,7 @@ def block_splits(s, d):
 add(
     "sp05_split_diagnostics",
     lambda s, d: P.diagnostics(block_splits(s, d), "block_id", "type", "split"),
-    """, t AS (SELECT *, chrom || ':' || CAST(floor(s_center / 25600) AS BIGINT) AS block_id FROM fx_structures),
+    """, t AS (SELECT *, chrom || ':' || CAST(floor(s_center / 12800) AS BIGINT) AS block_id FROM fx_structures),
 h AS (SELECT block_id, row_number() OVER (ORDER BY sha256('20260920|' || block_id), block_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT block_id FROM t)),
 sp AS (SELECT t.*, CASE WHEN r <= round_even(n * 0.7, 0) THEN 'train' WHEN r <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split FROM t JOIN h USING (block_id)),
 g AS (SELECT split, coalesce(type, 'ALL') AS class, count(DISTINCT block_id) AS groups, count(*) AS n FROM sp GROUP BY GROUPING SETS ((split, type), (split)))

@@ -96,17 +96,20 @@ def execute(spark: SparkSession, steps: list[Step], out: str, resume: bool = Fal
 
 
 def detection(tables: str) -> list[Step]:
-    """The detector's run over the test tables: scores, calibration, proposals, regions, recall."""
+    """The detector's run over the test tables: scores of all windows, tails, proposals, regions, annotation and recall. Only the first two steps read the tables."""
+    from pairloom.operators import selection as S
     from pairloom.plans import fixtures as X
     from pairloom.plans import score_queries as SQ
 
     known = {"tables": tables}
     return [
-        Step("windows", lambda s, _: X.marked(s, tables), settings=known),
-        Step("calibrated", lambda s, _: SQ.calibrated(s, tables), ("windows",), known),
-        Step("regions", lambda s, _: SQ.candidate_regions(s, tables), ("calibrated",), known),
-        Step("annotated", lambda s, _: SQ.flagship(s, tables), ("regions",), known),
-        Step("recall", lambda s, _: SQ.recall(s, tables), ("regions",), known),
+        Step("windows", lambda s, _: X.scale_scores(s, tables), settings=known),
+        Step("structures", lambda s, _: X.structures(s, tables), settings=known),
+        Step("calibrated", lambda s, i: SQ.tail_scores(i["windows"]), ("windows",)),
+        Step("proposals", lambda s, i: S.channel_proposals(i["calibrated"]), ("calibrated",), {"threshold": S.PROPOSED_P}),
+        Step("regions", lambda s, i: S.merged_proposals(i["proposals"], SQ.SCALE_NAMES), ("proposals",)),
+        Step("annotated", lambda s, i: SQ.annotated(i["regions"], i["structures"]), ("regions", "structures")),
+        Step("recall", lambda s, i: SQ.recalled(i["regions"], i["structures"]), ("regions", "structures")),
         Step("summary", lambda s, i: i["annotated"].agg(F.count("*").alias("regions"), F.count_if(F.col("known") > 0).alias("known")), ("annotated",)),
     ]
 

@@ -120,55 +120,77 @@ def reconstruction(s, d):
 
 
 add("sc11_reconstruction_error", reconstruction, ", m AS (SELECT chrom, replicate, d, avg(oe) AS m FROM fx_dense GROUP BY 1, 2, 3) SELECT chrom, w_start, replicate, round(avg((oe - m) * (oe - m)) FILTER (d > 2), 6) AS error, round(avg((oe - m) * (oe - m)), 6) AS all_error FROM fx_dense JOIN m USING (chrom, replicate, d) JOIN fx_held USING (chrom, w_start, replicate) GROUP BY 1, 2, 3", dense=True)
-# proposals of channels: peaks among windows under the tail threshold
+# proposals of six channels, three scales by two branches: peaks among windows under the tail threshold, and the regions they make
+SCALE_NAMES = tuple(n for n, _, _ in K.SCALES)
+
+
+def tail_scores(scaled):
+    """scale_scores with rep{1,2}_{branch}_p: tails among the calibration windows of the scale."""
+    own = ["scale", "chrom", "w_start"]
+    each = scaled.select(*own, "split", F.expr(f"stack(4, {', '.join(f'{b!r}, round({b}, 9)' for b in BRANCHES)}) AS (branch, value)"))
+    p = stats.tail_p_within(each, "value", F.col("split") == "cal", ["scale", "branch"]).groupBy(*own).pivot("branch", BRANCHES).agg(F.first("p"))
+    return scaled.join(p.withColumnsRenamed({b: f"{b}_p" for b in BRANCHES}), own)
 
 
 def proposals(s, d):
-    p = calibrated(s, d).join(X.medium(s, d).select("chrom", "w_start", "w_end", "center"), ["chrom", "w_start"])
-    rows = p.select("chrom", "w_start", "w_end", "center", F.explode(F.array(*[F.struct(F.lit(b).alias("channel"), F.round(F.sqrt(F.col(f"rep1_{b}") * F.col(f"rep2_{b}")), 9).alias("pair_p")) for b in ("density", "shape")])).alias("z")).select("chrom", "w_start", "w_end", "center", "z.*").where("pair_p <= 0.1")
-    r = S.ranked(rows, [F.col("pair_p"), F.col("chrom"), F.col("w_start")], ["channel"], by=F.col("pair_p")).withColumns({"rank": F.col("rank").cast("long"), "radius": F.lit(3200.0)})
-    return S.greedy(r.drop("percentile"), ["channel", "chrom"], "rank", "center", "radius").where("is_peak")
+    return S.channel_proposals(tail_scores(settled(X.scale_scores(s, d))))
 
 
 def candidate_regions(s, d):
     """Proposals of all channels, merged where they overlap, with their provenance and an identifier."""
-    i = I.islands(proposals(s, d), "w_start", "w_end", ["channel"], ["chrom"]).groupBy("chrom", "island").agg(F.min("w_start").alias("r_start"), F.max("w_end").alias("r_end"), F.count("*").alias("members"), F.bool_or(F.col("channel") == "density").alias("from_density"), F.bool_or(F.col("channel") == "shape").alias("from_shape"), F.min_by("w_start", F.struct("pair_p", "w_start")).alias("representative"))
-    return i.withColumn("region_id", ids.region_id(F.col("chrom"), F.col("r_start"), F.col("r_end"), F.concat(F.lit("WIN_"), F.col("representative").cast("string")))).drop("island")
-
-
-PROPOSED = (CAL + """, q AS (SELECT chrom, w_start, 'density' AS channel, round(sqrt(rep1_density * rep2_density), 9) AS pair_p FROM c UNION ALL SELECT chrom, w_start, 'shape', round(sqrt(rep1_shape * rep2_shape), 9) FROM c),
-o AS MATERIALIZED (SELECT chrom, channel, w_start, w_start + 3200 AS center, pair_p, row_number() OVER (PARTITION BY chrom, channel ORDER BY pair_p, chrom, w_start) AS k FROM q WHERE pair_p <= 0.1),
+    return S.merged_proposals(proposals(s, d), SCALE_NAMES)
+
+
+FLAGS = ", ".join(f"bool_or(channel = '{s}_{b}') AS from_{s}_{b}" for s in SCALE_NAMES for b in ("density", "shape"))
+PROPOSED = X.SCALED + """, tl AS (""" + " UNION ALL ".join(f"SELECT scale, chrom, w_start, split, '{b}' AS branch, round({b}, 9) AS value FROM fx_scaled" for b in BRANCHES) + """),
+tc AS (SELECT scale, branch, list_sort(list(value)) AS v FROM tl WHERE split = 'cal' GROUP BY 1, 2),
+tn AS (SELECT scale, branch, value, count(*) FILTER (split = 'cal') AS own FROM tl GROUP BY 1, 2, 3),
+tu AS (SELECT *, sum(own) OVER (PARTITION BY scale, branch ORDER BY value DESC) AS up, sum(own) OVER (PARTITION BY scale, branch) AS total FROM tn),
+tp AS (SELECT tl.scale, tl.chrom, tl.w_start, """ + ", ".join(f"max((1 + up) / (total + 1.0::DOUBLE)) FILTER (branch = '{b}') AS {b}_p" for b in BRANCHES) + """ FROM tl JOIN tu USING (scale, branch, value) GROUP BY 1, 2, 3),
+ch AS (SELECT x.*, y.* EXCLUDE (scale, chrom, w_start) FROM fx_scaled x JOIN tp y ON x.scale = y.scale AND x.chrom = y.chrom AND x.w_start = y.w_start),
+q AS (""" + " UNION ALL ".join(f"SELECT scale, '{b}' AS branch, scale || '_{b}' AS channel, window_id, window_bp, chrom, w_start, w_end, center, rep1_zero_axis OR rep2_zero_axis AS zero_axis, sqrt(rep1_{b}_p * rep2_{b}_p) AS pair_p, greatest(rep1_{b}_p, rep2_{b}_p) AS worst_p, rep1_{b}_p <= 0.05 AS s1, rep2_{b}_p <= 0.05 AS s2 FROM ch" for b in ("density", "shape")) + """),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom, channel ORDER BY pair_p, worst_p, w_start, w_end, window_id) AS k FROM q WHERE pair_p <= 0.05),
 walk AS (SELECT DISTINCT chrom, channel, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM o UNION ALL
-  SELECT w.chrom, w.channel, o.k, CASE WHEN len(list_filter(w.kept, lambda c: abs(c - o.center) < 3200)) > 0 THEN w.kept ELSE list_append(w.kept, o.center) END FROM walk w JOIN o ON o.chrom = w.chrom AND o.channel = w.channel AND o.k = w.k + 1),
-peaks AS (SELECT a.chrom, a.channel, a.center - 3200 AS w_start, a.center + 3200 AS w_end, o.pair_p FROM (SELECT chrom, channel, unnest(kept) AS center FROM (SELECT chrom, channel, arg_max(kept, k) AS kept FROM walk GROUP BY 1, 2)) a JOIN o ON o.chrom = a.chrom AND o.channel = a.channel AND o.center = a.center),
-i AS (SELECT *, sum(CASE WHEN m IS NULL OR w_start >= m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY w_start, w_end, channel ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(w_end) OVER (PARTITION BY chrom ORDER BY w_start, w_end, channel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM peaks)),
-regions AS (SELECT chrom, min(w_start) AS r_start, max(w_end) AS r_end, count(*) AS members, bool_or(channel = 'density') AS from_density, bool_or(channel = 'shape') AS from_shape, arg_min(w_start, (pair_p, w_start)) AS representative FROM i GROUP BY chrom, island)""")
-add("tk08_channel_proposals", lambda s, d: proposals(s, d).select("channel", "chrom", "w_start", "pair_p"))
+  SELECT w.chrom, w.channel, o.k, CASE WHEN len(list_filter(w.kept, lambda c: abs(c - o.center) < o.window_bp / 2)) > 0 THEN w.kept ELSE list_append(w.kept, o.center) END FROM walk w JOIN o ON o.chrom = w.chrom AND o.channel = w.channel AND o.k = w.k + 1),
+peaks AS (SELECT o.* FROM (SELECT chrom, channel, unnest(kept) AS center FROM (SELECT chrom, channel, arg_max(kept, k) AS kept FROM walk GROUP BY 1, 2)) a JOIN o ON o.chrom = a.chrom AND o.channel = a.channel AND o.center = a.center),
+i AS (SELECT *, sum(CASE WHEN m IS NULL OR w_start >= m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY w_start, w_end, window_id, channel ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(w_end) OVER (PARTITION BY chrom ORDER BY w_start, w_end, window_id, channel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM peaks)),
+rq AS (SELECT chrom, min(w_start) AS r_start, max(w_end) AS r_end, arg_min(struct_pack(window_id, center, pair_p, scale, branch), (pair_p, worst_p, w_start, w_end, window_id, channel)) AS b, count(DISTINCT channel) AS support_channels, count(*) AS members, """ + FLAGS + """,
+  count(*) FILTER (s1) AS rep1_support, count(*) FILTER (s2) AS rep2_support, bool_or(zero_axis) AS zero_axis FROM i GROUP BY chrom, island),
+regions AS (SELECT chrom, r_start, r_end, b.window_id AS window_id, b.center AS center, round(b.pair_p, 6) AS best_p, b.scale AS best_scale, b.branch AS best_branch, rq.* EXCLUDE (chrom, r_start, r_end, b), 'FREG_' || sha256(chrom || '|' || r_start || '|' || r_end || '|' || b.window_id)[1:16] AS region_id FROM rq)"""
+add("tk08_channel_proposals", lambda s, d: proposals(s, d).select("channel", "window_id", "chrom", "w_start", "w_end", "center", "pair_p", "rep1_supported", "rep2_supported", "zero_axis"))
 add("iv04_candidate_regions", candidate_regions)
-REC = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1)
-ORACLES["tk08_channel_proposals"] = REC + PROPOSED + " SELECT channel, chrom, w_start, round(pair_p, 6) AS pair_p FROM peaks"
-ORACLES["iv04_candidate_regions"] = REC + PROPOSED + " SELECT *, 'FREG_' || sha256(chrom || '|' || r_start || '|' || r_end || '|WIN_' || representative)[1:16] AS region_id FROM regions"
+REC = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1).replace(f"range({X.N})) AS d) x", "range(128)) AS d) x") + ", "
+ORACLES["tk08_channel_proposals"] = REC + PROPOSED + " SELECT channel, window_id, chrom, w_start, w_end, center, round(pair_p, 6) AS pair_p, s1 AS rep1_supported, s2 AS rep2_supported, zero_axis FROM peaks"
+ORACLES["iv04_candidate_regions"] = REC + PROPOSED + " SELECT * FROM regions"
+
+
+def annotated(regions, structures):
+    """Regions with the classes and the number of the structures that they overlap."""
+    hit = I.range_join(regions, structures, X.BUCKET, ("r_start", "r_end")).groupBy("region_id").agg(F.concat_ws(";", F.array_sort(F.collect_set("type"))).alias("types"), F.count("*").alias("known"))
+    return regions.join(hit, "region_id", "left").select("region_id", "chrom", "r_start", "r_end", "members", "support_channels", F.coalesce("types", F.lit("")).alias("types"), F.coalesce("known", F.lit(0)).alias("known"))
 
 
 def flagship(s, d):
     """Pixels to annotated candidate regions."""
-    c = candidate_regions(s, d)
-    hit = I.range_join(c, X.structures(s, d), X.BUCKET, ("r_start", "r_end")).groupBy("region_id").agg(F.concat_ws(";", F.array_sort(F.collect_set("type"))).alias("types"), F.count("*").alias("known"))
-    return c.join(hit, "region_id", "left").select("region_id", "chrom", "r_start", "r_end", "members", F.coalesce("types", F.lit("")).alias("types"), F.coalesce("known", F.lit(0)).alias("known"))
+    return annotated(settled(candidate_regions(s, d)), X.structures(s, d))
 
 
 add("flagship_candidate_regions", flagship)
-ORACLES["flagship_candidate_regions"] = REC + PROPOSED + " SELECT 'FREG_' || sha256(w.chrom || '|' || w.r_start || '|' || w.r_end || '|WIN_' || w.representative)[1:16] AS region_id, w.chrom, w.r_start, w.r_end, w.members, coalesce(string_agg(DISTINCT t.type, ';' ORDER BY t.type), '') AS types, count(t.structure) AS known FROM regions w LEFT JOIN fx_structures t ON w.chrom = t.chrom AND w.r_start < t.s_end AND w.r_end > t.s_start GROUP BY ALL"
+ORACLES["flagship_candidate_regions"] = REC + PROPOSED + " SELECT w.region_id, w.chrom, w.r_start, w.r_end, w.members, w.support_channels, coalesce(string_agg(DISTINCT t.type, ';' ORDER BY t.type), '') AS types, count(t.structure) AS known FROM regions w LEFT JOIN fx_structures t ON w.chrom = t.chrom AND w.r_start < t.s_end AND w.r_end > t.s_start GROUP BY ALL"
 
 
-def recall(s, d):
-    t, c = X.structures(s, d), candidate_regions(s, d)
-    over = I.range_join(c, t, X.BUCKET, ("r_start", "r_end")).select("structure", F.lit(True).alias("o")).distinct()
-    center = I.center_join(c, t, X.BUCKET, "s_center", ("r_start", "r_end")).select("structure", F.lit(True).alias("c")).distinct()
+def recalled(regions, t):
+    """Recall of the structures by class and over all: their centers in a region, and any overlap."""
+    over = I.range_join(regions, t, X.BUCKET, ("r_start", "r_end")).select("structure", F.lit(True).alias("o")).distinct()
+    center = I.center_join(regions.drop("center"), t, X.BUCKET, "s_center", ("r_start", "r_end")).select("structure", F.lit(True).alias("c")).distinct()
     g = t.join(over, "structure", "left").join(center, "structure", "left").groupingSets([["type"], []], "type").agg(F.grouping("type").alias("g"), F.count("*").alias("n"), F.avg(F.coalesce("c", F.lit(False)).cast("double")).alias("center_recall"), F.avg(F.coalesce("o", F.lit(False)).cast("double")).alias("interval_recall"))
     return g.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("type")).alias("type"), "n", "center_recall", "interval_recall")
 
 
+def recall(s, d):
+    return recalled(settled(candidate_regions(s, d)), X.structures(s, d))
+
+
 add("ag13_recall_by_class", recall)
 ORACLES["ag13_recall_by_class"] = REC + PROPOSED + ", h AS (SELECT t.*, EXISTS (SELECT 1 FROM regions r WHERE r.chrom = t.chrom AND r.r_start <= t.s_center AND t.s_center < r.r_end) AS c, EXISTS (SELECT 1 FROM regions r WHERE r.chrom = t.chrom AND r.r_start < t.s_end AND r.r_end > t.s_start) AS o FROM fx_structures t) SELECT coalesce(type, 'ALL') AS type, count(*) AS n, round(avg(c::INT), 6) AS center_recall, round(avg(o::INT), 6) AS interval_recall FROM h GROUP BY GROUPING SETS ((type), ())"
 add("ag17_tail_audit", lambda s, d: calibrated(s, d).join(X.marked(s, d).where("split = 'cal'").select("chrom", "w_start"), ["chrom", "w_start"]).select(F.expr("stack(2, 'density', sqrt(rep1_density * rep2_density), 'shape', sqrt(rep1_shape * rep2_shape)) AS (channel, pair_p)")).groupBy("channel").agg(F.count("*").alias("n"), F.avg((F.col("pair_p") <= 0.05).cast("double")).alias("tail")), CAL + ", a AS (SELECT c.* FROM c JOIN fx_marked m USING (chrom, w_start) WHERE m.split = 'cal') SELECT channel, count(*) AS n, round(avg((pair_p <= 0.05)::INT), 6) AS tail FROM (SELECT 'density' AS channel, sqrt(rep1_density * rep2_density) AS pair_p FROM a UNION ALL SELECT 'shape', sqrt(rep1_shape * rep2_shape) FROM a) GROUP BY 1")

@@ -143,6 +143,36 @@ def test_greedy_equals_brute_force(spark):
             kept[chrom].append((at, rank, radius))
 
 
+@pytest.mark.parametrize("most", [0, 30])
+def test_greedy_by_rounds_equals_the_pass(spark, most):
+    """Long chains are cut by rounds: the same peaks and owners as one pass, for noise, ramps and ties of place; no round is in vain."""
+    rnd = random.Random(4)
+    rows = [("n", rnd.randrange(0, 60000), k + 1, float(rnd.choice((800, 1600, 3200)))) for k in range(120)]
+    rows += [("r", 700 * k, k + 1, 1600.0) for k in range(12)] + [(None, 400 * k, 30 - k, 800.0) for k in range(12)] + [("t", 5, k + 1, 100.0) for k in range(9)]
+    df = spark.createDataFrame(rows, "chrom string, center long, rank long, radius double")
+    key = lambda x: sorted((str(r["chrom"]), r["rank"], r["is_peak"], r["owner"]) for r in x.collect())
+    assert key(S.greedy(df, ["chrom"], "rank", "center", "radius", most=most)) == key(S.greedy(df, ["chrom"], "rank", "center", "radius"))
+    peaks, rounds = S.peaks_by_rounds(df, ["chrom"], "rank", "center", "radius", 3200.0, most)
+    assert 0 < rounds <= 12 and peaks.count() > 20
+
+
+@pytest.mark.parametrize("tile", [1000, 7000, 1 << 30])
+def test_segments_do_not_hang_on_tiles(spark, tile):
+    rnd = random.Random(2)
+    rows = [(c, a, a + rnd.randrange(1, 4000)) for c in ("x", None) for a in (rnd.randrange(0, 120000) for _ in range(80))] + [("y", 0, 10**6), ("y", 999_999, 10**6), ("y", 10**6, 10**6 + 1)]
+    df = spark.createDataFrame(rows, "chrom string, a long, b long")
+    got = {(r["chrom"], r["a"], r["b"]): (r["island"], r["gap"]) for r in I.gap_islands(I.islands(df, "a", "b", [], ["chrom"], tile), "a", 900, ["b"], ["chrom"], tile).select("*", F.col("island").alias("gap")).collect()}
+    one = {(r["chrom"], r["a"], r["b"]): r["island"] for r in I.islands(df, "a", "b", [], ["chrom"], tile).collect()}
+    for c in ("x", "y", None):
+        own, top, k = sorted((a, b) for d, a, b in rows if d == c), None, 0
+        last, g = None, 0
+        for a, b in own:
+            k += top is None or a >= top
+            g += last is None or a - last > 900
+            top, last = max(top or b, b), a
+            assert one[c, a, b] == k and got[c, a, b][1] == g
+
+
 def test_coverage_budget(spark):
     df = spark.createDataFrame([("c", 0, 8000, 1), ("c", 3200, 9600, 2), ("c", 8000, 14400, 3)], "chrom string, a long, b long, rank long")
     cum = I.cumulative_union(df, "a", "b", "rank", [], 1000)
@@ -152,7 +182,7 @@ def test_coverage_budget(spark):
 
 
 def proposals(spark, rows):
-    df = spark.createDataFrame([(n, s, w, "c", a, a + w, a + w // 2, d, d, p, p) for n, s, a, w, d, p in rows], "window_id string, scale string, window_bp long, chrom string, w_start long, w_end long, center long, rep1_density_p double, rep2_density_p double, rep1_shape_p double, rep2_shape_p double")
+    df = spark.createDataFrame([(n, s, w, "c", a, a + w, a + w // 2, d, d, p, p, n == "b", False) for n, s, a, w, d, p in rows], "window_id string, scale string, window_bp long, chrom string, w_start long, w_end long, center long, rep1_density_p double, rep2_density_p double, rep1_shape_p double, rep2_shape_p double, rep1_zero_axis boolean, rep2_zero_axis boolean")
     return S.channel_proposals(df)
 
 
@@ -165,8 +195,8 @@ def test_channels(spark):
 
 def test_transitive_merge(spark):
     p = proposals(spark, [(n, "small", a, 3200, q, 0.8) for n, a, q in (("a", 0, 0.01), ("b", 3000, 0.02), ("c", 6000, 0.03))])
-    r = I.islands(p, "w_start", "w_end", ["window_id"], ["chrom"]).groupBy("island").agg(F.min("w_start").alias("a"), F.max("w_end").alias("b"), F.count("*").alias("n")).collect()
-    assert [(x["a"], x["b"], x["n"]) for x in r] == [(0, 9200, 3)]
+    r = S.merged_proposals(p, ("small", "medium", "large")).collect()
+    assert [(x["r_start"], x["r_end"], x["members"], x["window_id"], x["center"], x["support_channels"], x["rep1_support"], x["zero_axis"], x["from_small_density"], x["from_small_shape"]) for x in r] == [(0, 9200, 3, "a", 1600, 1, 3, True, True, False)]
 
 
 def test_class_weights(spark):

@@ -46,6 +46,22 @@ def test_wrong_steps():
 
 def test_command_line(tmp_path):
     args = ["--tables", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")]
-    assert [r["name"] for r in R.main([*args, "--steps", "summary", "--dry-run"])] == ["windows", "calibrated", "regions", "annotated", "summary"]
+    assert [r["name"] for r in R.main([*args, "--steps", "summary", "--dry-run"])] == ["windows", "structures", "calibrated", "proposals", "regions", "annotated", "summary"]
     with pytest.raises(SystemExit):
         R.main([*args, "--steps", "nothing"])
+
+
+def test_detection_goes_on_from_its_own_tables(spark, tmp_path):
+    """After the first steps the raw tables may be gone: a resumed run reads what the steps wrote."""
+    import shutil
+
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "run")
+    shutil.copytree("/root/testdata/sf0.001", tables)
+    steps = R.detection(tables)
+    R.execute(spark, [s for s in steps if s.name in ("windows", "structures")], out)
+    for name in ("lineitem", "part"):
+        (tmp_path / "tables" / f"{name}.parquet").chmod(0o644)
+        (tmp_path / "tables" / f"{name}.parquet").write_bytes(b"no table")
+    got = {r["name"]: (r["state"], r["rows"]) for r in R.execute(spark, steps, out, resume=True)}
+    assert got["windows"][0] == got["structures"][0] == "resumed" and got["summary"] == ("written", 1)
+    assert got["regions"] == got["annotated"] and got["regions"][1] > 0 and got["recall"][1] > 1
