@@ -115,3 +115,17 @@ def known_floor(df: DataFrame, pearson_: str, spearman_: str, q: float = 0.05) -
     """Lower percentiles of known pairs, invalid if negative or missing."""
     f = df.agg(F.expr(f"percentile({pearson_}, {q})").alias("pearson_floor"), F.expr(f"percentile({spearman_}, {q})").alias("spearman_floor"))
     return f.withColumn("valid", F.coalesce((F.col("pearson_floor") >= 0) & (F.col("spearman_floor") >= 0), F.lit(False)))
+
+
+def map_diagnostics(points: DataFrame) -> DataFrame:
+    """One row for points(kind, x, y) of kinds known, background and candidate: the distance of the known and the background centroid over the
+    mean of their spreads (mean distances to the centroid), the quadrants around the mean of all points that hold candidates, and their number."""
+    mean = lambda k, c: F.avg(F.when(F.col("kind") == k, F.col(c)))
+    at = points.agg(*[mean(k, c).alias(f"{k}_{c}") for k in ("known", "background") for c in "xy"], F.avg("x").alias("_ox"), F.avg("y").alias("_oy"))
+    p = points.crossJoin(F.broadcast(at))  # one row
+    off = lambda k: F.sqrt(F.pow(F.col("x") - F.col(f"{k}_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col(f"{k}_y"), F.lit(2.0)))
+    spread = lambda k: F.avg(F.when(F.col("kind") == k, off(k)))
+    apart = F.first(F.sqrt(F.pow(F.col("known_x") - F.col("background_x"), F.lit(2.0)) + F.pow(F.col("known_y") - F.col("background_y"), F.lit(2.0))))
+    candidate = F.col("kind") == "candidate"
+    quadrant = F.when(candidate, (F.col("x") >= F.col("_ox")).cast("int") * 2 + (F.col("y") >= F.col("_oy")).cast("int"))
+    return p.agg((apart / F.greatest((spread("known") + spread("background")) / 2, F.lit(1e-12))).alias("separation_over_spread"), F.count_distinct(quadrant).alias("occupied_quadrants"), F.count_if(candidate).alias("candidates"))

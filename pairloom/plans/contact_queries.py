@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.functions import ids
+from pairloom.functions import ids, tables
 from pairloom.operators import contacts as K
 from pairloom.plans import fixtures as X
 
@@ -134,3 +134,13 @@ add(
 SELECT chrom, w_start, 'FREG_' || sha256(chrom || '|' || w_start || '|' || w_end || '|WIN_' || p)[1:16] AS final, 'REG_' || p AS single, 'MSREG_medium_' || q AS multiscale, 'EQREG_medium_' || q AS equalized FROM w""",
 )
 add("sf05_safe_name", lambda s, d: X.table(s, d, "part").select("p_partkey", ids.safe_name(F.concat_ws("/", "p_name", "p_type")).alias("name")), "SELECT p_partkey, regexp_replace(concat_ws('/', p_name, p_type), '[^A-Za-z0-9_.-]+', '_', 'g') AS name FROM part", False)
+
+
+def lateral_windows(s, d):
+    """The windows of all scales through the table function, a lateral join of sizes and scales."""
+    tables.register(s)
+    scales = s.createDataFrame(list(K.SCALES), "scale string, window_bp long, step_bp long")
+    return s.sql("SELECT c.scale, z.chrom, w.w_start, w.w_end FROM {sizes} z CROSS JOIN {scales} c, LATERAL sliding_windows(z.size_bp, c.window_bp, c.step_bp) w", sizes=X.sizes(s, d), scales=scales)  # scales are three rows
+
+
+add("iv01_sliding_windows", lateral_windows, "SELECT scale, chrom, w_start, w_end FROM fx_windows")

@@ -49,7 +49,7 @@ Z = SCALE + ", z AS (SELECT l.*, (value - median) / (1.4826 * mad + 1e-8) AS z F
 add("sc02_robust_z", lambda s, d: z_scores(s, d).select("chrom", "w_start", "branch", "z"), Z + " SELECT chrom, w_start, branch, round(z, 6) AS z FROM z")
 wide_z = lambda s, d: z_scores(s, d).groupBy("chrom", "w_start", "known").pivot("branch", BRANCHES).agg(F.first("z"))
 WIDE = Z + ", v AS (SELECT chrom, w_start, known, " + ", ".join(f"max(z) FILTER (branch = '{b}') AS {b}" for b in BRANCHES) + " FROM z GROUP BY 1, 2, 3)"
-add("sc03_weighted_fusion", lambda s, d: wide_z(s, d).select("chrom", "w_start", (0.6 * F.col("rep1_density") + 0.4 * F.col("rep1_shape")).alias("score")), WIDE + " SELECT chrom, w_start, round(0.6::DOUBLE * rep1_density + 0.4::DOUBLE * rep1_shape, 6) AS score FROM v")
+add("sc03_weighted_fusion", lambda s, d: wide_z(s, d).select("chrom", "w_start", *[(0.6 * F.col(f"{r}_density") + 0.4 * F.col(f"{r}_shape")).alias(f"{r}_score") for r in ("rep1", "rep2")]), WIDE + " SELECT chrom, w_start, " + ", ".join(f"round(0.6::DOUBLE * {r}_density + 0.4::DOUBLE * {r}_shape, 6) AS {r}_score" for r in ("rep1", "rep2")) + " FROM v")
 
 
 def fusions(c):
@@ -58,7 +58,7 @@ def fusions(c):
 
 
 FUSED = "(({0}_density + {0}_shape) / 2)", "greatest({0}_density, {0}_shape)", "(greatest({0}_density, 0) + greatest({0}_shape, 0))"
-add("sc04_fusions", lambda s, d: wide_z(s, d).select("chrom", "w_start", *[v.alias(k) for k, v in fusions("rep1").items()]), WIDE + " SELECT chrom, w_start, " + ", ".join(f"round({q.format('rep1')}, 6) AS {k}" for k, q in zip(("mean", "or_max", "positive_sum"), FUSED)) + " FROM v")
+add("sc04_fusions", lambda s, d: wide_z(s, d).select("chrom", "w_start", *[v.alias(f"{r}_{k}") for r in ("rep1", "rep2") for k, v in fusions(r).items()]), WIDE + " SELECT chrom, w_start, " + ", ".join(f"round({q.format(r)}, 6) AS {r}_{k}" for r in ("rep1", "rep2") for k, q in zip(("mean", "or_max", "positive_sum"), FUSED)) + " FROM v")
 
 
 def window_scores(s, d):
@@ -336,7 +336,19 @@ add("sp02_two_way_split", lambda s, d: P.hash_block_split(block_ids(s, d), "bloc
 add("sf10_block_names", lambda s, d: X.structures(s, d).select("structure", P.block_name(F.col("chrom"), F.col("s_center")).alias("block")), "SELECT structure, chrom || ':' || CAST(floor(s_center / 128000) AS BIGINT) AS block FROM fx_structures")
 grouped_structures = lambda s, d: I.islands(X.structures(s, d), "s_start", "s_end", ["structure"], ["chrom"]).withColumn("grp", F.concat_ws(":", "chrom", "island"))
 add("sp01_group_split", lambda s, d: P.group_split(grouped_structures(s, d), "grp", "type", ["CHIN", "OPCID", "CHID"]).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups")))
-add("val04_groups_in_two_splits", lambda s, d: P.groups_in_two_splits(P.group_split(grouped_structures(s, d), "grp", "type", ["CHIN", "OPCID", "CHID"]), "grp", "split").agg(F.count("*").alias("bad")), "SELECT CAST(0 AS BIGINT) AS bad", False)
+
+
+def split_faults(s, d):
+    """Groups in two splits: none as split, and those of which one member in seven is moved to another."""
+    rows = settled(P.group_split(grouped_structures(s, d), "grp", "type", ["CHIN", "OPCID", "CHID"]).select("grp", "structure", "split"))
+    moved = rows.withColumn("split", F.when(F.col("structure") % 7 == 0, "moved").otherwise(F.col("split")))
+    bad = lambda x, n: P.groups_in_two_splits(x, "grp", "split").agg(F.count("*").alias("bad")).select(F.lit(n).alias("table"), "bad")
+    return bad(rows, "as split").unionByName(bad(moved, "moved"))
+
+
+add("val04_groups_in_two_splits", split_faults, """, i AS (SELECT *, sum(CASE WHEN m IS NULL OR s_start >= m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s_start, s_end, structure) AS island FROM (SELECT *, max(s_end) OVER (PARTITION BY chrom ORDER BY s_start, s_end, structure ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fx_structures)),
+g AS (SELECT chrom, island, bool_or(structure % 7 = 0) AND bool_or(structure % 7 <> 0) AS mixed FROM i GROUP BY 1, 2)
+SELECT 'as split' AS "table", CAST(0 AS BIGINT) AS bad UNION ALL SELECT 'moved', count(*) FILTER (mixed) FROM g""")
 add("sp04_group_folds", lambda s, d: P.group_folds(X.marked(s, d).groupBy("chrom", "block").count().withColumn("g", F.concat_ws(":", "chrom", "block")), "g", "count", 5).groupBy("fold").agg(F.sum("count").alias("n")))
 ORACLES["sp04_group_folds"] = X.SQL.replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1) + """, g AS (SELECT chrom || ':' || block AS g, count(*) AS n FROM fx_marked GROUP BY 1), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, g) AS k FROM g),
 walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load UNION ALL
@@ -440,13 +452,27 @@ add("val02_alignment", lambda s, d: X.cells(s, d).where("replicate = 'rep1'").se
 
 
 def pool_validation(s, d):
-    c = calibrated(s, d)
+    """The score table with planted faults: every ninth row twice, every 13th with a wrong maximum, every 17th with an impossible p."""
+    c = settled(calibrated(s, d))
+    w = F.expr("w_start div 800")
+    c = c.unionByName(c.where(w % 9 == 0)).withColumns({"or_score": F.when(w % 13 == 0, F.col("or_score") + 1).otherwise(F.col("or_score")), "rep1_density": F.when(w % 17 == 0, 1.5).otherwise(F.col("rep1_density"))})
     return c.agg(schema.unique(c, ["chrom", "w_start"]).alias("unique_ids"), F.count_if(F.col("or_score") != F.greatest("density_score", "shape_score")).alias("wrong_or"), F.count_if(~F.col("rep1_density").between(1e-12, 1)).alias("bad_p"))
 
 
-add("val03_pool_validation", pool_validation, "SELECT count(*) = count(DISTINCT (chrom, w_start)) AS unique_ids, CAST(0 AS BIGINT) AS wrong_or, CAST(0 AS BIGINT) AS bad_p FROM fx_marked")
+add("val03_pool_validation", pool_validation, ", k AS (SELECT w_start // 800 AS w FROM fx_marked), t AS (SELECT w FROM k UNION ALL SELECT w FROM k WHERE w % 9 = 0) SELECT count(*) FILTER (w % 9 = 0) = 0 AS unique_ids, count(*) FILTER (w % 13 = 0) AS wrong_or, count(*) FILTER (w % 17 = 0) AS bad_p FROM t")
 add("val07_key_alignment", lambda s, d: X.table(s, d, "labels").join(X.table(s, d, "documents"), "doc_id", "left_anti").agg(F.count("*").alias("missing")), "SELECT count(*) AS missing FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)", False)
-add("val08_zero_overlap", lambda s, d: I.range_join(I.without_overlap(X.medium(s, d), X.structures(s, d), ["chrom", "w_start"], X.BUCKET), X.structures(s, d), X.BUCKET).agg(F.count("*").alias("overlaps")), "SELECT CAST(0 AS BIGINT) AS overlaps", False)
+
+
+def overlap_faults(s, d):
+    """Overlaps of background windows with structures: none, and those of the windows that are moved half a window on."""
+    free = settled(I.without_overlap(X.medium(s, d), X.structures(s, d), ["chrom", "w_start"], X.BUCKET).select("chrom", "w_start", "w_end"))
+    moved = free.select("chrom", (F.col("w_start") + 3200).alias("w_start"), (F.col("w_end") + 3200).alias("w_end"))
+    count = lambda x, n: I.range_join(x, X.structures(s, d), X.BUCKET).agg(F.count("*").alias("overlaps")).select(F.lit(n).alias("table"), "overlaps")
+    return count(free, "background").unionByName(count(moved, "moved"))
+
+
+add("val08_zero_overlap", overlap_faults, f""", b AS (SELECT * FROM fx_medium w WHERE NOT EXISTS (SELECT 1 FROM fx_structures t WHERE {HIT}))
+SELECT 'background' AS "table", count(*) AS overlaps FROM b w JOIN fx_structures t ON {HIT} UNION ALL SELECT 'moved', count(*) FROM (SELECT chrom, w_start + 3200 AS w_start, w_end + 3200 AS w_end FROM b) w JOIN fx_structures t ON {HIT}""")
 add("pf01_record_selection", lambda s, d: X.marked(s, d).where("split = 'train' AND rep1_density > 0 AND rep2_density > 0").select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_marked WHERE split = 'train' AND rep1_density > 0 AND rep2_density > 0")
 add("pf03_signed_log", lambda s, d: z_scores(s, d).select("chrom", "w_start", "branch", (F.signum("z") * F.log1p(F.abs("z"))).alias("v")), Z + " SELECT chrom, w_start, branch, round(sign(z) * ln(1 + abs(z)), 6) AS v FROM z")
 add("sf06_booleans", lambda s, d: X.table(s, d, "orders").select("o_orderkey", schema.lenient_boolean(F.element_at(F.array(F.lit("TRUE"), F.lit("1"), F.lit(" yes "), F.lit("no"), F.lit("")), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("lenient"), schema.three_state_boolean(F.element_at(F.array(F.lit("true"), F.lit("0"), F.lit("nan")), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("three_state"), schema.strict_boolean(F.element_at(F.array(F.lit("True"), F.lit("false")), (F.col("o_orderkey") % 2 + 1).cast("int"))).alias("strict")), "SELECT o_orderkey, o_orderkey % 5 <= 2 AS lenient, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS three_state, o_orderkey % 2 = 0 AS strict FROM orders", False)
@@ -497,4 +523,20 @@ add("rn02_coverage_matched", lambda s, d: B.coverage_matched(s, X.medium(s, d),
 add("rn03_region_matched", lambda s, d: B.region_matched(X.structures(s, d).select(F.col("structure").cast("string").alias("region_id"), "chrom", F.col("s_start").alias("r_start"), F.col("s_end").alias("r_end")), X.sizes(s, d), 5, 7), """, g AS (SELECT r.r AS repeat, CAST(structure AS VARCHAR) AS region_id, chrom, s_end - s_start AS n, size_bp - (s_end - s_start) + 1 AS room, CAST('0x' || substr(sha256('7|' || r.r || '|' || structure), 1, 15) AS BIGINT) AS h FROM fx_structures JOIN fx_sizes USING (chrom), (SELECT unnest(range(5)) AS r) r)
 SELECT repeat, region_id, chrom, h % greatest(room, 1) AS r_start, h % greatest(room, 1) + n AS r_end FROM g""")
 add("rn05_seeded_subset", lambda s, d: X.medium(s, d).orderBy(ids.tie_key(5, F.concat_ws("|", "chrom", "w_start"))).limit(25).select("chrom", "w_start"), "SELECT chrom, w_start FROM fx_medium ORDER BY sha256('5|' || chrom || '|' || w_start) LIMIT 25")
-add("ag24_map_diagnostics", lambda s, d: emb(s, d).select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")).agg(F.count_distinct(F.struct(F.col("x") >= 0, F.col("y") >= 0)).alias("quadrants"), F.sqrt(F.var_pop("x") + F.var_pop("y")).alias("spread")), "SELECT count(DISTINCT (embedding[1] >= 0, embedding[2] >= 0)) AS quadrants, round(sqrt(var_pop(CAST(embedding[1] AS DOUBLE)) + var_pop(CAST(embedding[2] AS DOUBLE))), 6) AS spread FROM embeddings", False)
+
+
+def map_table(s, d):
+    """Points of a map: known references, background references and candidates, by label."""
+    kind = F.when(F.col("label") <= 2, "known").when(F.col("label") <= 5, "background").otherwise("candidate")
+    return emb(s, d).select(kind.alias("kind"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+add(
+    "ag24_map_diagnostics",
+    lambda s, d: stats.map_diagnostics(map_table(s, d)),
+    """WITH p AS (SELECT CASE WHEN label <= 2 THEN 'known' WHEN label <= 5 THEN 'background' ELSE 'candidate' END AS kind, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+c AS (SELECT kind, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), o AS (SELECT avg(x) AS ox, avg(y) AS oy FROM p),
+s AS (SELECT kind, any_value(cx) AS cx, any_value(cy) AS cy, avg(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS spread FROM p JOIN c USING (kind) GROUP BY 1)
+SELECT round(sqrt((k.cx - b.cx) ** 2 + (k.cy - b.cy) ** 2) / greatest((k.spread + b.spread) / 2, 1e-12), 6) AS separation_over_spread, (SELECT count(DISTINCT (x >= ox, y >= oy)) FROM p, o WHERE kind = 'candidate') AS occupied_quadrants, (SELECT count(*) FROM p WHERE kind = 'candidate') AS candidates FROM s k, s b WHERE k.kind = 'known' AND b.kind = 'background'""",
+    False,
+)
\ No newline at end of file
