@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,15 @@ BROADCAST_ROWS = 100_000
 
 
 _local: dict[str, str] = {}
-_written: list[str] = []
+#: What the run of this thread or context has written: runs beside each other have lists of their own.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def own_written() -> list[str]:
+    found = _written.get()
+    if found is None:
+        _written.set(found := [])
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,26 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    own_written().append(path)
     return path
 
 
 def written() -> int:
     """A mark for `clean`."""
-    return len(_written)
+    return len(own_written())
 
 
 def last_written() -> str:
-    return _written[-1]
+    return own_written()[-1]
 
 
 def clean(spark: SparkSession, since: int = 0, but: str = "") -> None:
-    """Deletes what was written to the shared folder after the mark, except under the path `but`. Results that are not written elsewhere are lost by that."""
-    for path in _written[since:]:
+    """Deletes what this run wrote to the shared folder after the mark, except under the path `but`. Results that are not written elsewhere are lost by that."""
+    written = own_written()
+    for path in written[since:]:
         if path != but:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _written[since:] = [but] if but in _written[since:] else []
+    written[since:] = [but] if but in written[since:] else []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pairloom.llm import common as C
 from pairloom.llm import text as T
 from pairloom.llm.graph import components
+from pairloom.llm.resampling import frequent
 
 SHINGLE, RADIUS = 3, 2
 #: Fixed value of the fingerprint: the seed of XXH64.
@@ -185,8 +186,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 LONG_SHINGLE, SIMILAR, PRINTS, BANDS, ROWS = 5, 0.8, 8, 10, 3
 #: Nodes of a group that are a part (its results are the same at any value), and the set size from which SimHash's angle holds; smaller sets are all verified.
 CELL_MOST, SMALL = 1024, 16
-#: Buckets in which shingles are counted for their order by frequency (any order is right, this one keeps groups small).
-COUNTS = 1 << 20
+#: From so many nodes on an open shard is divided by the prefix filter, not into pairs of parts (both find every link in it).
+PREFIX_FROM = 8 * CELL_MOST
+#: Buckets in which shingles are counted for their order by frequency, and how many of the fullest the driver and all tasks hold; those of the others
+#: are all as rare (any order is right, this one keeps groups small).
+COUNTS, FULLEST = 1 << 20, 1 << 16
 
 
 def wide_radius(similarity: float, bits: int) -> int:
@@ -285,20 +289,20 @@ def prefix_groups(sets: DataFrame, similarity: float) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    counts = sets.select("hashes").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTS rows
-    often = np.zeros(COUNTS, dtype=np.int64)
-    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(often)
+    counts = C.stored(sets.select("hashes").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("s")), "shingle-counts")
+    fullest = frequent(counts, FULLEST)[0].toPandas()  # at most FULLEST rows
+    shared = spark.sparkContext.broadcast((fullest["bucket"].to_numpy(np.int32), fullest["s"].to_numpy(np.int64)))
 
     def prefixes(batches):
-        often = shared.value
+        often = np.zeros(COUNTS, dtype=np.int64)
+        often[shared.value[0]] = shared.value[1]
         for batch in batches:
             tokens, size = [np.zeros(0, dtype=np.uint64)], []
             for own in batch.column("hashes"):
                 h = np.frombuffer(own.as_buffer(), dtype=np.uint64)
                 n = often[(h % np.uint64(COUNTS)).astype(np.int64)]
                 first = np.lexsort((h, n))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
-                tokens.append(h[first[n[first] > 1]])  # a shingle that was counted once is in no other set
+                tokens.append(h[first])
                 size.append(len(tokens[-1]))
             at = pa.array(np.repeat(np.arange(batch.num_rows), size))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "root"))], ["token", "node", "root"])
@@ -343,13 +347,13 @@ def links_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = CELL_MOST) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: float = SIMILAR, tree_most: int = CELL_MOST, prefix_from: int = PREFIX_FROM) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id (nulls last, then by hash of the text).
 
     Texts are near-duplicates if their sets of word shingles (of 64-bit hashes) have the Jaccard similarity or more; every link is held against
     the sets. Candidates share a band of least shingle hashes and their 512 bits of SimHash are within `wide_radius`. First the members of
-    a shard are held against its least; then the members of shards that are not joined by that are grouped by the rare shingles they share, and
-    groups are searched by BK-trees, in cells of at most about 2 * `tree_most` nodes. Equal sets are one node. Texts without words are one group. All columns of docs stay.
+    a shard are held against its least; then the shards whose members are not joined by that are searched by BK-trees, in cells of at most about
+    2 * `tree_most` nodes. Members of such shards of `prefix_from` nodes or more are grouped by the rare shingles they share before. Equal sets are one node. Texts without words are one group. All columns of docs stay.
     """
     spark, radius = docs.sparkSession, wide_radius(similarity, 64 * PRINTS)
     C.arrow_rows(spark)
@@ -387,8 +391,12 @@ def representatives(docs: DataFrame, shingle: int = LONG_SHINGLE, similarity: fl
 
     known = shards.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = known.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band", "key")
-    left = C.stored(known.join(open_, ["band", "key"]).select("node", "root", *fields).distinct().join(sets, "node"), "open")
-    more = C.stored(links_in_groups(prefix_groups(left, similarity), left, similarity, radius, tree_most), "more-links")
+    left = C.stored(known.join(open_, ["band", "key"]).select(F.xxhash64("band", "key").alias("token"), "n", "node", "root", *fields), "open")
+    own = left.select("node", "root", *fields).distinct().join(sets, "node")
+    groups, large = left.where(F.col("n") < prefix_from).select("token", "n", "node"), left.where(F.col("n") >= prefix_from)
+    if not large.isEmpty():
+        groups = groups.unionByName(prefix_groups(large.select("node", "root").distinct().join(sets, "node"), similarity))
+    more = C.stored(links_in_groups(groups, own, similarity, radius, tree_most), "more-links")
     roots = components(links.unionByName(more))
     named = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     kept = C.stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.d", "low.x"), "kept")

@@ -59,6 +59,7 @@ def test_pairs_of_a_large_shard_are_found_across_its_parts(spark):
         rows += [(d, " ".join(own)), (1000 + d, " ".join(grown(rnd, own, 40)))]
     assert survivors(rows) == list(range(20))
     assert got(spark, rows, tree_most=4) == list(range(20))
+    assert got(spark, rows, tree_most=4, prefix_from=0) == list(range(20))
 
 
 def test_links_are_exact_near_the_threshold(spark):
@@ -81,7 +82,7 @@ def test_template_texts_are_not_compared(spark, monkeypatch):
     seen = []
     real = S.prefix_groups
     monkeypatch.setattr(S, "prefix_groups", lambda *a: seen.append(real(*a)) or seen[-1])
-    assert got(spark, rows) == list(range(600))
+    assert got(spark, rows, prefix_from=0) == list(range(600))
     assert sum(1 for _ in seen) == 1 and seen[0].select("node").distinct().count() <= 24
 
 

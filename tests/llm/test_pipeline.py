@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline as P
+from pairloom.llm import common as C
 from pairloom.llm import leaks, quality, simhash
 from pairloom.llm.common import documents
 
@@ -99,3 +100,23 @@ def test_recall_of_near_copies_in_large_shards(spark):
     got = sorted(r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     # links are exact, so at most copies that share no band stay too
     assert set(want) <= set(got) and len(rows) - len(got) >= 0.98 * (len(rows) - len(want)) > 50
+
+
+def test_runs_beside_each_other_clean_their_own(spark):
+    import threading
+
+    mark, left = C.written(), []
+    own = C.stored(spark.range(3), "own")
+
+    def other():
+        assert C.written() == 0
+        C.stored(spark.range(2), "other")
+        C.clean(spark)
+        left.append(C.written())
+
+    t = threading.Thread(target=other)
+    t.start()
+    t.join()
+    assert left == [0] and own.count() == 3
+    C.clean(spark, mark)
+    assert C.written() == mark
