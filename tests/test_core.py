@@ -238,6 +238,25 @@ def test_hdbscan_finds_blobs_and_noise():
     assert ((member >= 0) & (member <= 1)).all() and ml.silhouette(x[:60], labels[:60]) > 0.9
 
 
+def test_density_runs_of_any_number_of_points(spark, monkeypatch):
+    """In blocks of 50 and beyond the plain form's limit: the plain form's figures, with equal points and noise among them."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, sd, (k, 2)) for c, sd, k in (((0, 0), 0.2, 40), ((4, 3), 0.4, 40), ((0, 6), 2.0, 40))] + [np.full((8, 2), 9.0)])
+    x = x[rng.permutation(len(x))]
+    y, want = x - x.mean(0), []
+    first = None
+    for least, samples in ml.SETTINGS:
+        labels, member = ml.hdbscan(y, least, samples)
+        first, kept = labels if first is None else first, labels >= 0
+        want.append((least, samples, len(x), len(set(labels[kept].tolist())), int((~kept).sum()), ml.silhouette(y[kept], labels[kept]), ml.rand_index(first, labels), float(member.mean())))
+    monkeypatch.setattr(ml, "MOST_POINTS", 100)
+    monkeypatch.setattr(ml.density.density_runs, "__defaults__", (0.95, 50))
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = [tuple(r) for r in ml.density_runs(df, "id", "v").collect()]
+    assert want[0][3] > 2 and got == [pytest.approx(w) for w in want]
+    assert [r["noise"] for r in ml.density_runs(df.limit(3), "id", "v").collect()] == [3, 3, 3] and ml.density_runs(df.limit(0), "id", "v").first()["points"] == 0
+
+
 def test_cosine_of_zeros(spark):
     df = spark.createDataFrame([([0.0, 0.0], [0.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(V.cosine(F.col("a"), F.col("b"))).collect()]
