@@ -20,6 +20,24 @@ def test_csv_encodings_and_standard_columns(spark, tmp_path):
         A.standardize(spark.range(1), F.lit("X"))
 
 
+def test_centers_that_are_off_far_from_the_start(spark, tmp_path):
+    """Structures beyond 700,000 bp: numpy.isclose, the default, takes 7 bp there for nothing; the query and its SQL don't."""
+    import oracle
+    from pairloom.plans import catalog
+
+    for t in oracle.TABLES:
+        path = f"/root/testdata/sf0.001/{t}.parquet"
+        rows = spark.read.parquet(path)
+        if t == "part":
+            rows = rows.unionByName(rows.withColumn("p_partkey", (F.col("p_partkey") + 61 * 20_000).cast(rows.schema["p_partkey"].dataType)))
+            rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+        else:
+            (tmp_path / f"{t}.parquet").symlink_to(path)
+    oracle.compare(spark, str(tmp_path), catalog.QUERIES["src09_standardize"], catalog.ORACLES["src09_standardize"])
+    far = spark.createDataFrame([("c", 900_000, 900_100, 900_057.0)], "chrom string, start long, end long, center double")
+    assert [A.standardize(far, F.lit("X"), *t).first()["center_mismatch"] for t in ((), ((1e-8, 0.0),))] == [False, True]
+
+
 def test_bed_inventory_and_archives(spark, tmp_path):
     (tmp_path / "x.bed").write_text("#head\nc\t1\t5\tn\n")
     assert [tuple(r) for r in A.read_bed(spark, str(tmp_path / "x.bed")).collect()] == [("c", 1, 5, "n")]
