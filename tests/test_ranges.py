@@ -76,3 +76,15 @@ def test_no_plan_has_one_window_over_all_rows(spark, name):
     plan = physical(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     for below in re.findall(r"Window \[(?:.*\n){1,6}", plan):
         assert "SinglePartition" not in below, below
+
+
+def test_six_decimals_as_in_sql(spark):
+    """Nine decimals that end in 5 at the seventh, which both sides meet as the same double."""
+    import duckdb
+    from pairloom.plans import fixtures as X
+
+    rnd = random.Random(8)
+    xs = [0.5153165, -0.5153165, 2.5e-6, 0.0, -0.0, 1e300, float("inf"), float("-inf")] + [round(rnd.gauss(0, 10**k), 6) + s * 5e-7 for k in range(4) for s in (-1, 1) for _ in range(100)]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(X.r6("x")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
+    assert spark.range(1).select(X.r6(F.lit(float("nan"))), X.r6(F.lit(None).cast("double"))).first() == (None, None)
