@@ -88,3 +88,16 @@ def test_six_decimals_as_in_sql(spark):
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(X.r6("x")).collect()]
     assert got == [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
     assert spark.range(1).select(X.r6(F.lit(float("nan"))), X.r6(F.lit(None).cast("double"))).first() == (None, None)
+
+
+def test_quartiles_of_few_decimals_as_in_sql(spark):
+    """Interquartile ranges of six-decimal values end in a 5 at the seventh now and then; to six decimals they are the SQL's."""
+    import duckdb
+    import pandas as pd
+    from pairloom.plans import fixtures as X
+
+    rnd = random.Random(5)
+    t = pd.DataFrame([(g, round(rnd.gauss(0.01, 0.03), 6)) for g in range(600) for _ in range(rnd.randrange(2, 60))], columns=["g", "v"])
+    q = R.quantiles(spark.createDataFrame(t), "v", {"q1": 0.25, "q3": 0.75}, ["g"]).select("g", X.r6("q1"), X.r6("q3"), X.r6(F.col("q3") - F.col("q1")))
+    want = duckdb.sql("SELECT g, round(quantile_cont(v, 0.25), 6), round(quantile_cont(v, 0.75), 6), round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) FROM t GROUP BY 1").fetchall()
+    assert sorted(tuple(r) for r in q.collect()) == sorted(want)
